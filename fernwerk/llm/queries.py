@@ -4,22 +4,87 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fernwerk.llm.bpe import bpe_round_trip
+from fernwerk.llm.decontaminate import contamination, items_digest
+from fernwerk.llm.html_extract import extract_main_text
+from fernwerk.llm.langid import identify
+from fernwerk.llm.ngram_join import jaccard_components
 from fernwerk.llm.substring_dedup import passage_dedup, suffix_array_dedup
+from fernwerk.llm.toxicity import toxicity
+from fernwerk.llm.vp_search import nearest
+from fernwerk.llm.warc import read_warc, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The path of the public vocabulary that op2 encodes with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_array_dedup(table(spark, sf_dir, "documents"), 200, keep="none")
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 8)
+    n_items = F.size("items").cast("long")
+    return out.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), items_digest().alias("items_sha256"), (n_items >= 2).alias("contaminated"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "crc32(cast(id as string)) % 5 <> 0")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = identify(table(spark, sf_dir, "documents"), "crc32(cast(id as string)) % 3 <> 1")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op7_vp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), 5, 80)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = passage_dedup(table(spark, sf_dir, "documents"), 50, keep="earlier_document")
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op9_substring_dedup)}
-ORACLES: dict[str, str] = {}
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = read_warc(*write_warc(table(spark, sf_dir, "pages")))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OPERATORS = (op1_html_extraction, op2_bpe_round_trip, op3_suffix_array_dedup, op4_decontamination, op5_toxicity, op6_language_id, op7_vp_tree_search, op8_ngram_jaccard_join, op9_substring_dedup, op10_warc_revisits)
+QUERIES = {f.__name__: f for f in _OPERATORS}
+ORACLES: dict[str, str] = {
+    "op10_warc_revisits": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), o AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest,
+  CASE WHEN original IS NOT NULL AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN original IS NOT NULL AND page_id <> original THEN original END AS refers_to
+FROM p LEFT JOIN o ON p.payload_digest = o.payload_digest AND payload_bytes >= 1000""",
+}

@@ -47,7 +47,7 @@ def units(batch: pa.RecordBatch, unit: str) -> tuple[np.ndarray, np.ndarray, np.
 
 def _anchor_rows(unit: str, length: int, gram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.chunks(batches, max_bytes=(1 if unit == "byte" else 4) << 20):
+        for b in K.chunks(batches, max_bytes=(1 if unit == "byte" else 4) << 19):
             _, values, bounds, _ = units(b, unit)
             if len(values) < length:
                 continue

@@ -75,6 +75,17 @@ def _dedup(docs: DataFrame, unit: str, length: int, gram: int, keep: str, id_col
     return out.withColumn("k", F.when(F.col("k") != -(2**63), F.col("k"))).withColumnRenamed("k", id_col)
 
 
+def _rewrite(docs: DataFrame, length: int, gram: int, keep: str, id_col: str, text_col: str) -> DataFrame:
+    """All columns of the documents, cut texts rewritten: only ids and texts that change are joined to the rest."""
+    cut = _dedup(docs, "word", length, gram, keep, id_col, text_col).where("n_removed > 0")
+    cut = cut.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("_k"), F.decode("kept", F.lit("UTF-8")).alias("_kept")).dropDuplicates(["_k"])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    key = F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("long"), F.lit(-(2**63)))
+    text = names[docs.columns.index(text_col)]
+    return rows.join(cut, key == F.col("_k"), "left").withColumn(text, F.coalesce("_kept", text)).select(*names).toDF(*docs.columns)
+
+
 def suffix_array_dedup(docs: DataFrame, length: int = 200, keep: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cuts byte strings of ``length`` bytes that repeat within or across documents.
 
@@ -87,9 +98,12 @@ def suffix_array_dedup(docs: DataFrame, length: int = 200, keep: str = "first",
     return _dedup(docs, "byte", length, max(1, length * 8 // 25), keep, id_col, text_col)
 
 
-def passage_dedup(docs: DataFrame, length: int = 50, keep: str = "earlier_document", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def passage_dedup(docs: DataFrame, length: int = 50, keep: str = "earlier_document", id_col: str = "doc_id", text_col: str = "text", rewrite: bool = False) -> DataFrame:
     """Cuts passages of ``length`` words that repeat, by winnowed seeds that are extended both ways.
 
     Same options, result and edge cases as `suffix_array_dedup`, in words; kept joins the kept words by one space.
+    With ``rewrite`` the documents themselves are returned, all columns: texts that lost words are replaced by what is kept.
     """
+    if rewrite:
+        return _rewrite(docs, length, max(1, length * 2 // 5), keep, id_col, text_col)
     return _dedup(docs, "word", length, max(1, length * 2 // 5), keep, id_col, text_col)
