@@ -1,13 +1,16 @@
 """Exact self-join of documents by Jaccard similarity of word n-grams, and its components.
 
-Two sets of similarity s share a gram among their first n - ceil(s n) + 1 grams in any common order (here the order of the
-hashes), so only documents that share such a gram are compared:
+Of two sets of similarity s, the first n - ceil(s n) + m grams in any common order (here the order of the hashes) have m in common,
+for the smaller m of the two (`margin`). So only documents that share enough first grams are compared:
 
 1. Equal sets are one class (an aggregate of set digests); only the class's least document goes on.
-2. Grams that one document only has among its first are dropped.
+2. Grams that one document only has among its first are dropped, then documents that are left with fewer grams than any partner
+   would share with them, and so on (`peel`). This needs no pairs.
 3. Star rounds: each document is compared with the least document of the gram group that it meets most often. This links most of
    a group of near copies with one comparison a document.
-4. Signature trees: groups that still hold documents of several components are built into trees whose nodes hold OR-combined
+4. The documents that could still link to another component are held to all their grams: each needs the share ``s`` of its own
+   grams among those of other components, and only its rarest grams beyond that share are groups.
+5. Signature trees: groups that still hold documents of several components are built into trees whose nodes hold OR-combined
    bitmaps of grams and size ranges. The dual traversal drops pairs of nodes of one component, of sizes too far apart, or
    whose largest possible overlap is too small; the pairs that are left are verified on whole sets. A group of any size is
    cut into blocks of bounded size, and pairs of blocks whose size ranges fit are traversed by themselves.
@@ -19,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fernwerk.llm import kernels as K
 from fernwerk.llm.repeats import by_key, keyed
@@ -50,6 +53,11 @@ def gram_sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(doc[new], np.arange(len(count) + 1))
 
 
+def margin(n: object) -> object:
+    """How many of their first grams two similar sets share at least, by the size of the smaller."""
+    return 1 + n // 10
+
+
 def _digests(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches, max_bytes=2 << 20):
@@ -61,6 +69,16 @@ def _digests(n: int) -> Callable:
     return run
 
 
+def _all(n: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.chunks(batches, max_bytes=2 << 20):
+            h, bounds = gram_sets(b, n)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(h)), b.column("k").take(pa.array(doc))], ["gram", "k"])
+
+    return run
+
+
 def _first(n: int, percent: int) -> Callable:
     """The grams that a set of at least the similarity must share one of."""
 
@@ -68,7 +86,7 @@ def _first(n: int, percent: int) -> Callable:
         for b in K.chunks(batches, max_bytes=2 << 20):
             h, bounds = gram_sets(b, n)
             size = np.diff(bounds)
-            p = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
+            p = np.where(size > 0, np.minimum(size, size - (percent * size + 99) // 100 + margin(size)), 0)
             at, doc = K.spread(bounds[:-1], p)
             yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[at])), pa.array(b.column("k").to_numpy()[doc])], ["gram", "k"])
 
@@ -108,12 +126,12 @@ def _verify(n: int, percent: int) -> Callable:
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, per_part: int = 200) -> DataFrame:
     """The pairs (a, b) that link. The rows of a center are dealt into parts by b, each with the center's text."""
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)))
-    many = pairs.groupBy("a").agg((F.count(F.lit(1)) > per_part).alias("many"))
-    pairs = pairs.join(many, "a").select("a", "b", F.when(F.col("many"), F.col("part")).otherwise(F.lit(0)).alias("part"))
-    members = pairs.join(texts.withColumnRenamed("k", "b"), "b").select("a", "b", "part", "text")
-    centers = pairs.select("a", "part").distinct().join(texts.withColumnRenamed("k", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "part", "text")
-    return centers.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(_verify(n, percent), "a long, b long")
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("long").alias("parts"))
+    pairs = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
+    centers = many.select(F.col("a").alias("k"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    roles = centers.unionByName(pairs.select(F.col("b").alias("k"), "a", "b", "part"))
+    rows = roles.join(texts, "k").select("a", "b", "part", "text")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(_verify(n, percent), "a long, b long")
 
 
 def bitmaps(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -218,39 +236,60 @@ def _traverse(percent: int) -> Callable:
 
 
 def candidate_pairs(groups: DataFrame, texts: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (a, b) of a group of groups (gram, k, comp) that the signature trees leave over."""
-    marks = materialise(texts.mapInArrow(_signatures(n), "k long, n long, bits binary"), "signatures")
-    rows = groups.join(marks.select("k", "n"), "k")
-    # blocks of one group: by size, so that most pairs of blocks are too far apart
-    size = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("members"))
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
-    rows = rows.join(size, "gram").withColumn("band", band)
-    small = rows.where(F.col("members") <= block).select(F.xxhash64("gram").alias("key"), "k", "comp", F.lit(0).alias("side"))
-    # documents of similar size are in one band or in two neighbouring ones
-    large = rows.where(F.col("members") > block)
-    parts = large.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))
-    dealt = large.join(parts, ["gram", "band"]).withColumn("part", F.pmod(F.xxhash64("k"), "parts"))
-    nxt = parts.select("gram", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
-    prv = parts.select("gram", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-    dealt = dealt.join(nxt, ["gram", "band"], "left").join(prv, ["gram", "band"], "left")
-
-    def cell(b1: object, p1: object, b2: object, p2: object, side: int) -> F.Column:
-        return F.struct(F.xxhash64("gram", b1, p1, b2, p2).alias("key"), F.lit(side).alias("side"))
-
-    band_, part, one = F.col("band"), F.col("part"), F.lit(1)
-    seq = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>"))
-    cells = F.concat(
-        F.array(cell(band_, part, band_, part, 0)),
-        F.transform(seq(part + 1, F.col("parts") - 1), lambda q: cell(band_, part, band_, q, 1)),
-        F.transform(seq(F.lit(0).cast("long"), part - 1), lambda q: cell(band_, q, band_, part, 2)),
-        F.transform(seq(F.lit(0).cast("long"), F.coalesce("above", F.lit(0)) - 1), lambda q: cell(band_, part, band_ + one, q, 1)),
-        F.transform(seq(F.lit(0).cast("long"), F.coalesce("below", F.lit(0)) - 1), lambda q: cell(band_ - one, q, band_, part, 2)),
-    )
-    big = dealt.select("k", "comp", F.explode(cells).alias("c")).select("c.key", "k", "comp", "c.side")
-    rows = small.unionByName(big).join(marks, "k").select("key", "k", "n", "comp", "side", "bits")
+    """Distinct pairs (a, b) of groups (gram, band, k, comp) that the signature trees leave over.
+
+    A group of more than ``block`` documents is dealt into blocks; a task gets one block with itself or two with each other.
+    """
+    marks = texts.mapInArrow(_signatures(n), "k long, n long, bits binary")
+    parts = groups.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))
+    dealt = groups.join(parts, ["gram", "band"]).withColumn("part", F.pmod(F.xxhash64("k"), "parts"))
+
+    def cell(p: object, q: object, side: int) -> F.Column:
+        return F.struct(F.xxhash64("gram", "band", p, q).alias("key"), F.lit(side).alias("side"))
+
+    zero, last = F.lit(0).cast("long"), F.col("parts") - 1
+    above = F.when(F.col("part") < last, F.sequence(F.col("part") + 1, last)).otherwise(F.array().cast("array<long>"))
+    below = F.when(F.col("part") > 0, F.sequence(zero, F.col("part") - 1)).otherwise(F.array().cast("array<long>"))
+    cells = F.concat(F.array(cell("part", "part", 0)), F.transform(above, lambda q: cell("part", q, 1)), F.transform(below, lambda q: cell(q, "part", 2)))
+    rows = dealt.select("k", "comp", F.explode(cells).alias("c")).select("c.key", "k", "comp", "c.side").join(marks, "k").select("key", "k", "n", "comp", "side", "bits")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_traverse(percent), "a long, b long").distinct()
 
 
+def peel(met: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """Groups (gram, band, k, n, comp) without what no link between components can need.
+
+    Documents of similar size are in one band of sizes or in two neighbouring ones, so each stands in its own band and in the next,
+    and is compared within a band. Groups of one component go, then documents with fewer grams left than they would share
+    with their smallest possible partner.
+    """
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)
+    if "band" not in met.columns:
+        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+        met = met.withColumn("band", F.explode(F.array(band, band + 1)))
+    for _ in range(rounds):
+        mixed = met.groupBy("gram", "band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("gram", "band")
+        met = met.join(mixed, ["gram", "band"])
+        full = met.groupBy("k").agg(F.count_distinct("gram").alias("left"), F.first("n").alias("n")).where(F.col("left") >= least).select("k")
+        met = materialise(met.join(full, "k", "left_semi").select("gram", "band", "k", "n", "comp"), "met")
+    return met
+
+
+def rarest(grams: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Groups (gram, band, k, comp) from all grams (gram, k) of some documents (k, n, comp): links between components share a gram of them.
+
+    A link of document a shares at least percent hundredths of a's grams, all of them with other components. Of as many grams in
+    a common order, here the rarest first, all but that number less one can be left out.
+    """
+    need = F.ceil(F.col("n") * percent / 100)
+    met = grams.join(comp, "k")
+    mixed = met.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("times")).where("c0 <> c1").select("gram", "times")
+    met = materialise(met.join(mixed, "gram"), "mixed")
+    full = met.groupBy("k").agg(F.count(F.lit(1)).alias("left"), F.first("n").alias("n")).where(F.col("left") >= need).select("k", "left")
+    order = F.row_number().over(Window.partitionBy("k").orderBy("times", "gram"))
+    met = met.join(full, "k").withColumn("place", order).where(F.col("place") <= F.col("left") - need + 1)
+    return materialise(met.select("gram", F.lit(0).alias("band"), "k", "comp"), "groups")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document: the size of its set of ``n``-word grams and the least document that it is linked with.
 
@@ -264,27 +303,28 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     copies = materialise(sets.join(classes, ["s1", "s2", "n"]).select("k", "rep"), "copies")
     grams = rows.mapInArrow(_first(n, percent), "gram long, k long")
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    met = grams.join(often, "gram").join(copies.where("k <> rep").select("k").distinct(), "k", "left_anti").distinct()
-    met = materialise(met.select("gram", "k"), "met")
-    least = met.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("lo")).where("c > 1")
-    met = materialise(met.join(least.select("gram"), "gram"), "met")
+    later = copies.where("k <> rep").select("k").distinct()
+    met = materialise(grams.join(often, "gram").join(later, "k", "left_anti").distinct().join(sets.groupBy("k").agg(F.max("n").alias("n")), "k").select("gram", "k", "n", F.col("k").alias("comp")), "met")
+    met = peel(met, percent)
     texts = materialise(rows.join(met.select("k").distinct(), "k").dropDuplicates(["k"]), "texts")
     links = copies.where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
     comp = met.select("k").distinct().select("k", F.col("k").alias("comp"))
+    here = met
     for i in range(rounds):
-        here = met.join(comp, "k")
-        # the least document by a hash of this round stands for the group
-        center = here.groupBy("gram").agg(F.min_by(F.struct("k", "comp"), F.xxhash64("k", F.lit(i)) if i else F.col("k")).alias("x"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("gram", F.col("x.k").alias("a"), F.col("x.comp").alias("ca"))
-        pairs = here.join(center, "gram").where("ca <> comp").groupBy("k", "a").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
+        # the least document, then the least by a hash, stands for the group
+        center = here.groupBy("gram", "band").agg(F.min_by(F.struct("k", "comp", "n"), F.xxhash64("k", F.lit(i)) if i else F.col("k")).alias("x")).select("gram", "band", F.col("x.k").alias("a"), F.col("x.comp").alias("ca"), F.col("x.n").alias("na"))
+        fits = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (F.col("ca") != F.col("comp"))
+        pairs = here.join(center, ["gram", "band"]).where(fits).groupBy("k", "n", "na", "a").agg(F.count_distinct("gram").alias("c")).where(F.col("c") >= 1 + F.floor(F.least("n", "na") / 10))
+        pairs = pairs.groupBy("k").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
         found = materialise(verify(pairs.select("a", F.col("k").alias("b")), texts, n, percent), "links")
         links = links.unionByName(found)
         stars = connected_components(found.unionByName(comp.where("k <> comp").select(F.col("k").alias("a"), F.col("comp").alias("b"))))
         comp = materialise(comp.select("k").join(stars, comp["k"] == stars["node"], "left").select("k", F.coalesce("component", "k").alias("comp")), "components")
-    here = met.join(comp, "k")
-    mixed = here.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("gram")
-    left = materialise(here.join(mixed, "gram").select("gram", "k", "comp"), "mixed")
-    some = texts.join(left.select("k").distinct(), "k")
-    found = verify(candidate_pairs(left, some, n, percent), texts, n, percent)
+        here = peel(here.drop("comp").join(comp, "k").select("gram", "band", "k", "n", "comp"), percent)
+    open_ = here.groupBy("k").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
+    some = materialise(texts.join(open_.select("k"), "k"), "texts")
+    groups = rarest(some.mapInArrow(_all(n), "gram long, k long"), open_, percent)
+    found = verify(candidate_pairs(groups, some.join(groups.select("k").distinct(), "k"), n, percent), some, n, percent)
     all_links = links.unionByName(found).unionByName(comp.where("k <> comp").select(F.col("k").alias("a"), F.col("comp").alias("b")))
     final = connected_components(all_links)
     out = sets.join(final, sets["k"] == final["node"], "left").select(F.when(F.col("k") != -(2**63), F.col("k")).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))

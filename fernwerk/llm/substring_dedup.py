@@ -78,7 +78,7 @@ def _dedup(docs: DataFrame, unit: str, length: int, gram: int, keep: str, id_col
 def _rewrite(docs: DataFrame, length: int, gram: int, keep: str, id_col: str, text_col: str) -> DataFrame:
     """All columns of the documents, cut texts rewritten: only ids and texts that change are joined to the rest."""
     cut = _dedup(docs, "word", length, gram, keep, id_col, text_col).where("n_removed > 0")
-    cut = cut.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("_k"), F.decode("kept", F.lit("UTF-8")).alias("_kept")).dropDuplicates(["_k"])
+    cut = cut.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("_k"), F.decode("kept", "UTF-8").alias("_kept")).dropDuplicates(["_k"])
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     key = F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("long"), F.lit(-(2**63)))
