@@ -13,9 +13,6 @@ from fernwerk.llm.substring_dedup import passage_dedup
 from fernwerk.llm.toxicity import toxicity
 from fernwerk.storage import materialise
 
-#: The columns of `documents`, which every stage but the last returns.
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents of these ids; a null id is an id of its own."""
@@ -23,6 +20,11 @@ def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, F.coalesce(docs["doc_id"], F.lit(-(2**63))) == ids["_keep"], "left_semi").select(*docs.columns)
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars is the length of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go."""
     scored = toxicity(docs, table(spark, sf_dir, "labels"), keep=True)
@@ -37,16 +39,16 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that a document with a smaller id has are cut; a text that loses nothing stays as it is."""
-    return passage_dedup(docs, 50, keep="earlier_document", rewrite=True)
+    return _counted(passage_dedup(docs, 50, keep="earlier_document", rewrite=True))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with passages of two items or more go; of the others the words of test passages are cut."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), 8, reject_items=2)
+    return _counted(decontaminate(docs, table(spark, sf_dir, "benchmark"), 8, reject_items=2))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and whether they decode to as many tokens again."""
+    """The ids of every text, and their number."""
     return bpe_round_trip(docs, vocabulary()).select("doc_id", "n_tokens", "ids")
 
 
