@@ -72,7 +72,8 @@ def literal_map(values: Mapping) -> Column:
 def compass(bearing: Column) -> Column:
     """Sixteen winds of 22.5 degrees, half open to the right; missing is 'n/a'."""
     sector = F.pmod((F.pmod(bearing, num(360)) / num(22.5) + num(0.5)).cast("int"), F.lit(16))
-    return F.coalesce(F.element_at(F.array(*map(F.lit, COMPASS)), sector + 1), F.lit("n/a"))
+    # not element_at of a missing index: over an array without NULLs Spark takes the last entry
+    return F.when(bearing.isNull(), "n/a").otherwise(F.element_at(F.array(*map(F.lit, COMPASS)), F.coalesce(sector, F.lit(0)) + 1))
 
 
 def longest_prefix(code: Column, table: Mapping[str, float], default: float | None) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fernwerk.plans import credits
+from fernwerk.plans import credits, layers, routes
 
-_MODULES = (credits,)
+_MODULES = (credits, layers, routes)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

@@ -108,10 +108,10 @@ def m09_cost_per_metre(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.terrain(spark, sf_dir).select("row", "col", (F.round(cost, 9) + F.lit(0.0)).alias("cost"))
 
 
-@query("""SELECT row, col, round(CASE WHEN NOT no_water AND water_m <= 350 THEN 0.1 + 0.9 * (0.7 * least(greatest((400 - water_m) / 320, 0), 1)
-  + 0.3 * least(greatest((6 - tpi) / 10, 0), 1)) END + 0 * tpi, 6) + 0.0::DOUBLE AS credit FROM v_terrain""", "terrain")
+@query("""SELECT row, col, round(CASE WHEN NOT no_water AND water_m <= 350 THEN 0.1 + 0.9 * (0.7 * least(greatest((397 - water_m) / 314, 0), 1)
+  + 0.3 * least(greatest((6.2::DOUBLE - tpi) / (6.2::DOUBLE + 4.1::DOUBLE), 0), 1)) END + 0 * tpi, 6) + 0.0::DOUBLE AS credit FROM v_terrain""", "terrain")
 def m10_moisture_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    credit = C.moisture_credit(F.col("water_m"), F.col("no_water"), F.col("tpi"), 80, 400, -4, 6, 0.7, 0.3, 0.1, 350)
+    credit = C.moisture_credit(F.col("water_m"), F.col("no_water"), F.col("tpi"), 83, 397, -4.1, 6.2, 0.7, 0.3, 0.1, 350)
     return V.terrain(spark, sf_dir).select("row", "col", r6(credit).alias("credit"))
 
 
