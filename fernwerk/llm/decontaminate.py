@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from hashlib import sha256
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -131,8 +130,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, id_col: str
     share = [docs.sparkSession.sparkContext.broadcast(ngram_block(x, n)) for x in blocks]
     found = rows.mapInArrow(_scan(share[0], True), _HITS)
     if len(share) > 1:
-        for some in batched(share[1:], 1):
-            found = found.unionByName(rows.mapInArrow(_scan(some[0], False), _HITS))
+        for block in share[1:]:
+            found = found.unionByName(rows.mapInArrow(_scan(block, False), _HITS))
         merged = found.groupBy("k").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("all_spans"), F.collect_list("items").alias("all_items"))
         found = merged.mapInArrow(_merge, _HITS)
     return found.withColumn("k", F.when(F.col("k") != -(2**63), F.col("k"))).withColumnRenamed("k", id_col)
@@ -143,7 +142,7 @@ def _clean(block: object, reject_items: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches, max_bytes=4 << 20):
-            (found,) = scan(iter([pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column("text")], ["k", "text"])]))
+            found = pa.Table.from_batches(scan(iter([pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column("text")], ["k", "text"])])))
             texts = b.column("text").to_pylist()
             keep, out = [], []
             for i, (items, spans) in enumerate(zip(found.column("items").to_pylist(), found.column("spans").to_pylist())):

@@ -256,21 +256,15 @@ def candidate_pairs(groups: DataFrame, texts: DataFrame, n: int, percent: int, b
 
 
 def peel(met: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """Groups (gram, band, k, n, comp) without what no link between components can need.
-
-    Documents of similar size are in one band of sizes or in two neighbouring ones, so each stands in its own band and in the next,
-    and is compared within a band. Groups of one component go, then documents with fewer grams left than they would share
-    with their smallest possible partner.
-    """
+    """Rows (gram, k, n, comp) without what no link between components can need: grams of one component, grams of two documents of
+    sizes too far apart, and documents with fewer grams left than they would share with their smallest possible partner."""
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)
-    if "band" not in met.columns:
-        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-        met = met.withColumn("band", F.explode(F.array(band, band + 1)))
     for _ in range(rounds):
-        mixed = met.groupBy("gram", "band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("gram", "band")
-        met = met.join(mixed, ["gram", "band"])
-        full = met.groupBy("k").agg(F.count_distinct("gram").alias("left"), F.first("n").alias("n")).where(F.col("left") >= least).select("k")
-        met = materialise(met.join(full, "k", "left_semi").select("gram", "band", "k", "n", "comp"), "met")
+        groups = met.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("times"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+        mixed = groups.where((F.col("c0") != F.col("c1")) & ((F.col("times") > 2) | (100 * F.col("n0") >= percent * F.col("n1")))).select("gram")
+        met = met.join(mixed, "gram")
+        full = met.groupBy("k", "n").agg(F.count(F.lit(1)).alias("left")).where(F.col("left") >= least).select("k")
+        met = materialise(met.join(full, "k", "left_semi").select("gram", "k", "n", "comp"), "met")
     return met
 
 
@@ -303,26 +297,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     copies = materialise(sets.join(classes, ["s1", "s2", "n"]).select("k", "rep"), "copies")
     grams = rows.mapInArrow(_first(n, percent), "gram long, k long")
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    later = copies.where("k <> rep").select("k").distinct()
-    met = materialise(grams.join(often, "gram").join(later, "k", "left_anti").distinct().join(sets.groupBy("k").agg(F.max("n").alias("n")), "k").select("gram", "k", "n", F.col("k").alias("comp")), "met")
+    known = sets.groupBy("k").agg(F.max("n").alias("n")).join(copies, "k", "left").where("rep is null or rep = k").select("k", "n").distinct()
+    met = materialise(grams.join(often, "gram").join(known, "k").select("gram", "k", "n", F.col("k").alias("comp")), "met")
     met = peel(met, percent)
-    texts = materialise(rows.join(met.select("k").distinct(), "k").dropDuplicates(["k"]), "texts")
+    comp = met.groupBy("k").agg(F.first("n").alias("n")).withColumn("comp", F.col("k"))
+    texts = materialise(rows.join(comp.select("k"), "k").dropDuplicates(["k"]), "texts")
     links = copies.where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
-    comp = met.select("k").distinct().select("k", F.col("k").alias("comp"))
     here = met
     for i in range(rounds):
         # the least document, then the least by a hash, stands for the group
-        center = here.groupBy("gram", "band").agg(F.min_by(F.struct("k", "comp", "n"), F.xxhash64("k", F.lit(i)) if i else F.col("k")).alias("x")).select("gram", "band", F.col("x.k").alias("a"), F.col("x.comp").alias("ca"), F.col("x.n").alias("na"))
+        center = here.groupBy("gram").agg(F.min_by(F.struct("k", "comp", "n"), F.xxhash64("k", F.lit(i)) if i else F.col("k")).alias("x"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        center = center.select("gram", F.col("x.k").alias("a"), F.col("x.comp").alias("ca"), F.col("x.n").alias("na"))
         fits = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (F.col("ca") != F.col("comp"))
-        pairs = here.join(center, ["gram", "band"]).where(fits).groupBy("k", "n", "na", "a").agg(F.count_distinct("gram").alias("c")).where(F.col("c") >= 1 + F.floor(F.least("n", "na") / 10))
+        pairs = here.join(center, "gram").where(fits).groupBy("k", "n", "na", "a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 1 + F.floor(F.least("n", "na") / 10))
         pairs = pairs.groupBy("k").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
         found = materialise(verify(pairs.select("a", F.col("k").alias("b")), texts, n, percent), "links")
         links = links.unionByName(found)
         stars = connected_components(found.unionByName(comp.where("k <> comp").select(F.col("k").alias("a"), F.col("comp").alias("b"))))
-        comp = materialise(comp.select("k").join(stars, comp["k"] == stars["node"], "left").select("k", F.coalesce("component", "k").alias("comp")), "components")
-        here = peel(here.drop("comp").join(comp, "k").select("gram", "band", "k", "n", "comp"), percent)
-    open_ = here.groupBy("k").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
-    some = materialise(texts.join(open_.select("k"), "k"), "texts")
+        comp = materialise(comp.drop("comp").join(stars, comp["k"] == stars["node"], "left").select("k", "n", F.coalesce("component", "k").alias("comp")), "components")
+        here = met.drop("comp", "n").join(comp, "k")
+    some = texts
+    open_ = comp
     groups = rarest(some.mapInArrow(_all(n), "gram long, k long"), open_, percent)
     found = verify(candidate_pairs(groups, some.join(groups.select("k").distinct(), "k"), n, percent), some, n, percent)
     all_links = links.unionByName(found).unionByName(comp.where("k <> comp").select(F.col("k").alias("a"), F.col("comp").alias("b")))
