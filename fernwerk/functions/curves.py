@@ -30,25 +30,30 @@ def linear(x: Column, lo: float, hi: float) -> Column:
 
 
 def trapezoid(x: Column, hard_min: float | None, optimal_min: float, optimal_max: float, hard_max: float | None) -> Column:
-    """1 on the closed plateau, linear on the open ramps, 0 at and beyond the hard edges; an open edge (None) keeps 1."""
-    x = finite(x)
-    out = F.when(x.isNull(), num(None)).when((x >= num(optimal_min)) & (x <= num(optimal_max)), num(1))
-    below = num(1) if hard_min is None else F.when(x > num(hard_min), (x - num(hard_min)) / num(max(optimal_min - hard_min, TINY))).otherwise(num(0))
-    above = num(1) if hard_max is None else F.when(x < num(hard_max), (num(hard_max) - x) / num(max(hard_max - optimal_max, TINY))).otherwise(num(0))
-    return clip(out.when(x < num(optimal_min), below).otherwise(above), 0, 1)
+    """1 on the closed plateau, linear on the open ramps, 0 at and beyond the hard edges; an open edge (None) keeps 1.
+
+    One branch a zone, so that the expression names x a few times only and stays inside generated code.
+    """
+    out = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), num(None))
+    if hard_min is not None:
+        out = out.when(x <= num(hard_min), num(0)).when(x < num(optimal_min), (x - num(hard_min)) / num(max(optimal_min - hard_min, TINY)))
+    if hard_max is not None:
+        out = out.when(x >= num(hard_max), num(0)).when(x > num(optimal_max), (num(hard_max) - x) / num(max(hard_max - optimal_max, TINY)))
+    return out.otherwise(num(1))
 
 
 def ramp_down(x: Column, best: float, worst: float) -> Column:
     """1 at and below best, 0 at and above worst; infinite is missing."""
-    return clip((num(worst) - finite(x)) / num(max(worst - best, TINY)), 0, 1)
+    missing = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(missing, num(None)).when(x <= num(best), num(1)).when(x >= num(worst), num(0)).otherwise((num(worst) - x) / num(max(worst - best, TINY)))
 
 
 def aspect_score(aspect: Column, slope: Column, bearing: float, tolerance: float, flat: float) -> Column:
     """Cosine fall-off outside the tolerance around a bearing; ground flatter than ``flat`` counts half."""
     turn = F.pmod(aspect - num(bearing), num(360))
-    off = F.when(turn > 180, num(360) - turn).otherwise(turn)
-    share = (off - num(tolerance)) / num(max(180 - tolerance, TINY))
-    credit = F.when(off <= num(tolerance), num(1)).otherwise(num(0.5) * (num(1) + F.cos(num(math.pi) * clip(share, 0, 1))))
+    off = F.least(turn, num(360) - turn)
+    share = F.greatest(off - num(tolerance), num(0)) / num(max(180 - tolerance, TINY))
+    credit = num(0.5) * (num(1) + F.cos(num(math.pi) * F.least(share, num(1))))
     return F.when(aspect.isNull(), num(None)).when(slope < num(flat), num(0.5)).otherwise(credit)
 
 

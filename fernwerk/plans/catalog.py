@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fernwerk.plans import credits, layers, records, routes
+from fernwerk.plans import credits, flagship, layers, records, routes
 
-_MODULES = (credits, layers, routes, records)
+_MODULES = (flagship, credits, layers, routes, records)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

@@ -74,7 +74,8 @@ def m03_aspect_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT row, col, round(terrain, 6) + 0.0::DOUBLE AS score FROM ({SQL_TERRAIN})", "terrain")
 def m04_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.terrain(spark, sf_dir).select("row", "col", r6(C.weighted_mean(terrain_parts(), SUBWEIGHTS)).alias("score"))
+    t = V.terrain(spark, sf_dir).withColumns({f"_{k}": v for k, v in terrain_parts().items()})
+    return t.select("row", "col", r6(C.weighted_mean({k: F.col(f"_{k}") for k in terrain_parts()}, SUBWEIGHTS)).alias("score"))
 
 
 @query("SELECT row, col, round(least(greatest((ndvi - 0.1) / 0.4, 0), 1), 6) + 0.0::DOUBLE AS x FROM v_terrain WHERE ndvi IS NOT NULL UNION ALL SELECT row, col, NULL FROM v_terrain WHERE ndvi IS NULL", "terrain")
