@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-ALONG_ROW = Window.partitionBy("row").orderBy("col")
-ALONG_COL = Window.partitionBy("col").orderBy("row")
 
+def along_row() -> WindowSpec:
+    return Window.partitionBy("row").orderBy("col")
 
-def _shift(value: str, k: int, w: Window) -> Column:
+
+def along_col() -> WindowSpec:
+    return Window.partitionBy("col").orderBy("row")
+
+
+def _shift(value: str, k: int, w: WindowSpec) -> Column:
     """The value k cells further on; beyond the edge the edge's own value."""
     there = F.lead(value, k).over(w) if k > 0 else F.lag(value, -k).over(w)
     if abs(k) == 1:
@@ -57,7 +62,7 @@ def gaussian_weights(sigma: float) -> list[float]:
 def gaussian(cells: DataFrame, sigma: float, value: str = "z") -> DataFrame:
     """Smoothing of a full grid; the edge is repeated outwards."""
     weights = gaussian_weights(sigma)
-    for w in (ALONG_ROW, ALONG_COL):
+    for w in (along_row(), along_col()):
         total = F.col(value) * F.lit(weights[0])
         for k, x in enumerate(weights[1:], 1):
             total = total + (_shift(value, k, w) + _shift(value, -k, w)) * F.lit(x)
@@ -70,10 +75,10 @@ def slope_aspect(cells: DataFrame, resolution: float, sigma: float = 0.0, value:
     grid = fill_nearest(cells.withColumn("_hole", F.col(value).isNull()), value)
     if sigma > 0:
         grid = gaussian(grid, sigma, value)
-    west, east = _shift(value, -1, ALONG_ROW), _shift(value, 1, ALONG_ROW)
+    west, east = _shift(value, -1, along_row()), _shift(value, 1, along_row())
     grid = grid.withColumn("_e", east - west).withColumn("_s", west + 2 * F.col(value) + east)
-    ge = (_shift("_e", -1, ALONG_COL) + 2 * F.col("_e") + _shift("_e", 1, ALONG_COL)) / F.lit(8.0 * resolution)
-    gn = (_shift("_s", -1, ALONG_COL) - _shift("_s", 1, ALONG_COL)) / F.lit(8.0 * resolution)
+    ge = (_shift("_e", -1, along_col()) + 2 * F.col("_e") + _shift("_e", 1, along_col())) / F.lit(8.0 * resolution)
+    gn = (_shift("_s", -1, along_col()) - _shift("_s", 1, along_col())) / F.lit(8.0 * resolution)
     grid = grid.withColumn("_ge", ge).withColumn("_gn", gn)
     slope = F.degrees(F.atan(F.hypot("_ge", "_gn")))
     aspect = F.when((F.col("_ge") == 0) & (F.col("_gn") == 0), 180.0).otherwise(F.pmod(F.degrees(F.atan2(-F.col("_ge"), -F.col("_gn"))), F.lit(360.0)))
@@ -85,7 +90,7 @@ def slope_aspect(cells: DataFrame, resolution: float, sigma: float = 0.0, value:
 def topographic_position(cells: DataFrame, resolution: float, radius: float, value: str = "z") -> DataFrame:
     """Height above the mean of the known cells in an odd square window, cut at the edges; a hole stays missing."""
     half = max(int(round(2 * radius / resolution)) | 1, 3) // 2
-    row, col = ALONG_ROW.rangeBetween(-half, half), ALONG_COL.rangeBetween(-half, half)
+    row, col = along_row().rangeBetween(-half, half), along_col().rangeBetween(-half, half)
     grid = cells.withColumn("_s", F.sum(value).over(row)).withColumn("_n", F.count(value).over(row))
     mean = F.sum("_s").over(col) / F.sum("_n").over(col)
     return grid.withColumn("tpi", F.col(value) - mean).drop("_s", "_n")
@@ -96,8 +101,8 @@ def distance_to(cells: DataFrame, resolution: float, mask: str = "water") -> Dat
 
     The column pass finds the nearest masked row; the row pass needs no column further away than that distance.
     """
-    up = F.last(F.when(F.col(mask), F.col("row")), ignorenulls=True).over(ALONG_COL.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(F.when(F.col(mask), F.col("row")), ignorenulls=True).over(ALONG_COL.rowsBetween(0, Window.unboundedFollowing))
+    up = F.last(F.when(F.col(mask), F.col("row")), ignorenulls=True).over(along_col().rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first(F.when(F.col(mask), F.col("row")), ignorenulls=True).over(along_col().rowsBetween(0, Window.unboundedFollowing))
     grid = cells.withColumn("_g", F.least(F.col("row") - up, down - F.col("row")).cast("long"))
     lines = grid.where("_g is not null").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "_g"))).alias("_line"))
     near = F.expr("filter(_line, x -> _g is null or abs(x.col - col) <= _g)")
@@ -122,8 +127,8 @@ def proximity(seeds: DataFrame, cells: DataFrame, sigma: float) -> DataFrame:
 
 def local_maxima(cells: DataFrame, distance: int, value: str = "score") -> DataFrame:
     """Cells that hold the largest value within a Chebyshev distance; ties all count."""
-    grid = cells.withColumn("_m", F.max(value).over(ALONG_ROW.rangeBetween(-distance, distance)))
-    grid = grid.withColumn("_m", F.max("_m").over(ALONG_COL.rangeBetween(-distance, distance)))
+    grid = cells.withColumn("_m", F.max(value).over(along_row().rangeBetween(-distance, distance)))
+    grid = grid.withColumn("_m", F.max("_m").over(along_col().rangeBetween(-distance, distance)))
     return grid.where(F.col(value) == F.col("_m")).drop("_m")
 
 

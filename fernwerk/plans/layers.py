@@ -352,7 +352,7 @@ def w02_gaussian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.gaussian(T.fill_nearest(V.smooth(spark, sf_dir)), 1.0).select("row", "col", r6(F.col("z")).alias("z"))
 
 
-@query("""WITH m AS (SELECT DISTINCT row, col FROM v_streams WHERE poly_code = 1) SELECT t.row, t.col, round(30 * sqrt(min((t.row - m.row) ** 2 + (t.col - m.col) ** 2)), 6) AS distance FROM v_terrain t LEFT JOIN m ON true GROUP BY 1, 2""", "terrain", "streams")
+@query("""WITH m AS (SELECT DISTINCT s.row, s.col FROM v_streams s JOIN v_terrain t ON t.row = s.row AND t.col = s.col WHERE poly_code = 1) SELECT t.row, t.col, round(30 * sqrt(min((t.row - m.row) ** 2 + (t.col - m.col) ** 2)), 6) AS distance FROM v_terrain t LEFT JOIN m ON true GROUP BY 1, 2""", "terrain", "streams")
 def w03_water_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = V.streams(spark, sf_dir).where("poly_code = 1").select("row", "col", F.lit(True).alias("water")).distinct()
     cells = V.terrain(spark, sf_dir).select("row", "col").join(m, ["row", "col"], "left").withColumn("water", F.coalesce("water", F.lit(False)))

@@ -294,7 +294,7 @@ def k04_manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["a20_manifest_ranges"], ORACLES["a20_manifest_ranges"] = k04_manifest_counts, ORACLES["k04_manifest_counts"]
 
 
-@query(SQL_SITE_ROWS + """ SELECT rank, '<wpt lat="' || printf('%.6f', lat) || '" lon="' || printf('%.6f', lon) || '"><ele>' || elevation_m || '</ele><name>' || '#' || rank || ' ' || printf('%.2f', score) || ' ' || elevation_m || 'm</name><desc>' || land_status || CASE WHEN on_cutblock THEN '; logged ' || years_since_logging || ' yr ago' ELSE '' END || '</desc><sym>Flag, Green</sym></wpt>' AS wpt FROM site""", "wide")
+@query(SQL_SITE_ROWS + """ SELECT rank, '<wpt lat="' || printf('%.6f', lat) || '" lon="' || printf('%.6f', lon) || '"><ele>' || elevation_m || '</ele><name>' || '#' || rank || ' ' || printf('%.2f', score + 1e-9) || ' ' || elevation_m || 'm</name><desc>' || land_status || CASE WHEN on_cutblock THEN '; logged ' || years_since_logging || ' yr ago' ELSE '' END || '</desc><sym>Flag, Green</sym></wpt>' AS wpt FROM site""", "wide")
 def k11_gpx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_rows(spark, sf_dir).select("rank", K.waypoint(F.col("land_status")).alias("wpt"))
 

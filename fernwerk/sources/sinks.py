@@ -41,7 +41,7 @@ def counts_and_ranges(sites: DataFrame) -> DataFrame:
 
 def waypoint(description: Column) -> Column:
     """One GPX waypoint of a site."""
-    name = F.concat(F.lit("#"), F.col("rank").cast("string"), F.lit(" "), F.format_string("%.2f", "score"), F.lit(" "), F.col("elevation_m").cast("string"), F.lit("m"))
+    name = F.concat(F.lit("#"), F.col("rank").cast("string"), F.lit(" "), F.format_string("%.2f", F.col("score") + F.lit(1e-9)), F.lit(" "), F.col("elevation_m").cast("string"), F.lit("m"))
     logged = F.when(F.col("on_cutblock"), F.concat(F.lit("; logged "), F.col("years_since_logging").cast("string"), F.lit(" yr ago"))).otherwise("")
     return F.concat(
         F.format_string('<wpt lat="%.6f" lon="%.6f">', "lat", "lon"),
