@@ -237,12 +237,18 @@ def j05_water_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.streams(spark, sf_dir).where("poly_code > 0").groupBy("row", "col").agg(F.max("poly_code").alias("poly_code"))
 
 
+def tenure_order() -> tuple[Column, Column]:
+    """Class of a tenure polygon (layer, designation), and the order in which polygons are written over each other."""
+    layer = F.col("layer")
+    cls = F.when(layer == "woodlot", 1).when(layer == "private", 2).when(layer == "conservancy", 5).when(layer == "national", 7).otherwise(L.tenure_of(F.col("designation")))
+    step = F.when(layer == "woodlot", 0).when(layer == "private", 1).when(layer == "park", 2).when(layer == "conservancy", 3).otherwise(4)
+    return cls, F.struct(step, F.when(layer == "park", F.coalesce("designation", F.lit(""))).otherwise(""), cls)
+
+
 def tenure_cells(polygons: DataFrame) -> DataFrame:
     """Tenure class of each covered cell, in order of writing: woodlots, private land, parks by designation, conservancies, national parks."""
-    cls = F.when(F.col("layer") == "woodlot", 1).when(F.col("layer") == "private", 2).when(F.col("layer") == "conservancy", 5).when(F.col("layer") == "national", 7).otherwise(L.tenure_of(F.col("designation")))
-    step = F.when(F.col("layer") == "woodlot", 0).when(F.col("layer") == "private", 1).when(F.col("layer") == "park", 2).when(F.col("layer") == "conservancy", 3).otherwise(4)
-    name = F.when(F.col("layer") == "park", F.coalesce("designation", F.lit(""))).otherwise("")
-    return S.rectangle_cells(polygons).groupBy("row", "col").agg(F.max_by(cls, F.struct(step, name, cls)).alias("class"))
+    cls, order = tenure_order()
+    return S.rectangle_cells(polygons).groupBy("row", "col").agg(F.max_by(cls, order).alias("class"))
 
 
 @query("""WITH p AS (SELECT row, col, CASE layer WHEN 'woodlot' THEN 1 WHEN 'private' THEN 2 WHEN 'conservancy' THEN 5 WHEN 'national' THEN 7 ELSE
@@ -273,9 +279,14 @@ def j19_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_NDVI = "CASE WHEN scl IN (4, 5, 7) AND abs((nir - red) / nullif(nir + red - 2000, 0)) <= 1 THEN (nir - red) / nullif(nir + red - 2000, 0) END"
 
 
+def ndvi_mask(nir: Column, red: Column) -> Column:
+    """Greenness of pixels of the kept scene classes (vegetation, bare ground, unclassified)."""
+    return F.when(F.col("scl").isin(4, 5, 7), C.normalised_difference(nir, red))
+
+
 def ndvi_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     nir, red = ((F.col(b) - 1000) / 10000 for b in ("nir", "red"))
-    return V.pixels(spark, sf_dir).withColumn("ndvi", F.when(F.col("scl").isin(4, 5, 7), C.normalised_difference(nir, red)))
+    return V.pixels(spark, sf_dir).withColumn("ndvi", ndvi_mask(nir, red))
 
 
 @query(f"""SELECT scene, CAST(frow // 3 AS INT) AS row, CAST(fcol // 3 AS INT) AS col, round(avg(x), 6) + 0.0::DOUBLE AS mean, round(stddev_pop(x), 5) + 0.0::DOUBLE AS std, count(x) AS known
