@@ -44,9 +44,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def release(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a materialised table that nothing needs any more."""
-    for f in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
