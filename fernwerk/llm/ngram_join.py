@@ -46,7 +46,10 @@ def gram_sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     size = np.where(count >= n, count - n + 1, (count > 0).astype(np.int64))
     at, doc = K.spread(bounds[:-1], size)
     h = roll.of(at, np.minimum(n, count)[doc])
-    order = np.lexsort((h, doc))
+    order = np.argsort(h)
+    if batch.num_rows < 1 << 16:  # places of few documents are sorted by radix
+        doc = doc.astype(np.uint16)
+    order = order[np.argsort(doc[order], kind="stable")]
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -293,10 +296,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     """
     rows = keyed(docs, id_col, text_col)
     sets = materialise(rows.mapInArrow(_digests(n), "k long, n long, s1 long, s2 long"), "sets")
-    classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    # what is joined to hot keys is written first: with an exchange on both sides, Spark can split a hot key's rows
+    classes = materialise(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1"), "classes")
     copies = materialise(sets.join(classes, ["s1", "s2", "n"]).select("k", "rep"), "copies")
     grams = rows.mapInArrow(_first(n, percent), "gram long, k long")
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    often = materialise(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "often")
     known = sets.groupBy("k").agg(F.max("n").alias("n")).join(copies, "k", "left").where("rep is null or rep = k").select("k", "n").distinct()
     met = materialise(grams.join(often, "gram").join(known, "k").select("gram", "k", "n", F.col("k").alias("comp")), "met")
     met = peel(met, percent)
