@@ -211,7 +211,8 @@ def repeated_runs(docs: DataFrame, unit: str, length: int, gram: int, hot: int =
     docs: the columns of `keyed`. A group of copies is one kind; it is never expanded into pairs.
     """
     rows = docs.mapInArrow(_anchor_rows(unit, length, gram), _ROWS)
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("seen")).where("seen >= 2").select("h")
+    # written first: with an exchange on both sides of the join, Spark can split a hot anchor's rows
+    often = materialise(rows.groupBy("h").agg(F.count(F.lit(1)).alias("seen")).where("seen >= 2").select("h"), "often")
     cand = materialise(rows.join(often, "h"), "stretches")
     kinds = cand.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "lo", "n", "at")).alias("one"))
     per = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
