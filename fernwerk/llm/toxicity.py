@@ -125,7 +125,7 @@ def choose(rows: list[tuple[str, int, int]], pos: int, neg: int, max_entries: in
         if rate <= base:
             continue
         gain = p * math.log(rate / base) + (n * math.log((1 - rate) / (1 - base)) if n else 0.0)
-        if gain > math.log(max(len(rows), 2)) + 1 and rate >= 0.5:
+        if gain > math.log(max(len(rows), 2)) + 1 and rate >= 0.7:
             weight[piece] = math.log((p + 0.5) / (pos + 1)) - math.log((n + 0.5) / (neg + 1)), p
     best = dict(sorted(weight.items(), key=lambda x: (-x[1][1], x[0]))[:max_entries])
     stems = {k: v for k, v in best.items() if k[0] != "="}
@@ -198,10 +198,10 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, max_entries: int
 
 
 def sample(docs: DataFrame, labels: DataFrame, train_on: str, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """(id, text, label) of the first ``rows`` labelled ids, allowed by ``train_on``, by hash."""
+    """(id, text, label) of the first ``rows`` labelled ids, allowed by ``train_on``, by hash; copies count once, or their words would seem telling."""
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").where(train_on)
     ids = ids.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "id").dropDuplicates(["text", "label"])
 
 
 def _score(share: object) -> Callable:
