@@ -142,3 +142,27 @@ def permutation_p(units: DataFrame, replicates: int, seed: int = 20240802) -> Da
 def random_cells(cells: DataFrame, n: int, seed: int = 20240802) -> DataFrame:
     """At most n cells without replacement, the same at every run: the first by a hash of row, column and seed."""
     return cells.orderBy(F.xxhash64("row", "col", F.lit(seed)), "row", "col").limit(n)
+
+
+MIN_TARGET_CLUSTERS, MIN_CONTRAST_CLUSTERS = 10, 5
+
+
+def enough(samples: DataFrame) -> tuple[bool, bool]:
+    """Whether there are clusters enough to judge the target at all, and to compare it with the contrast."""
+    n = lambda c: F.count_distinct(F.when(c, F.col("cluster")))
+    row = samples.agg(n(F.col("positive")), n(~F.col("positive"))).first()
+    return row[0] >= MIN_TARGET_CLUSTERS, row[1] >= MIN_CONTRAST_CLUSTERS
+
+
+def validation_report(samples: DataFrame, replicates: int = 2000, seed: int = 20240802) -> DataFrame:
+    """(surface, auc, low, high, text): each surface's AUC with its cluster-bootstrap interval, and a line of the report.
+
+    samples: surface, positive, cluster, value. Too few clusters are an error rather than an interval that spans everything.
+    """
+    target, _ = enough(samples)
+    if not target:
+        raise ValueError(f"fewer than {MIN_TARGET_CLUSTERS} target clusters")
+    point = auc(samples, "value", "positive", ["surface"])
+    both = point.join(interval(bootstrap_auc(samples, replicates, seed), ["surface"]), "surface")
+    text = F.format_string("%-12s AUC %.2f [%.2f, %.2f]", "surface", "auc", "low", "high")
+    return both.select("surface", "auc", "low", "high", text.alias("text"))

@@ -378,3 +378,26 @@ def w04_topographic_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT w.row, w.col FROM v_wide w JOIN v_wide n ON abs(n.row - w.row) <= 4 AND abs(n.col - w.col) <= 4 GROUP BY w.row, w.col, w.score HAVING w.score = max(n.score)""", "wide")
 def w06_local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.local_maxima(V.wide(spark, sf_dir), 4).select("row", "col")
+
+
+@query("SELECT row, col, z FROM v_terrain WHERE (61.2 - (col + 0.5)) / 2 > row + 0.5 AND col + 0.5 > 4.2 AND row < 100", "terrain")
+def f01_area_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with their centre in a triangle whose sides pass between centres."""
+    g = S.Grid(0.0, 100.0, 1.0, 100, 50)
+    ring = [{"x": x, "y": y} for x, y in ((4.2, 100.0), (61.2, 100.0), (4.2, 71.5))]
+    polys = spark.createDataFrame([([ring],)], "rings array<array<struct<x:double,y:double>>>")
+    area = S.polygon_cells(polys, g).select("row", "col")
+    return V.terrain(spark, sf_dir).join(area, ["row", "col"], "left_semi").select("row", "col", "z")
+
+
+@query("SELECT count(*) AS lines, count(*) * 2 AS points FROM supplier")
+def p11_simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of five points within a tolerance of their chord keep their ends only."""
+    from fernwerk.sources.sinks import simplified
+
+    pts = F.array(*(F.struct((F.col("s_suppkey") + i).cast("double").alias("x"), F.lit(0.1 * (i % 2)).alias("y")) for i in range(5)))
+    out = simplified(V.read(spark, sf_dir, "supplier").select("s_suppkey", pts.alias("pts")), 0.5)
+    return out.agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("pts")).alias("points"))
+
+
+QUERIES["f03_slope_bound"], ORACLES["f03_slope_bound"] = f02_hard_bounds, ORACLES["f02_hard_bounds"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fernwerk.functions import labels as L
 from fernwerk.operators import sites as Z, stats as A
@@ -355,3 +355,37 @@ def x05_profile_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of level and first theme; an unknown level is shown as caution."""
     out = P.lore_frame(spark, P.EXAMPLES).withColumn("m", P.lore_manifest())
     return out.select("id", F.col("m.safety.level_label").alias("level"), F.col("m.associations")[0]["theme_label"].alias("theme"))
+
+
+@query(f"""WITH {SQL_BOOT}, q AS (SELECT surface, quantile_cont(auc, 0.025) AS low, quantile_cont(auc, 0.975) AS high FROM boot GROUP BY 1),
+  r AS (SELECT *, rank() OVER (PARTITION BY surface ORDER BY value) + (count(*) OVER (PARTITION BY surface, value) - 1) / 2 AS rk FROM s),
+  a AS (SELECT surface, (sum(CASE WHEN positive THEN rk END) - count_if(positive) * (count_if(positive) + 1) / 2) / (count_if(positive) * count_if(NOT positive)) AS auc FROM r GROUP BY 1)
+  SELECT a.surface, round(auc, 8) AS auc, round(low, 7) AS low, round(high, 7) AS high FROM a JOIN q ON q.surface = a.surface""")
+def k13_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = A.validation_report(samples(spark, sf_dir), 20)
+    return out.select("surface", F.round("auc", 8).alias("auc"), F.round("low", 7).alias("low"), F.round("high", 7).alias("high"))
+
+
+@query(SQL_SITE_ROWS + """ SELECT rank, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(col AS INT) || ',' || CAST(row AS INT) || ']},"properties":{"rank":' || rank || ',"flagged":' || (rank % 8 <> 0) || '}}' AS feature FROM ranked""", "wide")
+def k02_site_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ranked_sites(spark, sf_dir)
+    return s.select("rank", K.feature(F.col("col"), F.col("row"), [F.col("rank"), (F.col("rank") % 8 != 0).alias("flagged")]).alias("feature"))
+
+
+@query(f"WITH {SQL_SCENES} SELECT CAST(row_number() OVER (ORDER BY tile, cloud, scene_id) AS INT) AS place, scene_id FROM clear", "scenes")
+def o03_scene_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles by name, each tile's scenes by cloud. A search returns few scenes."""
+    found = T.search_scenes(V.scenes(spark, sf_dir), [1996, 1997, 1999], "06-20", "07-31", 20.0)
+    return found.withColumn("place", F.row_number().over(Window.orderBy("tile", "cloud", "scene_id"))).select("place", "scene_id")
+
+
+@query("SELECT * FROM (VALUES ('WHSE_ADMIN_BOUNDARIES', 1), ('WHSE_BASEMAPPING', 5), ('WHSE_CADASTRE', 1), ('WHSE_FOREST_TENURE', 3), ('WHSE_FOREST_VEGETATION', 2), ('WHSE_TANTALIS', 2)) t(place, layers)")
+def s07_layer_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([(v.split(".")[0],) for v in T.LAYERS.values()], "place string")
+    return names.groupBy("place").agg(F.count(F.lit(1)).cast("int").alias("layers"))
+
+
+@query("SELECT * FROM (VALUES ('spectral', 'terrain,vegetation,access,observations,landstatus,scoring,export'), ('host', 'terrain,forest,moisture,access,observations,landstatus,scoring,export')) t(profile, stages)")
+def c04_stages_of_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = {"spectral": P.Config({}, {"weights": {}}, {}), "host": P.Config({}, {"weights": {}}, {"habitat_model": "host_trees", "moisture": {}})}
+    return spark.createDataFrame([(k, ",".join(c.stages)) for k, c in cfg.items()], "profile string, stages string")
