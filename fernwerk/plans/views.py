@@ -197,8 +197,22 @@ SQL = {
 }
 
 
+def _counts(sql: str) -> str:
+    """count_if as BIGINT, the type of Spark's; DuckDB has HUGEINT."""
+    out, at = "", 0
+    while (i := sql.find("count_if(", at)) >= 0:
+        j, depth = i + len("count_if("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        out += sql[at:i] + f"CAST(count_if({_counts(sql[i + len('count_if('):j - 1])}) AS BIGINT)"
+        at = j
+    return out + sql[at:]
+
+
 def oracle(body: str, *names: str) -> str:
     """The body over the named views."""
+    body = _counts(body)
     ctes = [f"v_{n} AS ({SQL[n]})" for n in names]
     body = body.strip()
     if body.upper().startswith("WITH RECURSIVE"):
