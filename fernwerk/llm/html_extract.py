@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fernwerk.llm import kernels as K
+from fernwerk.storage import materialise
 
-#: Rows of one host are dealt out so often in the join with the hosts' paths.
-SALTS = 16
+#: A host with more than a HOT-th of all pages is dealt over SALTS keys in the join with the hosts' paths; there are fewer than HOT of them.
+HOT, SALTS = 1000, 256
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 HIDDEN = frozenset("script style noscript template iframe object svg math canvas select option datalist textarea button head title audio video map".split())
@@ -201,11 +202,19 @@ def host_of(url: str = "url") -> F.Column:
     return F.regexp_extract(F.lower(F.coalesce(F.col(url), F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
+def votes(pages: DataFrame) -> DataFrame:
+    """(host, path, votes, score): how many pages of a host found a path best, and the sum of their scores; '' is no path."""
+    cast = pages.select(host_of().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_vote, "host string, path string, score double")
+    return cast.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.round("score")).alias("score"))
+
+
+def winners(added: DataFrame) -> DataFrame:
     """(host, path, votes): the container path that most pages of the host vote for; then the one with more text, then the first by name."""
-    votes = pages.select(host_of().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_vote, "host string, path string, score double")
-    added = votes.where("path <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.round("score")).alias("score"))
-    return added.groupBy("host").agg(F.max_by(F.struct("path", "votes"), F.struct("votes", "score", "path")).alias("x")).select("host", "x.path", "x.votes")
+    return added.where("path <> ''").groupBy("host").agg(F.max_by(F.struct("path", "votes"), F.struct("votes", "score", "path")).alias("x")).select("host", "x.path", "x.votes")
+
+
+def host_paths(pages: DataFrame) -> DataFrame:
+    return winners(votes(pages))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -213,9 +222,14 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space within a block is one space, blocks are trimmed and joined by one line feed.
     Null or empty html, and pages without an article, give the empty text. Rows are read one by one, so repeated
-    ids get a row each; a null url is a host of its own name ''. Pages of one host are dealt over SALTS keys.
+    ids get a row each; a null url is a host of its own name ''. Pages of hot hosts are dealt over SALTS keys.
     """
-    paths = host_paths(pages).select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of().alias("host")).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    added = materialise(votes(pages), "votes")
+    total = added.agg(F.coalesce(F.sum("votes"), F.lit(0))).first()[0]
+    hot = [r["host"] for r in added.groupBy("host").agg(F.sum("votes").alias("n")).where(F.col("n") > max(1, total // HOT)).limit(HOT).collect()]
+    is_hot = F.col("host").isin(*hot) if hot else F.lit(False)
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    paths = winners(added).select("host", "path", F.explode(salts).alias("salt"))
+    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of().alias("host")).withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).otherwise(0))
     kind = {n: rows.schema[n].dataType.simpleString() for n in ("page_id", "url")}
     return rows.join(paths, ["host", "salt"], "left").select("page_id", "url", "html", "path").mapInArrow(_extract, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long, host_path string")
