@@ -80,7 +80,7 @@ def test_suffix_order(depth):
     data = np.random.default_rng(1).integers(97, 99, 200).astype(np.uint8)
     order, rank = suffix_order(data, depth)
     text = data.tobytes()
-    assert order.tolist() == sorted(range(200), key=lambda i: (text[i : i + depth].ljust(depth, b"\0"), i)) or all(text[a : a + depth] <= text[b : b + depth] for a, b in zip(order, order[1:]) if max(a, b) + depth <= 200)
+    assert all(text[a : a + depth] <= text[b : b + depth] for a, b in zip(order, order[1:]) if max(a, b) + depth <= 200)
     for i in range(200 - depth):
         for j in range(i + 1, 200 - depth):
             assert (rank[i] == rank[j]) == (text[i : i + depth] == text[j : j + depth])
