@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fernwerk.operators.graph import connected_components
@@ -104,19 +107,54 @@ def draw(replicate: Column, item: Column, seed: int = 20240802) -> Column:
     return (x * 69_621) % MODULUS
 
 
+def _drawn(n: int, positive: int, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """How often each of n clusters is drawn, one column a replicate: the numbers of `draw`."""
+    x = ((replicates[:, None] * 7919 + (np.arange(n) * 2 + positive) * 104_729 + seed) % MODULUS * 48_271) % MODULUS
+    at = (x * 69_621) % MODULUS % n + np.arange(len(replicates))[:, None] * n
+    return np.bincount(at.ravel(), minlength=n * len(replicates)).reshape(-1, n).T
+
+
+def _boot_range(replicates: int, seed: int, fixed_negatives: bool) -> Callable:
+    """Of one range of values: for each replicate twice the pairs in order (a tie is half a pair), and the rows of each kind."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        code = np.where(pdf["missing"].to_numpy(bool), 0, np.unique(pdf["value"].to_numpy(float), return_inverse=True)[1] + 1)
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        up, i, times = (pdf[c].to_numpy()[order].astype(np.int64) for c in ("positive", "i", "times"))
+        n = {k: int(pdf.loc[pdf["positive"] == bool(k), "n"].max()) for k in set(up.tolist())}
+        out = []
+        step = max(1, 2_000_000 // max(len(pdf), *n.values()))
+        for r in range(0, replicates, step):
+            own = np.arange(r, min(r + step, replicates), dtype=np.int64)
+            sums = []
+            for k in (1, 0):
+                w = np.zeros((len(pdf), len(own)), np.int64)
+                if k in n:
+                    mine = up == k
+                    w[mine] = times[mine, None] * (1 if fixed_negatives and not k else _drawn(n[k], k, own, seed)[i[mine]])
+                sums.append(np.add.reduceat(w, first, axis=0))
+            p, q = sums
+            out.append(pd.DataFrame({"surface": pdf["surface"].iloc[0], "range": pdf["range"].iloc[0], "replicate": own, "u2": (p * (2 * (np.cumsum(q, axis=0) - q) + q)).sum(axis=0), "p": p.sum(axis=0), "q": q.sum(axis=0)}))
+        return pd.concat(out)
+
+    return run
+
+
 def bootstrap_auc(samples: DataFrame, replicates: int, seed: int = 20240802, fixed_negatives: bool = False) -> DataFrame:
     """(surface, replicate, auc) from samples (surface, positive, cluster, value): each replicate draws as many clusters as there are,
-    with replacement, the same ones for all surfaces."""
-    spark = samples.sparkSession
+    with replacement, the same ones for all surfaces.
+
+    Samples are not multiplied by replicates: a range of values holds all replicates as a matrix, and ranges are added up in order."""
     clusters = samples.select("positive", "cluster").distinct()
     ranked = clusters.withColumn("i", F.row_number().over(Window.partitionBy("positive").orderBy("cluster")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("positive")))
-    slots = ranked.select("positive", F.col("i").alias("slot"), "n").join(F.broadcast(spark.range(replicates).select(F.col("id").alias("replicate"))), how="cross")
-    pick = F.when(F.lit(fixed_negatives) & ~F.col("positive"), F.col("slot")).otherwise(draw(F.col("replicate"), F.col("slot") * 2 + F.col("positive").cast("int"), seed) % F.col("n"))
-    drawn = slots.select("replicate", "positive", pick.alias("i")).groupBy("replicate", "positive", "i").agg(F.count(F.lit(1)).alias("times"))
-    members = drawn.join(ranked.select("positive", "i", "cluster"), ["positive", "i"]).join(samples, ["positive", "cluster"])
-    t = members.groupBy("surface", "replicate", "value").agg(F.sum(F.when(F.col("positive"), F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("positive"), F.col("times")).otherwise(0)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy("surface", "replicate").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = t.withColumn("b", below).groupBy("surface", "replicate").agg(F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    value = F.col("value").cast("double")
+    rows = samples.join(ranked, ["positive", "cluster"]).groupBy("surface", "positive", "i", "n", value.alias("value")).agg(F.count(F.lit(1)).alias("times"))
+    parts = materialise(rows.repartitionByRange("surface", "value").withColumn("range", F.spark_partition_id()), "boot")
+    kind = samples.schema["surface"].dataType.simpleString()
+    found = parts.withColumn("missing", F.col("value").isNull()).groupBy("surface", "range").applyInPandas(_boot_range(replicates, seed, fixed_negatives), f"surface {kind}, range int, replicate long, u2 long, p long, q long")
+    below = F.coalesce(F.sum("q").over(Window.partitionBy("surface", "replicate").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    u = found.withColumn("b", below).groupBy("surface", "replicate").agg((F.sum(F.col("u2") + 2 * F.col("p") * F.col("b")) / 2).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq")).where("np + nq > 0")
     return u.select("surface", "replicate", F.try_divide("u", (F.col("np") * F.col("nq")).cast("double")).alias("auc"))
 
 

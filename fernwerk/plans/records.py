@@ -26,12 +26,14 @@ def query(sql: str | None = None, *names: str):
     return add
 
 
+#: Replicates of the cluster bootstrap and of the permutation test.
+REPLICATES, PERMUTATIONS = 2_000, 10_000
 SURFACES = {"score": "round(o_totalprice / 1000)", "terrain": "o_totalprice % 977", "aspect": "o_orderkey % 101"}
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(surface, unit, positive, cluster, rejected, value): orders by status, with ties and rejects."""
-    o = V.read(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O') and o_orderkey % 5 = 0")
+    o = V.read(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O')")
     value = F.expr("stack(3, " + ", ".join(f"'{k}', cast({v} as double)" for k, v in SURFACES.items()) + ") as (surface, value)")
     return o.select(F.col("o_orderkey").alias("unit"), (F.col("o_orderstatus") == "F").alias("positive"), (F.col("o_custkey") % 40).alias("cluster"), (F.col("o_orderkey") % 17 == 0).alias("rejected"), value)
 
@@ -76,19 +78,19 @@ SQL_BOOT = f"""{SQL_SAMPLES}, c AS (SELECT positive, cluster, row_number() OVER
 
 @query(f"WITH {SQL_BOOT} SELECT surface, replicate, round(auc, 8) AS auc FROM boot")
 def a18_bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.bootstrap_auc(samples(spark, sf_dir), 20).select("surface", "replicate", F.round("auc", 8).alias("auc"))
+    return A.bootstrap_auc(samples(spark, sf_dir), REPLICATES).select("surface", "replicate", F.round("auc", 8).alias("auc"))
 
 
 @query(f"WITH {SQL_BOOT} SELECT surface, round(quantile_cont(auc, 0.025), 7) AS low, round(quantile_cont(auc, 0.975), 7) AS high, count(*) AS replicates FROM boot GROUP BY 1")
 def a17_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = A.interval(A.bootstrap_auc(samples(spark, sf_dir), 20), ["surface"])
+    out = A.interval(A.bootstrap_auc(samples(spark, sf_dir), REPLICATES), ["surface"])
     return out.select("surface", F.round("low", 7).alias("low"), F.round("high", 7).alias("high"), "replicates")
 
 
 @query(f"""WITH {SQL_BOOT}, dd AS (SELECT a.replicate, a.auc - b.auc AS diff FROM boot a JOIN boot b USING (replicate) WHERE a.surface = 'score' AND b.surface = 'terrain'), q AS (SELECT quantile_cont(diff, 0.025) AS low, quantile_cont(diff, 0.975) AS high FROM dd)
   SELECT round(low, 7) + 0.0::DOUBLE AS low, round(high, 7) + 0.0::DOUBLE AS high, CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'no clear difference' END AS verdict FROM q""")
 def a23_paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boot = A.bootstrap_auc(samples(spark, sf_dir), 20)
+    boot = A.bootstrap_auc(samples(spark, sf_dir), REPLICATES)
     wide = boot.groupBy("replicate").pivot("surface", ["score", "terrain"]).agg(F.first("auc"))
     q = A.interval(wide.select((F.col("score") - F.col("terrain")).alias("auc")).withColumn("g", F.lit(1)), ["g"])
     verdict = F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("no clear difference")
@@ -108,7 +110,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
   o AS (SELECT (sum(CASE WHEN positive THEN rk END) - k * (k + 1) / 2) / (k * (n - k)) AS observed FROM (SELECT *, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS rk FROM u), k GROUP BY k, n)
   SELECT round(observed, 9) AS observed, count_if(auc >= observed - 1e-12) AS hits, round((count_if(auc >= observed - 1e-12) + 1) / 51, 9) AS p FROM p, o GROUP BY observed""")
 def a19_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = A.permutation_p(units(spark, sf_dir), 50)
+    out = A.permutation_p(units(spark, sf_dir), PERMUTATIONS)
     return out.select(F.round("observed", 9).alias("observed"), "hits", F.round("p", 9).alias("p"))
 
 
@@ -362,7 +364,7 @@ def x05_profile_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
   a AS (SELECT surface, (sum(CASE WHEN positive THEN rk END) - count_if(positive) * (count_if(positive) + 1) / 2) / (count_if(positive) * count_if(NOT positive)) AS auc FROM r GROUP BY 1)
   SELECT a.surface, round(auc, 8) AS auc, round(low, 7) AS low, round(high, 7) AS high FROM a JOIN q ON q.surface = a.surface""")
 def k13_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = A.validation_report(samples(spark, sf_dir), 20)
+    out = A.validation_report(samples(spark, sf_dir), REPLICATES)
     return out.select("surface", F.round("auc", 8).alias("auc"), F.round("low", 7).alias("low"), F.round("high", 7).alias("high"))
 
 

@@ -65,3 +65,49 @@ def test_bootstrap_is_paired_and_keeps_perfect_separation(spark):
     got = A.bootstrap_auc(df, 10).collect()
     assert len(got) == 20 and {r["auc"] for r in got} == {1.0}
     assert {r["low"] for r in A.interval(spark.createDataFrame(got), ["surface"]).collect()} == {1.0}
+
+
+WHOLE = "a13_auc a14_percentile_rank a15_effective_units a16_cluster_means a17_interval a18_bootstrap_auc a19_permutation a23_paired_difference a25_sample_guard c10_candidate_surfaces k13_validation_report".split()
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_validation_uses_all_orders_and_all_replicates(spark, name):
+    """Against the SQL without its filter of orders, with the production numbers of replicates."""
+    import duckdb
+
+    from fernwerk.plans.catalog import ORACLES, QUERIES
+
+    sql = ORACLES[name]
+    for cut, whole in ((" AND o_orderkey % 5 = 0", ""), ("range(20)", "range(2000)"), ("range(50)", "range(10000)"), ("/ 51", "/ 10001")):
+        sql = sql.replace(cut, whole)
+    con = duckdb.connect()
+    con.execute("create view orders as select * from '/root/testdata/sf0.001/orders.parquet'")
+    out = con.execute(sql)
+    columns = [d[0] for d in out.description]
+    want = sorted(out.fetchall(), key=repr)
+    got = sorted((tuple(r[c] for c in columns) for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=repr)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a == pytest.approx(b, abs=2e-7) if all(isinstance(x, float) for x in a) else all(x == pytest.approx(y, abs=2e-7) if isinstance(y, float) else x == y for x, y in zip(a, b))
+
+
+def test_bootstrap_over_ranges_equals_one_of_each_replicate(spark):
+    """Ties, missing values and replicates across ranges, by brute force."""
+    rng = random.Random(3)
+    rows = [(s, rng.random() < 0.4, rng.randrange(9), rng.choice([None, 1.0, 2.0, rng.random() * 5])) for s in ("a", "b") for _ in range(300)]
+    df = spark.createDataFrame(rows, "surface string, positive boolean, cluster long, value double")
+    got = {(r["surface"], r["replicate"]): r["auc"] for r in A.bootstrap_auc(df, 7).collect()}
+    clusters = {up: sorted({r[2] for r in rows if r[1] == up}) for up in (True, False)}
+    for rep in range(7):
+        times = {}
+        for up, all_ in clusters.items():
+            for slot in range(len(all_)):
+                x = (((rep * 7919 + (slot * 2 + up) * 104_729 + 20240802) % A.MODULUS * 48_271) % A.MODULUS * 69_621) % A.MODULUS
+                k = up, all_[x % len(all_)]
+                times[k] = times.get(k, 0) + 1
+        for s in ("a", "b"):
+            key = lambda v: -1.0 if v is None else v
+            own = [(up, key(v), times.get((up, c), 0)) for x, up, c, v in rows if x == s]
+            pos, neg = [x for x in own if x[0]], [x for x in own if not x[0]]
+            pairs = sum(t * u * ((v > w) + 0.5 * (v == w)) for _, v, t in pos for _, w, u in neg)
+            assert got[s, rep] == pytest.approx(pairs / (sum(x[2] for x in pos) * sum(x[2] for x in neg)), abs=1e-12)
