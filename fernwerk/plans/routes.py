@@ -96,10 +96,10 @@ def j12_nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 20 x 50 cells of the terrain with three sources."""
+    """All cells of the terrain with three sources."""
     cost = C.cost_per_metre(F.col("slope"), F.col("col") % 5 == 0, F.lit(False))
     source = (F.col("row") == 3) & F.col("col").isin(7, 41) | (F.col("row") == 2) & (F.col("col") == 20)
-    return V.terrain(spark, sf_dir).where("row < 20").select("row", "col", cost.alias("cost"), source.alias("source"))
+    return V.terrain(spark, sf_dir).select("row", "col", cost.alias("cost"), source.alias("source"))
 
 
 SQL_COST = f"""cost AS (SELECT row, col, CASE WHEN slope IS NULL OR slope > 45 THEN 1e4 ELSE 60 / (least(greatest({SQL_SPEED}, 0.05), 8) * 1000) * CASE WHEN col % 5 = 0 THEN 1 ELSE 1.6 END END AS cost FROM v_terrain WHERE row < 20),

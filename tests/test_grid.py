@@ -107,6 +107,21 @@ def test_least_cost_with_a_wall_and_two_sources(spark, tile):
     assert all(x["metres"] >= 2.0 * max(abs(x["row"] - x["root_row"]), abs(x["col"] - x["root_col"])) - 1e-9 for x in got.values())
 
 
+def test_least_cost_queries_walk_all_of_the_terrain(spark):
+    """sf0.01 has 40 rows of 50 cells."""
+    from fernwerk.functions import curves as C
+    from fernwerk.plans import routes, views as V
+
+    sf = "/root/testdata/sf0.01"
+    cells = V.terrain(spark, sf).select("row", "col", C.cost_per_metre(F.col("slope"), F.col("col") % 5 == 0, F.lit(False)).alias("cost")).collect()
+    assert max(x["row"] for x in cells) > 30
+    want = brute({(x["row"], x["col"]): x["cost"] for x in cells}, {(3, 7), (3, 41), (2, 20)}, 30.0)
+    got = {(x["row"], x["col"]): x["minutes"] for x in routes.g05_least_cost(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=2e-5) for k, v in want.items())
+    assert {(x["row"], x["col"]) for x in routes.g06_path_length(spark, sf).collect()} == set(want)
+    assert {(x["row"], x["col"]) for x in routes.j16_root_drive_time(spark, sf).collect()} == {(x["row"], x["col"]) for x in cells}
+
+
 def test_frontier_and_heap_agree(spark):
     edges = spark.createDataFrame([(0, 1, 4.0), (0, 2, 1.0), (2, 1, 2.0), (1, 3, 5.0), (8, 9, 1.0)], "a long, b long, minutes double")
     a = {r["node"]: r["minutes"] for r in N.shortest_times(edges, 0).collect()}
