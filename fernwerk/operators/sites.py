@@ -11,9 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fernwerk.operators.graph import connected_components
 from fernwerk.operators.stats import exact_percentile
 
-#: Cells of one patch that a task may split; a larger patch stays whole.
-SPLIT_CELLS = 2_000_000
-
 
 def rejected(score: Column, *required: Column) -> Column:
     """The score, missing where a required layer is; access and observations are never required."""
@@ -48,49 +45,70 @@ def summary(cells: DataFrame, cell_ha: float, score: str = "score") -> DataFrame
 
 def flood(row: np.ndarray, col: np.ndarray, score: np.ndarray, spacing: int) -> np.ndarray:
     """Number of the peak of each cell of one patch. Peaks are taken from the top down, no two within ``spacing`` (Chebyshev); cells are
-    flooded from them over edges (four neighbours), higher cells first. With fewer than two peaks all cells are 0."""
-    order = np.lexsort((col, row, -score))
-    at = {(int(r), int(c)): i for i, (r, c) in enumerate(zip(row, col))}
+    flooded from them over edges (four neighbours), higher cells first. With fewer than two peaks all cells are 0.
+
+    Neighbours are found in the sorted cells and peaks in squares of the spacing, so a patch of any size takes arrays of its length."""
+    row, col = row.astype(np.int64), col.astype(np.int64)
+    r, c = row - row.min(), col - col.min()
+    width = int(c.max()) + 3  # a column is free at either edge, so that no neighbour is in another row
+    cell = r * width + c + 1
+    by_cell = np.argsort(cell, kind="stable")
+    sorted_cells = cell[by_cell]
+
+    def neighbour(dr: int, dc: int) -> np.ndarray:
+        """The index of the cell there, -1 for none."""
+        want = cell + dr * width + dc
+        at = np.minimum(np.searchsorted(sorted_cells, want), len(cell) - 1)
+        return np.where(sorted_cells[at] == want, by_cell[at], -1)
+
+    top = np.ones(len(cell), bool)
+    edges = []
+    for dr, dc in ((-1, 0), (0, -1), (0, 1), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1)):
+        j = neighbour(dr, dc)
+        top &= (j < 0) | ~(score[j] > score)
+        if not (dr and dc):
+            edges.append(j)
+    candidates = np.flatnonzero(top)
     peaks: list[int] = []
-    for i in order:
-        near = [at.get((int(row[i]) + a, int(col[i]) + b)) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-        if any(j is not None and score[j] > score[i] for j in near):
-            continue
-        if all(max(abs(int(row[i] - row[p])), abs(int(col[i] - col[p]))) > spacing for p in peaks):
-            peaks.append(int(i))
+    square: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i in candidates[np.lexsort((col[candidates], row[candidates], -score[candidates]))].tolist():
+        y, x = int(r[i]), int(c[i])
+        a, b = y // (spacing + 1), x // (spacing + 1)
+        if all(max(abs(y - p), abs(x - q)) > spacing for da in (-1, 0, 1) for db in (-1, 0, 1) for p, q in square.get((a + da, b + db), ())):
+            peaks.append(i)
+            square.setdefault((a, b), []).append((y, x))
     label = np.zeros(len(row), np.int64)
     if len(peaks) < 2:
         return label
     label[:] = -1
+    owner = np.full(len(row), -1, np.int64)
+    owner[peaks] = np.arange(len(peaks))
     heap = [(-score[p], k, p) for k, p in enumerate(peaks)]
     heapq.heapify(heap)
     tick = len(peaks)
-    owner = {p: k for k, p in enumerate(peaks)}
     while heap:
         _, _, i = heapq.heappop(heap)
-        if label[i] >= 0:
-            continue
         label[i] = owner[i]
-        for a, b in ((-1, 0), (0, -1), (0, 1), (1, 0)):
-            j = at.get((int(row[i]) + a, int(col[i]) + b))
-            if j is not None and label[j] < 0 and j not in owner:
-                owner[j] = int(label[i])
+        for edge in edges:
+            j = int(edge[i])
+            if j >= 0 and owner[j] < 0:
+                owner[j] = label[i]
                 heapq.heappush(heap, (-score[j], tick, j))
                 tick += 1
-    left = label < 0  # parts that only touch at corners, without a peak
-    if left.any():
-        for i in np.flatnonzero(left):
-            d = np.maximum(np.abs(row[peaks] - row[i]), np.abs(col[peaks] - col[i]))
-            label[i] = int(d.argmin())
+    for i in np.flatnonzero(label < 0):  # parts that only touch at corners, without a peak
+        d = np.maximum(np.abs(row[peaks] - row[i]), np.abs(col[peaks] - col[i]))
+        label[i] = int(d.argmin())
     return label
 
 
-def split_oversized(cells: DataFrame, max_cells: int, spacing: int, split_cells: int = SPLIT_CELLS) -> DataFrame:
-    """Patches of more than ``max_cells`` cells cut at their local maxima, as column ``part`` (0 for patches that stay whole)."""
+def split_oversized(cells: DataFrame, max_cells: int, spacing: int) -> DataFrame:
+    """Patches of more than ``max_cells`` cells cut at their local maxima, as column ``part`` (0 for patches that stay whole).
+
+    A patch is split in one task, whatever its size: the order of the flood is one of all its cells."""
     size = cells.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     sized = cells.join(size, "label")
-    small = sized.where((F.col("_n") <= max_cells) | (F.col("_n") > split_cells)).drop("_n").withColumn("part", F.lit(0).cast("long"))
-    large = sized.where((F.col("_n") > max_cells) & (F.col("_n") <= split_cells)).drop("_n")
+    small = sized.where(F.col("_n") <= max_cells).drop("_n").withColumn("part", F.lit(0).cast("long"))
+    large = sized.where(F.col("_n") > max_cells).drop("_n")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(part=flood(pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["score"].to_numpy(), spacing))

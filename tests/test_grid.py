@@ -147,6 +147,15 @@ def test_split_keeps_parts_together(spark):
     assert {x["part"] for x in Z.split_oversized(cells, 500, 3).collect()} == {0}
 
 
+def test_a_patch_of_over_two_million_cells_is_split(spark):
+    side = 1450
+    grid = spark.range(side * side).select((F.col("id") / side).cast("int").alias("row"), (F.col("id") % side).cast("int").alias("col"))
+    d = F.least(*(F.greatest(F.abs(F.col("row") - r), F.abs(F.col("col") - c)) for r, c in ((300, 300), (1100, 1200))))
+    cells = grid.withColumn("score", 1.0 / (1 + d)).withColumn("label", F.lit(0).cast("long"))
+    got = {r["part"]: r["count"] for r in Z.split_oversized(cells, 500, 3).groupBy("part").count().collect()}
+    assert len(got) == 2 and sum(got.values()) == side * side > 2_000_000
+
+
 def test_inside_a_ring_with_a_hole(spark):
     ring = lambda *p: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p))
     rings = F.array(ring((0, 0), (10, 0), (10, 10), (0, 10)), ring((4, 4), (6, 4), (6, 6), (4, 6)))
