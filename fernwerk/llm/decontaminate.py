@@ -82,30 +82,66 @@ def _scan(block: object, all_rows: bool) -> Callable:
             for i in take.tolist():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[bounds[i] : bounds[i + 1]].view(np.int8), [0]]))) if n_hit[i] else ()
                 spans.append([{"lo": int(x), "hi": int(y)} for x, y in zip(edge[::2], edge[1::2])])
+            own = [c for c in ("k", "d") if c in b.schema.names]
             yield pa.RecordBatch.from_arrays(
-                [b.column("k").take(pa.array(take)), pa.array(np.diff(bounds)[take]), pa.array(n_hit[take].astype(np.int64)), pa.array([sorted(items.get(i, ())) for i in take.tolist()], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))],
-                ["k", "n_words", "n_hit", "items", "spans"],
+                [*(b.column(c).take(pa.array(take)) for c in own), pa.array(np.diff(bounds)[take]), pa.array(n_hit[take].astype(np.int64)), pa.array([sorted(items.get(i, ())) for i in take.tolist()], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))],
+                [*own, "n_words", "n_hit", "items", "spans"],
             )
 
     return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the blocks found of a document, as one."""
+    """What the blocks found of a text, as one; other columns stay."""
+    kind = {"n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))}
     for b in batches:
-        rows = b.to_pylist()
-        for r in rows:
-            flat = sorted((s["lo"], s["hi"]) for x in r.pop("all_spans") or () for s in x)
+        out: dict[str, list] = {c: [] for c in kind}
+        for all_spans, all_items in zip(b.column("all_spans").to_pylist(), b.column("all_items").to_pylist()):
             merged: list[list[int]] = []
-            for x, y in flat:
+            for x, y in sorted((s["lo"], s["hi"]) for x in all_spans or () for s in x):
                 if merged and x <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], y)
                 else:
                     merged.append([x, y])
-            r["spans"] = [{"lo": x, "hi": y} for x, y in merged]
-            r["n_hit"] = sum(y - x for x, y in merged)
-            r["items"] = sorted({i for x in r.pop("all_items") or () for i in x})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("k", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))]))
+            out["n_hit"].append(sum(y - x for x, y in merged))
+            out["items"].append(sorted({i for x in all_items or () for i in x}))
+            out["spans"].append([{"lo": x, "hi": y} for x, y in merged])
+        rest = [c for c in b.schema.names if not c.startswith("all_")]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *(pa.array(out[c], kind[c]) for c in kind)], [*rest, *kind])
+
+
+def _blocks(benchmark: DataFrame, n: int, block_bytes: int) -> list:
+    """The benchmark as broadcast blocks of ``ngram_block``; the driver holds the text of one block at a time."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+    share, held, size = [], [], 0
+
+    def put() -> None:
+        share.append(benchmark.sparkSession.sparkContext.broadcast(ngram_block(held, n)))
+
+    for item, text in items.toLocalIterator(prefetchPartitions=True):
+        held.append((item, text))
+        size += len(text) * 2
+        if size >= block_bytes:
+            put()
+            held, size = [], 0
+    if held or not share:
+        put()
+    return share
+
+
+def _digest(text: str) -> F.Column:
+    """What a text is merged by: equal texts have equal hits, whatever their ids."""
+    return F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+
+
+def _hits(texts: DataFrame, share: list) -> DataFrame:
+    """(d, n_hit, items, spans) of each distinct text that any block hits, from rows (d, text)."""
+    found = None
+    for block in share:
+        one = texts.mapInArrow(_scan(block, False), "d string, " + _HITS.removeprefix("k long, "))
+        found = one if found is None else found.unionByName(one)
+    merged = found.groupBy("d").agg(F.collect_set("spans").alias("all_spans"), F.collect_set("items").alias("all_items"))
+    return merged.mapInArrow(_merge, "d string, n_hit long, items array<string>, spans array<struct<lo:int,hi:int>>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -113,40 +149,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, id_col: str
 
     Words are runs of ASCII letters (in either case) and digits and of all characters beyond ASCII. Hits are verified word by word.
     The benchmark goes to the executors in blocks of at most ``block_bytes`` of text: one block, the usual case, needs no
-    shuffle; of more blocks, the documents that were hit are merged by id. Null texts have no words; a null item id
-    is the empty string; items without words hit nothing; equal item ids count once.
+    shuffle; of more blocks, the hits are merged by a digest of the text, and each row keeps its own result. Null texts have no
+    words; a null item id is the empty string; items without words hit nothing; equal item ids count once.
     """
     rows = keyed(docs, id_col, text_col)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
-    blocks, held, size = [], [], 0
-    for item, text in items.toLocalIterator(prefetchPartitions=True):
-        held.append((item, text))
-        size += len(text) * 2
-        if size >= block_bytes:
-            blocks.append(held)
-            held, size = [], 0
-    if held or not blocks:
-        blocks.append(held)
-    share = [docs.sparkSession.sparkContext.broadcast(ngram_block(x, n)) for x in blocks]
-    found = rows.mapInArrow(_scan(share[0], True), _HITS)
-    if len(share) > 1:
-        for block in share[1:]:
-            found = found.unionByName(rows.mapInArrow(_scan(block, False), _HITS))
-        merged = found.groupBy("k").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("all_spans"), F.collect_list("items").alias("all_items"))
-        found = merged.mapInArrow(_merge, _HITS)
+    share = _blocks(benchmark, n, block_bytes)
+    if len(share) == 1:
+        found = rows.mapInArrow(_scan(share[0], True), _HITS)
+    else:
+        rows = rows.withColumn("d", _digest("text"))
+        none = docs.sparkSession.sparkContext.broadcast({})
+        words = rows.mapInArrow(_scan(none, True), _HITS.replace("k long", "k long, d string")).select("k", "d", "n_words")
+        both = words.join(_hits(rows.select("d", "text"), share), "d", "left")
+        empty = {c: F.array().cast(t) for c, t in (("items", "array<string>"), ("spans", "array<struct<lo:int,hi:int>>"))}
+        found = both.select("k", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), *(F.coalesce(c, e).alias(c) for c, e in empty.items()))
     return found.withColumn("k", F.when(F.col("k") != -(2**63), F.col("k"))).withColumnRenamed("k", id_col)
 
 
-def _clean(block: object, reject_items: int) -> Callable:
-    scan = _scan(block, True)
+def _clean(block: object | None, reject_items: int) -> Callable:
+    """Without a block, the columns _items and _spans have what was found."""
+    scan = _scan(block, True) if block else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches, max_bytes=4 << 20):
-            found = pa.Table.from_batches(scan(iter([pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column("text")], ["k", "text"])])))
+            if scan:
+                found = pa.Table.from_batches(scan(iter([pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column("text")], ["k", "text"])])))
+                hits = found.column("items").to_pylist(), found.column("spans").to_pylist()
+            else:
+                hits = b.column("_items").to_pylist(), b.column("_spans").to_pylist()
+                b = b.select([c for c in b.schema.names if c not in ("_items", "_spans")])
             texts = b.column("text").to_pylist()
             keep, out = [], []
-            for i, (items, spans) in enumerate(zip(found.column("items").to_pylist(), found.column("spans").to_pylist())):
-                if len(items) >= reject_items:
+            for i, (items, spans) in enumerate(zip(*hits)):
+                if len(items or ()) >= reject_items:
                     continue
                 keep.append(i)
                 if not spans:
@@ -163,18 +198,19 @@ def _clean(block: object, reject_items: int) -> Callable:
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, reject_items: int = 2, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, reject_items: int = 2, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Drops documents with windows of ``reject_items`` items or more and cuts the hit words of the others; all columns stay.
 
-    Needs a benchmark of one block (`BLOCK_BYTES`); for a larger one, use the spans of `contamination`.
+    The benchmark is scanned in blocks as in `contamination`; of more than one block, the hits are merged before any text is cut.
     """
-    rows = [(i, t) for i, t in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))).toLocalIterator()]
-    if sum(2 * len(t) for _, t in rows) > BLOCK_BYTES:
-        raise ValueError("the benchmark is larger than one block")
-    block = docs.sparkSession.sparkContext.broadcast(ngram_block(rows, n))
+    share = _blocks(benchmark, n, block_bytes)
     at = docs.columns.index(text_col)
     named = docs.toDF(*("text" if i == at else f"c{i}" for i in range(len(docs.columns))))
-    return named.mapInArrow(_clean(block, reject_items), named.schema).toDF(*docs.columns)
+    if len(share) == 1:
+        return named.mapInArrow(_clean(share[0], reject_items), named.schema).toDF(*docs.columns)
+    keyed_ = named.withColumn("d", _digest("text"))
+    hits = _hits(keyed_.select("d", "text"), share).select("d", F.col("items").alias("_items"), F.col("spans").alias("_spans"))
+    return keyed_.join(hits, "d", "left").drop("d").mapInArrow(_clean(None, reject_items), named.schema).toDF(*docs.columns)
 
 
 def items_digest(items: str = "items") -> F.Column:

@@ -71,6 +71,22 @@ def test_decontaminate_cuts_and_rejects(spark):
     assert out[2] == "a  and alpha beta gamma" and out[3] is None and out[8] == "shortitem" and out[5] == LEAKS[4][1]
 
 
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_rows_repeated_with_one_id_keep_their_own_hits(spark, block):
+    leaks = [(i % 2 or None, t) for i, (_, t) in enumerate(LEAKS)] + [(1, LEAKS[0][1])]
+    bench = spark.createDataFrame(BENCH, "item_id string, text string")
+    rows = contamination(spark.createDataFrame(leaks, "doc_id long, text string"), bench, 8, block_bytes=block).collect()
+    want = [(d, *brute_force([(d, t)], [("" if i is None else i, x or "") for i, x in BENCH])[d][:3]) for d, t in leaks]
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], len(r["items"])) for r in rows), key=repr) == sorted(want, key=repr)
+
+
+def test_decontaminate_in_blocks_equals_one_block(spark):
+    df = spark.createDataFrame([(i % 3 or None, t) for i, t in LEAKS + LEAKS[:3]], "doc_id long, text string").withColumn("d", F.lit("clash"))
+    bench = spark.createDataFrame(BENCH, "item_id string, text string")
+    one, many = (sorted((tuple(r) for r in decontaminate(df, bench, block_bytes=b).collect()), key=repr) for b in (1 << 20, 20))
+    assert one == many and len(one) < 11
+
+
 def test_contamination_of_nothing(spark, empty):
     none = spark.createDataFrame([], "item_id string, text string")
     assert contamination(empty, none).collect() == []
