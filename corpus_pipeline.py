@@ -14,12 +14,6 @@ from fernwerk.llm.toxicity import toxicity
 from fernwerk.storage import materialise
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of these ids; a null id is an id of its own."""
-    ids = ids.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_keep")).distinct()
-    return docs.join(ids, F.coalesce(docs["doc_id"], F.lit(-(2**63))) == ids["_keep"], "left_semi").select(*docs.columns)
-
-
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars is the length of the text as it is now."""
     return docs.withColumn("n_chars", F.length("text").cast("long"))
@@ -32,9 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays."""
-    groups = jaccard_components(docs, 5, 80)
-    return _kept(docs, groups.where("component_id <=> doc_id")).dropDuplicates(["doc_id"])
+    """Of each group the row with the least id stays (null is the least; of equal ids the least digest of the text).
+
+    Each row has a key of its own, so rows without an id or with the id of another go only if their texts are linked.
+    """
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_digest", F.sha2("text", 256)), "rows")
+    groups = jaccard_components(rows.select("_row", "text"), 5, 80, id_col="_row")
+    named = groups.select("_row", "component_id").join(rows.select("_row", "doc_id", "_digest"), "_row")
+    least = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_digest", "_row")).alias("x")).select(F.col("x._row").alias("_row"))
+    return rows.join(least, "_row", "left_semi").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,11 @@ def test_stages_take_effect_and_keep_the_columns(spark, tmp_path):
 def test_run_equals_its_stages(spark):
     out = P.run(spark, SF)
     assert set(out.columns) == {"doc_id", "n_tokens", "ids"} and out.count() > 0
+
+
+def test_unlike_documents_without_an_id_or_with_one_id_stay(spark):
+    words = [" ".join(f"{p}{i}" for i in range(30)) for p in "abcde"]
+    rows = [(None, words[0]), (None, words[1]), (3, words[1]), (4, words[2]), (4, words[3]), (5, words[4]), (6, words[4] + " more"), (7, None), (7, None), (8, words[3])]
+    got = P.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    want = [(None, words[0]), (None, words[1]), (4, words[2]), (4, words[3]), (5, words[4]), (7, None), (7, None)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
