@@ -3,17 +3,20 @@
 Of two sets of similarity s, the first n - ceil(s n) + m grams in any common order (here the order of the hashes) have m in common,
 for the smaller m of the two (`margin`). So only documents that share enough first grams are compared:
 
-1. Equal sets are one class (an aggregate of set digests); only the class's least document goes on.
+1. Texts are read once: sizes, digests and first grams of all sets are written. Equal sets are one class (an aggregate of
+   digests); only the class's least document goes on.
 2. Grams that one document only has among its first are dropped, then documents that are left with fewer grams than any partner
-   would share with them, and so on (`peel`). This needs no pairs.
-3. Star rounds: each document is compared with the least document of the gram group that it meets most often. This links most of
-   a group of near copies with one comparison a document.
-4. The documents that could still link to another component are held to all their grams: each needs the share ``s`` of its own
-   grams among those of other components, and only its rarest grams beyond that share are groups.
-5. Signature trees: groups that still hold documents of several components are built into trees whose nodes hold OR-combined
-   bitmaps of grams and size ranges. The dual traversal drops pairs of nodes of one component, of sizes too far apart, or
-   whose largest possible overlap is too small; the pairs that are left are verified on whole sets. A group of any size is
-   cut into blocks of bounded size, and pairs of blocks whose size ranges fit are traversed by themselves.
+   would share with them, and so on (`peel`). This needs no pairs. The whole sets of what is left are written.
+3. A star round: each document is compared with the least document of the gram group that it meets most often. It links most of
+   a group of near copies with one comparison a document, so that the trees can prune what is linked.
+4. Documents are held to all their grams: each needs the share ``s`` of its own grams among those of documents that it is not
+   linked with, and only its rarest grams beyond that share are groups.
+5. Signature trees: each group is built into a tree whose nodes hold OR-combined bitmaps of grams and size ranges. The dual
+   traversal drops pairs of nodes that are linked, of sizes too far apart, or whose largest possible overlap is too small; the
+   pairs that are left are verified on whole sets. A large group is cut into blocks by size, and only pairs of blocks whose
+   size ranges fit are traversed with each other. With ``rounds=0`` the trees alone find every link.
+
+Grams are compared by 64-bit hashes of their words: two sets of 20,000 different grams share a hash with a chance of 2e-11.
 """
 
 from __future__ import annotations
@@ -25,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fernwerk.llm import kernels as K
-from fernwerk.llm.repeats import by_key, keyed
+from fernwerk.llm.repeats import NO_ID, by_key, row_keyed
 from fernwerk.operators.graph import connected_components
 from fernwerk.storage import materialise
 
 #: 64-bit words of a bitmap.
 BITMAP = 32
-#: Documents of one group that one task traverses at once.
-BLOCK = 2000
+#: Documents of a block of a group; blocks of groups beyond 4,000 grow with the root of the group, up to forty times this.
+BLOCK = 500
 _FAN = 16
 
 
@@ -61,39 +64,37 @@ def margin(n: object) -> object:
     return 1 + n // 10
 
 
-def _digests(n: int) -> Callable:
+def _lists(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(K.signed(h)))
+
+
+def _sets(n: int, percent: int) -> Callable:
+    """Of each text the size of its set, two digests, and the grams of which a set of at least the similarity must share some."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches, max_bytes=2 << 20):
             h, bounds = gram_sets(b, n)
             size = np.diff(bounds)
             s = [K.signed(K.Rolling(h, base).of(bounds[:-1], size)) for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(size), *map(pa.array, s)], ["k", "n", "s1", "s2"])
+            p = np.where(size > 0, np.minimum(size, size - (percent * size + 99) // 100 + margin(size)), 0)
+            at, _ = K.spread(bounds[:-1], p)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("r"), pa.array(size), *map(pa.array, s), _lists(h[at], np.concatenate([[0], np.cumsum(p)]))], ["doc", "r", "n", "s1", "s2", "first"])
 
     return run
 
 
-def _all(n: int) -> Callable:
+def _whole(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches, max_bytes=2 << 20):
-            h, bounds = gram_sets(b, n)
-            doc = np.repeat(np.arange(b.num_rows), np.diff(bounds))
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(h)), b.column("k").take(pa.array(doc))], ["gram", "k"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), _lists(*gram_sets(b, n))], ["k", "grams"])
 
     return run
 
 
-def _first(n: int, percent: int) -> Callable:
-    """The grams that a set of at least the similarity must share one of."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.chunks(batches, max_bytes=2 << 20):
-            h, bounds = gram_sets(b, n)
-            size = np.diff(bounds)
-            p = np.where(size > 0, np.minimum(size, size - (percent * size + 99) // 100 + margin(size)), 0)
-            at, doc = K.spread(bounds[:-1], p)
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[at])), pa.array(b.column("k").to_numpy()[doc])], ["gram", "k"])
-
-    return run
+def arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values and the bounds of a column of sets."""
+    at = col.offsets.to_numpy()
+    return col.values.to_numpy().view(np.uint64)[at[0] : at[-1]], at - at[0]
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -105,36 +106,35 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verify(n: int, percent: int) -> Callable:
+def _verify(percent: int) -> Callable:
     """Rows sorted by (part, center first) -> links. One center's set is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, center = None, None
         for b in batches:
-            for c in K.chunks(iter([b]), max_bytes=2 << 20):
-                h, bounds = gram_sets(c, n)
-                a, other, parts = (c.column(x).to_pylist() for x in ("a", "b", "part"))
-                out = []
-                for i in range(len(a)):
-                    mine = h[bounds[i] : bounds[i + 1]]
-                    if other[i] is None:
-                        part, center = (a[i], parts[i]), mine
-                    elif part == (a[i], parts[i]) and linked(center, mine, percent):
-                        out.append((a[i], other[i]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+            h, bounds = arrays(b.column("grams"))
+            a, other, parts = (b.column(x).to_pylist() for x in ("a", "b", "part"))
+            out = []
+            for i in range(len(a)):
+                mine = h[bounds[i] : bounds[i + 1]]
+                if other[i] is None:
+                    part, center = (a[i], parts[i]), mine.copy()
+                elif part == (a[i], parts[i]) and linked(center, mine, percent):
+                    out.append((a[i], other[i]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, per_part: int = 200) -> DataFrame:
-    """The pairs (a, b) that link. The rows of a center are dealt into parts by b, each with the center's text."""
+def verify(pairs: DataFrame, whole: DataFrame, percent: int, per_part: int = 200) -> DataFrame:
+    """The pairs (a, b) that link. The rows of a center are dealt into parts by b, each with the center's set."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("long").alias("parts"))
     pairs = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
     centers = many.select(F.col("a").alias("k"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     roles = centers.unionByName(pairs.select(F.col("b").alias("k"), "a", "b", "part"))
-    rows = roles.join(texts, "k").select("a", "b", "part", "text")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(_verify(n, percent), "a long, b long")
+    rows = roles.join(whole, "k").select("a", "b", "part", "grams")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(_verify(percent), "a long, b long")
 
 
 def bitmaps(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -146,14 +146,10 @@ def bitmaps(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(n: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.chunks(batches, max_bytes=2 << 20):
-            h, bounds = gram_sets(b, n)
-            bits = bitmaps(h, bounds)
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in bits], pa.binary())], ["k", "n", "bits"])
-
-    return run
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        h, bounds = arrays(b.column("grams"))
+        yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(np.diff(bounds).astype(np.int64)), pa.array([x.tobytes() for x in bitmaps(h, bounds)], pa.binary())], ["k", "n", "bits"])
 
 
 class SignatureTree:
@@ -238,23 +234,37 @@ def _traverse(percent: int) -> Callable:
     return run
 
 
-def candidate_pairs(groups: DataFrame, texts: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (a, b) of groups (gram, band, k, comp) that the signature trees leave over.
+def candidate_pairs(groups: DataFrame, whole: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b) of groups (gram, k, comp) that the signature trees leave over.
 
-    A group of more than ``block`` documents is dealt into blocks; a task gets one block with itself or two with each other.
+    A group of more than ``block`` documents is cut into bands of sizes so that linked documents are in one band or in neighbours,
+    and a band into parts; a task gets one part with itself, or two parts of fitting bands with each other.
     """
-    marks = texts.mapInArrow(_signatures(n), "k long, n long, bits binary")
-    parts = groups.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))
-    dealt = groups.join(parts, ["gram", "band"]).withColumn("part", F.pmod(F.xxhash64("k"), "parts"))
-
-    def cell(p: object, q: object, side: int) -> F.Column:
-        return F.struct(F.xxhash64("gram", "band", p, q).alias("key"), F.lit(side).alias("side"))
-
-    zero, last = F.lit(0).cast("long"), F.col("parts") - 1
-    above = F.when(F.col("part") < last, F.sequence(F.col("part") + 1, last)).otherwise(F.array().cast("array<long>"))
-    below = F.when(F.col("part") > 0, F.sequence(zero, F.col("part") - 1)).otherwise(F.array().cast("array<long>"))
-    cells = F.concat(F.array(cell("part", "part", 0)), F.transform(above, lambda q: cell("part", q, 1)), F.transform(below, lambda q: cell(q, "part", 2)))
-    rows = dealt.select("k", "comp", F.explode(cells).alias("c")).select("c.key", "k", "comp", "c.side").join(marks, "k").select("key", "k", "n", "comp", "side", "bits")
+    marks = whole.mapInArrow(_signatures, "k long, n long, bits binary")
+    total = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("total")).select("gram", "total", F.least(F.greatest(8 * F.sqrt("total"), F.lit(block)), F.lit(40 * block)).alias("block"))
+    width = F.log(F.lit(100.0 / percent)) + 1e-9
+    sized = groups.join(total, "gram").join(marks, "k").withColumn("band", F.when(F.col("total") > F.col("block"), F.floor(F.log("n") / width)).otherwise(0).cast("long"))
+    sized = materialise(sized, "sized")
+    parts = sized.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / F.first("block")).cast("long").alias("parts"))
+    beside = [parts.select("gram", (F.col("band") + i).alias("band"), F.col("parts").alias(name)) for i, name in ((1, "lower"), (-1, "upper"))]
+    known = parts.join(beside[0], ["gram", "band"], "left").join(beside[1], ["gram", "band"], "left").fillna(0, ["lower", "upper"])
+    dealt = sized.join(known, ["gram", "band"]).withColumn("part", F.pmod(F.xxhash64("k"), "parts"))
+
+    def cell(band: object, p: object, other: object, q: object, side: int) -> F.Column:
+        return F.struct(F.xxhash64("gram", band, p, other, q).alias("key"), F.lit(side).alias("side"))
+
+    def span(first: F.Column, beyond: F.Column) -> F.Column:
+        return F.when(first < beyond, F.sequence(first, beyond - 1)).otherwise(F.array().cast("array<long>"))
+
+    zero, band, part = F.lit(0).cast("long"), F.col("band"), F.col("part")
+    cells = F.concat(
+        F.array(cell(band, part, band, part, 0)),
+        F.transform(span(part + 1, F.col("parts")), lambda q: cell(band, part, band, q, 1)),
+        F.transform(span(zero, part), lambda q: cell(band, q, band, part, 2)),
+        F.transform(span(zero, F.col("upper")), lambda q: cell(band, part, band + 1, q, 1)),
+        F.transform(span(zero, F.col("lower")), lambda q: cell(band - 1, q, band, part, 2)),
+    )
+    rows = dealt.select("k", "n", "comp", "bits", F.explode(cells).alias("c")).select("c.key", "k", "n", "comp", "c.side", "bits")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_traverse(percent), "a long, b long").distinct()
 
 
@@ -272,7 +282,7 @@ def peel(met: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
 
 
 def rarest(grams: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Groups (gram, band, k, comp) from all grams (gram, k) of some documents (k, n, comp): links between components share a gram of them.
+    """Groups (gram, k, comp) from all grams (gram, k) of some documents (k, n, comp): links between components share a gram of them.
 
     A link of document a shares at least percent hundredths of a's grams, all of them with other components. Of as many grams in
     a common order, here the rarest first, all but that number less one can be left out.
@@ -284,28 +294,32 @@ def rarest(grams: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     full = met.groupBy("k").agg(F.count(F.lit(1)).alias("left"), F.first("n").alias("n")).where(F.col("left") >= need).select("k", "left")
     order = F.row_number().over(Window.partitionBy("k").orderBy("times", "gram"))
     met = met.join(full, "k").withColumn("place", order).where(F.col("place") <= F.col("left") - need + 1)
-    return materialise(met.select("gram", F.lit(0).alias("band"), "k", "comp"), "groups")
+    return materialise(met.select("gram", "k", "comp"), "groups")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document: the size of its set of ``n``-word grams and the least document that it is linked with.
 
     Documents link when 100 * intersection >= percent * union of their sets of grams of words (runs without ASCII white
     space, A-Z lower-cased). A text of fewer than n words is one gram; a text without words, or a null text, has no
-    gram and is linked with nothing. Rows repeated with one id get one result each; a null id counts as the least.
+    gram and is linked with nothing. Every row is a document of its own, whatever its id, so rows without an id, or with one id
+    and different texts, link by their texts only; a null id counts as the least.
     """
-    rows = keyed(docs, id_col, text_col)
-    sets = materialise(rows.mapInArrow(_digests(n), "k long, n long, s1 long, s2 long"), "sets")
+    rows = row_keyed(docs, id_col, text_col).withColumnRenamed("k", "doc")
+    sets = rows.mapInArrow(_sets(n, percent), "doc long, r long, n long, s1 long, s2 long, first array<long>")
+    sets = materialise(sets.withColumn("k", F.monotonically_increasing_id()), "sets")
     # what is joined to hot keys is written first: with an exchange on both sides, Spark can split a hot key's rows
-    classes = materialise(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1"), "classes")
+    classes = materialise(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc", "k")).alias("one"), F.count(F.lit(1)).alias("times")).where("times > 1").select("s1", "s2", "n", F.col("one.k").alias("rep")), "classes")
     copies = materialise(sets.join(classes, ["s1", "s2", "n"]).select("k", "rep"), "copies")
-    grams = rows.mapInArrow(_first(n, percent), "gram long, k long")
+    grams = sets.select("k", F.explode("first").alias("gram"))
     often = materialise(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "often")
-    known = sets.groupBy("k").agg(F.max("n").alias("n")).join(copies, "k", "left").where("rep is null or rep = k").select("k", "n").distinct()
+    known = sets.select("k", "n").join(copies, "k", "left").where("rep is null or rep = k").select("k", "n")
     met = materialise(grams.join(often, "gram").join(known, "k").select("gram", "k", "n", F.col("k").alias("comp")), "met")
     met = peel(met, percent)
-    comp = met.groupBy("k").agg(F.first("n").alias("n")).withColumn("comp", F.col("k"))
-    texts = materialise(rows.join(comp.select("k"), "k").dropDuplicates(["k"]), "texts")
+    comp = materialise(met.groupBy("k").agg(F.first("n").alias("n")).withColumn("comp", F.col("k")), "open")
+    names = sets.select("k", "doc", "r").join(comp.select("k"), "k")
+    texts = rows.join(names, ["doc", "r"]).dropDuplicates(["doc", "r", "k"]).select("k", "text")
+    whole = materialise(texts.mapInArrow(_whole(n), "k long, grams array<long>"), "whole")
     links = copies.where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
     here = met
     for i in range(rounds):
@@ -315,16 +329,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
         fits = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (F.col("ca") != F.col("comp"))
         pairs = here.join(center, "gram").where(fits).groupBy("k", "n", "na", "a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 1 + F.floor(F.least("n", "na") / 10))
         pairs = pairs.groupBy("k").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-        found = materialise(verify(pairs.select("a", F.col("k").alias("b")), texts, n, percent), "links")
+        found = materialise(verify(pairs.select("a", F.col("k").alias("b")), whole, percent), "links")
         links = links.unionByName(found)
-        stars = connected_components(found.unionByName(comp.where("k <> comp").select(F.col("k").alias("a"), F.col("comp").alias("b"))))
-        comp = materialise(comp.drop("comp").join(stars, comp["k"] == stars["node"], "left").select("k", "n", F.coalesce("component", "k").alias("comp")), "components")
-        here = met.drop("comp", "n").join(comp, "k")
-    some = texts
-    open_ = comp
-    groups = rarest(some.mapInArrow(_all(n), "gram long, k long"), open_, percent)
-    found = verify(candidate_pairs(groups, some.join(groups.select("k").distinct(), "k"), n, percent), some, n, percent)
-    all_links = links.unionByName(found).unionByName(comp.where("k <> comp").select(F.col("k").alias("a"), F.col("comp").alias("b")))
-    final = connected_components(all_links)
-    out = sets.join(final, sets["k"] == final["node"], "left").select(F.when(F.col("k") != -(2**63), F.col("k")).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
-    return out.withColumn("component_id", F.when(F.col("component_id") != -(2**63), F.col("component_id")))
+        # what a document is linked with names it; names need not be those of whole components, they only save comparisons
+        own = comp.select(F.col("k").alias("a"), F.col("comp").alias("name"))
+        named = found.join(own, "a").groupBy("b").agg(F.min("name").alias("name"))
+        comp = materialise(comp.join(named, comp["k"] == named["b"], "left").select("k", "n", F.coalesce("name", "comp").alias("comp")), "names")
+        if i + 1 < rounds:
+            here = met.drop("comp", "n").join(comp, "k")
+    groups = rarest(whole.select("k", F.explode("grams").alias("gram")), comp, percent)
+    found = verify(candidate_pairs(groups, whole.join(groups.select("k").distinct(), "k"), percent), whole, percent)
+    found = materialise(found, "tree-links")
+    final = materialise(connected_components(links.unionByName(found)), "components")
+    least = final.join(sets.select(F.col("k").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
+    named = final.join(least, "component").select("node", "least")
+    out = sets.select("k", "doc", "n").join(named, sets["k"] == named["node"], "left")
+    show = lambda c: F.when(c != NO_ID, c)
+    return out.select(show(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), show(F.coalesce("least", "doc")).alias("component_id"))

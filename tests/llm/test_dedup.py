@@ -6,8 +6,8 @@ import pyarrow as pa
 import pytest
 
 from fernwerk.llm import kernels as K
-from fernwerk.llm.ngram_join import SignatureTree, bitmaps, candidate_pairs, dual_traversal, jaccard_components
-from fernwerk.llm.repeats import suffix_order
+from fernwerk.llm.ngram_join import SignatureTree, _whole, bitmaps, candidate_pairs, dual_traversal, jaccard_components
+from fernwerk.llm.repeats import exact_words, longest_previous_factors, lpf_heads, smaller, suffix_order
 from fernwerk.llm.substring_dedup import passage_dedup, suffix_array_dedup
 
 
@@ -78,7 +78,8 @@ def test_null_ids_and_empty_tables(spark, empty):
 @pytest.mark.parametrize("depth", [1, 5, 8, 20])
 def test_suffix_order(depth):
     data = np.random.default_rng(1).integers(97, 99, 200).astype(np.uint8)
-    order, rank = suffix_order(data, depth)
+    order, levels = suffix_order(data, depth)
+    rank = levels[-1][1]
     text = data.tobytes()
     assert all(text[a : a + depth] <= text[b : b + depth] for a, b in zip(order, order[1:]) if max(a, b) + depth <= 200)
     for i in range(200 - depth):
@@ -86,6 +87,67 @@ def test_suffix_order(depth):
             assert (rank[i] == rank[j]) == (text[i : i + depth] == text[j : j + depth])
 
 
+@pytest.mark.parametrize("length", [3, 8, 20, 43])
+def test_longest_previous_factors(length):
+    rng = np.random.default_rng(length)
+    data = rng.integers(97, 99, 300).astype(np.uint8)
+    data[150:220] = data[20:90]
+    at = np.sort(rng.choice(300 - length, 150, replace=False))
+    factor, source = longest_previous_factors(data, at, length)
+    text = data.tobytes()
+    for i, p in enumerate(at):
+        shared = [next((n for n in range(length) if text[p + n] != text[q + n]), length) for q in at[:i]]
+        assert factor[i] == max(shared, default=0)
+        assert source[i] < 0 if not i or source[i] < 0 else shared[source[i]] == factor[i]
+    first = {}
+    assert lpf_heads(data, at, length).tolist() == [first.setdefault(text[p : p + length], i) for i, p in enumerate(at)]
+
+
+@pytest.mark.parametrize("sa", [range(50), range(50, 0, -1), [5, 1, 4, 2, 3, 9, 0, 7]])
+def test_smaller_positions(sa):
+    sa = np.array(sa)
+    p, q = smaller(sa)
+    for i, x in enumerate(sa):
+        assert p[i] == max((j for j in range(i) if sa[j] < x), default=-1)
+        assert q[i] == min((j for j in range(i + 1, len(sa)) if sa[j] < x), default=-1)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    data, off = K.buffers(pa.array(["a bb a ccccccccc bb ccccccccd"]))
+    s, e, _ = K.words(data, off, K.SPACED)
+    monkeypatch.setattr(K, "word_hashes", lambda *a: np.zeros(6, np.uint64))
+    n = exact_words(data, s, e)
+    assert n[0] == n[2] and n[1] == n[4] and len(set(n.tolist())) == 4
+
+
+def test_rows_without_an_id_or_with_one_id_keep_their_texts(spark, words):
+    """Row by row against brute force: a text that repeats nowhere loses nothing, whatever its id."""
+    import random
+
+    rng = random.Random(3)
+    a, b, c = (" ".join(rng.choice(words) for _ in range(90)) for _ in range(3))
+    docs = [(None, a), (5, a), (None, b), (7, "short"), (1, c), (1, a), (1, None), (9, f"{c} end")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    low = [(-1 if d is None else d, t) for d, t in docs]
+    for length, f, keep, unit in ((200, suffix_array_dedup, "none", lambda t: t.encode()), (50, passage_dedup, "earlier_document", lambda t: tuple(t.encode().split()))):
+        want = Counter((d if d >= 0 else None, len(g), sum(g)) for d, g in removed([(d, unit(t or "")) for d, t in low], length, keep, low))
+        assert Counter((r["doc_id"], r["n_units"], r["n_removed"]) for r in f(df, length, keep).collect()) == want
+    texts = Counter(tuple(r) for r in passage_dedup(df, 50, rewrite=True).collect())
+    assert texts[(None, b)] == texts[(None, a)] == texts[(1, c)] == texts[(1, None)] == 1 and texts[(5, "")] == 1
+
+
+def test_very_long_texts(spark, words):
+    import random
+
+    rng = random.Random(6)
+    long = " ".join(rng.choice(words) for _ in range(20_000))
+    docs = [(1, long), (2, f"x {long[50_000:]}"), (3, long[:400])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for length, f, keep, unit in ((200, suffix_array_dedup, "none", lambda t: t.encode()), (50, passage_dedup, "earlier_document", lambda t: tuple(t.encode().split()))):
+        want = {d: (len(g), sum(g)) for d, g in removed([(d, unit(t)) for d, t in docs], length, keep, docs)}
+        assert {r["doc_id"]: (r["n_units"], r["n_removed"]) for r in f(df, length, keep).collect()} == want
+
+
 def gram_set(text, n=5):
     w = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
@@ -114,7 +176,7 @@ def test_jaccard_components(frame, corpus, percent, n):
     assert got == components(corpus, percent, n)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
+@pytest.mark.parametrize("rounds", [0, 1, 2])
 def test_chains_of_near_copies(spark, words, rounds):
     """Each text differs by some words from the one before: only neighbours link. The trees alone find them too."""
     import random
@@ -140,10 +202,12 @@ def test_blocks_of_a_large_group_lose_no_pair(spark, words):
         t = list(base)
         t[rng.randrange(60)] = f"w{i}"
         docs.append((i, " ".join(t)))
-    groups = spark.createDataFrame([(1, 0, i, i) for i, _ in docs], "gram long, band int, k long, comp long")
-    texts = spark.createDataFrame(docs, "k long, text string")
-    one = {tuple(r) for r in candidate_pairs(groups, texts, 5, 80).collect()}
-    assert {tuple(r) for r in candidate_pairs(groups, texts, 5, 80, block=4).collect()} == one
+    docs += [(100 + i, " ".join([*docs[i][1].split(), *(f"v{i}-{j}" for j in range(8))])) for i in range(10)]
+    groups = spark.createDataFrame([(1, i, i) for i, _ in docs], "gram long, k long, comp long")
+    texts = spark.createDataFrame(docs, "k long, text string").repartition(1)
+    whole = texts.mapInArrow(_whole(5), "k long, grams array<long>")
+    one = {tuple(r) for r in candidate_pairs(groups, whole, 80).collect()}
+    assert {tuple(r) for r in candidate_pairs(groups, whole, 80, block=4).collect()} == one
     sets = {i: gram_set(t) for i, t in docs}
     links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert links and links <= one
