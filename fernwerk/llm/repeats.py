@@ -32,7 +32,7 @@ from fernwerk.storage import materialise
 
 NO_ID = -(2**63)
 #: Kinds of one anchor that meet in one task; windows of anchors with more are aggregated by digest.
-HOT = 500
+HOT = 2000
 _LUT = K.mix(np.arange(1, 257, dtype=np.uint64) * K._C1)
 _ROWS = "h long, c long, k long, r long, lo int, n int, at int"
 _BODIES = "hot boolean, h long, c long, k long, r long, lo long, off int, n int, at int, times long, body binary"
@@ -117,25 +117,35 @@ def _batch(j: np.ndarray, off: np.ndarray, n: np.ndarray, h, c, k, r, lo, at, ti
 
 
 def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """The suffix array to ``depth`` bytes by prefix doubling: the order, and for each depth on the way the ranks (equal for equal bytes)."""
+    """The suffix array to ``depth`` bytes by prefix doubling: the order, and for each depth on the way the ranks (equal for equal bytes).
+
+    A rank is the place of the first suffix with the same bytes; suffixes that are alone with theirs are in place and sorted no more.
+    """
     n = len(data)
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = data
     have = min(8, depth)
     key = np.ndarray((n,), ">u8", padded.data, strides=(1,)).astype(np.uint64) >> np.uint64(8 * (8 - have))
+    order = np.argsort(key)
+    slots, pos, key = np.arange(n), order, key[order]
+    rank = np.zeros(n, np.int32)
     levels: list[tuple[int, np.ndarray]] = []
     while True:
-        order = np.argsort(key)
-        at = key[order]
-        rank = np.zeros(n, np.int32)
-        if n:
-            rank[order[1:]] = np.cumsum(at[1:] != at[:-1], dtype=np.int32)
-        levels.append((have, rank))
+        new = np.ones(len(slots), bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[pos] = slots[np.flatnonzero(new)][np.cumsum(new) - 1] if len(slots) else 0
+        levels.append((have, rank.copy()))
         if have >= depth:
             return order, levels
+        shared = ~new
+        shared[:-1] |= ~new[1:]
+        slots, pos = slots[shared], pos[shared]
         step = min(have, depth - have)
-        key = rank.astype(np.int64) * (n + 1)
-        key[: n - step] += rank[step:] + 1
+        after = pos + step
+        key = rank[pos].astype(np.int64) * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        sort = np.argsort(key)
+        pos, key = pos[sort], key[sort]
+        order[slots] = pos
         have += step
 
 
@@ -173,31 +183,39 @@ def common(levels: list[tuple[int, np.ndarray]], data: np.ndarray, a: np.ndarray
     return np.minimum(got, most)
 
 
-def longest_previous_factors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def longest_previous_factors(data: np.ndarray, at: np.ndarray, length: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """For the suffixes at ``at`` (ascending): the longest prefix, up to ``length``, that also starts at an earlier one of them, and
-    which; -1 for none. Of the earlier suffixes, the previous and the next smaller position in suffix order share most."""
+    which; factors below ``least`` are given as 0, with -1. Of the earlier suffixes, the previous and the next smaller position in
+    suffix order share most."""
     order, levels = suffix_order(data, length)
     mine = np.zeros(len(data), bool)
     mine[at] = True
+    if least >= length:  # suffixes that are alone with their bytes have no such factor, nor are they one
+        rank = levels[-1][1]
+        mine &= np.bincount(rank, mine, len(data))[rank] > 1 if len(data) else False
     sa = order[mine[order]]
     p, q = smaller(sa)
     size = []
     for x in (p, q):
         found = np.zeros(len(sa), np.int64)
         ok = np.flatnonzero(x >= 0)
-        found[ok] = common(levels, data, sa[ok], sa[x[ok]], length)
+        if least >= length:
+            found[ok] = length * (rank[sa[ok]] == rank[sa[x[ok]]])
+        else:
+            found[ok] = common(levels, data, sa[ok], sa[x[ok]], length)
         size.append(found)
     best = np.where(size[1] > size[0], q, p)
     place = np.searchsorted(at, sa)
     factor, source = np.zeros(len(at), np.int64), np.full(len(at), -1)
     factor[place] = np.maximum(*size)
-    source[place] = np.where(best >= 0, place[best], -1)
+    source[place] = np.where((best >= 0) & (factor[place] >= max(least, 1)), place[best], -1)
+    factor[source < 0] = 0
     return factor, source
 
 
 def lpf_heads(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """The first window (index into ``at``) with the same bytes: from window to window by the longest previous factors."""
-    factor, source = longest_previous_factors(data, at, length)
+    factor, source = longest_previous_factors(data, at, length, length)
     head = np.where(factor >= length, source, np.arange(len(at)))
     while True:
         on = head[head]

@@ -26,7 +26,59 @@ def test_article_without_its_frame():
     assert main_text(None) == main_text("") == main_text("<html></html>") == ""
     assert main_text("plain &eacute; text") == "plain é text"
     assert main_text("<p>open <b>never closed") == "open never closed"
-    assert read("<a<b>>")[0] is not None
+    assert read("<a<b>>").pieces is not None
+
+
+WORDS = "word " * 60
+LAYOUTS = [f"<div class='{c}'><p>{WORDS}</p></div>" for c in ("content with-sidebar", "has-header", "post social-news", "no-comments", "entry footer-style")]
+LAYOUTS += [f"<section class='share-holders'><p>{WORDS}</p></section>", f"<div id='main-content' class='no-comments'><p>{WORDS}", f"<form action='/x'><p>{WORDS}</p><label>Name</label><input><button>Go</button></form>"]
+
+
+@pytest.mark.parametrize("body", LAYOUTS)
+def test_no_name_and_no_form_empties_a_page(body):
+    page = f"<html><body><nav>menu</nav>{body}<div class='sidebar'>beside</div><footer>end</footer></body></html>"
+    assert main_text(page) == WORDS.strip()
+
+
+def test_what_stands_beside_goes_even_if_it_is_long():
+    for c in ("comments", "sidebar", "comment-list", "site-footer"):
+        long = "x " * (200 if c in ("comments", "sidebar") else 20)
+        assert main_text(f"<body><article><p>{WORDS}</p><div class='{c}'>{long}</div></article></body>") == WORDS.strip()
+    assert main_text("<body><div><p>text of it</p></div><form><p>Sign up here</p></form></body>") == "text of it"
+
+
+def test_an_article_in_containers_side_by_side_is_whole():
+    parts = [f"<div class='{c}'><p>{c} {WORDS}</p></div>" for c in ("one", "two", "three")]
+    for around in ("<div class='w'>{}</div>", "{}"):
+        assert main_text(f"<body>{around.format(''.join(parts))}</body>").split("\n") == [f"{c} {WORDS}".strip() for c in ("one", "two", "three")]
+
+
+HUGE = {"divs": "<div>" * 200_000, "nested": "<div class='a b'>x" * 55_000, "quotes": '<a "' * 250_000, "closed quotes": '<a ">" ' * 160_000, "signs": "<" * 1_000_000, "data": "<![CDATA[" * 110_000, "bang": "<!" * 500_000, "ends": "<b>" * 100_000 + "</i>" * 150_000, "items": "<li><ul>" + "<div>" * 80_000 + "<li></li>" * 60_000, "lists": "<ul>" * 250_000, "paragraphs": "<b>" * 100_000 + "<p>x" * 100_000, "attributes": "<a " + "x = " * 250_000 + ">", "rows": "<table>" + "<tr><td>" * 100_000, "doubts": "<div class='site-footer'>x" * 40_000}
+
+
+@pytest.mark.parametrize("name", HUGE)
+def test_any_page_takes_linear_time(name):
+    import time
+
+    begin = time.process_time()
+    main_text(HUGE[name])
+    assert time.process_time() - begin < 4  # a second or less on an idle machine
+
+
+def test_planted_articles(spark):
+    """The paragraphs of each page's article, cut from its html by a plain search, are the text."""
+    import html
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").collect()
+    got = {r["page_id"]: r["text"] for r in Q.op1_html_extraction(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(rows)
+    for i, page in rows:
+        body = re.search("<article>(.*)</article>", page or "", re.S)
+        if body:
+            blocks = re.split(r"</?(?:p|h1|ul|li|div|blockquote|pre|table|tr|td)\b[^>]*>", body[1])
+            want = [" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
+            assert got[i] == "\n".join(x for x in want if x)
 
 
 def test_paths_are_generalised_and_voted(spark):
