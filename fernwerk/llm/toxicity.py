@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -15,24 +16,36 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fernwerk.llm import kernels as K
+from fernwerk.storage import materialise
 
 #: Labelled rows that the lexicon is learned from, by order of a hash of the id.
 SAMPLE_ROWS = 16_000
-#: Entries of the lexicon, the most telling first.
+#: Entries of the lexicon, and exception phrases, the most telling first: parameters that bound what is learned from the sample.
 MAX_ENTRIES = 20_000
 STEM = range(4, 9)
-#: Letters that look like Latin ones, and digits and signs that are written for letters (fixed values).
-HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "l"}
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
-_FOLD = str.maketrans(HOMOGLYPHS | DIGITS | {"​": None, "‌": None, "‍": None, "­": None})
-_ASCII_FOLD = str.maketrans(DIGITS)
+#: Letters that look like Latin ones after compatibility folding, and digits and signs that are written for letters (fixed values).
+HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ɪ": "i", "ʀ": "r", "ø": "o", "đ": "d", "ħ": "h", "ł": "l", "ŧ": "t", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "ᴀ": "a", "ᴇ": "e", "ᴏ": "o", "ᴜ": "u", "ꮯ": "c"}
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "|": "i", "€": "e"}
+_FOLD = str.maketrans(HOMOGLYPHS | DIGITS)
+_ASCII_FOLD = str.maketrans({k: v for k, v in DIGITS.items() if k.isascii()})
 _WORD = regex.compile(r"\p{L}+").findall
+_NEXT = regex.compile(r"\p{L}+").search
+#: Searches backwards from the end.
+_LAST = regex.compile(r"(?r)(\p{L}+)").search
+#: Marks, joiners and other characters without a width.
+_UNSEEN = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alike letters and digits as the letters they stand for, invisible characters dropped."""
-    text = text.lower()
-    return text.translate(_ASCII_FOLD) if text.isascii() else text.translate(_FOLD)
+    """Lower case, look-alike letters and digits as the letters they stand for.
+
+    Beyond ASCII first the compatibility form (full-width, mathematical and ligature letters as plain ones), without accents and
+    invisible characters.
+    """
+    if text.isascii():
+        return text.lower().translate(_ASCII_FOLD)
+    text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
+    return text.lower().translate(_FOLD)
 
 
 @dataclass
@@ -91,12 +104,12 @@ class Matcher:
 
 
 def phrases(text: str, s: int, e: int) -> list[str]:
-    """The word at [s, e) with the word before and with the word after it."""
+    """The word at [s, e) with the word before and with the word after it, whatever stands between."""
     word, out = text[s:e], []
-    before = _WORD(text[max(0, s - 40) : s])
-    after = _WORD(text[e : e + 40])
+    before = _LAST(text, 0, s)
+    after = _NEXT(text, e)
     if before:
-        out.append(f"{before[-1]} {word}")
+        out.append(f"{before[1]} {word}")
     if after:
         out.append(f"{word} {after[0]}")
     return out
@@ -173,10 +186,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, max_entries: int = MAX_ENTRIES) -> Lexicon:
-    """From rows (id, text, label): at most ``sample_rows`` of them. The lexicon and the sample's two figures a row come to the driver."""
+    """From rows (id, text, label): at most ``sample_rows`` of them, written once. The lexicon and the sample's two figures a row come to
+    the driver. Of pieces that may be entries, the ``10 * max_entries`` in most toxic rows are tried; ``max_entries`` bounds the
+    entries and the exception phrases."""
     spark = labelled.sparkSession
     # counts of pieces are taken on the executors; only those with enough support in toxic rows can be entries
-    rows = labelled.select(F.col("label").cast("int").alias("label"), "text")
+    rows = materialise(labelled.select(F.col("label").cast("int").alias("label"), "text"), "sample")
     pieces = rows.mapInArrow(_pieces, "piece string, pos long, neg long").groupBy("piece").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     totals = rows.groupBy().agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
     pos, total = int(totals[0]), int(totals[1])
@@ -226,7 +241,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_on: str = "true", sample_
     """(id, score) of every document from its whole text: 0 to 1, higher for likelier toxic.
 
     train_on: SQL condition, over a column ``id``, of the labelled rows that may be learned from; a bounded sample of them is.
-    Null and empty texts get the score of a text without entries. Labels other than 0 and 1 are left out; of several labels of an
+    Each row is scored by itself, whatever its id. Null and empty texts get the score of a text without entries. Labels other than 0 and 1 are left out; of several labels of an
     id the largest counts. Without labels of both kinds the score is the share of the label. No shuffle of texts.
     With ``keep``, all columns of the documents are returned, and the score after them.
     """
