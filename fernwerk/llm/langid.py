@@ -1,9 +1,10 @@
 """Language identification by prediction by partial matching (PPM, escape method C) with frozen statistics.
 
-For each language a byte context tree of order three is counted on a bounded sample. With frozen statistics the code length
-of a byte depends on its last three bytes only, so the trees of all languages become one automaton: a table from contexts to
-states (a context that no language saw falls back to its longest seen suffix) and a table of code lengths per state, byte
-and language, with the escapes to shorter contexts already paid. A text's code length is a sum of table entries.
+For each language a byte context tree of order three is counted on a bounded sample: 256 byte values, and a start symbol that
+stands before each text and is never coded. With frozen statistics the code length of a byte depends on its last three symbols
+only. For each order, what any language saw after a context is an entry with the code length in every language, escapes to
+shorter contexts already paid; and each context has the price of escaping from it. A text's code length is a sum: of the entry
+of the longest context that has one, and of the escapes above it. No context and no byte value is dropped or merged.
 """
 
 from __future__ import annotations
@@ -17,119 +18,155 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fernwerk.llm import kernels as K
 
-#: Texts of each language that the statistics are counted on, by order of a hash of the id.
+#: Texts of each language that the statistics are counted on, by order of a hash of the id. With them the model is bounded:
+#: it has at most one entry a byte of these texts, order and language.
 DOCS_PER_LANG = 1200
-#: Contexts of three bytes that are kept, the most frequent first; rarer ones use their suffix.
-MAX_CONTEXTS = 20_000
-_CLASSES = 128
+ORDER = 3
+START = 256
+_BITS = 9
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
+class Table:
+    """Numbers of keys by open addressing; looks up whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        size = max(4, 1 << int(2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - (size.bit_length() - 1))
+        self.keys = np.full(size, -1, np.int64)
+        self.number = np.full(size, -1, np.int32)
+        todo = np.arange(len(keys))
+        at = self._at(keys)
+        while len(todo):
+            free = self.keys[at[todo]] == -1
+            _, first = np.unique(at[todo][free], return_index=True)
+            put = todo[free][first]
+            self.keys[at[put]], self.number[at[put]] = keys[put], put
+            todo = todo[self.keys[at[todo]] != keys[todo]]
+            at[todo] = (at[todo] + 1) & (size - 1)
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for none."""
+        at = self._at(keys)
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.number[at], -1)
+        todo = np.flatnonzero((seen != keys) & (seen != -1))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+            seen = self.keys[at[todo]]
+            hit = seen == keys[todo]
+            out[todo[hit]] = self.number[at[todo[hit]]]
+            todo = todo[~hit & (seen != -1)]
+        return out
+
+
 @dataclass
-class Automaton:
+class Model:
     langs: list[str]
-    classes: np.ndarray  # byte -> class
-    states: np.ndarray  # three classes -> state
-    bits: np.ndarray  # state and class -> code length for each language
+    entries: list[tuple[Table, np.ndarray]]  # of each order: context and symbol -> code lengths
+    escapes: list[tuple[Table, np.ndarray]]  # of each order: context -> code lengths of the escape
 
 
-def _padded(batch: pa.RecordBatch, classes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols with three zeros before each text, and the places of the texts' own symbols."""
+def _padded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the texts, their bounds, and for each byte the number of it and the three symbols before."""
     data, off = K.buffers(batch.column("text"))
-    sym = (data if classes is None else classes[data]).astype(np.int64)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    out = np.zeros(len(data) + 3 * (len(off) - 1), np.int64)
-    at = np.arange(len(data)) + 3 * (doc + 1)
-    out[at] = sym
-    return data, off, out, at
+    out = np.full(len(data) + ORDER * (len(off) - 1), START, np.int64)
+    at = np.arange(len(data)) + ORDER * (doc + 1)
+    out[at] = data
+    gram = out[at - 3]
+    for i in (2, 1, 0):
+        gram = gram << _BITS | out[at - i]
+    return data, off, gram
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in K.chunks(batches, max_bytes=1 << 20):
-        _, off, s, at = _padded(b, None)
+        _, off, gram = _padded(b)
         langs, code = np.unique(np.array(b.column("lang").to_pylist(), object).astype(str), return_inverse=True)
         doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        gram = ((s[at - 3] << 24) | (s[at - 2] << 16) | (s[at - 1] << 8) | s[at]) | (code[doc].astype(np.int64) << 32)
-        g, n = np.unique(gram, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(langs[g >> 32].astype(str)), pa.array(g & 0xFFFFFFFF), pa.array(n)], ["lang", "gram", "n"])
-
-
-def automaton(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int = MAX_CONTEXTS) -> Automaton:
-    """The frozen trees of all languages from their counts of four bytes (three of context)."""
-    n = n.astype(np.float64)
-    freq = np.bincount(gram & 0xFF, n, 256)
-    kept = np.argsort(-freq, kind="stable")[: _CLASSES - 1]
-    kept = kept[freq[kept] > 0]
-    classes = np.zeros(256, np.uint8)
-    classes[kept] = np.arange(1, len(kept) + 1)
-    parts = [classes[(gram >> s) & 0xFF].astype(np.int64) for s in (24, 16, 8, 0)]
-    full = (parts[0] << 21) | (parts[1] << 14) | (parts[2] << 7) | parts[3]
+        for i, lang in enumerate(langs):
+            g, n = np.unique(gram[code[doc] == i], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(g), pa.string()), pa.array(g), pa.array(n)], ["lang", "gram", "n"])
+
+
+def model(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
+    """The frozen trees of all languages from their counts of four symbols (three of context)."""
     size = len(langs)
-    context = full >> 7
-    seen, inverse = np.unique(context, return_inverse=True)
-    total = np.bincount(inverse, n)
-    keep = np.sort(seen[np.argsort(-total, kind="stable")[:max_contexts]])
-    twos = np.unique(context & 0x3FFF)
-    ones = np.unique(context & 0x7F)
-    count = 1 + len(ones) + len(twos) + len(keep)
-    states = np.zeros(1 << 21, np.int32)
-    every = np.arange(1 << 21)
-    states[np.isin(every & 0x7F, ones)] = (1 + np.searchsorted(ones, every & 0x7F)[np.isin(every & 0x7F, ones)]).astype(np.int32)
-    has = np.isin(every & 0x3FFF, twos)
-    states[has] = 1 + len(ones) + np.searchsorted(twos, every[has] & 0x3FFF)
-    states[keep] = 1 + len(ones) + len(twos) + np.arange(len(keep))
-    bits = np.zeros((count, _CLASSES, size), np.float32)
-    for i in range(size):
-        mine = lang == i
-        f, w = full[mine], n[mine]
-        cost = np.full((1, _CLASSES), np.log2(_CLASSES))
-        tables, parent = [], None
-        for order, contexts in ((0, np.zeros(1, np.int64)), (1, ones), (2, twos), (3, keep)):
-            if order == 0:
-                before = cost
-            else:
-                back = np.zeros(len(contexts), np.int64) if order == 1 else np.searchsorted(parent, contexts & ((1 << (7 * (order - 1))) - 1))
-                before = tables[-1][back]
-            key = f & ((1 << (7 * (order + 1))) - 1)
-            c, s = key >> 7, key & 0x7F
-            pos = np.minimum(np.searchsorted(contexts, c), len(contexts) - 1)
-            ok = contexts[pos] == c
-            hits = np.zeros((len(contexts), _CLASSES))
-            np.add.at(hits, (pos[ok], s[ok]), w[ok])
-            t, q = hits.sum(1, keepdims=True), (hits > 0).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                own = -np.log2(hits / (t + q))
-                escape = np.where(t > 0, -np.log2(q / (t + q)), 0.0)
-            tables.append(np.where(hits > 0, own, escape + before))
-            parent = contexts
-        bits[:, :, i] = np.concatenate(tables)
-    return Automaton(langs, classes, states, bits.reshape(count * _CLASSES, size))
-
-
-def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_contexts: int = MAX_CONTEXTS) -> Automaton:
+    out = Model(langs, [], [])
+    below_keys, below = np.zeros(0, np.int64), np.zeros((0, size))
+    for order in range(ORDER + 1):
+        keys, at = np.unique(gram & ((1 << _BITS * (order + 1)) - 1), return_inverse=True)
+        hits = np.zeros((len(keys), size))
+        np.add.at(hits, (at, lang), n)
+        contexts, of = np.unique(keys >> _BITS, return_inverse=True)
+        total, kinds = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
+        np.add.at(total, of, hits)
+        np.add.at(kinds, of, (hits > 0).astype(float))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+            own = -np.log2(hits / (total + kinds)[of])
+        if order:
+            lower = below[np.searchsorted(below_keys, keys & ((1 << _BITS * order) - 1))]
+        else:
+            lower = np.full((len(keys), size), 8.0)  # all 256 bytes alike
+        below_keys, below = keys, np.where(hits > 0, own, escape[of] + lower)
+        out.entries.append((Table(keys), below.astype(np.float32)))
+        out.escapes.append((Table(contexts), escape.astype(np.float32)))
+    return out
+
+
+def sampled(labelled: DataFrame, docs_per_lang: int) -> DataFrame:
+    """(id) of the first ids of each language by a hash. A language's ids are first cut at a hash below which about that many, and
+    some more, are to be expected from its count, so that no task ranks all ids of a language."""
+    spark = labelled.sparkSession
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    want = docs_per_lang + 8 * docs_per_lang**0.5 + 100
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return labelled.select("id").limit(0)
+    limits = spark.createDataFrame([(r["lang"], int(min(1.0, want / r["n"]) * (1 << 40))) for r in counts], "lang string, most long")
+    some = labelled.select("id", "lang").join(F.broadcast(limits), "lang").withColumn("at", at).where(F.col("at") <= F.col("most"))
+    rank = Window.partitionBy("lang").orderBy("at", "id")
+    return some.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= docs_per_lang).select("id").distinct()
+
+
+def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     """From rows (id, text, lang) with non-null text and lang: at most ``docs_per_lang`` whole texts a language.
 
-    Ids are ranked by hash within each language; Spark limits the groups before the shuffle. Four-byte counts come to the driver:
-    their number is bounded by the sample.
+    The counts of four symbols come to the driver: their number is bounded by the sample.
     """
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = labelled.select("id", "lang").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= docs_per_lang).select("id").distinct()
-    grams = labelled.join(F.broadcast(ids), "id", "left_semi").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    ids = F.broadcast(sampled(labelled, docs_per_lang))  # at most docs_per_lang a language
+    grams = labelled.join(ids, "id", "left_semi").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     rows = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(rows["lang"].to_pylist()))
     if not names:
-        return Automaton([], np.zeros(256, np.uint8), np.zeros(1 << 21, np.int32), np.zeros((_CLASSES, 0), np.float32))
-    at = {x: i for i, x in enumerate(names)}
-    return automaton(names, np.array([at[x] for x in rows["lang"].to_pylist()]), rows["gram"].to_numpy(), rows["n"].to_numpy(), max_contexts)
+        return Model([], [], [])
+    return model(names, np.searchsorted(np.array(names), rows["lang"].to_numpy(zero_copy_only=False).astype(str)), rows["gram"].to_numpy(), rows["n"].to_numpy())
 
 
-def code_lengths(model: Automaton, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def code_lengths(trees: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Bits of each whole text in each language, and the texts' bytes."""
-    _, off, s, at = _padded(batch, model.classes)
-    state = model.states[(s[at - 3] << 14) | (s[at - 2] << 7) | s[at - 1]].astype(np.int64)
-    cost = model.bits[state * _CLASSES + s[at]]
-    out = np.zeros((len(off) - 1, len(model.langs)))
+    _, off, gram = _padded(batch)
+    cost = np.zeros((len(gram), len(trees.langs)), np.float32)
+    todo = np.arange(len(gram))
+    for order in range(ORDER, -1, -1):
+        key = gram[todo] & ((1 << _BITS * (order + 1)) - 1)
+        table, bits = trees.entries[order]
+        found = table.find(key)
+        hit = found >= 0
+        cost[todo[hit]] += bits[found[hit]]
+        todo, key = todo[~hit], key[~hit]
+        table, bits = trees.escapes[order]
+        found = table.find(key >> _BITS)
+        hit = found >= 0
+        cost[todo[hit]] += bits[found[hit]]
+    cost[todo] += 8
+    out = np.zeros((len(off) - 1, len(trees.langs)))
     full = np.flatnonzero(np.diff(off))
     if len(full):
         out[full] = np.add.reduceat(cost, off[full], axis=0, dtype=np.float64)
@@ -138,21 +175,21 @@ def code_lengths(model: Automaton, batch: pa.RecordBatch) -> tuple[np.ndarray, n
 
 def _predict(share: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = share.value
-        for b in K.chunks(batches, max_bytes=1 << 20):
+        trees = share.value
+        for b in K.chunks(batches, max_bytes=1 << 19):
             data, off = K.buffers(b.column("text"))
             letters = np.concatenate([[0], np.cumsum(_LETTERS[data])])
             has = letters[off[1:]] > letters[off[:-1]]
             for i in np.flatnonzero(~has & (np.diff(off) > 0)):
                 has[i] = any(map(str.isalpha, b.column("text")[int(i)].as_py()))
-            if model.langs:
-                bits, size = code_lengths(model, b)
+            if trees.langs:
+                bits, size = code_lengths(trees, b)
                 best = bits.argmin(1)
                 away = (bits - bits.min(1, keepdims=True)) * np.log(2) / np.sqrt(np.maximum(size, 1))[:, None]
                 score = 1 / np.exp(-np.minimum(away, 700)).sum(1)
             else:
                 best, score, has = np.zeros(b.num_rows, int), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
-            names = [*model.langs, "und"]
+            names = [*trees.langs, "und"]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([names[j] if h else "und" for j, h in zip(best.tolist(), has.tolist())]), pa.array(np.where(has, score, 0.0))], ["id", "lang_pred", "score"])
 
     return run
@@ -163,10 +200,11 @@ def identify(docs: DataFrame, train_on: str = "true", docs_per_lang: int = DOCS_
 
     train_on: SQL condition, over a column ``id``, of the rows that may be learned from; rows with a null text or language are never.
     score: share of the best language, from code length differences per root of the text's bytes. A null text, a text
-    without a letter, or a model without languages gives ``und`` and 0. Equal code lengths: the first name in order.
+    without a letter, or a model without languages gives ``und`` and 0. Equal code lengths: the first name in order. Each row is
+    predicted by itself, whatever its id; of rows repeated with one id all texts are learned from if the id is in the sample.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = train(rows.where(train_on).where("text is not null and lang is not null"), docs_per_lang)
-    share = docs.sparkSession.sparkContext.broadcast(model)
+    trees = train(rows.where(train_on).where("text is not null and lang is not null"), docs_per_lang)
+    share = docs.sparkSession.sparkContext.broadcast(trees)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.select("id", "text").mapInArrow(_predict(share), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
