@@ -15,9 +15,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from fernwerk.storage import materialise
 
+#: Vectors of one tree, and queries that one copy of it answers; they stream past it in batches.
 SHARD_ROWS = 20_000
-QUERY_ROWS = 2_000
-MAX_PIVOTS = 512
+QUERY_ROWS = 50_000
+#: Pivots grow with the root of the vectors, up to this many bytes of them, which are broadcast.
+PIVOT_BYTES = 32 << 20
+#: Up to so many pivots are chosen far from each other, more are taken as they come by hash.
+FAR_PIVOTS = 512
 LEAF = 128
 _EPS = 1e-6
 
@@ -162,76 +166,101 @@ def _reach(pivots: object, radius: object, factor: float) -> Callable:
     return run
 
 
-def _group(k: int, factor: float) -> Callable:
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = {"qid": pa.int64(), "id": pa.int64(), "score": pa.float64()}
-        if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in kinds.items()})
-        tree = VPTree(left["id"].to_numpy(), matrix(left["v"]))
-        qid, q = right["q_id"].to_numpy(), matrix(right["q_v"])
-        best = Best(len(qid), k, right["q_bound"].to_numpy())
-        tree.search(qid, q, best, factor)
-        row, _ = np.nonzero(np.isfinite(best.score))
-        ok = np.isfinite(best.score)
-        return pa.table({"qid": pa.array(qid[row]), "id": pa.array(best.id[ok]), "score": pa.array(best.score[ok])})
+def _search(k: int, factor: float) -> Callable:
+    """Rows sorted by key, vectors before queries -> neighbours. One tree is held at a time and built once; queries stream past it."""
+    kinds = {"qid": pa.int64(), "id": pa.int64(), "score": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hold, tree = None, [], None
+        for b in batches:
+            key, asks = b.column("key").to_numpy(), b.column("bound").is_valid().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                part = b.slice(lo, hi - lo)
+                if key[lo] != now:
+                    now, hold, tree = key[lo], [], None
+                if not asks[lo]:
+                    hold.append(part)
+                    continue
+                if tree is None:
+                    if not hold:
+                        continue
+                    t = pa.Table.from_batches(hold)
+                    tree, hold = VPTree(t["id"].to_numpy(), matrix(t["v"])), []
+                qid = part.column("id").to_numpy()
+                best = Best(len(qid), k, part.column("bound").to_numpy())
+                tree.search(qid, matrix(part.column("v")), best, factor)
+                row, _ = np.nonzero(np.isfinite(best.score))
+                ok = np.isfinite(best.score)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((qid[row], best.id[ok], best.score[ok]), kinds.values())], list(kinds))
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: str, k: int = 5, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+def _pivots(fit: pa.Table, count: int) -> dict[int, np.ndarray]:
+    """Unit vectors for each length of vectors."""
+    out: dict[int, np.ndarray] = {}
+    size = fit["size"].to_numpy()
+    for n in np.unique(size):
+        x = matrix(fit["v"].take(pa.array(np.flatnonzero(size == n))))
+        x = x / norms(x)[:, None]
+        most = min(count, max(1, PIVOT_BYTES // (8 * int(n))))
+        if most > FAR_PIVOTS:
+            out[int(n)] = x[:most]
+            continue
+        chosen = [0]
+        far = np.full(len(x), np.inf)
+        while len(chosen) < min(most, len(x)):
+            far = np.minimum(far, np.sqrt(np.maximum(0, 2 - 2 * (x @ x[chosen[-1]]))))
+            if far.max() < 1e-9:
+                break
+            chosen.append(int(far.argmax()))
+        out[int(n)] = x[chosen]
+    return out
+
+
+def nearest(vectors: DataFrame, queries: str, k: int = 5, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, max_pivots: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k nearest other rows of each row that meets the SQL condition ``queries`` over ``id``.
 
     Nearness is the largest cosine in double precision; ties go to the smaller id. Vectors that are null, zero, or hold a null or
     a non-finite component take no part, nor do rows with a null id; vectors of different lengths are no neighbours. A query with fewer
-    candidates returns all. Ids name vectors: rows repeated with one id count once.
+    candidates returns all. Ids name vectors: of rows repeated with one id the least vector counts.
     """
     spark = vectors.sparkSession
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     good = F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null").where(good).dropDuplicates(["id"]).withColumn("size", F.size("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null").where(good).groupBy("id").agg(F.min("v").alias("v")).withColumn("size", F.size("v"))
     total = rows.count()
-    count = int(min(max_pivots, max(1, total // 1000)))
-    fit = rows.orderBy(F.xxhash64("id")).limit(count * 4).toArrow() if total else None
-    pivots: dict[int, np.ndarray] = {}
-    if fit is not None:
-        size = fit["size"].to_numpy()
-        for n in np.unique(size):
-            at = np.flatnonzero(size == n)
-            x = matrix(fit["v"].take(pa.array(at)))
-            x = x / norms(x)[:, None]
-            chosen = [0]
-            far = np.full(len(x), np.inf)
-            while len(chosen) < min(count, len(x)):
-                far = np.minimum(far, np.sqrt(np.maximum(0, 2 - 2 * (x @ x[chosen[-1]]))))
-                if far.max() < 1e-9:
-                    break
-                chosen.append(int(far.argmax()))
-            pivots[int(n)] = x[chosen]
-    share = spark.sparkContext.broadcast(pivots)
+    count = max(1, int(min(total / 1000, 4 * total**0.5)))
+    count = min(count, max_pivots) if max_pivots else count
+    # a bounded sample: four times the pivots, of which there are at most PIVOT_BYTES
+    share = spark.sparkContext.broadcast(_pivots(rows.orderBy(F.xxhash64("id")).limit(min(count, PIVOT_BYTES // 64) * (4 if count <= FAR_PIVOTS else 1)).toArrow(), count) if total else {})
     placed = materialise(rows.mapInArrow(_assign(share), "id long, v array<double>, size int, cell long, far double"), "vectors")
+    # one row a cell: as many as pivots
     cells = placed.groupBy("size", "cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("members"), F.count_if(F.expr(f"({queries})")).alias("asked")).collect()
     radius = spark.sparkContext.broadcast({(r["size"], r["cell"]): r["far"] for r in cells})
-    plan = spark.createDataFrame([(r["size"], r["cell"], max(1, -(-r["members"] // shard_rows)), max(1, -(-r["asked"] // query_rows))) for r in cells], "size int, cell long, shards long, blocks long")
-
-    def visit(asked: DataFrame, blocks: str) -> DataFrame:
-        """Shards and query blocks of a cell meet; both are bounded."""
-        p = plan.select("size", "cell", "shards", F.expr(blocks).alias("blocks"))
-        own = placed.join(F.broadcast(p), ["size", "cell"]).withColumn("shard", F.pmod(F.xxhash64("id"), "shards")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        ask = asked.join(F.broadcast(p), ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-        key = ["size", "cell", "shard", "block"]
-        names = {x: f"q_{x}" for x in (*key, "id", "v", "bound")}
-        asking = ask.select(*(F.col(x).alias(y) for x, y in names.items()))
-        return own.select(*key, "id", "v").groupBy(*key).cogroup(asking.groupBy(*(names[x] for x in key))).applyInArrow(_group(k, factor), "qid long, id long, score double")
+
+    def visit(asked: DataFrame, number: dict) -> DataFrame:
+        """Shards of a cell meet its queries. Of more than ``query_rows`` queries each so many have a copy of the shard of their own."""
+        plan = [(r["size"], r["cell"], max(1, -(-r["members"] // shard_rows)), max(1, -(-number.get((r["size"], r["cell"]), 0) // query_rows))) for r in cells if number.get((r["size"], r["cell"]), 0)]
+        p = F.broadcast(spark.createDataFrame(plan, "size int, cell long, shards long, blocks long"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        own = placed.join(p, ["size", "cell"]).withColumn("shard", F.pmod(F.xxhash64("id"), "shards")).withColumn("block", every("blocks"))
+        ask = asked.join(p, ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("shard", every("shards"))
+        key = F.xxhash64("size", "cell", "shard", "block").alias("key")
+        both = own.select(key, "id", "v", F.lit(None).cast("double").alias("bound")).unionByName(ask.select(key, "id", "v", "bound"))
+        return both.repartition("key").sortWithinPartitions("key", F.col("bound").isNotNull()).mapInArrow(_search(k, factor), "qid long, id long, score double")
 
     def top(found: DataFrame) -> DataFrame:
         return found.groupBy("qid").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))
 
     asked = placed.where(queries).select("id", "v", "size", "cell", F.lit(float("inf")).alias("bound"))
-    first = materialise(top(visit(asked, "blocks")), "near")
+    first = materialise(top(visit(asked, {(r["size"], r["cell"]): r["asked"] for r in cells})), "near")
     bound = F.when(F.size("best") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 + 2 * F.element_at("best", k)["s"]))).otherwise(F.lit(float("inf")))
     again = asked.drop("bound").join(first.select(F.col("qid").alias("id"), bound.alias("bound")), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     reach = materialise(again.select("id", "v", "size", "cell", "bound").mapInArrow(_reach(share, radius, factor), "id long, v array<double>, size int, cell long, bound double"), "reach")
-    sizes = {(r["size"], r["cell"]): r["count"] for r in reach.groupBy("size", "cell").count().collect()}
-    plan = spark.createDataFrame([(r["size"], r["cell"], max(1, -(-r["members"] // shard_rows)), max(1, -(-sizes.get((r["size"], r["cell"]), 0) // query_rows))) for r in cells], plan.schema)
-    both = first.select("qid", F.explode("best").alias("x")).select("qid", F.col("x.id").alias("id"), (-F.col("x.s")).alias("score")).unionByName(visit(reach, "blocks"))
+    number = {(r["size"], r["cell"]): r["count"] for r in reach.groupBy("size", "cell").count().collect()}
+    both = first.select("qid", F.explode("best").alias("x")).select("qid", F.col("x.id").alias("id"), (-F.col("x.s")).alias("score")).unionByName(visit(reach, number))
     return top(both).select("qid", F.posexplode("best").alias("pos", "x")).select(F.col("qid").alias("query_id"), (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.id").alias(id_col), (-F.col("x.s")).alias("score"))
