@@ -1,6 +1,7 @@
 """WARC writing with revisit resolution, and reading.
 
-Payload digests, not payloads, are shuffled to find each digest's original; payloads travel once, to the archives.
+Headers are shuffled by payload digest to find each digest's original; payloads are not. What is found, the revisits, goes to the
+pages as a broadcast where it is small, and else by a join on page and digest, whose keys are not hot. A revisit has no body.
 """
 
 from __future__ import annotations
@@ -21,20 +22,29 @@ from fernwerk.storage import materialise, scratch
 LEAST_BYTES = 1000
 #: Uncompressed bytes after which a task begins the next archive.
 ARCHIVE_BYTES = 256 << 20
+#: Revisits up to this many are broadcast to the writers (about 150 bytes each); more are joined.
+BROADCAST_ROWS = 200_000
 _CRLF = b"\r\n"
 
 
-def record(kind: str, page_id: int | None, uri: str, digest: str, date: str, payload: bytes, size: int, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit has an empty block and names the original's record id, page and payload digest."""
+def record(kind: str, page_id: int | None, uri: str, digest: str, date: str, payload: bytes, size: int, refers_to: int | None, refers_uri: str = "") -> bytes:
+    """One WARC/1.1 record. A revisit has an empty block and names the original's record id, address, date and payload digest."""
     head = [b"WARC/1.1", f"WARC-Type: {kind}".encode(), f"WARC-Record-ID: {record_id(page_id)}".encode(), f"WARC-Date: {date}".encode(), b"WARC-Target-URI: " + uri.encode(), f"WARC-Payload-Digest: sha1:{digest}".encode(), f"X-Page-Id: {'' if page_id is None else page_id}".encode(), f"X-Payload-Length: {size}".encode()]
     block = b""
     if kind == "revisit":
-        head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}".encode(), f"X-Refers-To-Page: {refers_to}".encode()]
+        head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}".encode(), b"WARC-Refers-To-Target-URI: " + refers_uri.encode(), f"WARC-Refers-To-Date: {date}".encode(), f"X-Refers-To-Page: {refers_to}".encode()]
     else:
         http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
         head.append(b"Content-Type: application/http; msgtype=response")
         block = http + payload
-    head.append(f"Content-Length: {len(block)}".encode())
+    head += [f"WARC-Block-Digest: sha1:{sha1(block).hexdigest()}".encode(), f"Content-Length: {len(block)}".encode()]
+    return _CRLF.join(head) + _CRLF + _CRLF + block + _CRLF + _CRLF
+
+
+def info(name: str, date: str) -> bytes:
+    """The record that begins an archive."""
+    block = b"software: fernwerk\r\nformat: WARC File Format 1.1\r\n"
+    head = [b"WARC/1.1", b"WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>".encode(), f"WARC-Date: {date}".encode(), f"WARC-Filename: {name}".encode(), b"Content-Type: application/warc-fields", f"WARC-Block-Digest: sha1:{sha1(block).hexdigest()}".encode(), f"Content-Length: {len(block)}".encode()]
     return _CRLF.join(head) + _CRLF + _CRLF + block + _CRLF + _CRLF
 
 
@@ -52,13 +62,13 @@ def _writer(folder: str, date: str, most: int) -> Callable:
         out, name, rows, size = None, "", 0, 0
         made: list[tuple[str, int]] = []
         for b in batches:
-            for page, url, html, digest, kind, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "record_type", "refers_to"))):
+            for page, url, html, digest, size_, kind, refers, address in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "size", "record_type", "refers_to", "refers_url"))):
                 if out is None:
                     name = f"{root}/{uuid.uuid4().hex}.warc.gz"  # of an attempt that fails or is repeated, nothing reads the file
                     raw = fs.open_output_stream(name, compression=None)
                     out, rows, size = raw, 0, 0
-                payload = (html or "").encode()
-                text = record(kind, page, _clean_uri(url), digest, date, b"" if kind == "revisit" else payload, len(payload), refers)
+                    out.write(gzip.compress(info(os.path.basename(name), date), 1, mtime=0))
+                text = record(kind, page, _clean_uri(url), digest, date, (html or "").encode(), size_, refers, _clean_uri(address))
                 out.write(gzip.compress(text, 1, mtime=0))  # a member for each record, as readers that seek need it
                 rows, size = rows + 1, size + len(text)
                 if size >= most:
@@ -110,6 +120,10 @@ def _reader(folder: str) -> Callable:
                 size = 0
                 with fs.open_input_stream(f"{root}/{file}", compression=None) as raw, gzip.open(raw) as stream:
                     for head, block in parse(stream):
+                        if sha1(block).hexdigest() != head["warc-block-digest"].removeprefix("sha1:"):
+                            raise ValueError(f"a block of {file} does not match its digest")
+                        if head["warc-type"] == "warcinfo":
+                            continue
                         payload = None
                         kind, digest, n = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), int(head["x-payload-length"])
                         if kind == "response":
@@ -128,19 +142,24 @@ def _reader(folder: str) -> Callable:
     return run
 
 
-def resolve_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, url, html, digest, record_type, refers_to): of pages with equal payloads of ``least`` bytes or more, the one with the
-    largest page_id is the response and the others revisit it.
+def resolve_revisits(pages: DataFrame, least: int = LEAST_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(page_id, url, html, digest, size, record_type, refers_to, refers_url): of pages with equal payloads of ``least`` bytes or more,
+    the one with the largest page_id is the response and the others revisit it, without html.
 
-    Originals are found by an aggregate with map-side combine, so a payload of very many pages is one row a task; the join with
-    the originals of repeated payloads is split where one is hot. Null html is an empty payload. Rows repeated with one
+    Originals are found by an aggregate of headers with map-side combine, so a payload of very many pages is one row a task, and the
+    join that names the revisits carries no payloads. Null html is an empty payload. Rows repeated with one
     page_id and payload are each a response if that page is the original. A null page_id is the least one.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"), F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("size"))
-    originals = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("times")).where("times >= 2").select("digest", "original")
-    again = F.col("original").isNotNull() & (F.coalesce(F.col("page_id"), F.lit(-(2**63))) != F.col("original")) & (F.col("size") >= least)
-    return rows.join(originals, "digest", "left").select("page_id", "url", "html", "digest", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("original")).alias("refers_to"))
+    heads = materialise(rows.where(F.col("size") >= least).select(F.coalesce("page_id", F.lit(-(2**63))).alias("page"), "url", "digest"), "heads")
+    originals = heads.groupBy("digest").agg(F.max(F.struct("page", "url")).alias("o"), F.count(F.lit(1)).alias("times")).where("times >= 2").select("digest", F.col("o.page").alias("original"), F.col("o.url").alias("refers_url"))
+    revisits = materialise(heads.join(originals, "digest").where("page <> original").select("digest", "page", "original", "refers_url").distinct(), "revisits")
+    small = revisits.limit(broadcast_rows + 1).count() <= broadcast_rows
+    same = (rows["digest"] == revisits["digest"]) & (F.coalesce(rows["page_id"], F.lit(-(2**63))) == revisits["page"]) & (rows["size"] >= least)
+    again = F.col("original").isNotNull()
+    found = rows.join(F.broadcast(revisits) if small else revisits, same, "left")
+    return found.select("page_id", "url", F.when(~again, F.col("html")).alias("html"), rows["digest"], "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("original").alias("refers_to"), "refers_url")
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, least: int = LEAST_BYTES, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> tuple[str, DataFrame]:
