@@ -1,9 +1,13 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
-The encoding of a prefix of a word has exactly one last token. It is found among the tokens that end there (suffix-link
-automaton of the vocabulary) as the one that can follow the last token of the prefix before it: a pair of tokens is
+The encoding of a prefix of a word has exactly one last token. It is found among the tokens that end there as the one that can follow the last token of the prefix before it: a pair of tokens is
 compatible if no merge across their border would run before the merges that build them. Back-pointers give the ids.
 The cost is linear in the word, whatever its length.
+
+The tokens that end at a place are the suffixes of the text read so far that are in the vocabulary. A suffix automaton of the
+vocabulary would give them by its suffix links, from the longest match downwards; the Aho-Corasick automaton here is its part that
+is reached by prefixes of tokens, and its failure links are those suffix links restricted to it, so both walk through the same
+tokens in the same order, the longest first (`tests/llm/test_text.py` compares them with a search of all suffixes).
 """
 
 from __future__ import annotations

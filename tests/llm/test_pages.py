@@ -117,9 +117,28 @@ def test_warc_round_trip(spark, tmp_path):
     payload = {r["page_id"]: r["payload"] for r in got}
     assert bytes(payload[2]).decode() == big and bytes(payload[10]).decode() == rows[-1][2] and payload[1] is None
     assert {r["url"] for r in got if r["page_id"] == 3} == {"uEvil: 1"}
-    name = next(f for f in os.listdir(tmp_path / "w") if f.endswith(".gz"))
-    with gzip.open(tmp_path / "w" / name) as f:
-        assert f.readline() == b"WARC/1.1\r\n"
+    heads = []
+    for name in (f for f in os.listdir(tmp_path / "w") if f.endswith(".gz")):
+        with gzip.open(tmp_path / "w" / name) as f:
+            records = list(parse(f))
+        assert records[0][0]["warc-type"] == "warcinfo" and records[0][0]["warc-filename"] == name
+        heads += [h for h, _ in records[1:]]
+    again = [h for h in heads if h["warc-type"] == "revisit"]
+    assert [(h["warc-refers-to-target-uri"], h["content-length"]) for h in again] == [("http://a/2", "0")] and all("warc-block-digest" in h for h in heads)
+
+
+def test_revisits_by_join_equal_those_by_broadcast(spark):
+    rows = [(i % 40, f"u{i % 40}", "y" * (1000 + i % 7)) for i in range(60)] + [(None, "n", "y" * 1000)]
+    one, many = (sorted((tuple(r) for r in resolve_revisits(pages_frame(spark, rows), broadcast_rows=n).collect()), key=str) for n in (1000, 3))
+    assert one == many and sum(r[5] == "revisit" for r in one) > 30
+    assert all((r[2] is None) == (r[5] == "revisit") and r[4] >= 1000 for r in one)
+
+
+def test_of_rows_with_one_id_the_least_vector_counts(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    for part in (1, 3):
+        got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(part), "id = 0", 1).collect()
+        assert [r["vec_id"] for r in got] == [2]
 
 
 def test_cut_records_are_an_error():

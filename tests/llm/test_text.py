@@ -103,8 +103,10 @@ def test_op4_query(spark):
 
 def test_folding_and_exceptions():
     assert fold("IDI0T іdіоt 1d1ot") == "idiot idiot idiot"
+    assert fold("ｉｄｉｏｔ 𝐢𝐝𝐢𝐨𝐭 ídíot i\u0336d\u0336iot Ïdïöt ıdiot 1\u200bdiot") == "idiot idiot idiot idiot idiot idiot idiot"
     m = Matcher(Lexicon({"idiot": 5.0}, {"lowei": 4.0}, {"no idiot"}, (-2.0, 2.0, 0.0)))
     assert m.score("you 1D10T") > 0.5 > m.score("no idiot here") and m.score("xidiot idiots") < 0.5
+    assert m.score(f"no {'-' * 300} idiot") < 0.5 < m.score(f"{'no ' * 100}! you idiot")
     assert m.score("der loweischaft") > 0.5 > m.score("der flowei") and m.score("") == m.score("clean")
 
 
@@ -170,33 +172,73 @@ def test_code_lengths_are_those_of_the_trees():
     import numpy as np
     import pyarrow as pa
 
-    from fernwerk.llm.langid import _count, automaton, code_lengths
+    from fernwerk.llm.langid import START, _count, code_lengths, model
 
-    train = pa.RecordBatch.from_pydict({"text": ["abracadabra", "cabbage bab"], "lang": ["x", "x"]})
+    train = pa.RecordBatch.from_pydict({"text": ["abracadabra", "cabbage bab", "\0é\0"], "lang": ["x", "x", "x"]})
     grams = pa.Table.from_batches(_count(iter([train])))
-    model = automaton(["x"], np.zeros(grams.num_rows, int), grams["gram"].to_numpy(), grams["n"].to_numpy())
-    tree = {k: Counter() for k in range(4)}
+    trees = model(["x"], np.zeros(grams.num_rows, int), grams["gram"].to_numpy(), grams["n"].to_numpy())
     ctx = [{} for _ in range(4)]
     for t in train.column("text").to_pylist():
-        b = b"\0\0\0" + t.encode()
+        b = (START,) * 3 + tuple(t.encode())
         for i in range(3, len(b)):
             for k in range(4):
                 ctx[k].setdefault(b[i - k : i], Counter())[b[i]] += 1
-    del tree
 
     def cost(history, s):
         bits = 0.0
         for k in (3, 2, 1, 0):
-            c = ctx[k].get(history[len(history) - k :] if k else b"")
+            c = ctx[k].get(history[len(history) - k :] if k else ())
             if c is None:
                 continue
             total = sum(c.values()) + len(c)
             if c[s]:
                 return bits - math.log2(c[s] / total)
             bits -= math.log2(len(c) / total)
-        return bits + 7
+        return bits + 8
 
-    text = b"\0\0\0" + b"abbab cab"
-    want = sum(cost(text[i - 3 : i], text[i]) for i in range(3, len(text)))
-    bits, _ = code_lengths(model, pa.RecordBatch.from_pydict({"text": ["abbab cab"]}))
-    assert bits[0, 0] == pytest.approx(want, rel=1e-5)
+    texts = ["abbab cab", "", "\0é", "Ж", "abracadabra" * 50]
+    bits, _ = code_lengths(trees, pa.RecordBatch.from_pydict({"text": texts}))
+    for got, t in zip(bits[:, 0], texts):
+        b = (START,) * 3 + tuple(t.encode())
+        assert got == pytest.approx(sum(cost(b[i - 3 : i], b[i]) for i in range(3, len(b))), rel=1e-5)
+
+
+def test_tables_find_what_they_hold():
+    import numpy as np
+
+    from fernwerk.llm.langid import Table
+
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 36, 5000))
+    t = Table(keys)
+    assert (t.find(keys) == np.arange(len(keys))).all() and (t.find(keys + (1 << 37)) == -1).all()
+    assert (Table(keys[:0]).find(keys[:5]) == -1).all()
+
+
+def test_sampled_ids_are_the_first_of_each_language_by_hash(spark):
+    from fernwerk.llm.langid import sampled
+
+    rows = [(i, "big" if i % 10 else "small") for i in range(6000)]
+    got = {r[0] for r in sampled(spark.createDataFrame(rows, "id long, lang string"), 40).collect()}
+    at = {r[0]: r[1] for r in spark.range(6000).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).collect()}
+    want = {i for lang in ("big", "small") for i in sorted((i for i, x in rows if x == lang), key=at.get)[:40]}
+    assert got == want
+
+
+def test_tokens_that_end_at_a_place_are_all_suffixes_in_the_vocabulary():
+    """What the suffix links of a suffix automaton of the vocabulary give: longest first."""
+    import random
+
+    from fernwerk.llm.bpe import load
+
+    with open(Q.vocabulary(), encoding="utf-8") as f:
+        bpe = load(f.read())
+    tokens = {}
+    for i, t in bpe.names.items():
+        if i in bpe.length:
+            tokens[bpe._symbols(t)] = i
+    rng = random.Random(3)
+    most = max(map(len, tokens))
+    for _ in range(200):
+        text = "".join(rng.choice(list(tokens)) for _ in range(4))
+        want = [(end, tokens[text[b : end + 1]]) for end in range(len(text)) for b in range(max(0, end + 1 - most), end + 1) if text[b : end + 1] in tokens]
+        assert list(bpe.ends.iter(text)) == want
