@@ -7,8 +7,8 @@ for the smaller m of the two (`margin`). So only documents that share enough fir
    digests); only the class's least document goes on.
 2. Grams that one document only has among its first are dropped, then documents that are left with fewer grams than any partner
    would share with them, and so on (`peel`). This needs no pairs. The whole sets of what is left are written.
-3. A star round: each document is compared with the least document of the gram group that it meets most often. It links most of
-   a group of near copies with one comparison a document, so that the trees can prune what is linked.
+3. Star rounds: each document is compared with the least document of the gram group that it meets most often, then with another.
+   They link most of a group of near copies with one comparison a document, so that the trees can prune what is linked.
 4. Documents are held to all their grams: each needs the share ``s`` of its own grams among those of documents that it is not
    linked with, and only its rarest grams beyond that share are groups.
 5. Signature trees: each group is built into a tree whose nodes hold OR-combined bitmaps of grams and size ranges. The dual
@@ -297,7 +297,7 @@ def rarest(grams: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     return materialise(met.select("gram", "k", "comp"), "groups")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document: the size of its set of ``n``-word grams and the least document that it is linked with.
 
     Documents link when 100 * intersection >= percent * union of their sets of grams of words (runs without ASCII white
@@ -331,12 +331,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
         pairs = pairs.groupBy("k").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
         found = materialise(verify(pairs.select("a", F.col("k").alias("b")), whole, percent), "links")
         links = links.unionByName(found)
-        # what a document is linked with names it; names need not be those of whole components, they only save comparisons
-        own = comp.select(F.col("k").alias("a"), F.col("comp").alias("name"))
-        named = found.join(own, "a").groupBy("b").agg(F.min("name").alias("name"))
-        comp = materialise(comp.join(named, comp["k"] == named["b"], "left").select("k", "n", F.coalesce("name", "comp").alias("comp")), "names")
         if i + 1 < rounds:
+            # what a document is linked with names it; these names need not be those of whole components
+            own = comp.select(F.col("k").alias("a"), F.col("comp").alias("name"))
+            named = found.join(own, "a").groupBy("b").agg(F.min("name").alias("name"))
+            comp = materialise(comp.join(named, comp["k"] == named["b"], "left").select("k", "n", F.coalesce("name", "comp").alias("comp")), "names")
             here = met.drop("comp", "n").join(comp, "k")
+        else:
+            # of what is linked so far the trees compare nothing
+            stars = connected_components(links.join(comp.select(F.col("k").alias("b")), "b"))
+            comp = materialise(comp.join(stars, comp["k"] == stars["node"], "left").select("k", "n", F.coalesce("component", "comp").alias("comp")), "names")
     groups = rarest(whole.select("k", F.explode("grams").alias("gram")), comp, percent)
     found = verify(candidate_pairs(groups, whole.join(groups.select("k").distinct(), "k"), percent), whole, percent)
     found = materialise(found, "tree-links")
