@@ -7,8 +7,10 @@ for the smaller m of the two (`margin`). So only documents that share enough fir
    digests); only the class's least document goes on.
 2. Grams that one document only has among its first are dropped, then documents that are left with fewer grams than any partner
    would share with them, and so on (`peel`). This needs no pairs. The whole sets of what is left are written.
-3. Star rounds: each document is compared with the least document of the gram group that it meets most often, then with another.
-   They link most of a group of near copies with one comparison a document, so that the trees can prune what is linked.
+3. A star round: each document is compared with the center of the gram groups that it is in most often: the document of which
+   others have the largest share of grams, as they have of the text that near copies are made from. It links most of a group of
+   near copies with one comparison a document, so that the trees can prune what is linked. (On 256,410 documents: 8,690 links
+   here, 2,100 by the trees.)
 4. Documents are held to all their grams: each needs the share ``s`` of its own grams among those of documents that it is not
    linked with, and only its rarest grams beyond that share are groups.
 5. Signature trees: each group is built into a tree whose nodes hold OR-combined bitmaps of grams and size ranges. The dual
@@ -269,15 +271,16 @@ def candidate_pairs(groups: DataFrame, whole: DataFrame, percent: int, block: in
 
 
 def peel(met: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """Rows (gram, k, n, comp) without what no link between components can need: grams of one component, grams of two documents of
-    sizes too far apart, and documents with fewer grams left than they would share with their smallest possible partner."""
+    """Rows (gram, k, n, comp, left) without what no link between components can need: grams of one component, grams of two documents of
+    sizes too far apart, and documents with fewer grams left than they would share with their smallest possible partner. ``left`` is how
+    many grams a document had left before the last round."""
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)
     for _ in range(rounds):
         groups = met.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("times"), F.min("n").alias("n0"), F.max("n").alias("n1"))
         mixed = groups.where((F.col("c0") != F.col("c1")) & ((F.col("times") > 2) | (100 * F.col("n0") >= percent * F.col("n1")))).select("gram")
         met = met.join(mixed, "gram")
-        full = met.groupBy("k", "n").agg(F.count(F.lit(1)).alias("left")).where(F.col("left") >= least).select("k")
-        met = materialise(met.join(full, "k", "left_semi").select("gram", "k", "n", "comp"), "met")
+        full = met.groupBy("k", "n").agg(F.count(F.lit(1)).alias("left")).where(F.col("left") >= least).select("k", "left")
+        met = materialise(met.select("gram", "k", "n", "comp").join(full, "k").select("gram", "k", "n", "comp", "left"), "met")
     return met
 
 
@@ -297,7 +300,7 @@ def rarest(grams: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     return materialise(met.select("gram", "k", "comp"), "groups")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document: the size of its set of ``n``-word grams and the least document that it is linked with.
 
     Documents link when 100 * intersection >= percent * union of their sets of grams of words (runs without ASCII white
@@ -323,8 +326,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     links = copies.where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
     here = met
     for i in range(rounds):
-        # the least document, then the least by a hash, stands for the group
-        center = here.groupBy("gram").agg(F.min_by(F.struct("k", "comp", "n"), F.xxhash64("k", F.lit(i)) if i else F.col("k")).alias("x"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        # the document with the largest share of grams that others have, then the least by a hash, stands for the group
+        order = F.xxhash64("k", F.lit(i)) if i else F.struct(-F.col("left") / F.col("n"), F.col("k"))
+        center = here.groupBy("gram").agg(F.min_by(F.struct("k", "comp", "n"), order).alias("x"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
         center = center.select("gram", F.col("x.k").alias("a"), F.col("x.comp").alias("ca"), F.col("x.n").alias("na"))
         fits = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (F.col("ca") != F.col("comp"))
         pairs = here.join(center, "gram").where(fits).groupBy("k", "n", "na", "a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 1 + F.floor(F.least("n", "na") / 10))
