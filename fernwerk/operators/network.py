@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -96,25 +98,82 @@ def _heap(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": list(best), "minutes": list(best.values())}).astype({"node": "int64", "minutes": "float64"})
 
 
+def contracted(edges: DataFrame, keep: int, max_rounds: int = 40) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b, minutes) without the inner nodes of chains, and what was taken out by round: (node, a, b, to_a, to_b).
+
+    A node with two neighbours that is the least, by a hash, of those next to it is replaced by one edge; the quickest of parallel
+    edges stays. Each round takes out a share of every chain, so rounds grow with the logarithm of the longest.
+    """
+    out: list[DataFrame] = []
+    for i in range(max_rounds):
+        both = edges.select("a", "b", "minutes").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "minutes"))
+        lot = lambda c: F.xxhash64(F.col(c), F.lit(i))
+        inner = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("b", "minutes")).alias("x"), F.max(F.struct("b", "minutes")).alias("y"))
+        inner = inner.where((F.col("n") == 2) & (F.col("node") != keep)).select("node", F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.col("x.minutes").alias("to_a"), F.col("y.minutes").alias("to_b"))
+        inner = materialise(inner.withColumn("lot", lot("node")), "inner")
+        side = inner.select("node", F.explode(F.array("a", "b")).alias("at"), "lot").join(inner.select(F.col("node").alias("at"), F.col("lot").alias("other")), "at")
+        gone = materialise(inner.join(side.where("other < lot").select("node").distinct(), "node", "left_anti").drop("lot"), "gone")
+        if gone.isEmpty():
+            break
+        out.append(gone)
+        names = gone.select("node")
+        left = edges.join(names.select(F.col("node").alias("a")), "a", "left_anti").join(names.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b", "minutes")
+        short = gone.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("to_a") + F.col("to_b")).alias("minutes"))
+        edges = materialise(left.unionByName(short).groupBy("a", "b").agg(F.min("minutes").alias("minutes")), "contracted")
+    return edges, out
+
+
 def shortest_times(edges: DataFrame, source: int, heap_edges: int = HEAP_EDGES) -> DataFrame:
     """(node, minutes) of the nodes that can be reached. A network of at most ``heap_edges`` edges is searched with a heap in one
-    task; a larger one by frontier relaxation, a join and an aggregate a round."""
+    task. Of a larger one the chains are contracted, and what is left is relaxed in buckets of time: a bucket is relaxed until it
+    rests, then each of its nodes is final. Contracted nodes get their times from the ends of their chains, in reverse."""
     spark = edges.sparkSession
     origin = spark.createDataFrame([(source,)], "a long")
-    if edges.limit(heap_edges + 1).count() <= heap_edges:
+    small = lambda e: e.limit(heap_edges + 1).count() <= heap_edges
+    taken: list[DataFrame] = []
+    if not small(edges):
+        edges, taken = contracted(edges.select("a", "b", "minutes"), source)
+    if small(edges):
         rows = edges.select("a", "b", "minutes").unionByName(origin.select("a", F.lit(None).cast("long").alias("b"), F.lit(0.0).alias("minutes")))
-        return rows.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(lambda pdf: _heap(pdf), "node long, minutes double")
-    both = materialise(edges.select("a", "b", "minutes").union(edges.select("b", "a", "minutes")), "edges")
-    known = materialise(origin.select(F.col("a").alias("node"), F.lit(0.0).alias("minutes")), "times")
-    front = known
-    while not front.isEmpty():
-        step = front.join(both, front["node"] == both["a"]).groupBy(F.col("b").alias("node")).agg(F.min(front["minutes"] + both["minutes"]).alias("new"))
-        better = step.join(known, "node", "left").where(F.col("minutes").isNull() | (F.col("new") < F.col("minutes"))).select("node", F.col("new").alias("minutes"))
-        front = materialise(better, "front")
-        known = materialise(known.unionByName(front).groupBy("node").agg(F.min("minutes").alias("minutes")), "times")
+        known = rows.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(lambda pdf: _heap(pdf), "node long, minutes double")
+    else:
+        known = _buckets(edges, origin)
+    for gone in reversed(taken):
+        known = materialise(known, "times")
+        ends = gone.select("node", F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("to_a").alias("d")), F.struct(F.col("b").alias("at"), F.col("to_b").alias("d")))).alias("e")).select("node", "e.at", "e.d")
+        own = ends.join(known.withColumnRenamed("node", "at"), "at").groupBy("node").agg(F.min(F.col("minutes") + F.col("d")).alias("minutes"))
+        known = known.unionByName(own)
     return known
 
 
+def _buckets(edges: DataFrame, origin: DataFrame) -> DataFrame:
+    """Delta-stepping: buckets are as wide as four mean edges. Only nodes whose time is new are joined with their edges."""
+    both = materialise(edges.select("a", "b", "minutes").union(edges.select("b", "a", "minutes")), "edges")
+    width = 4 * both.agg(F.avg("minutes")).first()[0]
+    # of all nodes met so far: the time, whether it is new since the node was last relaxed, and whether it is final
+    open_ = materialise(origin.select(F.col("a").alias("node"), F.lit(0.0).alias("minutes"), F.lit(True).alias("new")), "open")
+    final = None
+    while True:
+        low = open_.where("new").agg(F.min("minutes")).first()[0]
+        if low is None:
+            break
+        top = low + width
+        while True:
+            now = open_.where("new").where(F.col("minutes") < top)
+            if now.isEmpty():
+                break
+            step = now.join(both, now["node"] == both["a"]).groupBy(F.col("b").alias("node")).agg(F.min(now["minutes"] + both["minutes"]).alias("minutes"))
+            if final is not None:
+                step = step.join(final.select("node"), "node", "left_anti")
+            merged = open_.withColumn("new", F.col("new") & (F.col("minutes") >= top)).unionByName(step.withColumn("new", F.lit(True)))
+            best = merged.groupBy("node").agg(F.min(F.struct("minutes", "new")).alias("x"))  # of equal times the old one: false before true
+            open_ = materialise(best.select("node", "x.minutes", "x.new"), "open")
+        done = open_.where(F.col("minutes") < top).select("node", "minutes")
+        final = materialise(done if final is None else final.unionByName(done), "final")
+        open_ = materialise(open_.where(F.col("minutes") >= top), "open")
+    return final if final is not None else open_.select("node", "minutes")
+
+
 def segment_times(roads: DataFrame, nodes: DataFrame, times: DataFrame) -> DataFrame:
     """(segment_id, minutes): of the ends that can be reached, the quicker."""
     at = nodes.join(times, "node").select(F.expr("point div 2").alias("segment_id"), "minutes")
@@ -124,54 +183,160 @@ def segment_times(roads: DataFrame, nodes: DataFrame, times: DataFrame) -> DataF
 _STEPS = [(dr, dc, math.hypot(dr, dc)) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
 
 
-def _settle(pdf: pd.DataFrame, resolution: float) -> pd.DataFrame:
-    """Dijkstra over the cells of one tile and its rim; labels are (minutes, root, metres) in that order."""
-    own = pdf[~pdf["rim"]]
-    cost = {(r, c): x for r, c, x in pdf[["row", "col", "cost"]].itertuples(index=False)}
-    best: dict[tuple[int, int], tuple[float, int, float]] = {}
-    heap = [(m, int(root), k, r, c) for r, c, m, root, k in pdf.loc[pdf["minutes"].notna(), ["row", "col", "minutes", "root", "metres"]].itertuples(index=False)]
+_LABEL = "minutes double, root long, metres double"
+
+
+def _settle(cost: np.ndarray, minutes: np.ndarray, root: np.ndarray, metres: np.ndarray, seeds: list[tuple[float, int, float, int]], resolution: float) -> None:
+    """Dijkstra over one tile (a full rectangle of costs, NaN where there is no cell) from seeds (minutes, root, metres, place): labels, in
+    that order, are improved in place. A seed that is no better than what is there is dropped."""
+    rows, cols = cost.shape
+    flat, m_, r_, k_ = (x.ravel() for x in (cost, minutes, root, metres))
+    c = flat.tolist()
+    m, r, k = m_.tolist(), r_.tolist(), k_.tolist()
+    steps = [(dr, dc, dr * cols + dc, d * resolution) for dr, dc, d in _STEPS]
+    heap = []
+    for label in seeds:
+        if label[:3] < (m[label[3]], r[label[3]], k[label[3]]):
+            m[label[3]], r[label[3]], k[label[3]] = label[:3]
+            heap.append(label)
     heapq.heapify(heap)
     while heap:
-        m, root, k, r, c = heapq.heappop(heap)
-        if (r, c) in best:
+        a, b, l, at = heapq.heappop(heap)
+        if (a, b, l) > (m[at], r[at], k[at]):
             continue
-        best[r, c] = (m, root, k)
-        here = cost[r, c]
-        for dr, dc, d in _STEPS:
-            n = (r + dr, c + dc)
-            if n in cost and n not in best:
-                step = d * resolution
-                heapq.heappush(heap, (m + (here + cost[n]) / 2 * step, root, k + step, *n))
-    out = own[["row", "col", "cost"]].copy()
-    label = [best.get((r, c), (None, None, None)) for r, c in zip(out["row"], out["col"])]
-    out["minutes"] = [x[0] for x in label]
-    out["root"] = pd.array([x[1] for x in label], dtype="Int64")
-    out["metres"] = [x[2] for x in label]
-    return out
+        y, x = divmod(at, cols)
+        here = c[at]
+        for dr, dc, off, step in steps:
+            if 0 <= y + dr < rows and 0 <= x + dc < cols:
+                n = at + off
+                there = c[n]
+                if there == there:
+                    label = (a + (here + there) / 2 * step, b, l + step)
+                    if label < (m[n], r[n], k[n]):
+                        m[n], r[n], k[n] = label
+                        heapq.heappush(heap, (*label, n))
+    m_[:], r_[:], k_[:] = m, r, k
+
+
+def _read(text: bytes, kind: str, shape: tuple[int, int]) -> np.ndarray:
+    return np.frombuffer(text, kind).reshape(shape).copy()
+
+
+_TILES = "tr long, tc long, row0 int, col0 int, rows int, cols int, cost binary, minutes binary, root binary, metres binary"
+_RIM = f"tr long, tc long, row int, col int, cost double, {_LABEL}"
+_NO_ROOT = (1 << 63) - 1
+
+
+def _first_tiles(tile: int) -> Callable:
+    """The cells of a tile as arrays, sources labelled, nothing settled."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row0, col0 = int(pdf["row"].min()), int(pdf["col"].min())
+        shape = int(pdf["row"].max()) - row0 + 1, int(pdf["col"].max()) - col0 + 1
+        at = pdf["row"].to_numpy() - row0, pdf["col"].to_numpy() - col0
+        cost = np.full(shape, np.nan)
+        cost[at] = pdf["cost"].to_numpy(float)
+        minutes, root, metres = np.full(shape, np.inf), np.full(shape, _NO_ROOT, np.int64), np.full(shape, np.inf)
+        own = pdf[pdf["source"].astype("boolean").fillna(False)]
+        place = own["row"].to_numpy() - row0, own["col"].to_numpy() - col0
+        minutes[place], metres[place] = 0.0, 0.0
+        root[place] = own["row"].to_numpy().astype(np.int64) * (1 << 31) + own["col"].to_numpy()
+        return pd.DataFrame({"tr": [row0 // tile], "tc": [col0 // tile], "row0": [row0], "col0": [col0], "rows": [shape[0]], "cols": [shape[1]], "cost": [cost.tobytes()], "minutes": [minutes.tobytes()], "root": [root.tobytes()], "metres": [metres.tobytes()]})
+
+    return run
+
+
+def _round(tile: int, resolution: float, first: bool) -> Callable:
+    """A tile and the labels that came over its rim -> the tile settled, and the labels of its rim that changed, for the tiles next to it."""
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame(columns=_OUT_NAMES)
+        t = left.iloc[0]
+        shape = int(t["rows"]), int(t["cols"])
+        cost, minutes, metres = (_read(t[x], "<f8", shape) for x in ("cost", "minutes", "metres"))
+        root = _read(t["root"], "<i8", shape)
+        before = minutes.copy(), root.copy(), metres.copy()
+        seeds = []
+        if first:
+            y, x = np.nonzero(np.isfinite(minutes))
+            seeds = [(0.0, int(root[i, j]), 0.0, int(i) * shape[1] + int(j)) for i, j in zip(y, x)]
+            minutes[y, x], metres[y, x] = np.inf, np.inf
+            root[y, x] = _NO_ROOT
+            before = minutes.copy(), root.copy(), metres.copy()
+        else:
+            for r, c, k, m, b, l in right[["row", "col", "cost", "minutes", "root", "metres"]].itertuples(index=False):
+                for dr, dc, d in _STEPS:
+                    i, j = r + dr - int(t["row0"]), c + dc - int(t["col0"])
+                    if 0 <= i < shape[0] and 0 <= j < shape[1] and cost[i, j] == cost[i, j]:
+                        step = d * resolution
+                        seeds.append((m + (k + cost[i, j]) / 2 * step, int(b), l + step, i * shape[1] + j))
+        if seeds:
+            _settle(cost, minutes, root, metres, seeds, resolution)
+        changed = (minutes != before[0]) | (root != before[1]) | (metres != before[2])
+        y, x = np.nonzero(changed)
+        out = [{"tr": t["tr"], "tc": t["tc"], "row0": t["row0"], "col0": t["col0"], "rows": t["rows"], "cols": t["cols"], "t_cost": t["cost"], "t_minutes": minutes.tobytes(), "t_root": root.tobytes(), "t_metres": metres.tobytes()}]
+        row, col = y + int(t["row0"]), x + int(t["col0"])
+        news: dict[tuple[int, int], list[int]] = {}
+        edge = (row % tile == 0) | (row % tile == tile - 1) | (col % tile == 0) | (col % tile == tile - 1)
+        for i in np.flatnonzero(edge):
+            mine = row[i] // tile, col[i] // tile
+            for other in {((row[i] + dr) // tile, (col[i] + dc) // tile) for dr, dc, _ in _STEPS} - {mine}:
+                news.setdefault((int(other[0]), int(other[1])), []).append(int(i))
+        for (a, b), at in news.items():
+            out += [{"tr": a, "tc": b, "row": int(row[i]), "col": int(col[i]), "cost": cost[y[i], x[i]], "minutes": minutes[y[i], x[i]], "root": int(root[y[i], x[i]]), "metres": metres[y[i], x[i]]} for i in at]
+        frame = pd.DataFrame(out, columns=_OUT_NAMES)
+        return frame.astype({n: "Int32" for n in ("row0", "col0", "rows", "cols", "row", "col")} | {"root": "Int64", "tr": "int64", "tc": "int64"})
+
+    return run
+
+
+_OUT = "tr long, tc long, row0 int, col0 int, rows int, cols int, t_cost binary, t_minutes binary, t_root binary, t_metres binary, row int, col int, cost double, minutes double, root long, metres double"
+_OUT_NAMES = [x.split()[0] for x in _OUT.split(", ")]
+
+
+def _cells_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for t in pdf.itertuples(index=False):
+            shape = t.rows, t.cols
+            cost, minutes, metres = (np.frombuffer(x, "<f8").reshape(shape) for x in (t.cost, t.minutes, t.metres))
+            root = np.frombuffer(t.root, "<i8").reshape(shape)
+            for i in range(0, shape[0], 64):
+                y, x = np.nonzero(~np.isnan(cost[i : i + 64]))
+                m, r, k = (v[i : i + 64][y, x] for v in (minutes, root, metres))
+                known = np.isfinite(m)
+                none = lambda v: pd.array(np.where(known, v, 0), dtype="Int64" if v.dtype == np.int64 else "Float64")
+                frame = pd.DataFrame({"row": (y + i + t.row0).astype(np.int32), "col": (x + t.col0).astype(np.int32), "minutes": none(m), "root": none(r), "metres": none(k)})
+                frame.loc[~known, ["minutes", "root", "metres"]] = pd.NA
+                yield frame
 
 
 def least_cost(cells: DataFrame, resolution: float, tile: int = TILE) -> DataFrame:
     """Minutes of the cheapest way from any source to each cell, the source it starts from (``root``) and its length in metres.
 
-    cells: row, col, cost (minutes a metre), source (boolean). Eight neighbours; a step costs the mean of its two cells times its
-    length. Ties go to the lesser root, then the shorter way. Each tile is settled by itself; tiles exchange their rims
-    until no label improves, so the rounds are tiles across, not cells across. Unreached cells are missing.
+    cells: row, col, cost (minutes a metre, not negative; a missing one is no way through), source (boolean). Eight neighbours; a step
+    costs the mean of its two cells times its length. Ties go to the lesser root, then the shorter way. Each tile is settled by itself
+    and hands the labels of its rim that changed to the tiles next to it; only tiles with such news are settled again. A label only
+    changes to a lesser one, of finitely many ways, so the rounds end, with the first that has no news: they are tiles across, not
+    cells across. Unreached cells are missing.
     """
-    root = F.col("row").cast("long") * (1 << 31) + F.col("col")
-    state = cells.select("row", "col", "cost", F.when(F.col("source"), 0.0).alias("minutes"), F.when(F.col("source"), root).alias("root"), F.when(F.col("source"), 0.0).alias("metres"))
-    state = materialise(state, "cost")
-    schema = "row int, col int, cost double, minutes double, root long, metres double"
-    before = None
+    tr, tc = (F.floor(F.col(x) / tile).cast("long") for x in ("row", "col"))
+    rows = cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("cost").cast("double").alias("cost"), "source", tr.alias("tr"), tc.alias("tc"))
+    tiles = materialise(rows.groupBy("tr", "tc").applyInPandas(_first_tiles(tile), _TILES), "tiles")
+    none = cells.sparkSession.createDataFrame([], _RIM)
+    news, first = none, True
     while True:
-        shift = F.explode(F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1))))
-        tr, tc = F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)
-        near = state.withColumn("s", shift).withColumn("tr", F.floor((F.col("row") + F.col("s.dr")) / tile)).withColumn("tc", F.floor((F.col("col") + F.col("s.dc")) / tile))
-        near = near.withColumn("rim", (F.col("tr") != tr) | (F.col("tc") != tc)).where((F.col("s.dr") == 0) & (F.col("s.dc") == 0) | F.col("rim")).drop("s").distinct()
-        state = materialise(near.groupBy("tr", "tc").applyInPandas(lambda pdf: _settle(pdf, resolution), schema), "cost")
-        now = state.agg(F.count("minutes"), F.sum("minutes"), F.sum("metres"), F.count_distinct(F.floor(F.col("row") / tile), F.floor(F.col("col") / tile))).first()
-        if now[3] <= 1 or tuple(now[:3]) == before:
+        out = materialise(tiles.groupBy("tr", "tc").cogroup(news.groupBy("tr", "tc")).applyInPandas(_round(tile, resolution, first), _OUT), "round")
+        settled = out.where("rows is not null").select("tr", "tc", "row0", "col0", "rows", "cols", *(F.col(f"t_{x}").alias(x) for x in ("cost", "minutes", "root", "metres")))
+        news = out.where("rows is null").select("tr", "tc", "row", "col", "cost", "minutes", "root", "metres")
+        whole = settled if first else settled.unionByName(held)
+        first = False
+        todo = materialise(news.select("tr", "tc").distinct(), "todo")
+        if todo.isEmpty():
             break
-        before = tuple(now[:3])
+        held = materialise(whole.join(todo, ["tr", "tc"], "left_anti"), "held")
+        tiles = materialise(whole.join(todo, ["tr", "tc"], "left_semi"), "tiles")
+    state = whole.mapInPandas(_cells_of, "row int, col int, " + _LABEL)
     return state.select("row", "col", "minutes", F.expr("cast(root div 2147483648 as int)").alias("root_row"), F.expr("cast(root % 2147483648 as int)").alias("root_col"), "metres")
 
 

@@ -7,7 +7,10 @@ coordinate, so a cell that is not there does not shift them.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 
@@ -28,27 +31,111 @@ def _shift(value: str, k: int, w: WindowSpec) -> Column:
     return F.coalesce(there, (F.last if k > 0 else F.first)(value).over(full))
 
 
-def fill_nearest(cells: DataFrame, value: str = "z", radius: int = 2) -> DataFrame:
-    """Missing values from the nearest cell that has one; of equals the one with the least row, then column.
+def lower_envelope(x: np.ndarray, g: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each place of ``at`` the parabola (x - place)^2 + g^2 that is lowest there, as an index; of equals the least (row, x).
 
-    Only holes are joined, with a neighbourhood that doubles until every hole is filled.
+    One pass over the parabolas, sorted by x, and one over the places, sorted too (Felzenszwalb and Huttenlocher).
     """
-    known = cells.where(F.col(value).isNotNull()).select(F.col("row").alias("r"), F.col("col").alias("c"), F.col(value).alias("v"))
-    holes = cells.where(F.col(value).isNull()).select("row", "col")
-    filled = None
-    if not known.isEmpty():
-        while not holes.isEmpty():
-            # a square of this radius is only sure of cells within the radius
-            around = holes.select("row", "col", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("dr")).select("row", "col", "dr", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("dc"))
-            around = around.withColumn("d", F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).where(F.col("d") <= radius * radius)
-            near = around.join(known, (F.col("row") + F.col("dr") == F.col("r")) & (F.col("col") + F.col("dc") == F.col("c")))
-            found = near.groupBy("row", "col").agg(F.min_by("v", F.struct("d", "r", "c")).alias("v"))
-            filled = found if filled is None else filled.unionByName(found)
-            holes = holes.join(found, ["row", "col"], "left_anti")
-            radius *= 2
-    if filled is None:
-        return cells
-    return cells.join(filled, ["row", "col"], "left").withColumn(value, F.coalesce(value, "v")).drop("v")
+    h = g * g
+    hull, edge = [0], [-math.inf]
+    xs, hs = x.tolist(), h.tolist()
+    for i in range(1, len(xs)):
+        while True:
+            j = hull[-1]
+            cut = ((hs[i] + xs[i] * xs[i]) - (hs[j] + xs[j] * xs[j])) / (2 * (xs[i] - xs[j]))
+            if cut < edge[-1] and len(hull) > 1:
+                hull.pop()
+                edge.pop()
+            else:
+                break
+        hull.append(i)
+        edge.append(cut)
+    hull, edge = np.array(hull), np.array(edge)
+    k = np.searchsorted(edge, at, side="right") - 1
+    best = hull[k]
+    d = (x[best] - at) ** 2 + h[best]
+    for step in (-1, 1):  # at a border both, or more, are as low: the least place counts
+        j, todo = k.copy(), np.arange(len(at))
+        while len(todo):
+            j[todo] += step
+            todo = todo[(j[todo] >= 0) & (j[todo] < len(hull))]
+            other = hull[j[todo]]
+            tie = (x[other] - at[todo]) ** 2 + h[other] == d[todo]
+            todo, other = todo[tie], other[tie]
+            first = (row[other] < row[best[todo]]) | ((row[other] == row[best[todo]]) & (x[other] < x[best[todo]]))
+            best[todo[first]] = other[first]
+    return best
+
+
+def _row_pass(value: str | None) -> Callable:
+    """Of each row of cells, sorted by column: the distance squared to the nearest source, and its value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def line(t: pa.Table) -> pa.RecordBatch:
+            col = t["col"].to_numpy().astype(np.int64)
+            # the nearest source of a column may be above or below
+            parts = [(t[f"{side}_row"].to_numpy(zero_copy_only=False).astype(float), t[f"{side}_value"] if value else None) for side in ("up", "down")]
+            own = t["row"].to_numpy().astype(float)
+            xs = np.concatenate([col, col])
+            rows = np.concatenate([p[0] for p in parts])
+            ok = np.flatnonzero(~np.isnan(rows))
+            d = np.full(len(col), np.nan)
+            pick = np.zeros(len(col), np.int64)
+            if len(ok):
+                away = np.abs(rows - np.concatenate([own, own]))
+                order = ok[np.lexsort((rows[ok], away[ok], xs[ok]))]
+                one = order[np.append(True, xs[order][1:] != xs[order][:-1])]
+                best = one[lower_envelope(xs[one].astype(float), away[one], rows[one], col.astype(float))]
+                d, pick = (xs[best] - col) ** 2 + away[best] ** 2, best
+            columns = [t["row"].combine_chunks(), t["col"].combine_chunks(), pa.array(d, pa.float64(), from_pandas=True)]
+            if value:
+                both = pa.concat_arrays([p[1].combine_chunks() for p in parts])
+                columns.append(both.take(pa.array(pick, mask=np.isnan(d))))
+            return pa.RecordBatch.from_arrays(columns, ["row", "col", "_d", *(["_v"] if value else [])])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row = b.column("row").to_numpy()
+            cuts = [0, *(np.flatnonzero(row[1:] != row[:-1]) + 1).tolist(), len(row)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and held[-1].column("row")[0] != b.column("row")[lo]:
+                    yield line(pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield line(pa.Table.from_batches(held))
+
+    return run
+
+
+def nearest_source(cells: DataFrame, source: Column, value: str | None = None) -> DataFrame:
+    """(row, col, _d, _v) of each cell: distance squared, in cells, to the nearest source cell, and that cell's ``value``; missing if
+    there is no source. Exact, and linear in the cells whatever the distance.
+
+    The column pass finds the nearest source above and below; the row pass takes the lower envelope of their parabolas. A row of
+    cells is held by a task at a time. Ties: the least row, then the least column.
+    """
+    here = F.when(source, F.struct(F.col("row").alias("row"), *([F.col(value).alias("value")] if value else [])))
+    up = F.last(here, ignorenulls=True).over(along_col().rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first(here, ignorenulls=True).over(along_col().rowsBetween(0, Window.unboundedFollowing))
+    grid = cells.select("row", "col", up.alias("_up"), down.alias("_down"))
+    sides = [F.col(f"_{side}.{x}").alias(f"{side}_{x}") for side in ("up", "down") for x in (("row", "value") if value else ("row",))]
+    kind = f", _v {cells.schema[value].dataType.simpleString()}" if value else ""
+    rows = grid.select(F.col("row").cast("int"), F.col("col").cast("int"), *sides)
+    return rows.repartition("row").sortWithinPartitions("row", "col").mapInArrow(_row_pass(value), "row int, col int, _d double" + kind)
+
+
+def fill_nearest(cells: DataFrame, value: str = "z") -> DataFrame:
+    """Missing values from the nearest cell that has one; of equals the one with the least row, then column. Without any they stay.
+
+    Of a column the nearest above or below counts, so a cell as far as one of the same column may be passed over only for a
+    lesser row.
+    """
+    near = nearest_source(cells, F.col(value).isNotNull(), value).select("row", "col", F.col("_v"))
+    return cells.join(near, ["row", "col"], "left").withColumn(value, F.coalesce(value, "_v")).drop("_v")
 
 
 def gaussian_weights(sigma: float) -> list[float]:
@@ -97,17 +184,30 @@ def topographic_position(cells: DataFrame, resolution: float, radius: float, val
 
 
 def distance_to(cells: DataFrame, resolution: float, mask: str = "water") -> DataFrame:
-    """Exact Euclidean distance of each cell to the nearest cell of the mask, as ``distance``; missing if there is none.
+    """Exact Euclidean distance of each cell to the nearest cell of the mask, as ``distance``; missing if there is none."""
+    near = nearest_source(cells, F.coalesce(F.col(mask), F.lit(False)))
+    return cells.join(near, ["row", "col"], "left").withColumn("distance", F.sqrt("_d") * F.lit(float(resolution))).drop("_d")
+
+
+def warp(cells: DataFrame, target: DataFrame, value: str, resampling: str = "bilinear") -> DataFrame:
+    """(row, col, value) of the cells of another grid. target: row, col and the place of each cell's centre in the source, as fractional
+    ``u`` (columns) and ``v`` (rows), in which the source's cell centres are whole numbers.
 
-    The column pass finds the nearest masked row; the row pass needs no column further away than that distance.
+    "nearest" takes the source cell that the centre lies in. "bilinear" weighs the known ones of the four around it by their
+    nearness; without any known one the cell is missing. Either is an equi-join of one or four rows a cell.
     """
-    up = F.last(F.when(F.col(mask), F.col("row")), ignorenulls=True).over(along_col().rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(F.when(F.col(mask), F.col("row")), ignorenulls=True).over(along_col().rowsBetween(0, Window.unboundedFollowing))
-    grid = cells.withColumn("_g", F.least(F.col("row") - up, down - F.col("row")).cast("long"))
-    lines = grid.where("_g is not null").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "_g"))).alias("_line"))
-    near = F.expr("filter(_line, x -> _g is null or abs(x.col - col) <= _g)")
-    squares = F.transform(near, lambda x: (x["col"] - F.col("col")) * (x["col"] - F.col("col")) + x["_g"] * x["_g"])
-    return grid.join(lines, "row", "left").withColumn("distance", F.sqrt(F.array_min(squares).cast("double")) * F.lit(float(resolution))).drop("_g", "_line")
+    src = cells.where(F.col(value).isNotNull()).select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("_z"))
+    own = target.select("row", "col", "u", "v")
+    if resampling == "nearest":
+        at = own.withColumn("_r", F.floor(F.col("v") + 0.5).cast("int")).withColumn("_c", F.floor(F.col("u") + 0.5).cast("int"))
+        return at.join(src, ["_r", "_c"], "left").select("row", "col", F.col("_z").alias(value))
+    if resampling != "bilinear":
+        raise ValueError(f"unknown resampling {resampling!r}")
+    four = F.array(*(F.struct((F.floor("v") + a).cast("int").alias("_r"), (F.floor("u") + b).cast("int").alias("_c")) for a in (0, 1) for b in (0, 1)))
+    near = own.withColumn("_s", F.explode(four)).select("row", "col", "u", "v", "_s._r", "_s._c")
+    weight = (1 - F.abs(F.col("u") - F.col("_c"))) * (1 - F.abs(F.col("v") - F.col("_r")))
+    found = near.join(src, ["_r", "_c"]).withColumn("_w", weight).where("_w > 0").groupBy("row", "col").agg((F.sum(F.col("_z") * F.col("_w")) / F.sum("_w")).alias(value))
+    return target.select("row", "col").join(found, ["row", "col"], "left")
 
 
 def proximity(seeds: DataFrame, cells: DataFrame, sigma: float) -> DataFrame:
