@@ -16,7 +16,9 @@ for the smaller m of the two (`margin`). So only documents that share enough fir
 5. Signature trees: each group is built into a tree whose nodes hold OR-combined bitmaps of grams and size ranges. The dual
    traversal drops pairs of nodes that are linked, of sizes too far apart, or whose largest possible overlap is too small; the
    pairs that are left are verified on whole sets. A large group is cut into blocks by size, and only pairs of blocks whose
-   size ranges fit are traversed with each other. With ``rounds=0`` the trees alone find every link.
+   size ranges fit are traversed with each other. The trees are walked twice: first a few of the pairs of each document are
+   verified, which makes a group of near copies one component without all its pairs; then all pairs between what are still
+   different components. With ``rounds=0`` the trees alone find every link.
 
 Grams are compared by 64-bit hashes of their words: two sets of 20,000 different grams share a hash with a chance of 2e-11.
 """
@@ -38,6 +40,8 @@ from fernwerk.storage import materialise
 BITMAP = 32
 #: Documents of a block of a group; blocks of groups beyond 4,000 grow with the root of the group, up to forty times this.
 BLOCK = 500
+#: Pairs of a document in a task of the first traversal.
+SOME = 4
 _FAN = 16
 
 
@@ -210,7 +214,20 @@ def dual_traversal(s: SignatureTree, t: SignatureTree, percent: int, same: bool)
             stack.append((level - 1, cu, cv))
 
 
-def _traverse(percent: int) -> Callable:
+def some_of_each(pairs: np.ndarray, most: int) -> np.ndarray:
+    """Of pairs (two rows of ids) those that are among the ``most`` first, by a hash of the pair, of one of their documents."""
+    a, b = np.sort(pairs, axis=0)
+    lot = K.mix(a.astype(np.uint64) * K._C1 ^ b.astype(np.uint64) * K._C2)
+    keep = np.zeros(len(lot), bool)
+    for own in pairs:
+        order = np.lexsort((lot, own))
+        first = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        keep[order[place < most]] = True
+    return pairs[:, keep]
+
+
+def _traverse(percent: int, most: int | None = None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_key(batches, "key", 4 << 20):
             key = t["key"].to_numpy()
@@ -227,8 +244,8 @@ def _traverse(percent: int) -> Callable:
                     continue
                 tree = SignatureTree(n[one], bits[one], comp[one])
                 other = tree if same else SignatureTree(n[two], bits[two], comp[two])
-                for u, v in dual_traversal(tree, other, percent, same):
-                    found.append(np.stack([k[one][u], k[one if same else two][v]]))
+                cell = [np.stack([k[one][u], k[one if same else two][v]]) for u, v in dual_traversal(tree, other, percent, same)]
+                found += [some_of_each(np.concatenate(cell, axis=1), most)] if cell and most else cell
             if found:
                 pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -236,11 +253,11 @@ def _traverse(percent: int) -> Callable:
     return run
 
 
-def candidate_pairs(groups: DataFrame, whole: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def candidate_pairs(groups: DataFrame, whole: DataFrame, percent: int, block: int = BLOCK, most: int | None = None) -> DataFrame:
     """Distinct pairs (a, b) of groups (gram, k, comp) that the signature trees leave over.
 
     A group of more than ``block`` documents is cut into bands of sizes so that linked documents are in one band or in neighbours,
-    and a band into parts; a task gets one part with itself, or two parts of fitting bands with each other.
+    and a band into parts; a task gets one part with itself, or two parts of fitting bands with each other. With ``most``, only so many pairs of a document in a task.
     """
     marks = whole.mapInArrow(_signatures, "k long, n long, bits binary")
     total = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("total")).select("gram", "total", F.least(F.greatest(8 * F.sqrt("total"), F.lit(block)), F.lit(40 * block)).alias("block"))
@@ -267,7 +284,7 @@ def candidate_pairs(groups: DataFrame, whole: DataFrame, percent: int, block: in
         F.transform(span(zero, F.col("lower")), lambda q: cell(band - 1, q, band, part, 2)),
     )
     rows = dealt.select("k", "n", "comp", "bits", F.explode(cells).alias("c")).select("c.key", "k", "n", "comp", "c.side", "bits")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_traverse(percent), "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_traverse(percent, most), "a long, b long").distinct()
 
 
 def peel(met: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
@@ -324,30 +341,31 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     texts = rows.join(names, ["doc", "r"]).dropDuplicates(["doc", "r", "k"]).select("k", "text")
     whole = materialise(texts.mapInArrow(_whole(n), "k long, grams array<long>"), "whole")
     links = copies.where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
-    here = met
     for i in range(rounds):
         # the document with the largest share of grams that others have, then the least by a hash, stands for the group
+        here = met.drop("comp").join(comp.select("k", "comp"), "k") if i else met
         order = F.xxhash64("k", F.lit(i)) if i else F.struct(-F.col("left") / F.col("n"), F.col("k"))
         center = here.groupBy("gram").agg(F.min_by(F.struct("k", "comp", "n"), order).alias("x"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
         center = center.select("gram", F.col("x.k").alias("a"), F.col("x.comp").alias("ca"), F.col("x.n").alias("na"))
         fits = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (F.col("ca") != F.col("comp"))
         pairs = here.join(center, "gram").where(fits).groupBy("k", "n", "na", "a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 1 + F.floor(F.least("n", "na") / 10))
         pairs = pairs.groupBy("k").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-        found = materialise(verify(pairs.select("a", F.col("k").alias("b")), whole, percent), "links")
+        found = materialise(verify(pairs.select("a", F.col("k").alias("b")), whole, percent), "star-links")
         links = links.unionByName(found)
-        if i + 1 < rounds:
-            # what a document is linked with names it; these names need not be those of whole components
-            own = comp.select(F.col("k").alias("a"), F.col("comp").alias("name"))
-            named = found.join(own, "a").groupBy("b").agg(F.min("name").alias("name"))
-            comp = materialise(comp.join(named, comp["k"] == named["b"], "left").select("k", "n", F.coalesce("name", "comp").alias("comp")), "names")
-            here = met.drop("comp", "n").join(comp, "k")
-        else:
-            # of what is linked so far the trees compare nothing
-            stars = connected_components(links.join(comp.select(F.col("k").alias("b")), "b"))
-            comp = materialise(comp.join(stars, comp["k"] == stars["node"], "left").select("k", "n", F.coalesce("component", "comp").alias("comp")), "names")
+        # what a document is linked with names it; these names need not be those of whole components
+        own = comp.select(F.col("k").alias("a"), F.col("comp").alias("name"))
+        named = found.join(own, "a").groupBy("b").agg(F.min("name").alias("name"))
+        comp = materialise(comp.join(named, comp["k"] == named["b"], "left").select("k", "n", F.coalesce("name", "comp").alias("comp")), "names")
     groups = rarest(whole.select("k", F.explode("grams").alias("gram")), comp, percent)
-    found = verify(candidate_pairs(groups, whole.join(groups.select("k").distinct(), "k"), percent), whole, percent)
-    found = materialise(found, "tree-links")
+    some = materialise(verify(candidate_pairs(groups, whole.join(groups.select("k").distinct(), "k"), percent, most=SOME), whole, percent), "some-links")
+    # what is linked by now is one component, of which nothing more is compared
+    near = connected_components(some.unionByName(comp.where("k <> comp").select(F.col("k").alias("a"), F.col("comp").alias("b"))))
+    groups = groups.join(near, groups["k"] == near["node"], "left").select("gram", "k", F.coalesce("component", "comp").alias("comp"))
+    groups = materialise(groups, "regrouped")
+    mixed = groups.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("gram")
+    groups = groups.join(mixed, "gram")
+    found = materialise(verify(candidate_pairs(groups, whole.join(groups.select("k").distinct(), "k"), percent), whole, percent), "tree-links")
+    links = links.unionByName(some)
     final = materialise(connected_components(links.unionByName(found)), "components")
     least = final.join(sets.select(F.col("k").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
     named = final.join(least, "component").select("node", "least")
