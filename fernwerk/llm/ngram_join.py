@@ -16,9 +16,9 @@ for the smaller m of the two (`margin`). So only documents that share enough fir
 5. Signature trees: each group is built into a tree whose nodes hold OR-combined bitmaps of grams and size ranges. The dual
    traversal drops pairs of nodes that are linked, of sizes too far apart, or whose largest possible overlap is too small; the
    pairs that are left are verified on whole sets. A large group is cut into blocks by size, and only pairs of blocks whose
-   size ranges fit are traversed with each other. The trees are walked twice: first a few of the pairs of each document are
-   verified, which makes a group of near copies one component without all its pairs; then all pairs between what are still
-   different components. With ``rounds=0`` the trees alone find every link.
+   size ranges fit are traversed with each other. First only a few of the pairs of each document and of two components are
+   verified, in one group a document, then in all groups, which makes a group of near copies one component without all its
+   pairs; then all pairs between what are still different components. With ``rounds=0`` the trees alone find every link.
 
 Grams are compared by 64-bit hashes of their words: two sets of 20,000 different grams share a hash with a chance of 2e-11.
 """
@@ -41,7 +41,7 @@ BITMAP = 32
 #: Documents of a block of a group; blocks of groups beyond 4,000 grow with the root of the group, up to forty times this.
 BLOCK = 500
 #: Pairs of a document in a task of the first traversal.
-SOME = 4
+SOME = 2
 _FAN = 16
 
 
@@ -214,17 +214,22 @@ def dual_traversal(s: SignatureTree, t: SignatureTree, percent: int, same: bool)
             stack.append((level - 1, cu, cv))
 
 
-def some_of_each(pairs: np.ndarray, most: int) -> np.ndarray:
-    """Of pairs (two rows of ids) those that are among the ``most`` first, by a hash of the pair, of one of their documents."""
+def some_of_each(pairs: np.ndarray, comp: np.ndarray, most: int) -> np.ndarray:
+    """Of pairs (two rows of ids, two of their components) those that are among the ``most`` first, by a hash of the pair, of one of
+    their documents, and of their two components."""
     a, b = np.sort(pairs, axis=0)
     lot = K.mix(a.astype(np.uint64) * K._C1 ^ b.astype(np.uint64) * K._C2)
-    keep = np.zeros(len(lot), bool)
-    for own in pairs:
-        order = np.lexsort((lot, own))
-        first = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
+
+    def early(*own: np.ndarray) -> np.ndarray:
+        order = np.lexsort((lot, *own))
+        new = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in own], axis=0))
+        first = np.flatnonzero(new)
         place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        keep = np.zeros(len(order), bool)
         keep[order[place < most]] = True
-    return pairs[:, keep]
+        return keep
+
+    return pairs[:, (early(pairs[0]) | early(pairs[1])) & early(*np.sort(comp, axis=0))]
 
 
 def _traverse(percent: int, most: int | None = None) -> Callable:
@@ -244,8 +249,10 @@ def _traverse(percent: int, most: int | None = None) -> Callable:
                     continue
                 tree = SignatureTree(n[one], bits[one], comp[one])
                 other = tree if same else SignatureTree(n[two], bits[two], comp[two])
-                cell = [np.stack([k[one][u], k[one if same else two][v]]) for u, v in dual_traversal(tree, other, percent, same)]
-                found += [some_of_each(np.concatenate(cell, axis=1), most)] if cell and most else cell
+                for u, v in dual_traversal(tree, other, percent, same):
+                    sides = (one[u], (one if same else two)[v])
+                    pairs = np.stack([k[x] for x in sides])
+                    found.append(some_of_each(pairs, np.stack([comp[x] for x in sides]), most) if most else pairs)
             if found:
                 pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -253,13 +260,12 @@ def _traverse(percent: int, most: int | None = None) -> Callable:
     return run
 
 
-def candidate_pairs(groups: DataFrame, whole: DataFrame, percent: int, block: int = BLOCK, most: int | None = None) -> DataFrame:
-    """Distinct pairs (a, b) of groups (gram, k, comp) that the signature trees leave over.
+def candidate_pairs(groups: DataFrame, marks: DataFrame, percent: int, block: int = BLOCK, most: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of groups (gram, k, comp) that the signature trees leave over; marks: sizes and bitmaps.
 
     A group of more than ``block`` documents is cut into bands of sizes so that linked documents are in one band or in neighbours,
     and a band into parts; a task gets one part with itself, or two parts of fitting bands with each other. With ``most``, only so many pairs of a document in a task.
     """
-    marks = whole.mapInArrow(_signatures, "k long, n long, bits binary")
     total = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("total")).select("gram", "total", F.least(F.greatest(8 * F.sqrt("total"), F.lit(block)), F.lit(40 * block)).alias("block"))
     width = F.log(F.lit(100.0 / percent)) + 1e-9
     sized = groups.join(total, "gram").join(marks, "k").withColumn("band", F.when(F.col("total") > F.col("block"), F.floor(F.log("n") / width)).otherwise(0).cast("long"))
@@ -302,7 +308,7 @@ def peel(met: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
 
 
 def rarest(grams: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Groups (gram, k, comp) from all grams (gram, k) of some documents (k, n, comp): links between components share a gram of them.
+    """Groups (gram, k, comp, times) from all grams (gram, k) of some documents (k, n, comp): links between components share a gram of them.
 
     A link of document a shares at least percent hundredths of a's grams, all of them with other components. Of as many grams in
     a common order, here the rarest first, all but that number less one can be left out.
@@ -314,7 +320,13 @@ def rarest(grams: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     full = met.groupBy("k").agg(F.count(F.lit(1)).alias("left"), F.first("n").alias("n")).where(F.col("left") >= need).select("k", "left")
     order = F.row_number().over(Window.partitionBy("k").orderBy("times", "gram"))
     met = met.join(full, "k").withColumn("place", order).where(F.col("place") <= F.col("left") - need + 1)
-    return materialise(met.select("gram", "k", "comp"), "groups")
+    return materialise(met.select("gram", "k", "comp", "times"), "groups")
+
+
+def mixed(groups: DataFrame) -> DataFrame:
+    """Groups that hold several components."""
+    some = groups.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("gram")
+    return groups.join(some, "gram").select("gram", "k", "comp")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,15 +369,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
         named = found.join(own, "a").groupBy("b").agg(F.min("name").alias("name"))
         comp = materialise(comp.join(named, comp["k"] == named["b"], "left").select("k", "n", F.coalesce("name", "comp").alias("comp")), "names")
     groups = rarest(whole.select("k", F.explode("grams").alias("gram")), comp, percent)
-    some = materialise(verify(candidate_pairs(groups, whole.join(groups.select("k").distinct(), "k"), percent, most=SOME), whole, percent), "some-links")
-    # what is linked by now is one component, of which nothing more is compared
-    near = connected_components(some.unionByName(comp.where("k <> comp").select(F.col("k").alias("a"), F.col("comp").alias("b"))))
-    groups = groups.join(near, groups["k"] == near["node"], "left").select("gram", "k", F.coalesce("component", "comp").alias("comp"))
-    groups = materialise(groups, "regrouped")
-    mixed = groups.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("gram")
-    groups = groups.join(mixed, "gram")
-    found = materialise(verify(candidate_pairs(groups, whole.join(groups.select("k").distinct(), "k"), percent), whole, percent), "tree-links")
-    links = links.unionByName(some)
+    marks = materialise(whole.join(groups.select("k").distinct(), "k").mapInArrow(_signatures, "k long, n long, bits binary"), "marks")
+    names = comp.where("k <> comp").select(F.col("k").alias("a"), F.col("comp").alias("b"))
+    largest = groups.groupBy("k").agg(F.max(F.struct("times", "gram", "comp")).alias("x")).select("k", "x.gram", "x.comp")
+    for few in (largest, None):
+        some = materialise(verify(candidate_pairs(mixed(groups if few is None else few), marks, percent, most=SOME), whole, percent), "some-links")
+        links = links.unionByName(some)
+        # what is linked by now is one component, of which nothing more is compared
+        names = materialise(connected_components(names.unionByName(some)).select(F.col("node").alias("a"), F.col("component").alias("b")), "names")
+        groups = materialise(groups.join(names, groups["k"] == names["a"], "left").select("gram", "k", F.coalesce("b", "comp").alias("comp")), "groups")
+    found = materialise(verify(candidate_pairs(mixed(groups), marks, percent), whole, percent), "tree-links")
     final = materialise(connected_components(links.unionByName(found)), "components")
     least = final.join(sets.select(F.col("k").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
     named = final.join(least, "component").select("node", "least")

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from fernwerk.llm import kernels as K
-from fernwerk.llm.ngram_join import SignatureTree, _whole, bitmaps, candidate_pairs, dual_traversal, jaccard_components
+from fernwerk.llm.ngram_join import SignatureTree, _signatures, _whole, bitmaps, candidate_pairs, dual_traversal, jaccard_components
 from fernwerk.llm.repeats import exact_words, longest_previous_factors, lpf_heads, smaller, suffix_order
 from fernwerk.llm.substring_dedup import passage_dedup, suffix_array_dedup
 
@@ -205,7 +205,7 @@ def test_blocks_of_a_large_group_lose_no_pair(spark, words):
     docs += [(100 + i, " ".join([*docs[i][1].split(), *(f"v{i}-{j}" for j in range(8))])) for i in range(10)]
     groups = spark.createDataFrame([(1, i, i) for i, _ in docs], "gram long, k long, comp long")
     texts = spark.createDataFrame(docs, "k long, text string").repartition(1)
-    whole = texts.mapInArrow(_whole(5), "k long, grams array<long>")
+    whole = texts.mapInArrow(_whole(5), "k long, grams array<long>").mapInArrow(_signatures, "k long, n long, bits binary")
     one = {tuple(r) for r in candidate_pairs(groups, whole, 80).collect()}
     assert {tuple(r) for r in candidate_pairs(groups, whole, 80, block=4).collect()} == one
     sets = {i: gram_set(t) for i, t in docs}
