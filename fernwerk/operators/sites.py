@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fernwerk.functions.curves import aspect_score, trapezoid, weighted_mean
 from fernwerk.operators.graph import connected_components
+from fernwerk.operators.spatial import within
 from fernwerk.operators.stats import exact_percentile
 
 
@@ -125,6 +127,12 @@ def ranked(sites: DataFrame, limit: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def nearby_counts(sites: DataFrame, records: DataFrame, radius: float, key: str) -> DataFrame:
+    """(key, nearby, nearby_exact): records (x, y, weight) no further from each site (sx, sy) than the radius, and those of full weight."""
+    near = within(records.select("x", "y", "weight"), sites.select(key, "sx", "sy"), radius, ("x", "y"), ("sx", "sy")).groupBy(key).agg(F.count(F.lit(1)).alias("nearby"), F.count_if(F.col("weight") >= 1).alias("nearby_exact"))
+    return sites.select(key).join(near, key, "left").fillna(0, ["nearby", "nearby_exact"])
+
+
 def visible(sites: DataFrame, min_score: float = 0.0, max_drive: float = 90.0, max_hike: float = 6.0, elevation: tuple[float, float] = (0, 9000), hide_flagged: bool = False, hide_cut: bool = False) -> DataFrame:
     """The map's filters: missing drive, hike or height pass; recent cuts are those of under 45 years."""
     ok = (F.col("score") >= min_score) & F.coalesce(F.col("drive_minutes") <= max_drive, F.lit(True)) & F.coalesce(F.col("hike_km") <= max_hike, F.lit(True)) & F.coalesce(F.col("elevation_m").between(*elevation), F.lit(True))
@@ -133,3 +141,23 @@ def visible(sites: DataFrame, min_score: float = 0.0, max_drive: float = 90.0, m
     if hide_cut:
         ok = ok & ~(F.col("on_cutblock") & F.coalesce(F.col("years_since_logging") < 45, F.lit(False)))
     return sites.where(ok)
+
+
+def candidate_surfaces(cells: DataFrame, habitat: str, extras: list[str], weights: dict[str, float], terrain: dict) -> DataFrame:
+    """(row, col, surface, value) of every surface that is worth testing against records; a missing value is a rejected cell.
+
+    cells: row, col, z, slope, aspect and score_terrain, score_<habitat>, score_<extra>. Surfaces: habitat (terrain, the habitat
+    layer and the optional ones, blended by their weights where all are known; neither access nor sightings), terrain, its
+    fits of elevation, slope and aspect, the habitat layer and each optional layer. One pass, one row a cell and surface.
+    """
+    parts = {k: F.col(f"score_{k}") for k in ("terrain", habitat, *extras)}
+    e, s, a = terrain["elevation_m"], terrain["slope_deg"], terrain["aspect"]
+    surfaces = {
+        "habitat": rejected(weighted_mean(parts, {k: weights[k] for k in parts}), *parts.values()),
+        "terrain": parts["terrain"],
+        "elevation": trapezoid(F.col("z"), e.get("hard_min"), e["optimal_min"], e["optimal_max"], e.get("hard_max")),
+        "slope": trapezoid(F.col("slope"), None, s["optimal_min"], s["optimal_max"], s["hard_max"]),
+        "aspect": aspect_score(F.col("aspect"), F.col("slope"), a["optimal_bearing_deg"], a["tolerance_deg"], a["flat_slope_deg"]),
+    } | {k: parts[k] for k in (habitat, *extras)}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("surface"), v.cast("double").alias("value")) for k, v in surfaces.items())))
+    return cells.select("row", "col", each.alias("s")).select("row", "col", "s.surface", "s.value")

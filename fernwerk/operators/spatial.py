@@ -57,6 +57,20 @@ class Grid:
         return max(round(min_ha / self.cell_ha), 1), int(max_ha / self.cell_ha), max(round(separation_m / self.resolution), 1)
 
 
+def snapped(left: Column, bottom: Column, right: Column, top: Column, resolution: float) -> list[Column]:
+    """left_, top, rows and cols of `Grid.around` as columns."""
+    res = num(resolution)
+    x0, y0, x1, y1 = (f(c / res) * res for f, c in ((F.floor, left), (F.floor, bottom), (F.ceil, right), (F.ceil, top)))
+    return [x0.cast("double").alias("left_"), y1.cast("double").alias("top"), F.round((y1 - y0) / res).cast("int").alias("rows"), F.round((x1 - x0) / res).cast("int").alias("cols")]
+
+
+def site_limits(resolution: Column, min_ha: float, max_ha: float, separation_m: float) -> list[Column]:
+    """cell_ha, and the limits of `Grid.site_limits`, as columns."""
+    ha = resolution * resolution / num(10_000)
+    least, spacing = (F.greatest(F.bround(x, 0).cast("int"), F.lit(1)) for x in (num(min_ha) / ha, num(separation_m) / resolution))
+    return [ha.alias("cell_ha"), least.alias("min_cells"), (num(max_ha) / ha).cast("int").alias("max_cells"), spacing.alias("spacing")]
+
+
 def utm_zone(lon: float) -> int:
     return int((lon + 180) // 6) + 1
 
@@ -175,6 +189,23 @@ def line_cells(lines: DataFrame, grid: Grid, x0: str = "x0", y0: str = "y0", x1:
     return rows.where(keep).drop("_u0", "_v0", "_u1", "_v1")
 
 
+def segments(lines: DataFrame, parts: str) -> DataFrame:
+    """Segments (part, place, x0, y0, x1, y1) of lines of several parts (arrays of arrays of points x, y); other columns stay."""
+    rest = [c for c in lines.columns if c != parts]
+    rows = lines.select(*rest, F.posexplode(parts).alias("part", "_pts"))
+    nxt = F.slice("_pts", F.lit(2), F.greatest(F.size("_pts") - 1, F.lit(0)))
+    pairs = F.filter(F.arrays_zip(F.col("_pts").alias("a"), nxt.alias("b")), lambda s: s["b"].isNotNull())
+    rows = rows.select(*rest, "part", F.posexplode(pairs).alias("place", "_s"))
+    return rows.select(*rest, "part", "place", *(F.col(f"_s.{e}.{c}").alias(f"{c}{i}") for i, e in enumerate("ab") for c in "xy"))
+
+
+def touched_cells(polygons: DataFrame, grid: Grid, rings: str = "rings") -> DataFrame:
+    """(row, col) of all cells that any polygon touches: those whose centre is inside, and those that an edge passes through."""
+    closed = F.transform(F.col(rings), lambda r: F.concat(r, F.slice(r, 1, 1)))
+    edges = segments(polygons.select(closed.alias("_rings")), "_rings")
+    return polygon_cells(polygons, grid, rings).select("row", "col").union(line_cells(edges, grid).select("row", "col")).distinct()
+
+
 def rectangle_cells(boxes: DataFrame) -> DataFrame:
     """Rectangles (row0, col0, row1, col1 inclusive) with their cells."""
     return boxes.withColumn("row", F.explode(F.sequence("row0", "row1"))).withColumn("col", F.explode(F.sequence("col0", "col1")))

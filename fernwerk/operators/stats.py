@@ -179,17 +179,25 @@ def permutation_p(units: DataFrame, replicates: int, seed: int = 20240802) -> Da
 
 def random_cells(cells: DataFrame, n: int, seed: int = 20240802) -> DataFrame:
     """At most n cells without replacement, the same at every run: the first by a hash of row, column and seed."""
-    return cells.orderBy(F.xxhash64("row", "col", F.lit(seed)), "row", "col").limit(n)
+    return cells.orderBy(draw(F.col("row").cast("long"), F.col("col").cast("long"), seed), "row", "col").limit(n)
 
 
 MIN_TARGET_CLUSTERS, MIN_CONTRAST_CLUSTERS = 10, 5
 
 
-def enough(samples: DataFrame) -> tuple[bool, bool]:
-    """Whether there are clusters enough to judge the target at all, and to compare it with the contrast."""
+def sample_guard(samples: DataFrame) -> DataFrame:
+    """One row: whether there are clusters enough to judge the target at all, and to compare it with the contrast."""
     n = lambda c: F.count_distinct(F.when(c, F.col("cluster")))
-    row = samples.agg(n(F.col("positive")), n(~F.col("positive"))).first()
-    return row[0] >= MIN_TARGET_CLUSTERS, row[1] >= MIN_CONTRAST_CLUSTERS
+    return samples.agg((n(F.col("positive")) >= MIN_TARGET_CLUSTERS).alias("enough_target"), (n(~F.col("positive")) >= MIN_CONTRAST_CLUSTERS).alias("enough_contrast"))
+
+
+def enough(samples: DataFrame) -> tuple[bool, bool]:
+    return tuple(sample_guard(samples).first())
+
+
+def group_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, median, low, high) of the known values of each group."""
+    return rows.where(F.col(value).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
 def validation_report(samples: DataFrame, replicates: int = 2000, seed: int = 20240802) -> DataFrame:

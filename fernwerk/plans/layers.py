@@ -25,15 +25,18 @@ def query(sql: str | None = None, *names: str):
     return add
 
 
-@query("SELECT 450000.0::DOUBLE AS left_, 5455020.0::DOUBLE AS top, 34 AS rows, 41 AS cols")
+@query("""SELECT coalesce(taxon, '') AS taxon, floor(min(x) / 30) * 30 AS left_, ceil(max(y) / 30) * 30 AS top, CAST(round((ceil(max(y) / 30) * 30 - floor(min(y) / 30) * 30) / 30) AS INT) AS rows, CAST(round((ceil(max(x) / 30) * 30 - floor(min(x) / 30) * 30) / 30) AS INT) AS cols
+  FROM (SELECT taxon, x + 7.5::DOUBLE AS x, y - 3.25::DOUBLE AS y FROM v_observations) GROUP BY 1""", "observations")
 def p01_snap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = S.Grid.around(450_012.0, 5_454_001.0, 451_201.0, 5_455_001.0, 30.0)
-    return spark.createDataFrame([(g.left, g.top, g.rows, g.cols)], "left_ double, top double, rows int, cols int")
+    """The grid around the records of each taxon: bounds moved outward to whole cells."""
+    obs = V.observations(spark, sf_dir).select(F.coalesce("taxon", F.lit("")).alias("taxon"), (F.col("x") + 7.5).alias("x"), (F.col("y") - 3.25).alias("y"))
+    box = obs.groupBy("taxon").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    return box.select("taxon", *S.snapped(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), 30.0))
 
 
-@query("SELECT CAST(i // 150 AS INT) AS row, CAST(i % 150 AS INT) AS col, (i % 150 + 0.5::DOUBLE) * 100 AS x, 12000 - (i // 150 + 0.5::DOUBLE) * 100 AS y FROM (SELECT range AS i FROM range(18000))")
+@query("SELECT row, col, (col + 0.5::DOUBLE) * 100 AS x, 12000 - (row + 0.5::DOUBLE) * 100 AS y FROM v_wide", "wide")
 def p02_cell_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return GRID.cells(spark)
+    return V.wide(spark, sf_dir).select("row", "col", GRID.x(F.col("col")).alias("x"), GRID.y(F.col("row")).alias("y"))
 
 
 SQL_CELL = "SELECT id, CAST(trunc((12000 - y) / 100) AS INT) AS row, CAST(trunc(x / 100) AS INT) AS col FROM (SELECT id, x - 60 AS x, y + 45 AS y FROM v_observations) WHERE trunc((12000 - y) / 100) BETWEEN 0 AND 119 AND trunc(x / 100) BETWEEN 0 AND 149"
@@ -56,20 +59,26 @@ def p05_polygon_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.polygon_cells(polys, GRID).select("poly_id", "row", "col")
 
 
-@query("""WITH src AS (SELECT row, col, z FROM v_terrain), dst AS (SELECT CAST(r.i AS INT) AS row, CAST(c.i AS INT) AS col, (r.i + 0.5) * 0.8::DOUBLE - 0.5 AS v, (c.i + 0.5) * 1.25::DOUBLE - 0.5 AS u
-  FROM range(40) r(i), range(38) c(i)), four AS (SELECT d.row, d.col, s.z, (1 - abs(u - s.col)) * (1 - abs(v - s.row)) AS w FROM dst d JOIN src s
+SQL_TARGET = "dst AS (SELECT row, col, (row + 0.5::DOUBLE) * 0.8::DOUBLE - 0.5 AS v, (col + 0.5::DOUBLE) * 1.25::DOUBLE - 0.5 AS u FROM v_smooth WHERE col * 1.25::DOUBLE <= 49)"
+
+
+def target_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of another grid, each with the place of its centre in the grid of the terrain."""
+    own = V.smooth(spark, sf_dir).where(F.col("col") * 1.25 <= 49).select("row", "col")
+    return own.withColumn("v", (F.col("row") + 0.5) * 0.8 - 0.5).withColumn("u", (F.col("col") + 0.5) * 1.25 - 0.5)
+
+
+@query(f"""WITH {SQL_TARGET}, four AS (SELECT d.row, d.col, s.z, (1 - abs(u - s.col)) * (1 - abs(v - s.row)) AS w FROM dst d JOIN v_terrain s
   ON s.row BETWEEN floor(v) AND floor(v) + 1 AND s.col BETWEEN floor(u) AND floor(u) + 1)
-  SELECT row, col, round(sum(z * w) / sum(w), 6) + 0.0::DOUBLE AS z FROM four WHERE z IS NOT NULL AND w > 0 GROUP BY 1, 2""", "terrain")
+  SELECT d.row, d.col, f.z FROM dst d LEFT JOIN (SELECT row, col, round(sum(z * w) / sum(w), 6) + 0.0::DOUBLE AS z FROM four WHERE z IS NOT NULL AND w > 0 GROUP BY 1, 2) f ON f.row = d.row AND f.col = d.col""", "terrain", "smooth")
 def p06_bilinear_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Another grid's cells from the four cells around their centres, by known weights."""
-    src = V.terrain(spark, sf_dir).select(F.col("row").alias("r"), F.col("col").alias("c"), "z").where("z is not null")
-    dst = spark.range(40 * 38).select(F.expr("cast(id div 38 as int)").alias("row"), (F.col("id") % 38).cast("int").alias("col"))
-    v, u = (F.col("row") + 0.5) * 0.8 - 0.5, (F.col("col") + 0.5) * 1.25 - 0.5
-    dst = dst.withColumn("v", v).withColumn("u", u)
-    near = F.array(*(F.struct((F.floor("v") + a).cast("int").alias("r"), (F.floor("u") + b).cast("int").alias("c")) for a in (0, 1) for b in (0, 1)))
-    four = dst.withColumn("s", F.explode(near)).select("row", "col", "u", "v", "s.r", "s.c").join(src, ["r", "c"])
-    w = (1 - F.abs(F.col("u") - F.col("c"))) * (1 - F.abs(F.col("v") - F.col("r")))
-    return four.withColumn("w", w).where("w > 0").groupBy("row", "col").agg(r6(F.sum(F.col("z") * F.col("w")) / F.sum("w")).alias("z"))
+    """Another grid's cells from the four cells around their centres."""
+    return T.warp(V.terrain(spark, sf_dir), target_cells(spark, sf_dir), "z").select("row", "col", r6(F.col("z")).alias("z"))
+
+
+@query(f"""WITH {SQL_TARGET} SELECT d.row, d.col, s.slope FROM dst d LEFT JOIN v_terrain s ON s.row = floor(v + 0.5) AND s.col = floor(u + 0.5)""", "terrain", "smooth")
+def p06_nearest_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.warp(V.terrain(spark, sf_dir), target_cells(spark, sf_dir), "slope", "nearest")
 
 
 @query("""SELECT segment_id, round(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 6) AS metres, round(greatest(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / 1000
@@ -82,31 +91,61 @@ def p08_segment_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.select("segment_id", r6(F.col("m")).alias("metres"), r6(drive_minutes(F.col("m"), F.coalesce("class", F.lit("unknown")))).alias("minutes"))
 
 
-@query("""SELECT line_id, CAST(part AS INT) AS part, n FROM (SELECT s_suppkey AS line_id, unnest(range(CAST(s_suppkey % 3 AS BIGINT))) AS part, s_suppkey % 4 AS n FROM supplier) WHERE n >= 2""")
+@query("""SELECT line_id, CAST(part AS INT) AS part, CAST(i AS INT) AS place, (line_id + i) * 1.0::DOUBLE AS x0, part * 10.0::DOUBLE AS y0, (line_id + i + 1) * 1.0::DOUBLE AS x1, part * 10.0::DOUBLE AS y1 FROM (SELECT s_suppkey AS line_id, unnest(range(CAST(s_suppkey % 3 AS BIGINT))) AS part, s_suppkey % 4 AS n FROM supplier), LATERAL (SELECT unnest(range(n - 1)) AS i)""")
 def p07_line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of multi-lines; parts of fewer than two points are no lines."""
-    point = F.transform(F.sequence(F.lit(0).cast("long"), F.col("s_suppkey") % 4), lambda i: F.struct(i.cast("double").alias("x"), i.cast("double").alias("y")))
-    pts = F.slice(point, F.lit(1), (F.col("s_suppkey") % 4).cast("int"))
-    parts = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (F.col("s_suppkey") % 3).cast("int")), lambda _: pts)
-    rows = V.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("line_id"), F.posexplode(parts).alias("part", "pts"))
-    return rows.where(F.size("pts") >= 2).select("line_id", "part", F.size("pts").cast("long").alias("n"))
+    """Segments of the parts of multi-lines; parts of fewer than two points are no lines."""
+    k = F.col("s_suppkey")
+    part = lambda j: F.transform(F.slice(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")), F.lit(1), (k % 4).cast("int")), lambda i: F.struct((k + i).cast("double").alias("x"), (j * 10).cast("double").alias("y")))
+    parts = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (k % 3).cast("int")), part)
+    return S.segments(V.read(spark, sf_dir, "supplier").select(k.alias("line_id"), parts.alias("parts")), "parts").select("line_id", "part", "place", "x0", "y0", "x1", "y1")
 
 
-@query("SELECT 0.09::DOUBLE AS cell_ha, 6 AS min_cells, 2777 AS max_cells, 20 AS spacing")
+@query("SELECT k, r * r / 10000 AS cell_ha, CAST(greatest(round_even(0.5 / (r * r / 10000), 0), 1) AS INT) AS min_cells, CAST(floor(250 / (r * r / 10000)) AS INT) AS max_cells, CAST(greatest(round_even(600 / r, 0), 1) AS INT) AS spacing FROM (SELECT s_suppkey AS k, 7.0::DOUBLE + s_suppkey % 90 AS r FROM supplier)")
 def p10_site_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = S.Grid(0, 0, 30.0, 1, 1)
-    return spark.createDataFrame([(g.cell_ha, *g.site_limits(0.5, 250, 600))], "cell_ha double, min_cells int, max_cells int, spacing int")
+    """Least and most cells of a site and the spacing of peaks, by the size of a cell."""
+    rows = V.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (7.0 + F.col("s_suppkey") % 90).alias("r"))
+    return rows.select("k", *S.site_limits(F.col("r"), 0.5, 250, 600))
+
 
+SQL_KRUEGER = """e AS (SELECT 1 / 298.257222101::DOUBLE AS f, 6378137.0::DOUBLE AS axis), n AS (SELECT *, f / (2 - f) AS n, sqrt(f * (2 - f)) AS ecc FROM e),
+  k AS (SELECT *, axis / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64 + n ** 6 / 256) * 0.9996::DOUBLE AS scale,
+    [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 - 127 * n ** 5 / 288 + 7891 * n ** 6 / 37800, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 + 281 * n ** 5 / 630 - 1983433 * n ** 6 / 1935360,
+     61 * n ** 3 / 240 - 103 * n ** 4 / 140 + 15061 * n ** 5 / 26880 + 167603 * n ** 6 / 181440, 49561 * n ** 4 / 161280 - 179 * n ** 5 / 168 + 6601661 * n ** 6 / 7257600] AS al FROM n),
+  o AS (SELECT id, radians(48.9::DOUBLE + y / 10000) AS phi, radians(-118.5::DOUBLE + x / 10000 + 117) AS lam FROM v_observations),
+  c AS (SELECT id, lam, al, scale, sinh(atanh(sin(phi)) - ecc * atanh(ecc * sin(phi))) AS t FROM o, k), p AS (SELECT *, atan2(t, cos(lam)) AS xi, asinh(sin(lam) / sqrt(t * t + cos(lam) ** 2)) AS eta FROM c)"""
 
-@query("SELECT count(*) AS points, 0 AS moved FROM v_observations", "observations")
-def p04_projection_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records to UTM zone 11 and back: none moves by a millionth of a second of arc."""
-    obs = V.observations(spark, sf_dir).select((-118.5 + F.col("x") / 10_000).alias("lon"), (48.9 + F.col("y") / 10_000).alias("lat"))
+
+@query(f"""WITH {SQL_KRUEGER} SELECT id, round(500000 + scale * (eta + al[1] * cos(2 * xi) * sinh(2 * eta) + al[2] * cos(4 * xi) * sinh(4 * eta) + al[3] * cos(6 * xi) * sinh(6 * eta) + al[4] * cos(8 * xi) * sinh(8 * eta)), 3) AS x,
+  round(scale * (xi + al[1] * sin(2 * xi) * cosh(2 * eta) + al[2] * sin(4 * xi) * cosh(4 * eta) + al[3] * sin(6 * xi) * cosh(6 * eta) + al[4] * sin(8 * xi) * cosh(8 * eta)), 3) AS y, true AS returns FROM p""", "observations")
+def p04_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in UTM zone 11, to the millimetre; the way back moves none by a millionth of a second of arc."""
+    obs = V.observations(spark, sf_dir).select("id", (-118.5 + F.col("x") / 10_000).alias("lon"), (48.9 + F.col("y") / 10_000).alias("lat"))
     x, y = S.to_utm(F.col("lon"), F.col("lat"), 11)
-    back = obs.select("lon", "lat", x.alias("x"), y.alias("y"))
+    back = obs.select("id", "lon", "lat", x.alias("x"), y.alias("y"))
     lon, lat = S.from_utm(F.col("x"), F.col("y"), 11)
-    moved = (F.abs(lon - F.col("lon")) > 3e-10) | (F.abs(lat - F.col("lat")) > 3e-10)
-    return back.agg(F.count(F.lit(1)).alias("points"), F.count_if(moved).cast("int").alias("moved"))
+    stays = (F.abs(lon - F.col("lon")) < 3e-10) & (F.abs(lat - F.col("lat")) < 3e-10)
+    return back.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), stays.alias("returns"))
+
+
+#: An equal-area cone by the eccentricity and authalic latitudes.
+SQL_ALBERS = """a0 AS (SELECT 6378137.0::DOUBLE AS axis, 1 / 298.257222101::DOUBLE AS f), a1 AS (SELECT *, f * (2 - f) AS e2, sqrt(f * (2 - f)) AS ecc, radians(50.0::DOUBLE) AS p1, radians(58.5::DOUBLE) AS p2, radians(45.0::DOUBLE) AS p0 FROM a0),
+  a2 AS (SELECT *, cos(p1) ** 2 / (1 - e2 * sin(p1) ** 2) AS m1, cos(p2) ** 2 / (1 - e2 * sin(p2) ** 2) AS m2, (1 - e2) * (sin(p1) / (1 - e2 * sin(p1) ** 2) + atanh(ecc * sin(p1)) / ecc) AS q1,
+    (1 - e2) * (sin(p2) / (1 - e2 * sin(p2) ** 2) + atanh(ecc * sin(p2)) / ecc) AS q2, (1 - e2) * (sin(p0) / (1 - e2 * sin(p0) ** 2) + atanh(ecc * sin(p0)) / ecc) AS q0 FROM a1),
+  a3 AS (SELECT *, (m1 - m2) / (q2 - q1) AS n FROM a2), a4 AS (SELECT *, m1 + n * q1 AS c FROM a3),
+  ob AS (SELECT id, -118.5::DOUBLE + x / 10000 AS lon, radians(48.9::DOUBLE + y / 10000) AS phi FROM v_observations),
+  ab AS (SELECT id, 1000000 + axis / n * sqrt(c - n * (1 - e2) * (sin(phi) / (1 - e2 * sin(phi) ** 2) + atanh(ecc * sin(phi)) / ecc)) * sin(n * radians(lon + 126)) AS x,
+    axis / n * sqrt(c - n * q0) - axis / n * sqrt(c - n * (1 - e2) * (sin(phi) / (1 - e2 * sin(phi) ** 2) + atanh(ecc * sin(phi)) / ecc)) * cos(n * radians(lon + 126)) AS y FROM ob, a4)"""
+
+
+def albers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = V.observations(spark, sf_dir)
+    x, y = S.to_albers(-118.5 + F.col("x") / 10_000, 48.9 + F.col("y") / 10_000)
+    return obs.select("id", x.alias("x"), y.alias("y"))
+
+
+@query(f"WITH {SQL_ALBERS} SELECT id, round(x, 3) AS x, round(y, 3) AS y FROM ab", "observations")
+def p04_albers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return albers(spark, sf_dir).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query("SELECT row, col, z, coalesce(z BETWEEN 1300 AND 2500, false) AS ok_elevation, coalesce(slope <= 35, false) AS ok_slope FROM v_terrain", "terrain")
@@ -212,9 +251,23 @@ def j01_aligned_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_BOX = "(SELECT *, r AS row, c AS col FROM (SELECT *, unnest(range({v}.row0, {v}.row1 + 1)) AS r FROM {v}), LATERAL (SELECT unnest(range(col0, col1 + 1)) AS c))"
 
 
-@query("SELECT CAST(t.row AS INT) AS row, CAST(t.col AS INT) AS col, coalesce(min(poly_id), -1) AS poly_id FROM v_terrain t LEFT JOIN " + SQL_BOX.format(v="v_tenure") + " p ON p.row = t.row AND p.col = t.col GROUP BY 1, 2", "terrain", "tenure")
+SQL_TRIANGLE = "tri AS (SELECT poly_id, col0 * 100.0::DOUBLE + 13 AS ax, 12000 - row0 * 100.0::DOUBLE - 11 AS ay, col1 * 100.0::DOUBLE + 371 AS bx, 12000 - row0 * 100.0::DOUBLE - 67 AS by_, col0 * 100.0::DOUBLE + 153 AS cx, 11900 - row1 * 100.0::DOUBLE - 217 AS cy FROM v_tenure)"
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triangle of each tenure polygon, whose sides pass through no centre or corner of a cell."""
+    c0, c1, r0, r1 = (F.col(c) * 100.0 for c in ("col0", "col1", "row0", "row1"))
+    ring = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((c0 + 13, 12_000 - r0 - 11), (c1 + 371, 12_000 - r0 - 67), (c0 + 153, 11_900 - r1 - 217))))
+    return V.tenure(spark, sf_dir).select("poly_id", F.array(ring).alias("rings"))
+
+
+@query(f"""WITH {SQL_TRIANGLE}, c AS (SELECT row, col, col * 100.0::DOUBLE + 50 AS x, 11950 - row * 100.0::DOUBLE AS y FROM v_terrain),
+  s AS (SELECT c.row, c.col, poly_id, (bx - ax) * (y - ay) - (by_ - ay) * (x - ax) AS u, (cx - bx) * (y - by_) - (cy - by_) * (x - bx) AS v, (ax - cx) * (y - cy) - (ay - cy) * (x - cx) AS w FROM c JOIN tri ON x BETWEEN ax AND bx AND y BETWEEN cy AND ay)
+  SELECT c.row, c.col, coalesce(min(poly_id), -1) AS poly_id FROM c LEFT JOIN s ON s.row = c.row AND s.col = c.col AND (u > 0 AND v > 0 AND w > 0 OR u < 0 AND v < 0 AND w < 0) GROUP BY 1, 2""", "terrain", "tenure")
 def j02_polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = S.rectangle_cells(V.tenure(spark, sf_dir)).groupBy("row", "col").agg(F.min("poly_id").alias("poly_id"))
+    """Each cell with the least polygon that its centre lies in, -1 for none."""
+    grid = S.Grid(0.0, 12_000.0, 100.0, 1 << 20, 50)
+    p = S.polygon_cells(triangles(spark, sf_dir), grid).groupBy("row", "col").agg(F.min("poly_id").alias("poly_id"))
     return V.terrain(spark, sf_dir).select("row", "col").join(p, ["row", "col"], "left").select("row", "col", F.coalesce("poly_id", F.lit(-1).cast("long")).alias("poly_id"))
 
 
@@ -380,24 +433,32 @@ def w06_local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.local_maxima(V.wide(spark, sf_dir), 4).select("row", "col")
 
 
-@query("SELECT row, col, z FROM v_terrain WHERE (61.2 - (col + 0.5)) / 2 > row + 0.5 AND col + 0.5 > 4.2 AND row < 100", "terrain")
+@query(f"""WITH {SQL_TRIANGLE}, c AS (SELECT row, col, z, col * 100.0::DOUBLE AS x0, 11900 - row * 100.0::DOUBLE AS y0, col * 100.0::DOUBLE + 100 AS x1, 12000 - row * 100.0::DOUBLE AS y1 FROM v_terrain),
+  side AS (SELECT poly_id, ax AS px, ay AS py, bx AS qx, by_ AS qy, cx AS ox, cy AS oy FROM tri UNION ALL SELECT poly_id, bx, by_, cx, cy, ax, ay FROM tri UNION ALL SELECT poly_id, cx, cy, ax, ay, bx, by_ FROM tri),
+  apart AS (SELECT c.row, c.col, poly_id, bool_or(CASE WHEN (qx - px) * (oy - py) - (qy - py) * (ox - px) > 0
+      THEN greatest((qx - px) * (y0 - py) - (qy - py) * (x0 - px), (qx - px) * (y1 - py) - (qy - py) * (x0 - px), (qx - px) * (y0 - py) - (qy - py) * (x1 - px), (qx - px) * (y1 - py) - (qy - py) * (x1 - px)) < 0
+      ELSE least((qx - px) * (y0 - py) - (qy - py) * (x0 - px), (qx - px) * (y1 - py) - (qy - py) * (x0 - px), (qx - px) * (y0 - py) - (qy - py) * (x1 - px), (qx - px) * (y1 - py) - (qy - py) * (x1 - px)) > 0 END) AS apart
+    FROM side JOIN c ON c.x1 >= least(px, qx, ox) AND c.x0 <= greatest(px, qx, ox) AND c.y1 >= least(py, qy, oy) AND c.y0 <= greatest(py, qy, oy) GROUP BY 1, 2, 3)
+  SELECT c.row, c.col, z FROM c WHERE EXISTS (SELECT 1 FROM apart a WHERE a.row = c.row AND a.col = c.col AND NOT apart)""", "terrain", "tenure")
 def f01_area_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells with their centre in a triangle whose sides pass between centres."""
-    g = S.Grid(0.0, 100.0, 1.0, 100, 50)
-    ring = [{"x": x, "y": y} for x, y in ((4.2, 100.0), (61.2, 100.0), (4.2, 71.5))]
-    polys = spark.createDataFrame([([ring],)], "rings array<array<struct<x:double,y:double>>>")
-    area = S.polygon_cells(polys, g).select("row", "col")
+    """Cells that an area of triangles touches, be it with a corner."""
+    area = S.touched_cells(triangles(spark, sf_dir), S.Grid(0.0, 12_000.0, 100.0, 1 << 20, 50))
     return V.terrain(spark, sf_dir).join(area, ["row", "col"], "left_semi").select("row", "col", "z")
 
 
-@query("SELECT count(*) AS lines, count(*) * 2 AS points FROM supplier")
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 10 > 4 THEN 3 ELSE 2 END AS points, CASE WHEN s_suppkey % 10 > 4 THEN s_suppkey + 2.0::DOUBLE ELSE s_suppkey + 4.0::DOUBLE END AS second FROM supplier")
 def p11_simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of five points within a tolerance of their chord keep their ends only."""
+    """Lines over a peak in their middle: it is kept where it is higher than the tolerance, and the points on the slopes are not."""
     from fernwerk.sources.sinks import simplified
 
-    pts = F.array(*(F.struct((F.col("s_suppkey") + i).cast("double").alias("x"), F.lit(0.1 * (i % 2)).alias("y")) for i in range(5)))
-    out = simplified(V.read(spark, sf_dir, "supplier").select("s_suppkey", pts.alias("pts")), 0.5)
-    return out.agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("pts")).alias("points"))
+    k = F.col("s_suppkey")
+    pts = F.array(*(F.struct((k + i).cast("double").alias("x"), ((2 - abs(i - 2)) * (k % 10) / 8.0).alias("y")) for i in range(5)))
+    out = simplified(V.read(spark, sf_dir, "supplier").select(k.alias("k"), pts.alias("pts")), 1.1)
+    return out.select("k", F.size("pts").alias("points"), F.col("pts")[1]["x"].alias("second"))
 
 
-QUERIES["f03_slope_bound"], ORACLES["f03_slope_bound"] = f02_hard_bounds, ORACLES["f02_hard_bounds"]
+@query("SELECT row, col, CASE WHEN slope IS NULL THEN NULL WHEN slope <= 35 THEN slope END AS slope, coalesce(slope > 35, true) AS rejected FROM v_terrain", "terrain")
+def f03_slope_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground steeper than the bound, or of unknown slope, is rejected; the bound itself is not."""
+    ok = F.coalesce(F.col("slope") <= 35, F.lit(False))
+    return V.terrain(spark, sf_dir).select("row", "col", F.when(ok, F.col("slope")).alias("slope"), (~ok).alias("rejected"))

@@ -8,6 +8,7 @@ from fernwerk.functions import labels as L
 from fernwerk.operators import sites as Z, stats as A
 from fernwerk.plans import views as V
 from fernwerk.plans.credits import r6
+from fernwerk.plans.layers import SQL_ALBERS, albers
 from fernwerk.plans.routes import SQL_SITES, ranked_sites
 from fernwerk.plans.views import oracle
 from fernwerk.sources import profiles as P, sinks as K, tables as T
@@ -40,7 +41,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_SAMPLES = """s AS (SELECT o_orderkey AS unit, o_orderstatus = 'F' AS positive, o_custkey % 40 AS cluster, o_orderkey % 17 = 0 AS rejected, k.surface,
   CASE k.surface WHEN 'score' THEN round(o_totalprice / 1000) WHEN 'terrain' THEN o_totalprice % 977 ELSE (o_orderkey % 101)::DOUBLE END AS value
-  FROM orders, (VALUES ('score'), ('terrain'), ('aspect')) k(surface) WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 5 = 0)"""
+  FROM orders, (VALUES ('score'), ('terrain'), ('aspect')) k(surface) WHERE o_orderstatus IN ('F', 'O'))"""
 
 
 @query(f"""WITH {SQL_SAMPLES}, v AS (SELECT surface, positive, CASE WHEN rejected THEN -1e300 ELSE value END AS value FROM s), r AS (SELECT *, rank() OVER (PARTITION BY surface ORDER BY value) + (count(*) OVER (PARTITION BY surface, value) - 1) / 2 AS rk FROM v)
@@ -50,8 +51,9 @@ def a13_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("surface", F.round("auc", 9).alias("auc"), "n_pos", "n_neg")
 
 
-@query(f"""WITH {SQL_SAMPLES}, n AS (SELECT value FROM s WHERE surface = 'score' AND NOT positive) SELECT unit, round((SELECT count(*) FROM n WHERE n.value < s.value) / (SELECT count(*)::DOUBLE FROM n), 9) AS percentile
-  FROM s WHERE surface = 'score' AND positive""")
+@query(f"""WITH {SQL_SAMPLES}, g AS (SELECT value, count_if(NOT positive) AS n FROM s WHERE surface = 'score' GROUP BY 1),
+  b AS (SELECT value, coalesce(sum(n) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n) OVER () AS total FROM g)
+  SELECT unit, round(below::DOUBLE / total, 9) AS percentile FROM s JOIN b ON b.value = s.value WHERE surface = 'score' AND positive""")
 def a14_percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir).where("surface = 'score'")
     out = A.percentile_rank(s.where("positive").select("unit", "value"), "value", s.where("not positive").select("value"), "value")
@@ -69,11 +71,12 @@ def a16_cluster_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_DRAW = "((({r} * 7919 + {i} * 104729 + 20240802) % 2147483647 * 48271) % 2147483647 * 69621) % 2147483647"
+#: Pairs in order of each pair of clusters, then weighted by how often a replicate draws them: another way than the query's.
 SQL_BOOT = f"""{SQL_SAMPLES}, c AS (SELECT positive, cluster, row_number() OVER (PARTITION BY positive ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY positive) AS n FROM (SELECT DISTINCT positive, cluster FROM s)),
-  d AS (SELECT r.replicate, c.positive, {SQL_DRAW.format(r='r.replicate', i='(c.i * 2 + c.positive::INT)')} % c.n AS i FROM c, (SELECT range AS replicate FROM range(20)) r),
-  m AS (SELECT d.replicate, s.surface, s.positive, s.value FROM d JOIN c ON c.positive = d.positive AND c.i = d.i JOIN s ON s.positive = c.positive AND s.cluster = c.cluster),
-  k AS (SELECT *, rank() OVER (PARTITION BY surface, replicate ORDER BY value) + (count(*) OVER (PARTITION BY surface, replicate, value) - 1) / 2 AS rk FROM m),
-  boot AS (SELECT surface, replicate, (sum(CASE WHEN positive THEN rk END) - count_if(positive) * (count_if(positive) + 1) / 2) / (count_if(positive) * count_if(NOT positive)) AS auc FROM k GROUP BY 1, 2)"""
+  d AS (SELECT replicate, positive, i, count(*) AS w FROM (SELECT r.replicate, c.positive, {SQL_DRAW.format(r='r.replicate', i='(c.i * 2 + c.positive::INT)')} % c.n AS i FROM c, (SELECT range AS replicate FROM range({REPLICATES})) r) GROUP BY 1, 2, 3),
+  x AS (SELECT s.surface, s.positive, c.i, s.value, count(*) AS m FROM s JOIN c ON c.positive = s.positive AND c.cluster = s.cluster GROUP BY 1, 2, 3, 4),
+  u AS (SELECT p.surface, p.i, q.i AS j, sum(p.m * q.m * CASE WHEN q.value < p.value THEN 1 WHEN q.value = p.value THEN 0.5::DOUBLE ELSE 0 END) AS u, sum(p.m * q.m) AS pairs FROM x p JOIN x q ON q.surface = p.surface AND p.positive AND NOT q.positive GROUP BY 1, 2, 3),
+  boot AS (SELECT u.surface, a.replicate, sum(a.w * b.w * u.u) / sum(a.w * b.w * u.pairs) AS auc FROM u JOIN d a ON a.positive AND a.i = u.i JOIN d b ON NOT b.positive AND b.i = u.j AND b.replicate = a.replicate GROUP BY 1, 2)"""
 
 
 @query(f"WITH {SQL_BOOT} SELECT surface, replicate, round(auc, 8) AS auc FROM boot")
@@ -104,11 +107,11 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SQL_SAMPLES}, u AS (SELECT cluster * 2 + positive::INT AS unit, positive, round(avg(value), 6) AS value FROM s WHERE surface = 'score' GROUP BY cluster, positive),
   i AS (SELECT *, row_number() OVER (ORDER BY unit) - 1 AS i FROM u), k AS (SELECT count_if(positive) AS k, count(*) AS n FROM u),
-  h AS (SELECT replicate, value, row_number() OVER (PARTITION BY replicate ORDER BY {SQL_DRAW.format(r='replicate', i='i')}, i) AS place FROM i, (SELECT range AS replicate FROM range(50)) r),
+  h AS (SELECT replicate, value, row_number() OVER (PARTITION BY replicate ORDER BY {SQL_DRAW.format(r='replicate', i='i')}, i) AS place FROM i, (SELECT range AS replicate FROM range({PERMUTATIONS})) r),
   a AS (SELECT replicate, rank() OVER (PARTITION BY replicate ORDER BY value) + (count(*) OVER (PARTITION BY replicate, value) - 1) / 2 AS rk, place <= k AS up FROM h, k),
   p AS (SELECT replicate, (sum(CASE WHEN up THEN rk END) - k * (k + 1) / 2) / (k * (n - k)) AS auc FROM a, k GROUP BY replicate, k, n),
   o AS (SELECT (sum(CASE WHEN positive THEN rk END) - k * (k + 1) / 2) / (k * (n - k)) AS observed FROM (SELECT *, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS rk FROM u), k GROUP BY k, n)
-  SELECT round(observed, 9) AS observed, count_if(auc >= observed - 1e-12) AS hits, round((count_if(auc >= observed - 1e-12) + 1) / 51, 9) AS p FROM p, o GROUP BY observed""")
+  SELECT round(observed, 9) AS observed, count_if(auc >= observed - 1e-12) AS hits, round((count_if(auc >= observed - 1e-12) + 1) / ({PERMUTATIONS} + 1.0::DOUBLE), 9) AS p FROM p, o GROUP BY observed""")
 def a19_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = A.permutation_p(units(spark, sf_dir), PERMUTATIONS)
     return out.select(F.round("observed", 9).alias("observed"), "hits", F.round("p", 9).alias("p"))
@@ -117,35 +120,56 @@ def a19_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROLES = {"target": "Arnica latifolia", "contrast": "Arnica cordifolia"}
 
 
+def _role() -> F.Column:
+    return F.when(L.is_target(F.col("taxon"), ROLES["target"]), "target").when(L.is_target(F.col("taxon"), ROLES["contrast"]), "contrast").alias("role")
+
+
 @query("""SELECT role, count(*) AS in_aoi, count_if(obs) AS obscured, count_if(NOT obs AND NOT precise) AS imprecise, count_if(NOT obs AND precise) AS usable FROM (
   SELECT role, coalesce(obscured, false) AS obs, coalesce(accuracy_m <= 100, false) AS precise FROM v_observations JOIN (VALUES ('target', 'Arnica latifolia'), ('contrast', 'Arnica cordifolia')) r(role, name) ON taxon = name OR taxon LIKE name || ' %') GROUP BY 1""", "observations")
 def a21_record_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    role = F.when(L.is_target(F.col("taxon"), ROLES["target"]), "target").when(L.is_target(F.col("taxon"), ROLES["contrast"]), "contrast")
-    o = V.observations(spark, sf_dir).withColumn("role", role).where("role is not null")
+    o = V.observations(spark, sf_dir).withColumn("role", _role()).where("role is not null")
     obscured, precise = F.coalesce("obscured", F.lit(False)), F.coalesce(F.col("accuracy_m") <= 100, F.lit(False))
     return o.groupBy("role").agg(F.count(F.lit(1)).alias("in_aoi"), F.count_if(obscured).alias("obscured"), F.count_if(~obscured & ~precise).alias("imprecise"), F.count_if(~obscured & precise).alias("usable"))
 
 
-@query("""SELECT o_orderstatus AS role, count(*) AS n, round(median(o_totalprice), 6) AS median, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1""")
+@query("""SELECT role, count(*) AS n, round(median(z), 6) AS median, min(z) AS low, max(z) AS high FROM (SELECT CASE WHEN taxon = 'Arnica cordifolia' THEN 'contrast' ELSE 'target' END AS role, CAST(trunc(y / 300) AS INT) AS r, CAST(trunc(x / 300) AS INT) AS c
+  FROM v_observations WHERE taxon LIKE 'Arnica latifolia%' OR taxon = 'Arnica cordifolia') o JOIN v_terrain t ON t.row = r AND t.col = c AND z IS NOT NULL GROUP BY 1""", "observations", "terrain")
 def a24_elevation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("role")).agg(F.count(F.lit(1)).alias("n"), r6(F.median("o_totalprice")).alias("median"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    rec = V.observations(spark, sf_dir).select(_role(), (F.col("y") / 300).cast("int").alias("row"), (F.col("x") / 300).cast("int").alias("col")).where("role is not null")
+    out = A.group_summary(rec.join(V.terrain(spark, sf_dir).select("row", "col", "z"), ["row", "col"]), "role", "z")
+    return out.select("role", "n", r6(F.col("median")).alias("median"), "low", "high")
 
 
 @query(f"WITH {SQL_SAMPLES} SELECT count(DISTINCT CASE WHEN positive THEN cluster END) >= 10 AS enough_target, count(DISTINCT CASE WHEN NOT positive THEN cluster END) >= 5 AS enough_contrast FROM s")
 def a25_sample_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = lambda c: F.count_distinct(F.when(c, F.col("cluster")))
-    return samples(spark, sf_dir).agg((n(F.col("positive")) >= 10).alias("enough_target"), (n(~F.col("positive")) >= 5).alias("enough_contrast"))
+    return A.sample_guard(samples(spark, sf_dir))
+
+
+TERRAIN = {"elevation_m": {"hard_min": 1000, "optimal_min": 1300, "optimal_max": 2000, "hard_max": 2450}, "slope_deg": {"optimal_min": 2, "optimal_max": 20, "hard_max": 40}, "aspect": {"optimal_bearing_deg": 200, "tolerance_deg": 60, "flat_slope_deg": 3}}
+SURFACE_WEIGHTS = {"terrain": 0.4, "vegetation": 0.35, "moisture": 0.25}
+SQL_TRAPEZOID = "CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {a} OR {x} >= {d} THEN 0 WHEN {x} < {b} THEN ({x} - {a}) / ({b} - {a})::DOUBLE WHEN {x} <= {c} THEN 1 ELSE ({d} - {x}) / ({d} - {c})::DOUBLE END"
+
+
+def scored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terrain with a score of each layer, as the build's layers have them."""
+    t = V.terrain(spark, sf_dir)
+    return t.select("row", "col", "z", "slope", "aspect", (F.lit(1) - F.col("slope") / 48).alias("score_terrain"), ((F.col("ndvi") + 0.6) / 2).alias("score_vegetation"), ((F.col("ndmi") + 0.6) / 1.6).alias("score_moisture"))
 
 
-@query(f"WITH {SQL_SAMPLES} SELECT surface, count(*) AS n, count_if(rejected) AS rejected FROM s GROUP BY 1")
+@query(f"""WITH p AS (SELECT row, col, z, slope, aspect, 1 - slope / 48 AS t, (ndvi + 0.6) / 2 AS v, (ndmi + 0.6) / 1.6 AS m FROM v_terrain),
+  l AS (SELECT *, CASE WHEN t + v + m IS NOT NULL THEN (0.4::DOUBLE * t + 0.35::DOUBLE * v + 0.25::DOUBLE * m) / (0.4::DOUBLE + 0.35::DOUBLE + 0.25::DOUBLE) END AS h, {SQL_TRAPEZOID.format(x='z', a=1000, b=1300, c=2000, d=2450)} AS e,
+    CASE WHEN slope IS NULL THEN NULL WHEN slope >= 40 THEN 0 WHEN slope < 2 THEN slope / 2 WHEN slope <= 20 THEN 1 ELSE (40 - slope) / 20 END AS s FROM p)
+  SELECT row, col, k.surface, round(CASE k.surface WHEN 'habitat' THEN h WHEN 'terrain' THEN t WHEN 'elevation' THEN e WHEN 'vegetation' THEN v ELSE m END, 6) + 0.0::DOUBLE AS value FROM l, (VALUES ('habitat'), ('terrain'), ('elevation'), ('vegetation'), ('moisture')) k(surface)""", "terrain")
 def c10_candidate_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).groupBy("surface").agg(F.count(F.lit(1)).alias("n"), F.count_if("rejected").alias("rejected"))
+    """Every surface worth testing, of every cell; slope and aspect fits have queries of their own (m01, m03)."""
+    out = Z.candidate_surfaces(scored_cells(spark, sf_dir), "vegetation", ["moisture"], SURFACE_WEIGHTS, TERRAIN)
+    return out.where(~F.col("surface").isin("slope", "aspect")).select("row", "col", "surface", r6(F.col("value")).alias("value"))
 
 
-@query("SELECT least(count(*), 500) AS n, least(count(*), 500) AS cells FROM v_terrain", "terrain")
+@query(f"SELECT row, col FROM v_wide ORDER BY {SQL_DRAW.format(r='row::BIGINT', i='col::BIGINT')}, row, col LIMIT 10000", "wide")
 def c11_random_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """500 cells, no cell twice; the choice is a hash's, so only its size has an oracle."""
-    return A.random_cells(V.terrain(spark, sf_dir).select("row", "col"), 500).agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_distinct("row", "col").cast("int").alias("cells"))
+    """10,000 cells, no cell twice; the choice is by a hash of row and column."""
+    return A.random_cells(V.wide(spark, sf_dir).select("row", "col"), 10_000)
 
 
 @query("SELECT rec.id, t.z FROM (SELECT id, CAST(trunc(y / 300) AS INT) AS row, CAST(trunc(x / 300) AS INT) AS col FROM v_observations) rec JOIN v_terrain t ON t.row = rec.row AND t.col = rec.col WHERE t.z IS NOT NULL", "observations", "terrain")
@@ -165,18 +189,18 @@ def s05_layer_by_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.first_by_id(found, "FEATURE_ID", ["layer", "row0"]).select(F.col("FEATURE_ID").alias("poly_id"))
 
 
-@query("SELECT 3 AS tiles, 20 AS features")
+@query("""WITH p AS (SELECT id, x, y FROM v_observations), l AS (SELECT id, d.range AS depth, CAST(floor(x / (16000 / 2 ** d.range)) AS BIGINT) AS tx, CAST(floor(y / (16000 / 2 ** d.range)) AS BIGINT) AS ty FROM p, range(7) d),
+  n AS (SELECT depth, tx, ty, count(*) AS n FROM l GROUP BY 1, 2, 3), own AS (SELECT l.id, min(l.depth) AS depth FROM l JOIN n ON n.depth = l.depth AND n.tx = l.tx AND n.ty = l.ty WHERE n.n <= 40 OR l.depth = 6 GROUP BY 1)
+  SELECT CAST(l.depth AS INT) AS depth, l.tx, l.ty, count(*) AS features FROM own JOIN l ON l.id = own.id AND l.depth = own.depth GROUP BY 1, 2, 3""", "observations")
 def s06_split_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quadrants are split until each holds at most the cap."""
-    pts = [(float(i), float(i)) for i in range(20)]
-    tiles = T.quadrants((0.0, 0.0, 20.0, 20.0), lambda b: sum(b[0] <= x < b[2] and b[1] <= y < b[3] for x, y in pts), 10)
-    kept = [(t, n) for t, n in tiles]
-    return spark.createDataFrame([(len([1 for _, n in kept if n]) + 1, sum(n for _, n in kept))], "tiles int, features int")
+    """Tiles of the records' square, split until each holds at most 40 of them or has been split six times."""
+    return T.quadrant_tiles(V.observations(spark, sf_dir), (0.0, 0.0, 16_000.0, 16_000.0), 40, 6)
 
 
-@query("SELECT round(min(least(x, 600000)) - 5000, 3) AS west, round(min(least(y, 500000)) - 5000, 3) AS south, round(max(greatest(x, 600000)) + 5000, 3) AS east, round(max(greatest(y, 500000)) + 5000, 3) AS north FROM v_observations", "observations")
+@query(f"WITH {SQL_ALBERS} SELECT round(min(least(x, 1600000)) - 5000, 3) AS west, round(min(least(y, 500000)) - 5000, 3) AS south, round(max(greatest(x, 1600000)) + 5000, 3) AS east, round(max(greatest(y, 500000)) + 5000, 3) AS north FROM ab", "observations")
 def s10_buffered_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.buffered_bounds(V.observations(spark, sf_dir), 5000.0, (600_000.0, 500_000.0))
+    """The box around the records in Albers metres and one more place, widened by five kilometres."""
+    return T.buffered_bounds(albers(spark, sf_dir), 5000.0, (1_600_000.0, 500_000.0))
 
 
 @query("SELECT l_partkey AS cell, arg_min(z, tile) AS z FROM (SELECT l_partkey, l_suppkey % 5 AS tile, max(l_quantity) AS z FROM lineitem WHERE l_quantity > 10 GROUP BY 1, 2) GROUP BY 1")
@@ -198,7 +222,10 @@ def s14_top_scenes_per_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.clearest_per_tile(T.search_scenes(V.scenes(spark, sf_dir), [1996, 1997, 1999], "06-20", "07-31", 20.0), 8).select("scene_id", "tile")
 
 
-QUERIES["w08_top_n_per_tile"], ORACLES["w08_top_n_per_tile"] = s14_top_scenes_per_tile, ORACLES["s14_top_scenes_per_tile"]
+@query("""SELECT o_orderkey AS scene_id, o_orderpriority AS tile FROM orders o WHERE (SELECT count(*) FROM orders p WHERE p.o_orderpriority = o.o_orderpriority AND (p.o_totalprice % 100 < o.o_totalprice % 100 OR p.o_totalprice % 100 = o.o_totalprice % 100 AND p.o_orderkey < o.o_orderkey)) < 25""")
+def w08_top_n_per_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 clearest of all scenes of each tile."""
+    return T.clearest_per_tile(V.scenes(spark, sf_dir), 25).select("scene_id", "tile")
 
 
 @query("SELECT scene_id, round(least(greatest((cloud * 100 + CASE WHEN baseline >= '04.00' THEN -1000 ELSE 0 END) / 10000, 0), 1e9), 6) + 0.0::DOUBLE AS reflectance FROM v_scenes", "scenes")
@@ -227,10 +254,12 @@ def s19_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.occurrences(V.observations(spark, sf_dir), (1000, 500, 9000, 8000), [1, 7]).where(F.col("taxon").startswith("Arnica ")).select("id", "taxon")
 
 
-@query("SELECT name, CASE name WHEN 'terrain' THEN 'species' WHEN 'elevation' THEN 'shared' WHEN 'sites' THEN 'output' END AS place FROM (VALUES ('terrain'), ('elevation'), ('sites'), ('score_access')) t(name)")
+@query("""SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 'species' WHEN p_size % 3 = 0 AND p_size % 7 <> 1 THEN 'shared' WHEN p_size % 5 = 0 THEN 'output' END AS place FROM part""")
 def s20_layer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = {"species": {"terrain"}, "shared": {"terrain", "elevation", "score_access"}, "output": {"sites", "elevation"}}
-    return spark.createDataFrame([(n, T.locate(n, have, never_shared={"score_access"})) for n in ("terrain", "elevation", "sites", "score_access")], "name string, place string")
+    """Where each layer is taken from, by which places have it; some are never taken from the shared ones."""
+    n = F.col("p_size")
+    have = V.read(spark, sf_dir, "part").select("p_partkey", F.array_compact(F.array(F.when(n % 5 == 0, "output"), F.when(n % 3 == 0, "shared"), F.when(n % 2 == 0, "species"))).alias("have"), (n % 7 == 1).alias("private"))
+    return have.select(F.col("p_partkey").alias("k"), T.located("have", "private").alias("place"))
 
 
 @query("""SELECT min(id) AS id, taxon, observed_on FROM v_observations GROUP BY taxon, observed_on""", "observations")
@@ -293,7 +322,14 @@ def k04_manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.counts_and_ranges(site_rows(spark, sf_dir))
 
 
-QUERIES["a20_manifest_ranges"], ORACLES["a20_manifest_ranges"] = k04_manifest_counts, ORACLES["k04_manifest_counts"]
+@query("""SELECT p_brand AS brand, coalesce(min(s), 0) AS score_min, coalesce(max(s), 1) AS score_max, coalesce(min(d), 0) AS drive_min, coalesce(max(d), 0) AS drive_max FROM
+  (SELECT p_brand, CASE WHEN p_brand <> 'Brand#11' THEN p_size / 50.0::DOUBLE END AS s, CASE WHEN p_partkey % 3 = 0 AND p_brand <> 'Brand#12' THEN p_retailprice END AS d FROM part) GROUP BY 1""")
+def a20_manifest_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges by group; a group without any score has 0 to 1, without any drive time 0 to 0."""
+    score = F.when(F.col("p_brand") != "Brand#11", F.col("p_size") / 50.0)
+    drive = F.when((F.col("p_partkey") % 3 == 0) & (F.col("p_brand") != "Brand#12"), F.col("p_retailprice"))
+    rows = V.read(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), score.alias("score"), F.lit(None).cast("double").alias("elevation_m"), drive.alias("drive_minutes"), F.lit(None).cast("double").alias("hike_km"), F.lit(False).alias("land_flagged"))
+    return K.counts_and_ranges(rows, ["brand"]).select("brand", "score_min", "score_max", "drive_min", "drive_max")
 
 
 @query(SQL_SITE_ROWS + """ SELECT rank, '<wpt lat="' || printf('%.6f', lat) || '" lon="' || printf('%.6f', lon) || '"><ele>' || elevation_m || '</ele><name>' || '#' || rank || ' ' || printf('%.2f', score + 1e-9) || ' ' || elevation_m || 'm</name><desc>' || land_status || CASE WHEN on_cutblock THEN '; logged ' || years_since_logging || ' yr ago' ELSE '' END || '</desc><sym>Flag, Green</sym></wpt>' AS wpt FROM site""", "wide")
@@ -307,10 +343,12 @@ def k12_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_rows(spark, sf_dir).withColumn("text", text).select("rank", K.csv_line(["rank", "elevation_m", "text", "years_since_logging"]).alias("line"))
 
 
-@query("SELECT id, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || x || ',' || y || ']},\"properties\":{\"id\":' || id || '}}' AS feature FROM v_observations", "observations")
+@query("""SELECT id, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || x || ',' || y || ']},"properties":{"id":' || id || CASE WHEN taxon IS NULL THEN '' ELSE ',"taxon":"' || taxon || '"' END || ',"observed_on":"' || strftime(observed_on, '%Y-%m-%d') || '"'
+  || CASE WHEN accuracy_m IS NULL THEN '' ELSE ',"precise":' || (accuracy_m <= 60) END || CASE WHEN obscured IS NULL THEN '' ELSE ',"obscured":' || obscured END || ',"x":' || x || ',"y":' || y || ',"weight":' || CASE WHEN taxon = 'Arnica latifolia' OR taxon LIKE 'Arnica latifolia %' THEN '1.0' WHEN taxon = 'Arnica cordifolia' THEN '0.2' ELSE '0.5' END || '}}' AS feature FROM v_observations""", "observations")
 def k03_observation_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = V.observations(spark, sf_dir)
-    return o.select("id", K.feature(F.col("x"), F.col("y"), [F.col("id")]).alias("feature"))
+    """Records with eight properties; what is not known is left out."""
+    o = V.observations(spark, sf_dir).withColumn("precise", F.col("accuracy_m") <= 60).withColumn("weight", L.record_weight(F.col("taxon"), "Arnica latifolia", ["Arnica cordifolia"]))
+    return o.select("id", K.feature(F.col("x"), F.col("y"), [F.col(c) for c in ("id", "taxon", "observed_on", "precise", "obscured", "x", "y", "weight")]).alias("feature"))
 
 
 @query("""WITH q AS (SELECT quantile_cont(score, 0.02) AS lo, quantile_cont(score, 0.98) AS hi FROM v_wide) SELECT row, col, CAST(trunc(least(greatest((score - lo) / greatest(hi - lo, 1e-9), 0), 1) * 255) AS INT) AS idx FROM v_wide, q""", "wide")
@@ -346,17 +384,32 @@ def x03_escape_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), L.escape_xml(text).alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('good', 0), ('no names', 1), ('bad theme', 1), ('no safety', 2), ('bad level', 1)) t(id, problems)")
+SQL_LORE = """lore AS (SELECT p_partkey AS k, p_size, p_size % 3 AS names, p_partkey % 17 AS theme, (['none', 'caution', 'toxic', 'restricted', 'mild'])[CAST(p_size % 5 + 1 AS INT)] AS level, CASE WHEN p_size % 7 <> 0 THEN ' ' || p_name END AS note FROM part)"""
+
+
+def lore_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lore block of each part: up to two names, one or two associations, some of unknown themes or levels, some without notes."""
+    n, k = F.col("p_size"), F.col("p_partkey")
+    theme = F.element_at(F.array(*map(F.lit, (*P.THEMES, "fame"))), (k % 17 + 1).cast("int"))
+    note = F.when(n % 7 != 0, F.concat(F.lit(" "), "p_name"))
+    one = F.struct(theme.alias("theme"), note.alias("note"), F.lit("o").alias("origin"))
+    level = F.element_at(F.array(*map(F.lit, (*P.SAFETY, "mild"))), (n % 5 + 1).cast("int"))
+    block = F.struct(F.slice(F.array("p_brand", "p_type"), F.lit(1), (n % 3).cast("int")).alias("folk_names"), F.array("p_type").alias("traditions"), F.when(n % 2 == 0, F.array(one)).otherwise(F.array(one, one)).alias("associations"), F.struct(level.alias("level"), note.alias("note")).alias("safety"), F.array(F.lit("s")).alias("sources"))
+    return V.read(spark, sf_dir, "part").select(k.alias("k"), block.alias("block"))
+
+
+@query(f"""WITH {SQL_LORE} SELECT k, CAST((names = 0)::INT + (level = 'mild')::INT + (note IS NULL)::INT + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END * ((theme = 16)::INT + (note IS NULL)::INT) AS INT) AS problems FROM lore""")
 def x04_profile_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of the lore blocks of profiles, as a column."""
-    return P.lore_frame(spark, P.EXAMPLES).select("id", F.size(P.lore_problems()).alias("problems"))
+    return lore_rows(spark, sf_dir).select("k", F.size(P.lore_problems()).alias("problems"))
 
 
-@query("SELECT * FROM (VALUES ('good', 'Caution', 'death & mourning'), ('no names', 'Caution', 'luck'), ('bad theme', 'Toxic', 'fame'), ('no safety', 'Caution', 'luck'), ('bad level', 'Caution', 'luck')) t(id, level, theme)")
+@query(f"""WITH {SQL_LORE} SELECT k, CASE level WHEN 'none' THEN 'No known hazard' WHEN 'toxic' THEN 'Toxic' WHEN 'restricted' THEN 'Do not use' ELSE 'Caution' END AS level,
+  (['protection', 'warding', 'banishing', 'purification', 'love', 'fertility', 'prosperity', 'luck', 'divination', 'dreams', 'courage', 'healing', 'spirit work', 'death & mourning', 'weather', 'hunting', 'fame'])[CAST(theme + 1 AS INT)] AS theme, coalesce(note, '') AS note FROM lore""")
 def x05_profile_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of level and first theme; an unknown level is shown as caution."""
-    out = P.lore_frame(spark, P.EXAMPLES).withColumn("m", P.lore_manifest())
-    return out.select("id", F.col("m.safety.level_label").alias("level"), F.col("m.associations")[0]["theme_label"].alias("theme"))
+    """Labels of level and first theme; an unknown level is shown as caution, an unknown theme as it is."""
+    out = lore_rows(spark, sf_dir).withColumn("m", P.lore_manifest())
+    return out.select("k", F.col("m.safety.level_label").alias("level"), F.col("m.associations")[0]["theme_label"].alias("theme"), F.col("m.safety.note").alias("note"))
 
 
 @query(f"""WITH {SQL_BOOT}, q AS (SELECT surface, quantile_cont(auc, 0.025) AS low, quantile_cont(auc, 0.975) AS high FROM boot GROUP BY 1),
@@ -381,13 +434,16 @@ def o03_scene_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("place", F.row_number().over(Window.orderBy("tile", "cloud", "scene_id"))).select("place", "scene_id")
 
 
-@query("SELECT * FROM (VALUES ('WHSE_ADMIN_BOUNDARIES', 1), ('WHSE_BASEMAPPING', 5), ('WHSE_CADASTRE', 1), ('WHSE_FOREST_TENURE', 3), ('WHSE_FOREST_VEGETATION', 2), ('WHSE_TANTALIS', 2)) t(place, layers)")
+@query("SELECT s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN 'WHSE_BASEMAPPING.FWA_LAKES_POLY' WHEN 1 THEN 'WHSE_FOREST_VEGETATION.VEG_COMP_LYR_R1_POLY' WHEN 2 THEN 'OWN.' || s_name WHEN 3 THEN 'WHSE_CADASTRE.PMBC_PARCEL_FABRIC_POLY_SVW' END AS layer FROM supplier")
 def s07_layer_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(v.split(".")[0],) for v in T.LAYERS.values()], "place string")
-    return names.groupBy("place").agg(F.count(F.lit(1)).cast("int").alias("layers"))
+    """The service's names of layers: of an alias its layer, a full name is its own, anything else is unknown."""
+    k = F.col("s_suppkey")
+    alias = F.when(k % 5 == 0, "fwa_lakes").when(k % 5 == 1, "vri").when(k % 5 == 2, F.concat(F.lit("OWN."), "s_name")).when(k % 5 == 3, "parcels").otherwise("nothing")
+    return V.read(spark, sf_dir, "supplier").select(k.alias("k"), T.layer_names(alias).alias("layer"))
 
 
-@query("SELECT * FROM (VALUES ('spectral', 'terrain,vegetation,access,observations,landstatus,scoring,export'), ('host', 'terrain,forest,moisture,access,observations,landstatus,scoring,export')) t(profile, stages)")
+@query("""SELECT p_partkey AS k, 'terrain,' || CASE WHEN p_size % 2 = 0 THEN 'forest,' ELSE 'vegetation,' END || CASE WHEN p_size % 3 = 0 THEN 'moisture,' ELSE '' END || 'access,observations,landstatus,scoring,export' AS stages FROM part""")
 def c04_stages_of_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cfg = {"spectral": P.Config({}, {"weights": {}}, {}), "host": P.Config({}, {"weights": {}}, {"habitat_model": "host_trees", "moisture": {}})}
-    return spark.createDataFrame([(k, ",".join(c.stages)) for k, c in cfg.items()], "profile string, stages string")
+    """The stages that each profile needs, by its habitat model and optional blocks."""
+    p = V.read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "host_trees").alias("model"), (F.col("p_size") % 3 == 0).alias("moisture"))
+    return p.select(F.col("p_partkey").alias("k"), F.concat_ws(",", P.stages_of(F.col("model"), {"moisture": F.col("moisture")})).alias("stages"))

@@ -79,20 +79,30 @@ def g04_segment_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("segment_id", r6(F.col("minutes")).alias("minutes"))
 
 
-@query("""SELECT r AS row, c AS col, min(minutes) AS minutes FROM (SELECT CAST(trunc((12000 - y0) / 100) AS INT) AS r, CAST(trunc(x0 / 100) AS INT) AS c, segment_id % 60 AS minutes FROM v_roads) WHERE r BETWEEN 0 AND 119 AND c BETWEEN 0 AND 149 GROUP BY 1, 2""", "roads")
+@query("""WITH g AS (SELECT segment_id % 60 AS minutes, (x0 + 37.3::DOUBLE) / 100 AS ax, (12000 - y0 - 41.7::DOUBLE) / 100 AS ay, (x1 + 37.3::DOUBLE) / 100 AS bx, (12000 - y1 - 41.7::DOUBLE) / 100 AS by_ FROM v_roads),
+  c AS (SELECT *, r.i AS r, q.i AS c FROM g JOIN range(120) r(i) ON r.i BETWEEN floor(least(ay, by_)) AND floor(greatest(ay, by_)) JOIN range(150) q(i) ON q.i BETWEEN floor(least(ax, bx)) AND floor(greatest(ax, bx))),
+  t AS (SELECT *, CASE WHEN bx = ax THEN 0 ELSE least((c - ax) / (bx - ax), (c + 1 - ax) / (bx - ax)) END AS tx0, CASE WHEN bx = ax THEN 1 ELSE greatest((c - ax) / (bx - ax), (c + 1 - ax) / (bx - ax)) END AS tx1,
+    CASE WHEN by_ = ay THEN 0 ELSE least((r - ay) / (by_ - ay), (r + 1 - ay) / (by_ - ay)) END AS ty0, CASE WHEN by_ = ay THEN 1 ELSE greatest((r - ay) / (by_ - ay), (r + 1 - ay) / (by_ - ay)) END AS ty1 FROM c)
+  SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, min(minutes) AS minutes FROM t WHERE greatest(tx0, ty0, 0) <= least(tx1, ty1, 1) GROUP BY 1, 2""", "roads")
 def j07_quickest_road(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of several roads in a cell, the one that is reached first."""
+    """Of several roads through a cell, the one that is reached first."""
     from fernwerk.plans.layers import GRID
 
-    roads = V.roads(spark, sf_dir).select((F.col("segment_id") % 60).alias("minutes"), "x0", "y0")
-    return GRID.cell_of(roads, "x0", "y0").groupBy("row", "col").agg(F.min("minutes").alias("minutes"))
+    shift = {c: F.col(c) + d for c, d in (("x0", 37.3), ("x1", 37.3), ("y0", 41.7), ("y1", 41.7))}
+    roads = V.roads(spark, sf_dir).select((F.col("segment_id") % 60).alias("minutes"), *(v.alias(k) for k, v in shift.items()))
+    return S.line_cells(roads, GRID).groupBy("row", "col").agg(F.min("minutes").alias("minutes"))
 
 
-@query(f"WITH RECURSIVE {SQL_NODES}, xy AS (SELECT node, min(x) AS x, min(y) AS y FROM pts JOIN nodes USING (point) GROUP BY 1) SELECT node, round(sqrt((x - 3210) ** 2 + (y - 4777) ** 2), 6) AS metres FROM xy ORDER BY 2, 1 LIMIT 1", "roads")
+@query(f"""WITH RECURSIVE {SQL_EDGES}, both_ AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), go(n, to_) AS (SELECT a, a FROM both_ UNION SELECT g.n, e.b FROM go g JOIN both_ e ON e.a = g.to_),
+  comp AS (SELECT n AS node, min(to_) AS component FROM go GROUP BY 1), best AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1),
+  xy AS (SELECT node, min(x) AS x, min(y) AS y FROM pts JOIN nodes USING (point) WHERE node IN (SELECT node FROM comp WHERE component = (SELECT component FROM best)) GROUP BY 1)
+  SELECT node, round(sqrt((x - 3210) ** 2 + (y - 4777) ** 2), 6) AS metres FROM xy ORDER BY 2, 1 LIMIT 1""", "roads")
 def j12_nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = N.endpoints(V.roads(spark, sf_dir))
+    """Of the nodes of the largest component, the one nearest to the origin."""
+    roads = V.roads(spark, sf_dir)
+    pts = N.endpoints(roads)
     xy = pts.join(N.junctions(pts), "point").groupBy("node").agg(F.min("x").alias("x"), F.min("y").alias("y"))
-    return N.nearest_node(xy, 3210, 4777).select("node", r6(F.col("metres")).alias("metres"))
+    return N.nearest_node(xy.join(N.largest_component(N.network(roads)), "node"), 3210, 4777).select("node", r6(F.col("metres")).alias("metres"))
 
 
 def cost_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +112,7 @@ def cost_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.terrain(spark, sf_dir).select("row", "col", cost.alias("cost"), source.alias("source"))
 
 
-SQL_COST = f"""cost AS (SELECT row, col, CASE WHEN slope IS NULL OR slope > 45 THEN 1e4 ELSE 60 / (least(greatest({SQL_SPEED}, 0.05), 8) * 1000) * CASE WHEN col % 5 = 0 THEN 1 ELSE 1.6 END END AS cost FROM v_terrain WHERE row < 20),
+SQL_COST = f"""cost AS (SELECT row, col, CASE WHEN slope IS NULL OR slope > 45 THEN 1e4 ELSE 60 / (least(greatest({SQL_SPEED}, 0.05), 8) * 1000) * CASE WHEN col % 5 = 0 THEN 1 ELSE 1.6 END END AS cost FROM v_terrain),
 step AS (SELECT a.row AS r0, a.col AS c0, b.row AS r1, b.col AS c1, (a.cost + b.cost) / 2 * 30 * CASE WHEN a.row <> b.row AND a.col <> b.col THEN sqrt(2) ELSE 1 END AS w FROM cost a JOIN cost b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col)),
 walk(row, col, minutes) USING KEY (row, col) AS (SELECT row, col, 0.0::DOUBLE FROM cost WHERE row = 3 AND col IN (7, 41) OR row = 2 AND col = 20 UNION
   SELECT s.r1, s.c1, min(t.minutes + s.w) FROM walk t JOIN step s ON s.r0 = t.row AND s.c0 = t.col LEFT JOIN recurring.walk o ON o.row = s.r1 AND o.col = s.c1 GROUP BY 1, 2 HAVING min(t.minutes + s.w) < coalesce(min(o.minutes), 1e300) - 1e-12)"""
@@ -206,12 +216,20 @@ def j10_site_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     sites = ranked_sites(spark, sf_dir).select("rank", (F.col("col") * 100.0 + 50).alias("sx"), (F.col("row") * 100.0 + 50).alias("sy"))
     obs = V.observations(spark, sf_dir).where("not coalesce(obscured, false)").select("x", "y", is_target(F.col("taxon"), "Arnica latifolia").alias("exact"))
-    near = S.within(obs, sites, 900.0, ("x", "y"), ("sx", "sy")).groupBy("rank").agg(F.count(F.lit(1)).alias("nearby"), F.count_if("exact").alias("nearby_exact"))
-    return sites.select("rank").join(near, "rank", "left").select("rank", F.coalesce("nearby", F.lit(0)).alias("nearby"), F.coalesce("nearby_exact", F.lit(0)).alias("nearby_exact"))
+    return Z.nearby_counts(sites, obs.withColumn("weight", F.when(F.col("exact"), 1.0).otherwise(0.0)), 900.0, "rank")
+
+
+@query("""SELECT stream_id, count(o.x) AS nearby, coalesce(sum(CASE WHEN weight >= 1 THEN 1 ELSE 0 END), 0)::BIGINT AS nearby_exact FROM v_streams s LEFT JOIN (SELECT x, y, CASE WHEN taxon IS NULL OR taxon = '' THEN 0.5 WHEN taxon = 'Arnica cordifolia' THEN 0.2 WHEN taxon = 'Arnica latifolia' OR taxon LIKE 'Arnica latifolia %' THEN 1 ELSE 0.5 END AS weight FROM v_observations) o
+  ON sqrt((o.x - s.col * 300) ** 2 + (o.y - s.row * 300) ** 2) <= 450 GROUP BY 1""", "streams", "observations")
+def a09_nearby_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records within 450 m of each place, all, and those of full weight."""
+    from fernwerk.functions.labels import record_weight
+
+    at = V.streams(spark, sf_dir).select("stream_id", (F.col("col") * 300.0).alias("sx"), (F.col("row") * 300.0).alias("sy"))
+    obs = V.observations(spark, sf_dir).select("x", "y", record_weight(F.col("taxon"), "Arnica latifolia", ["Arnica cordifolia"]).alias("weight"))
+    return Z.nearby_counts(at, obs, 450.0, "stream_id")
 
 
-QUERIES["a09_nearby_counts"] = j10_site_observations
-ORACLES["a09_nearby_counts"] = ORACLES["j10_site_observations"]
 SQL_RECORDS = "rec AS (SELECT id, x, y FROM v_observations WHERE accuracy_m <= 100 AND NOT coalesce(obscured, false)), spot AS (SELECT x, y, min(id) AS spot FROM rec GROUP BY 1, 2), near AS (SELECT a.spot AS a, b.spot AS b FROM spot a JOIN spot b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 120)"
 
 

@@ -177,7 +177,7 @@ SQL = {
   CASE WHEN o_orderkey % 6 = 1 THEN (o_orderkey * 11 % 90)::DOUBLE END AS harvest_age FROM orders""",
     "blocks": """SELECT c_custkey AS block_id, CAST(c_custkey * 7 % 40 AS INT) AS row0, CAST(c_custkey * 11 % 50 AS INT) AS col0,
   CAST(c_custkey * 7 % 40 + c_custkey % 3 AS INT) AS row1, CAST(c_custkey * 11 % 50 + c_custkey % 4 AS INT) AS col1,
-  CAST(1960 + floor(abs(c_acctbal))::BIGINT % 75 AS INT) AS harvest_year FROM customer WHERE c_custkey % 6 = 0""",
+  CAST(1960 + floor(abs(c_acctbal))::BIGINT % 75 AS INT) AS harvest_year FROM customer""",
     "tenure": """SELECT s_suppkey AS poly_id, (['woodlot', 'private', 'park', 'conservancy', 'national'])[CAST(s_nationkey % 5 + 1 AS INT)] AS layer,
   CASE WHEN s_suppkey % 7 <> 0 THEN (['Ecological Reserve', 'PROVINCIAL PARK', 'Recreation Area', 'x conservancy'])[CAST(s_suppkey % 4 + 1 AS INT)] END AS designation,
   CAST(s_suppkey * 3 % 40 AS INT) AS row0, CAST(s_suppkey * 19 % 50 AS INT) AS col0, CAST(s_suppkey * 3 % 40 + s_suppkey % 5 AS INT) AS row1,

@@ -116,6 +116,13 @@ class Config:
         return [[[tuple(p[:2]) for p in ring] for ring in poly] for poly in out]
 
 
+def stages_of(model: Column, optional: dict[str, Column]) -> Column:
+    """The stages of a profile as an array, from its habitat model (spectral by default) and whether it has each optional block."""
+    host = F.coalesce(model, F.lit("spectral")) == "host_trees"
+    need = {"vegetation": ~host, "forest": host} | {k: F.coalesce(v, F.lit(False)) for k, v in optional.items()}
+    return F.array_compact(F.array(*(F.when(need.get(s, F.lit(True)), s) for s in STAGES)))
+
+
 def chosen(only: str | None = None, skip: str | None = None, stages: tuple[str, ...] = STAGES) -> list[str]:
     """Stages to run, always in their own order; unknown names are an error."""
     want = [x.strip() for x in only.split(",")] if only else list(stages)

@@ -30,13 +30,13 @@ def write_geojson(features: DataFrame, column: str, path: str) -> None:
         f.write("]}")
 
 
-def counts_and_ranges(sites: DataFrame) -> DataFrame:
-    """The manifest's figures; without sites scores are 0 to 1 and the rest 0."""
+def counts_and_ranges(sites: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The manifest's figures, of all sites or by group; without sites scores are 0 to 1 and the rest 0."""
     out = [F.count(F.lit(1)).alias("sites"), F.coalesce(F.count_if("land_flagged"), F.lit(0)).alias("flagged")]
     for name, col, high in (("score", "score", 1.0), ("elevation", "elevation_m", 0.0), ("drive", "drive_minutes", 0.0), ("hike", "hike_km", 0.0)):
         c = F.col(col).cast("double")
         out += [F.coalesce(F.min(c), F.lit(0.0)).alias(f"{name}_min"), F.coalesce(F.max(c), F.lit(high)).alias(f"{name}_max")]
-    return sites.agg(*out)
+    return sites.groupBy(*by).agg(*out)
 
 
 def waypoint(description: Column) -> Column:

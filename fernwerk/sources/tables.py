@@ -37,6 +37,12 @@ def layer_name(alias: str) -> str:
     raise KeyError(f"unknown layer {alias!r}; known: {', '.join(sorted(LAYERS))}")
 
 
+def layer_names(alias: Column) -> Column:
+    """`layer_name` as a column; null for an unknown alias."""
+    known = F.create_map(*(F.lit(x) for pair in LAYERS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, alias), F.when(F.contains(alias, F.lit(".")), alias))
+
+
 def in_bounds(layer: DataFrame, bounds: Bounds, edges: Sequence[str] = ("xmin", "ymin", "xmax", "ymax"), extra: str | None = None) -> DataFrame:
     """Features whose box meets the bounds: comparisons of columns, which reach the Parquet scan."""
     x0, y0, x1, y1 = (F.col(e) for e in edges)
@@ -62,6 +68,24 @@ def quadrants(bounds: Bounds, count: Callable[[Bounds], int], cap: int = FEATURE
     return [t for p in parts for t in quadrants(p, count, cap, depth - 1)]
 
 
+def quadrant_tiles(points: DataFrame, bounds: Bounds, cap: int = FEATURE_CAP, depth: int = SPLIT_DEPTH) -> DataFrame:
+    """(depth, tx, ty, features) of the tiles that hold points: a tile of more than ``cap`` is halved both ways, up to ``depth`` times.
+
+    The tiles of `quadrants` without a request a tile: points are counted once in the smallest tiles, at most 4^depth rows, and
+    those are added up. Points at the far edges belong to the last tiles.
+    """
+    most = (1 << depth) - 1
+    at = lambda c, lo, hi: F.least(F.greatest(F.floor((F.col(c) - lo) / ((hi - lo) / (most + 1))), F.lit(0)), F.lit(most)).cast("long")
+    small = points.where(F.col("x").between(bounds[0], bounds[2]) & F.col("y").between(bounds[1], bounds[3])).groupBy(at("x", bounds[0], bounds[2]).alias("sx"), at("y", bounds[1], bounds[3]).alias("sy")).agg(F.count(F.lit(1)).alias("n"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth)))
+    up = lambda c: F.expr(f"shiftright({c}, {depth} - depth)")
+    every = small.withColumn("depth", levels).withColumn("tx", up("sx")).withColumn("ty", up("sy"))
+    total = every.groupBy("depth", "tx", "ty").agg(F.sum("n").alias("features"))
+    fits = every.join(total.where((F.col("features") <= cap) | (F.col("depth") == depth)), ["depth", "tx", "ty"])
+    own = fits.groupBy("sx", "sy").agg(F.min(F.struct("depth", "tx", "ty", "features")).alias("t"))
+    return own.select("t.*").distinct()
+
+
 def buffered_bounds(points: DataFrame, buffer: float, extra: tuple[float, float] | None = None) -> DataFrame:
     """One row: the box around the points and one more place, widened by the buffer."""
     x, y = F.col("x"), F.col("y")
@@ -133,6 +157,12 @@ def locate(name: str, have: Mapping[str, set[str]], never_shared: set[str] = fro
     return None
 
 
+def located(have: str, private: str) -> Column:
+    """`locate` as a column, of an array of the places that have a layer and of whether it is never taken from the shared ones."""
+    place = lambda name: F.array_contains(F.col(have), name)
+    return F.when(place("species"), "species").when(place("shared") & ~F.col(private), "shared").when(place("output"), "output")
+
+
 def retrying(f: Callable, attempts: int = 4, wait: Callable[[float], None] | None = None, first: float = 1.0) -> Callable:
     """Calls f again after errors, with doubled waits; the last error is raised."""
     import time
