@@ -78,7 +78,7 @@ def _sets(n: int, percent: int) -> Callable:
     """Of each text the size of its set, two digests, and the grams of which a set of at least the similarity must share some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.chunks(batches, max_bytes=2 << 20):
+        for b in K.chunks(batches, max_bytes=1 << 20):
             h, bounds = gram_sets(b, n)
             size = np.diff(bounds)
             s = [K.signed(K.Rolling(h, base).of(bounds[:-1], size)) for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]
@@ -91,7 +91,7 @@ def _sets(n: int, percent: int) -> Callable:
 
 def _whole(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.chunks(batches, max_bytes=2 << 20):
+        for b in K.chunks(batches, max_bytes=1 << 20):
             yield pa.RecordBatch.from_arrays([b.column("k"), _lists(*gram_sets(b, n))], ["k", "grams"])
 
     return run
@@ -180,7 +180,7 @@ def dual_traversal(s: SignatureTree, t: SignatureTree, percent: int, same: bool)
     stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, u, v = stack.pop()
-        if len(u) > 50_000:
+        if len(u) > (2_000 if level else 50_000):  # of a pair of nodes up to 256 pairs are made
             half = len(u) // 2
             stack += [(level, u[:half], v[:half]), (level, u[half:], v[half:])]
             continue
@@ -234,7 +234,7 @@ def some_of_each(pairs: np.ndarray, comp: np.ndarray, most: int) -> np.ndarray:
 
 def _traverse(percent: int, most: int | None = None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, "key", 4 << 20):
+        for t in by_key(batches, "key", 2 << 20):
             key = t["key"].to_numpy()
             k, n, comp, side = (t[x].to_numpy() for x in ("k", "n", "comp", "side"))
             bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, BITMAP)
