@@ -42,5 +42,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet to the shared folder and read back: cuts the lineage and bounds recomputation."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._fernwerk_path = path
+    return out
 
+
+def release(df: DataFrame) -> None:
+    """Deletes a table of `materialise` that nothing reads any more: what was made of it has been written too."""
+    path = getattr(df, "_fernwerk_path", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
