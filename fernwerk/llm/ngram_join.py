@@ -17,7 +17,7 @@ for the smaller m of the two (`margin`). So only documents that share enough fir
    traversal drops pairs of nodes that are linked, of sizes too far apart, or whose largest possible overlap is too small; the
    pairs that are left are verified on whole sets. A large group is cut into blocks by size, and only pairs of blocks whose
    size ranges fit are traversed with each other. First only a few of the pairs of each document and of two components are
-   verified, in one group a document, then in all groups, which makes a group of near copies one component without all its
+   verified, in two groups a document, then in all groups, which makes a group of near copies one component without all its
    pairs; then all pairs between what are still different components. With ``rounds=0`` the trees alone find every link.
 
 Grams are compared by 64-bit hashes of their words: two sets of 20,000 different grams share a hash with a chance of 2e-11.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fernwerk.llm import kernels as K
 from fernwerk.llm.repeats import NO_ID, by_key, row_keyed
 from fernwerk.operators.graph import connected_components
-from fernwerk.storage import materialise
+from fernwerk.storage import materialise, release
 
 #: 64-bit words of a bitmap.
 BITMAP = 32
@@ -301,14 +301,15 @@ def peel(met: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     for _ in range(rounds):
         groups = met.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("times"), F.min("n").alias("n0"), F.max("n").alias("n1"))
         mixed = groups.where((F.col("c0") != F.col("c1")) & ((F.col("times") > 2) | (100 * F.col("n0") >= percent * F.col("n1")))).select("gram")
-        met = met.join(mixed, "gram")
-        full = met.groupBy("k", "n").agg(F.count(F.lit(1)).alias("left")).where(F.col("left") >= least).select("k", "left")
-        met = materialise(met.select("gram", "k", "n", "comp").join(full, "k").select("gram", "k", "n", "comp", "left"), "met")
+        some = met.join(mixed, "gram")
+        full = some.groupBy("k", "n").agg(F.count(F.lit(1)).alias("left")).where(F.col("left") >= least).select("k", "left")
+        before, met = met, materialise(some.select("gram", "k", "n", "comp").join(full, "k").select("gram", "k", "n", "comp", "left"), "met")
+        release(before)
     return met
 
 
 def rarest(grams: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Groups (gram, k, comp, times) from all grams (gram, k) of some documents (k, n, comp): links between components share a gram of them.
+    """Groups (gram, k, comp) from all grams (gram, k) of some documents (k, n, comp): links between components share a gram of them.
 
     A link of document a shares at least percent hundredths of a's grams, all of them with other components. Of as many grams in
     a common order, here the rarest first, all but that number less one can be left out.
@@ -320,7 +321,7 @@ def rarest(grams: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     full = met.groupBy("k").agg(F.count(F.lit(1)).alias("left"), F.first("n").alias("n")).where(F.col("left") >= need).select("k", "left")
     order = F.row_number().over(Window.partitionBy("k").orderBy("times", "gram"))
     met = met.join(full, "k").withColumn("place", order).where(F.col("place") <= F.col("left") - need + 1)
-    return materialise(met.select("gram", "k", "comp", "times"), "groups")
+    return materialise(met.select("gram", "k", "comp"), "groups")
 
 
 def mixed(groups: DataFrame) -> DataFrame:
@@ -371,9 +372,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     groups = rarest(whole.select("k", F.explode("grams").alias("gram")), comp, percent)
     marks = materialise(whole.join(groups.select("k").distinct(), "k").mapInArrow(_signatures, "k long, n long, bits binary"), "marks")
     names = comp.where("k <> comp").select(F.col("k").alias("a"), F.col("comp").alias("b"))
-    largest = groups.groupBy("k").agg(F.max(F.struct("times", "gram", "comp")).alias("x")).select("k", "x.gram", "x.comp")
-    for few in (largest, None):
-        some = materialise(verify(candidate_pairs(mixed(groups if few is None else few), marks, percent, most=SOME), whole, percent), "some-links")
+    for few in (True, False):
+        now = groups
+        if few:  # similar documents likely have one least gram by a hash
+            least = [F.min(F.struct(F.xxhash64("gram", F.lit(i)).alias("h"), "gram", "comp")).alias(f"x{i}") for i in range(2)]
+            now = groups.groupBy("k").agg(*least).select("k", F.explode(F.array_distinct(F.array("x0.gram", "x1.gram"))).alias("gram"), F.col("x0.comp").alias("comp"))
+        some = materialise(verify(candidate_pairs(mixed(now), marks, percent, most=SOME), whole, percent), "some-links")
         links = links.unionByName(some)
         # what is linked by now is one component, of which nothing more is compared
         names = materialise(connected_components(names.unionByName(some)).select(F.col("node").alias("a"), F.col("component").alias("b")), "names")
