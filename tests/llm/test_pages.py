@@ -152,12 +152,19 @@ def test_revisits_of_nothing(spark):
     assert read_warc(*write_warc(df)).collect() == []
 
 
-def test_op10_against_sql(spark):
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+def test_against_sql(spark, name):
     import duckdb
 
+    sf = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    c.execute("create view pages as select * from '/root/testdata/sf0.001/pages.parquet'")
-    assert sorted(map(tuple, Q.op10_warc_revisits(spark, "/root/testdata/sf0.001").collect())) == sorted(c.execute(Q.ORACLES["op10_warc_revisits"]).fetchall())
+    for t in ("pages", "documents", "benchmark", "embeddings"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    out = c.execute(Q.ORACLES[name])
+    names = [d[0] for d in out.description]
+    got = Q.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(out.fetchall())
 
 
 def brute(rows, k):

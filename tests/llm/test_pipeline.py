@@ -40,3 +40,19 @@ def test_unlike_documents_without_an_id_or_with_one_id_stay(spark):
     got = P.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     want = [(None, words[0]), (None, words[1]), (4, words[2]), (4, words[3]), (5, words[4]), (7, None), (7, None)]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_stages_on_nulls_empties_repeats_and_nothing(spark):
+    """Every stage keeps rows with null and empty texts, repeated rows and clashing columns; an empty table stays empty."""
+    words = [" ".join(f"{p}{i}" for i in range(30)) for p in "abc"]
+    rows = [(None, None), (1, None), (2, ""), (3, " "), (4, words[0]), (4, words[1]), (None, words[2]), (5, "x " * 20_000)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, k string, r string, h string, _row string, score string, items string"
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *"abcdef") for i, t in rows], kind)
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, df, SF)
+        assert got.columns == df.columns, name
+        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(rows, key=repr), name
+        assert stage(spark, df.limit(0), SF).collect() == [], name
+    ids = [(r["doc_id"], r["n_tokens"]) for r in P.encode(spark, df, SF).collect()]
+    assert {(None, 0), (1, 0), (2, 0), (3, 0)} <= set(ids) and len(ids) == 8
+    assert P.encode(spark, df.limit(0), SF).collect() == []
