@@ -20,7 +20,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.5 or more go."""
+    """Documents with a score of 0.5 or more go. Null and empty texts have the score of a text without entries, and stay; each row is
+    scored by itself, whatever its id; without labels of both kinds nothing is learned, and the share of the label decides."""
     scored = toxicity(docs, table(spark, sf_dir, "labels"), keep=True)
     return scored.where("score < 0.5").select(*docs.columns)
 
@@ -28,7 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the row with the least id stays (null is the least; of equal ids the least digest of the text).
 
-    Each row has a key of its own, so rows without an id or with the id of another go only if their texts are linked.
+    Each row has a key of its own, so rows without an id or with the id of another go only if their texts are linked. Null texts and
+    texts without words are linked with nothing, and stay.
     """
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_digest", F.sha2("text", 256)), "rows")
     groups = jaccard_components(rows.select("_row", "text"), 5, 80, id_col="_row")
@@ -38,17 +40,19 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words that a document with a smaller id has are cut; a text that loses nothing stays as it is."""
+    """Passages of 50 words that a document with a smaller id has are cut; a text that loses nothing stays as it is, as do null and
+    empty texts. A null id is the least; rows with one id cut nothing of each other."""
     return _counted(passage_dedup(docs, 50, keep="earlier_document", rewrite=True))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with passages of two items or more go; of the others the words of test passages are cut."""
+    """Documents with passages of two items or more go; of the others the words of test passages are cut. Null and empty texts stay;
+    without a benchmark all do. Each row is cut by its own text, whatever its id."""
     return _counted(decontaminate(docs, table(spark, sf_dir, "benchmark"), 8, reject_items=2))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, and their number."""
+    """The ids of every text, and their number; none for a null or an empty text."""
     return bpe_round_trip(docs, vocabulary()).select("doc_id", "n_tokens", "ids")
 
 
