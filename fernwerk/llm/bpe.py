@@ -42,7 +42,7 @@ def byte_characters() -> list[str]:
 class PrefixBPE:
     """Encoder and decoder of a word-level BPE file (lower case, word ends, white space dropped)."""
 
-    def __init__(self, spec: dict, cache: int = 300_000):
+    def __init__(self, spec: dict, cache: int = 150_000):
         model = spec["model"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != _END or spec["decoder"] is not None:
             raise ValueError("only word-end BPE without a decoder is supported")
@@ -98,7 +98,7 @@ class PrefixBPE:
         """Whether the text of a followed by that of b is encoded as a, b."""
         got = self.fits.get((a, b))
         if got is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 250_000:
                 self.fits.clear()
             got = self.fits[a, b] = self._apart(a, b, _NEVER, _NEVER)
         return got

@@ -234,7 +234,7 @@ def some_of_each(pairs: np.ndarray, comp: np.ndarray, most: int) -> np.ndarray:
 
 def _traverse(percent: int, most: int | None = None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, "key", 2 << 20):
+        for t in by_key(batches, "key", 1 << 20):
             key = t["key"].to_numpy()
             k, n, comp, side = (t[x].to_numpy() for x in ("k", "n", "comp", "side"))
             bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, BITMAP)
@@ -317,11 +317,13 @@ def rarest(grams: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     need = F.ceil(F.col("n") * percent / 100)
     met = grams.join(comp, "k")
     mixed = met.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("times")).where("c0 <> c1").select("gram", "times")
-    met = materialise(met.join(mixed, "gram"), "mixed")
+    written = met = materialise(met.join(mixed, "gram"), "mixed")
     full = met.groupBy("k").agg(F.count(F.lit(1)).alias("left"), F.first("n").alias("n")).where(F.col("left") >= need).select("k", "left")
     order = F.row_number().over(Window.partitionBy("k").orderBy("times", "gram"))
     met = met.join(full, "k").withColumn("place", order).where(F.col("place") <= F.col("left") - need + 1)
-    return materialise(met.select("gram", "k", "comp"), "groups")
+    out = materialise(met.select("gram", "k", "comp"), "groups")
+    release(written)
+    return out
 
 
 def mixed(groups: DataFrame) -> DataFrame:
@@ -348,6 +350,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     often = materialise(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "often")
     known = sets.select("k", "n").join(copies, "k", "left").where("rep is null or rep = k").select("k", "n")
     met = materialise(grams.join(often, "gram").join(known, "k").select("gram", "k", "n", F.col("k").alias("comp")), "met")
+    release(often)
     met = peel(met, percent)
     comp = materialise(met.groupBy("k").agg(F.first("n").alias("n")).withColumn("comp", F.col("k")), "open")
     names = sets.select("k", "doc", "r").join(comp.select("k"), "k")
@@ -369,6 +372,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
         own = comp.select(F.col("k").alias("a"), F.col("comp").alias("name"))
         named = found.join(own, "a").groupBy("b").agg(F.min("name").alias("name"))
         comp = materialise(comp.join(named, comp["k"] == named["b"], "left").select("k", "n", F.coalesce("name", "comp").alias("comp")), "names")
+    release(met)
     groups = rarest(whole.select("k", F.explode("grams").alias("gram")), comp, percent)
     marks = materialise(whole.join(groups.select("k").distinct(), "k").mapInArrow(_signatures, "k long, n long, bits binary"), "marks")
     names = comp.where("k <> comp").select(F.col("k").alias("a"), F.col("comp").alias("b"))
