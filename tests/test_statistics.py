@@ -67,7 +67,7 @@ def test_bootstrap_is_paired_and_keeps_perfect_separation(spark):
     assert {r["low"] for r in A.interval(spark.createDataFrame(got), ["surface"]).collect()} == {1.0}
 
 
-WHOLE = "a13_auc a14_percentile_rank a15_effective_units a16_cluster_means a17_interval a18_bootstrap_auc a19_permutation a23_paired_difference a25_sample_guard c10_candidate_surfaces k13_validation_report".split()
+WHOLE = "a13_auc a14_percentile_rank a15_effective_units a16_cluster_means a17_interval a18_bootstrap_auc a19_permutation a23_paired_difference a25_sample_guard k13_validation_report".split()
 
 
 @pytest.mark.parametrize("name", WHOLE)
