@@ -63,6 +63,34 @@ TREE_NAMES = {
 #: A tree's raster code is its place in the sorted keys, from 1; 255 is any other tree.
 OTHER_TREE = 255
 SCORE_STOPS = ((0, 68, 1, 84), (0.25, 59, 82, 139), (0.5, 33, 145, 140), (0.75, 94, 201, 98), (1, 253, 231, 37))
+# Stops and colours of the map's other overlays.
+RAMPS = {
+    "suitability": SCORE_STOPS,
+    "elevation": ((0, 60, 110, 70), (0.35, 150, 175, 110), (0.6, 190, 165, 120), (0.8, 160, 130, 110), (1, 250, 250, 252)),
+    "slope": ((0, 255, 255, 204), (0.4, 253, 176, 74), (0.7, 227, 90, 60), (1, 128, 0, 38)),
+    "ndvi": ((0, 140, 100, 60), (0.4, 220, 210, 140), (0.7, 90, 170, 70), (1, 10, 80, 30)),
+    "water": ((0, 245, 235, 210), (0.4, 160, 200, 200), (0.7, 70, 140, 190), (1, 20, 60, 130)),
+    "host": ((0, 245, 240, 225), (0.3, 200, 190, 110), (0.6, 120, 150, 60), (1, 30, 80, 40)),
+    "aspect": ((0, 235, 90, 90), (0.25, 235, 220, 90), (0.5, 90, 200, 235), (0.75, 140, 110, 220), (1, 235, 90, 90)),
+}
+VEGETATION_COLOURS = {1: (170, 150, 130), 2: (120, 200, 90), 3: (60, 140, 80), 4: (25, 70, 45), 5: (198, 122, 62)}
+FOREST_COLOURS = {1: (205, 195, 160), 2: (120, 120, 150), 3: (150, 175, 90), 4: (35, 110, 50), 5: (198, 122, 62)}
+TENURE_COLOURS = {1: (200, 170, 90), 2: (220, 120, 120), 3: (150, 190, 120), 4: (90, 170, 110), 5: (70, 150, 140), 6: (170, 100, 180), 7: (60, 130, 90)}
+HABITAT_LABELS = {"vegetation": "Vegetation", "forest": "Host trees"}
+
+
+def forest_classes(forest: Mapping | None = None) -> dict[int, str]:
+    """Names of the forest classes in the profile's own word for its trees (host_label, host_label_plural)."""
+    f = forest or {}
+    one = f.get("host_label") or "host"
+    many = f.get("host_label_plural") or {"host": "hosts"}.get(one, one)
+    return {0: "no inventory", 1: "non-forest", 2: f"forest, no {many}", 3: f"forest, some {many}", 4: f"{one}-rich forest", 5: "young / recently harvested"}
+
+
+def habitat_label(species: Mapping, layer: str) -> str:
+    """The habitat's name on the map: the profile's, else one made of its word for host trees, else the layer's."""
+    host = (species.get("forest") or {}).get("host_label") if layer == "forest" else None
+    return species.get("habitat_label") or (f"{host[:1].upper()}{host[1:]} stands" if host else HABITAT_LABELS.get(layer, "Habitat"))
 
 
 def literal_map(values: Mapping) -> Column:

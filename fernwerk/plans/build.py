@@ -12,15 +12,18 @@ from __future__ import annotations
 
 import json
 from functools import cached_property
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fernwerk.functions import curves as C, labels as L
 from fernwerk.operators import network as N, sites as Z, spatial as S, stencil as T
+from fernwerk.operators.stats import exact_percentile
 from fernwerk.plans.layers import ndvi_mask, tenure_order, usable, water_mask
 from fernwerk.sources import layers as Y, sinks as K
-from fernwerk.sources.profiles import STAGES, Config, ConfigError
+from fernwerk.sources.files import save
+from fernwerk.sources.profiles import STAGES, Config, ConfigError, check_lore, lore_manifest, profile_lore
+from fernwerk.sources.tables import point
+from fernwerk.storage import materialise, release
 
 NEVER_SHARED = {"terrain", "vegetation", "forest", "moisture", "observations"}
 
@@ -33,6 +36,7 @@ class Build:
     def __init__(self, spark: SparkSession, cfg: Config, data: str, out: str, as_of_year: int = 2025):
         self.spark, self.cfg, self.data, self.out, self.year = spark, cfg, data.rstrip("/"), out.rstrip("/"), as_of_year
         self.species = cfg.species.get("id", "species")
+        check_lore(profile_lore(spark, cfg.species))
 
     # grid and input
 
@@ -275,7 +279,7 @@ class Build:
         pick("access", drive_minutes=F.bround("drive_minutes", 1), hike_minutes=F.bround("hike_minutes", 1), hike_km=F.bround("hike_km", 2))
         pick("suitability", **{("score_habitat" if k == self.cfg.habitat_layer else f"score_{k}"): F.bround(f"score_{k}", 3) for k in self.components()}, land_class=F.col("class"))
         if self.cfg.habitat_layer == "forest":
-            pick("forest", veg_class=F.element_at(L.literal_map(L.FOREST_CLASSES), F.col("class")), host_fraction=F.bround("host", 2), leading_species=F.col("leading_species"), stand_age_years=F.col("stand_age").cast("int"), crown_closure_pct=F.col("closure").cast("int"), years_since_logging=F.col("logged_age").cast("int"))
+            pick("forest", veg_class=F.element_at(L.literal_map(L.forest_classes(self.cfg.species["forest"])), F.col("class")), host_fraction=F.bround("host", 2), leading_species=F.col("leading_species"), stand_age_years=F.col("stand_age").cast("int"), crown_closure_pct=F.col("closure").cast("int"), years_since_logging=F.col("logged_age").cast("int"))
         else:
             pick("vegetation", veg_class=F.element_at(L.literal_map(L.VEGETATION_CLASSES), F.col("class")), ndvi=F.bround("ndvi", 3), canopy_closure=F.bround("closure", 3), years_since_logging=F.col("logged_age").cast("int"))
         if "moisture" in self.cfg.optional_layers:
@@ -290,22 +294,136 @@ class Build:
         sites = sites.join(near, "rank", "left").fillna(0, ["inat_nearby", "inat_nearby_exact"])
         return sites.drop("sx", "sy", "land_class", "cells")
 
+    def overlays(self) -> list[tuple]:
+        """Pictures of the map: key, label, layer, column, kind, and of measures the ramp and bounds (None: 2nd and 98th percentile)."""
+        f = self.cfg.species.get("forest") or {}
+        host = f.get("host_label") or "host-tree"
+        out = [
+            ("suitability", "Suitability score", "suitability", "score", "continuous", "suitability", 0.0, 1.0),
+            ("elevation", "Elevation", "ground", "z", "continuous", "elevation", None, None),
+            ("slope", "Slope", "ground", "slope", "continuous", "slope", None, None),
+            ("ndvi", "NDVI", "indices", "ndvi", "continuous", "ndvi", 0.0, 1.0),
+            ("aspect", "Aspect", "ground", "aspect", "cyclic", "aspect", 0.0, 360.0),
+        ]
+        if self.cfg.habitat_layer == "forest":
+            out += [
+                ("forest", "Forest / host trees", "forest", "class", "categorical", L.FOREST_COLOURS, L.forest_classes(f)),
+                ("host_fraction", f"{host[:1].upper()}{host[1:]} share", "forest", "host", "continuous", "host", 0.0, 1.0),
+                ("stand_age", "Stand age (years)", "forest", "stand_age", "continuous", "ndvi", 0.0, 200.0),
+            ]
+        else:
+            out.append(("vegetation", "Vegetation class", "vegetation", "class", "categorical", L.VEGETATION_COLOURS, L.VEGETATION_CLASSES))
+        if "moisture" in self.cfg.optional_layers:
+            out.append(("moisture", "Moisture credit", "moisture", "score", "continuous", "water", 0.0, 1.0))
+        out.append(("logging_age", "Years since logging", self.cfg.habitat_layer, "logged_age", "continuous", "ndvi", 0.0, 60.0))
+        out.append(("land_tenure", "Land tenure", "landstatus", "class", "categorical", L.TENURE_COLOURS, None))
+        return out
+
+    @cached_property
+    def bounds(self) -> tuple[float, float, float, float]:
+        """West, south, east and north of the area in degrees."""
+        p = [q for poly in self.cfg.rings() for q in poly[0]]
+        return min(q[0] for q in p), min(q[1] for q in p), max(q[0] for q in p), max(q[1] for q in p)
+
+    @cached_property
+    def picture(self) -> tuple[DataFrame, int, int]:
+        """Pixels of the map's pictures with the place of their centres in the grid, and their numbers of rows and columns: equal
+        steps of degrees, as many rows as the grid has."""
+        west, south, east, north = self.bounds
+        rows = self.grid.rows
+        cols = max(round(rows * (east - west) / max(north - south, 1e-9)), 1)
+        pixels = S.Grid(0.0, 0.0, 1.0, rows, cols).cells(self.spark)
+        lon, lat = F.lit(west) + F.col("x") / cols * (east - west), F.lit(north) + F.col("y") / rows * (north - south)
+        x, y = S.to_utm(lon, lat, self.zone)
+        u, v = (x - self.grid.left) / self.grid.resolution - 0.5, (F.lit(self.grid.top) - y) / self.grid.resolution - 0.5
+        return materialise(pixels.select("row", "col", u.alias("u"), v.alias("v")), "picture"), rows, cols
+
+    def draw(self, web: str) -> dict[str, dict]:
+        """Writes the overlays of the layers that are there and hold values; returns what the manifest says of them."""
+        pixels, rows, cols = self.picture
+        drawn: dict[str, dict] = {}
+        for key, label, name, column, kind, colours, *more in self.overlays():
+            try:
+                cells = self.layer(name).select("row", "col", F.col(column).alias("value"))
+            except MissingLayerError:
+                continue
+            warped = materialise(T.warp(cells, pixels, "value", "nearest" if kind == "categorical" else "bilinear"), "overlay")
+            entry = {"label": label, "file": f"{key}.png", "type": kind}
+            if kind == "categorical":
+                shown = K.categorical(warped, "value", colours)
+                entry |= {"legend": Y.legend(colours, more[0])} if more[0] else {"legend_key": key}
+            else:
+                if kind == "continuous" and warped.where("value is not null").isEmpty():
+                    release(warped)
+                    continue
+                low, high = (exact_percentile(warped, "value", p) if b is None else b for p, b in zip((0.02, 0.98), more))
+                shown = K.stretch(warped, "value", low, high)
+                shown = shown.select("row", "col", *K.ramp(L.RAMPS[colours], F.col("idx")), "alpha")
+                if kind == "continuous":
+                    entry |= {"min": low, "max": high}
+            save(self.spark, f"{web}/{key}.png", K.image(shown, rows, cols))
+            release(warped)
+            drawn[key] = entry
+        return drawn
+
+    def lonlat(self, points: Column) -> Column:
+        return F.transform(points, lambda p: F.array(*(F.bround(c, 6) for c in S.from_utm(p["x"], p["y"], self.zone))))
+
+    def vectors(self, web: str) -> None:
+        """roads.geojson, trails.geojson and protected_areas.geojson: what meets the area, simplified. A line is a column ``pts`` of
+        points, or a segment from x0, y0 to x1, y1."""
+        for name, tolerance, keep in (("roads", 40.0, ("name", "class", "surface")), ("trails", 25.0, ("name", "highway"))):
+            df = self.input(name, False)
+            if df is None:
+                continue
+            pts = F.col("pts") if "pts" in df.columns else F.array(point(F.col("x0"), F.col("y0")), point(F.col("x1"), F.col("y1")))
+            lines = materialise(df.select(F.monotonically_increasing_id().alias("_k"), *(c for c in keep if c in df.columns), pts.alias("pts")), name)
+            near = S.line_cells(S.segments(lines.select("_k", F.array("pts").alias("pts")), "pts"), self.grid).join(self.area, ["row", "col"], "left_semi").select("_k").distinct()
+            shown = K.simplified(lines.join(near, "_k", "left_semi"), tolerance).orderBy("_k")
+            features = shown.select(K.shape("LineString", self.lonlat(F.col("pts")), [F.col(c) for c in shown.columns if c in keep]).alias("f"))
+            self.features(features, f"{web}/{name}.geojson")
+        df = self.input("tenure", False)
+        if df is not None:
+            keep = [c for c in ("name", "designation") if c in df.columns]
+            parks = materialise(df.where("layer = 'park'").select(F.monotonically_increasing_id().alias("_k"), *keep, "rings"), "parks")
+            closed = F.transform("rings", lambda r: F.concat(r, F.slice(r, 1, 1)))
+            edges = S.line_cells(S.segments(parks.select("_k", closed.alias("rings")), "rings"), self.grid)
+            cells = S.polygon_cells(parks.select("_k", "rings"), self.grid).select("_k", "row", "col").union(edges.select("_k", "row", "col"))
+            near = cells.join(self.area, ["row", "col"], "left_semi").select("_k").distinct()
+            ring = K.simplified(parks.join(near, "_k", "left_semi").select("_k", *keep, F.posexplode(closed).alias("_i", "pts")), 30.0).where("size(pts) >= 4")
+            rings = ring.groupBy("_k", *keep).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", self.lonlat(F.col("pts")).alias("p")))), lambda x: x["p"]).alias("rings"), F.min("_i").alias("first"))
+            shown = rings.where("first = 0").orderBy("_k")
+            self.features(shown.select(K.shape("Polygon", F.col("rings"), [F.col(c) for c in keep]).alias("f")), f"{web}/protected_areas.geojson")
+
+    def features(self, df: DataFrame, path: str) -> None:
+        """A file of the features, if there is any."""
+        if not df.isEmpty():
+            K.write_geojson(df, "f", path)
+
     def export(self) -> None:
-        """sites.geojson, sites.gpx, sites.csv, manifest.json and a picture of the score under <out>/web/<area>/<species>."""
-        web = Path(self.out.removeprefix("file://")) / "web" / self.cfg.aoi_id / self.species
-        web.mkdir(parents=True, exist_ok=True)
+        """Everything the map shows, under <out>/web/<area>/<species>: sites (GeoJSON, GPX, CSV), records, overlays with legends,
+        vector layers, the outline and the manifest; and the index of all builds."""
+        web = f"{self.out}/web/{self.cfg.aoi_id}/{self.species}"
         sites = self.layer("sites")
         rows = sites.orderBy("rank").select(K.feature(F.col("lon"), F.col("lat"), [F.col(c) for c in sites.columns if c not in ("lon", "lat")]).alias("f"))
-        K.write_geojson(rows, "f", str(web / "sites.geojson"))
-        (web / "sites.gpx").write_text(K.gpx(sites, f"{self.cfg.aoi_id} - {self.species}", F.coalesce("land_status_label", F.lit(""))), encoding="utf-8")
+        K.write_geojson(rows, "f", f"{web}/sites.geojson")
+        save(self.spark, f"{web}/sites.gpx", K.gpx(sites, f"{self.cfg.aoi_id} - {self.species}", F.coalesce("land_status_label", F.lit(""))))
         columns = [c for c in ("rank", "score", "lat", "lon", "elevation_m", "aspect_compass", "slope_deg", "veg_class", "leading_species", "host_fraction", "stand_age_years", "water_distance_m", "years_since_logging", "area_ha", "drive_minutes", "hike_km", "hike_minutes", "land_status_label", "inat_nearby") if c in sites.columns]
         lines = [r[0] for r in sites.orderBy("rank").select(K.csv_line(columns)).collect()]
-        (web / "sites.csv").write_text("\n".join([",".join(columns), *lines]) + "\n", encoding="utf-8")
-        (web / "manifest.json").write_text(json.dumps(Y.manifest(self.cfg, sites), indent=2), encoding="utf-8")
-        shown = K.stretch(self.layer("suitability").select("row", "col", "score"), "score")
-        colours = shown.select("row", "col", *K.ramp(L.SCORE_STOPS, F.col("idx")), "alpha").toPandas()
-        (web / "suitability.png").write_bytes(K.png(colours, self.grid.rows, self.grid.cols))
-        Y.write_index(web.parent.parent)
+        save(self.spark, f"{web}/sites.csv", "\n".join([",".join(columns), *lines]) + "\n")
+        records = self.grid.cell_of(self.records()).join(self.area, ["row", "col"], "left_semi")
+        lon, lat = S.from_utm(F.col("x"), F.col("y"), self.zone)
+        shown = [F.col(c) for c in ("id", "taxon", "observed_on", "accuracy_m", "obscured", "url", "weight") if c in records.columns]
+        K.write_geojson(records.orderBy("id").select(K.feature(lon, lat, shown).alias("f")), "f", f"{web}/observations.geojson")
+        self.vectors(web)
+        save(self.spark, f"{web}/aoi.geojson", json.dumps(self.cfg.aoi))
+        west, south, east, north = self.bounds
+        manifest = Y.manifest(self.cfg, sites) | {"raster_layers": self.draw(web), "image_bounds": [[south, west], [north, east]]}
+        if self.cfg.species.get("folk_magic"):
+            lore = profile_lore(self.spark, self.cfg.species).select(F.to_json(lore_manifest()).alias("j")).first()["j"]
+            manifest["species"]["folk_magic"] = json.loads(lore)
+        save(self.spark, f"{web}/manifest.json", json.dumps(manifest, indent=2))
+        Y.write_index(self.spark, f"{self.out}/web")
 
     def run(self, stages: list[str] | None = None, reuse_imagery: bool = False) -> list[str]:
         """The stages, or all, that the profile needs; returns those that ran."""

@@ -8,7 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fernwerk.functions.labels import TENURE_LABELS
+from fernwerk.functions.labels import TENURE_LABELS, habitat_label
+from fernwerk.sources.files import load, matching, save
 from fernwerk.sources.profiles import Config
 from fernwerk.sources.sinks import counts_and_ranges
 
@@ -40,7 +41,7 @@ def manifest(cfg: Config, sites: DataFrame) -> dict:
     access = cfg.pipeline.get("access", {})
     return {
         "aoi": {"id": cfg.aoi_id},
-        "species": {k: cfg.species.get(k) for k in ("id", "common_name", "scientific_name")} | {"habitat_model": cfg.habitat_model, "optional_layers": cfg.optional_layers},
+        "species": {k: cfg.species.get(k) for k in ("id", "common_name", "scientific_name")} | {"habitat_model": cfg.habitat_model, "habitat_label": habitat_label(cfg.species, cfg.habitat_layer), "optional_layers": cfg.optional_layers},
         "origin": access.get("origin"),
         "weights": cfg.weights["weights"],
         "filters": {k: access.get(k) for k in ("max_drive_minutes", "max_hike_km")},
@@ -50,18 +51,21 @@ def manifest(cfg: Config, sites: DataFrame) -> dict:
     }
 
 
-def legend(colours: dict[int, tuple[int, int, int]], names: dict[int, str]) -> list[dict]:
-    return [{"label": names.get(c, str(c)), "colour": "#%02x%02x%02x" % rgb} for c, rgb in sorted(colours.items())]
+def legend(colours: dict[int, tuple[int, int, int]], names: dict[int, str]) -> list[list[str]]:
+    """Pairs of colour and label, of the codes that have both."""
+    return [["#%02x%02x%02x" % rgb, names[c]] for c, rgb in colours.items() if c in names]
 
 
-def write_index(root: str | Path) -> list[dict]:
+def write_index(spark: SparkSession, root: str | Path) -> list[dict]:
     """All builds <area>/<species>/manifest.json under root, by name, with their counts; older layouts are left out."""
-    builds = []
-    for p in sorted(Path(root).glob("*/*/manifest.json")):
-        m = json.loads(p.read_text(encoding="utf-8"))
-        builds.append({"aoi": p.parent.parent.name, "species": p.parent.name, "sites": m["counts"]["sites"]})
-    (Path(root) / "index.json").write_text(json.dumps({"builds": builds}, indent=2), encoding="utf-8")
-    return builds
+    found = []
+    for p in matching(spark, f"{root}/*/*/manifest.json"):
+        aoi, species = p.split("/")[-3:-1]
+        m = json.loads(load(spark, p))
+        names = m.get("species", {})
+        found.append({"id": f"{aoi}/{species}", "label": m.get("aoi", {}).get("label", aoi), "species": names.get("scientific_name"), "common_name": names.get("common_name"), "sites": m["counts"]["sites"]})
+    save(spark, f"{root}/index.json", json.dumps({"areas": found}, indent=2))
+    return found
 
 
 def publish(outputs: list[str | Path], web: str | Path) -> list[str]:

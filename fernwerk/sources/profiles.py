@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fernwerk.functions.labels import literal_map
@@ -30,6 +31,10 @@ THEMES = {
     "hunting": "hunting",
 }
 SAFETY = {"none": "No known hazard", "caution": "Caution", "toxic": "Toxic", "restricted": "Do not use"}
+DISCLAIMER = (
+    "Historical and cultural information about folklore, recorded from the traditions named. Not medical or magical advice, "
+    "and not a substitute for expert identification before you touch or eat anything."
+)
 WEIGHTS = {"terrain": 0.30, "vegetation": 0.30, "access": 0.20, "observations": 0.20}
 STAGES = ("terrain", "vegetation", "forest", "moisture", "access", "observations", "landstatus", "scoring", "export")
 #: Sections of the weights that a profile may replace, as a whole.
@@ -181,7 +186,15 @@ def lore_manifest(block: str = "block") -> Column:
     level = F.when(b["safety"]["level"].isin(*SAFETY), b["safety"]["level"]).otherwise("caution")
     shown = F.transform(b["associations"], lambda a: F.struct(a["theme"].alias("theme"), F.coalesce(F.try_element_at(literal_map(THEMES), a["theme"]), a["theme"]).alias("theme_label"), a["note"].alias("note"), a["origin"].alias("origin")))
     safety = F.struct(level.alias("level"), F.element_at(literal_map(SAFETY), level).alias("level_label"), F.coalesce(b["safety"]["note"], F.lit("")).alias("note"))
-    return F.when(b.isNotNull(), F.struct(b["folk_names"].alias("folk_names"), b["traditions"].alias("traditions"), shown.alias("associations"), safety.alias("safety"), b["sources"].alias("sources")))
+    return F.when(b.isNotNull(), F.struct(b["folk_names"].alias("folk_names"), b["traditions"].alias("traditions"), shown.alias("associations"), safety.alias("safety"), b["sources"].alias("sources"), F.lit(DISCLAIMER).alias("disclaimer")))
+
+
+def profile_lore(spark: SparkSession, species: dict) -> DataFrame:
+    """The block of one profile; one that does not have the block's shape is an error."""
+    try:
+        return lore_frame(spark, [{"id": species.get("id"), "block": species.get("folk_magic")}])
+    except PySparkException as e:
+        raise ConfigError(f"{species.get('id')}: the folk_magic block has not the shape it must have: {e}") from e
 
 
 def check_lore(profiles: DataFrame) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fernwerk.functions.curves import piecewise
 from fernwerk.functions.labels import escape_xml
 from fernwerk.operators.stats import exact_percentile
+from fernwerk.sources.files import save
 
 
 def feature(x: Column, y: Column, properties: Sequence[Column]) -> Column:
@@ -21,13 +22,22 @@ def feature(x: Column, y: Column, properties: Sequence[Column]) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties")))
 
 
+def shape(kind: str, coordinates: Column, properties: Sequence[Column]) -> Column:
+    """A GeoJSON feature of lines or polygons as text."""
+    geometry = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), (F.struct(*properties) if properties else F.create_map().cast("map<string,string>")).alias("properties")))
+
+
+def collection(features: DataFrame, column: str) -> Iterator[str]:
+    """A FeatureCollection in pieces, feature by feature; without features an empty one."""
+    yield '{"type":"FeatureCollection","features":['
+    for i, row in enumerate(features.select(column).toLocalIterator()):
+        yield ("," if i else "") + row[0]
+    yield "]}"
+
+
 def write_geojson(features: DataFrame, column: str, path: str) -> None:
-    """A FeatureCollection; without features an empty one. Export of a bounded list of sites, line by line."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"type":"FeatureCollection","features":[')
-        for i, row in enumerate(features.select(column).toLocalIterator()):
-            f.write(("," if i else "") + row[0])
-        f.write("]}")
+    save(features.sparkSession, path, collection(features, column))
 
 
 def counts_and_ranges(sites: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -91,13 +101,36 @@ def categorical(cells: DataFrame, code: str, colours: Mapping[int, tuple[int, in
     return cells.select("row", "col", pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"), F.when(known, opacity).otherwise(0).alias("alpha"))
 
 
+def _part(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def image(cells: DataFrame, rows: int, cols: int) -> Iterator[bytes]:
+    """An RGBA image in pieces. cells: row, col, r, g, b, alpha, one row for each pixel.
+
+    Lines are put together by Spark and packed one at a time, so that the driver holds one partition of lines at most.
+    """
+    pixel = F.concat(*(F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in ("r", "g", "b", "alpha")))
+    line = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", pixel.alias("p")))), lambda x: x["p"]), ""))
+    yield b"\x89PNG\r\n\x1a\n" + _part(b"IHDR", struct.pack(">IIBBBBB", cols, rows, 8, 6, 0, 0, 0))
+    pack, seen = zlib.compressobj(), 0
+    for r in cells.groupBy("row").agg(line.alias("line")).orderBy("row").toLocalIterator():
+        if r["row"] != seen or len(r["line"]) != 4 * cols:
+            raise ValueError(f"line {r['row']} of the image is not whole")
+        seen += 1
+        if some := pack.compress(b"\0" + bytes(r["line"])):
+            yield _part(b"IDAT", some)
+    if seen != rows:
+        raise ValueError(f"{seen} of {rows} lines in the image")
+    yield _part(b"IDAT", pack.flush()) + _part(b"IEND", b"")
+
+
 def png(cells: pd.DataFrame, rows: int, cols: int) -> bytes:
     """An RGBA image of row, col, r, g, b, alpha; absent cells are transparent."""
     img = np.zeros((rows, cols, 4), np.uint8)
     img[cells["row"], cells["col"]] = cells[["r", "g", "b", "alpha"]].to_numpy(np.uint8)
     raw = b"".join(b"\0" + line.tobytes() for line in img)
-    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", cols, rows, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + _part(b"IHDR", struct.pack(">IIBBBBB", cols, rows, 8, 6, 0, 0, 0)) + _part(b"IDAT", zlib.compress(raw)) + _part(b"IEND", b"")
 
 
 def simplify(points: Sequence[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:

@@ -1,12 +1,16 @@
+import dataclasses
 import json
+import struct
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fernwerk import cli
 from fernwerk.operators.spatial import from_utm
 from fernwerk.plans.build import Build, MissingLayerError
-from fernwerk.sources.profiles import Config
+from fernwerk.sources.profiles import Config, ConfigError
 
 X, Y, N, RES = 450_000.0, 5_439_990.0, 24, 30.0
 
@@ -21,12 +25,12 @@ def world(spark, tmp_path_factory):
     lon2, lat2 = corner(X + 1, Y + N * RES - 1)
     lon3, lat3 = corner(X + N * RES - 1, Y + 1)
     spectral = {
-        "id": "arnica",
+        "id": "arnica", "folk_magic": {"folk_names": ["leopard's bane"], "traditions": ["Alpine"], "associations": [{"theme": "healing", "note": "n", "origin": "o"}], "safety": {"level": "toxic", "note": "not to be eaten"}, "sources": ["s"]},
         "terrain": {"elevation_m": {"hard_min": 900, "optimal_min": 1000, "optimal_max": 2000, "hard_max": 2200}, "slope_deg": {"optimal_min": 0, "optimal_max": 25, "hard_max": 40}, "aspect": {"optimal_bearing_deg": 180, "tolerance_deg": 45, "flat_slope_deg": 3}},
         "vegetation": {"ndvi": {"hard_min": 0.1, "optimal_min": 0.3, "optimal_max": 0.8}, "ndmi": {"open_max": -0.2, "closed_min": 0.4}, "openness_preference": {"bare": 0.1, "meadow": 1, "open_forest": 0.6, "closed_forest": 0.1}, "logging": {"penalty": 0.3, "recovery_years": 45}},
         "observations": {"taxon_name": "Arnica latifolia", "boost_radius_m": 60, "no_observation_baseline": 0.5, "congeners_downweight": []},
     }
-    host = {k: spectral[k] for k in ("terrain", "observations")} | {
+    host = {k: spectral[k] for k in ("terrain", "observations", "folk_magic")} | {
         "id": "cedar", "habitat_model": "host_trees", "weights_override": {"weights": {"terrain": 0.3, "forest": 0.3, "access": 0.2, "observations": 0.1, "moisture": 0.1}},
         "forest": {"host_affinity": {"CW": 1.0, "HW": 0.5}, "host_fraction": {"hard_min": 0.2, "saturation": 0.6}, "stand_age_credit": {"knots": [[0, 0], [50, 1], [300, 1]]}, "crown_closure_pct": {"hard_min": 10, "optimal_min": 30, "optimal_max": 100, "hard_max": None}},
         "moisture": {"water_distance_m": {"optimal_max": 60, "zero_at": 900}, "tpi": {"radius_m": 60, "wet_at_m": -4, "dry_at_m": 6}, "blend": {"water": 0.7, "tpi": 0.3}, "water_features": ["streams", "lakes"]},
@@ -47,11 +51,34 @@ def world(spark, tmp_path_factory):
     save("stand_species", [(1, 1, "CW", 60.0), (1, 2, "HW", 40.0)], "stand_id long, slot int, code string, pct double")
     save("streams", [(X, Y + 300, X + N * RES, Y + 300, 2)], "x0 double, y0 double, x1 double, y1 double, stream_order int")
     save("roads", [(i, X + i * 240.0, Y + 15, X + (i + 1) * 240.0, Y + 15, "local", None, None, None) for i in range(3)], "segment_id long, x0 double, y0 double, x1 double, y1 double, class string, surface string, status string, source string")
-    save("tenure", [("national", None, box(0, 20, N, N)), ("private", None, box(0, 18, N, 20))], f"layer string, designation string, rings {ring}")
+    save("tenure", [("national", None, box(0, 20, N, N)), ("private", None, box(0, 18, N, 20)), ("park", "CONSERVANCY", box(0, 20, 3, N))], f"layer string, designation string, rings {ring}")
     save("observations", [(1, "Arnica latifolia", 10.0, False, X + 100, Y + 400), (2, "Arnica latifolia", 10.0, True, X + 100, Y + 400)], "id long, taxon string, accuracy_m double, obscured boolean, x double, y double")
     return root
 
 
+def pixels(path):
+    data, at, packed = path.read_bytes(), 8, b""
+    while at < len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + size]
+        assert zlib.crc32(kind + body) == struct.unpack(">I", data[at + 8 + size : at + 12 + size])[0]
+        if kind == b"IHDR":
+            cols, rows = struct.unpack(">II", body[:8])
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + size
+    lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(rows, 1 + 4 * cols)
+    assert not lines[:, 0].any()
+    return lines[:, 1:].reshape(rows, cols, 4)
+
+
+def test_a_bad_block_of_lore_stops_the_build(spark, world, tmp_path):
+    cfg = Config.load(world)
+    for block in (None, "text", {"folk_names": ["a"]}, cfg.species["folk_magic"] | {"safety": {"level": "mild", "note": "n"}}):
+        bad = dataclasses.replace(cfg, species=cfg.species | {"folk_magic": block})
+        with pytest.raises(ConfigError, match="arnica"):
+            Build(spark, bad, str(world / "data"), str(tmp_path))
+
+
 def test_scoring_needs_its_layers(spark, world, tmp_path):
     with pytest.raises(MissingLayerError):
         Build(spark, Config.load(world), str(world / "data"), str(tmp_path)).scoring()
@@ -71,7 +98,27 @@ def test_spectral_build_from_tables_to_sites(spark, world, tmp_path, capsys):
     sites = json.loads((web / "sites.geojson").read_text())["features"]
     assert 1 <= len(sites) <= 5 and sites[0]["properties"]["rank"] == 1
     assert sites[0]["properties"]["land_status"] in ("crown_land", "private") and sites[0]["properties"]["aspect_compass"] == "S"
-    assert json.loads((web / "manifest.json").read_text())["counts"]["sites"] == len(sites)
+    manifest = json.loads((web / "manifest.json").read_text())
+    assert manifest["counts"]["sites"] == len(sites) and manifest["species"]["folk_magic"]["disclaimer"] and manifest["species"]["habitat_label"] == "Vegetation"
+    layers = manifest["raster_layers"]
+    assert list(layers) == ["suitability", "elevation", "slope", "ndvi", "aspect", "vegetation", "logging_age", "land_tenure"]
+    assert layers["vegetation"]["legend"][0] == ["#aa9682", "bare"] and layers["land_tenure"]["legend_key"] == "land_tenure" and "min" not in layers["aspect"]
+    assert 1000 <= layers["elevation"]["min"] < layers["elevation"]["max"] <= 1192 and (layers["ndvi"]["min"], layers["ndvi"]["max"]) == (0, 1)
+    (south, west), (north, east) = manifest["image_bounds"]
+    pictures = {k: pixels(web / v["file"]) for k, v in layers.items()}
+    assert {p.shape for p in pictures.values()} == {(N, round(N * (east - west) / (north - south)), 4)}
+    wide = pictures["land_tenure"].shape[1]
+    assert tuple(pictures["land_tenure"][12, wide - 1]) == (60, 130, 90, 190) and pictures["land_tenure"][12, 2, 3] == 0
+    assert pictures["suitability"][12, wide - 1, 3] == 0 and pictures["suitability"][12, wide // 2, 3] == 200
+    assert tuple(pictures["elevation"][0, wide // 2][:3]) == (250, 250, 252)
+    records = json.loads((web / "observations.geojson").read_text())["features"]
+    assert [r["properties"]["id"] for r in records] == [1] and records[0]["properties"]["weight"] == 1 and west <= records[0]["geometry"]["coordinates"][0] <= east
+    roads = json.loads((web / "roads.geojson").read_text())["features"]
+    assert len(roads) == 3 and roads[0]["properties"] == {"class": "local"} and len(roads[0]["geometry"]["coordinates"]) == 2
+    (park,) = json.loads((web / "protected_areas.geojson").read_text())["features"]
+    assert park["properties"] == {"designation": "CONSERVANCY"} and park["geometry"]["coordinates"][0][0] == park["geometry"]["coordinates"][0][-1]
+    assert json.loads((web / "aoi.geojson").read_text())["features"] and not (web / "trails.geojson").exists()
+    assert json.loads((tmp_path / "web" / "index.json").read_text())["areas"][0]["id"] == "a/arnica"
     assert (web / "suitability.png").read_bytes()[:4] == b"\x89PNG" and len((web / "sites.csv").read_text().splitlines()) == len(sites) + 1
     again = Build(spark, Config.load(world), str(world / "data"), str(tmp_path)).run(["vegetation", "scoring"], reuse_imagery=True)
     assert again == ["vegetation", "scoring"]
@@ -81,6 +128,6 @@ def test_host_tree_build_with_moisture(spark, world, tmp_path):
     b = Build(spark, Config.load(world, species="species/cedar.json"), str(world / "data"), str(tmp_path))
     assert "forest" in b.run() and b.components() == ["terrain", "forest", "access", "observations", "moisture"]
     sites = b.layer("sites").collect()
-    assert sites and all(s["col"] < 12 and s["veg_class"] == "host-rich" and s["leading_species"] == "western redcedar 60%" for s in sites)
+    assert sites and all(s["col"] < 12 and s["veg_class"] == "host-rich forest" and s["leading_species"] == "western redcedar 60%" for s in sites)
     wet = {r["row"]: r["water_distance_m"] for r in b.layer("moisture").where("col = 5").collect()}
     assert min(wet.values()) == 0 and wet[0] > 300

@@ -60,9 +60,9 @@ def test_config_manifest_and_index(spark, tmp_path):
     (out / "a" / "s").mkdir(parents=True)
     (out / "a" / "s" / "manifest.json").write_text(json.dumps(m))
     (out / "old.manifest.json").write_text("{}")
-    assert Y.write_index(out) == [{"aoi": "a", "species": "s", "sites": 1}]
+    assert [(x["id"], x["label"], x["sites"]) for x in Y.write_index(spark, out)] == [("a/s", "a", 1)]
     assert Y.publish([out / "index.json", out / "missing"], tmp_path / "copy")
-    assert Y.legend({1: (255, 0, 16)}, {1: "x"}) == [{"label": "x", "colour": "#ff0010"}]
+    assert Y.legend({1: (255, 0, 16)}, {1: "x"}) == [["#ff0010", "x"]]
 
 
 def test_command_line(tmp_path, capsys):
