@@ -1,4 +1,8 @@
 import json
+import re
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +10,7 @@ from pyspark.sql import functions as F
 from fernwerk import cli
 from fernwerk.operators.spatial import Grid
 from fernwerk.sources import layers as Y
-from fernwerk.sources.features import FeatureSource, bounds_of
+from fernwerk.sources.features import FeatureSource, bounds_of, geometry_column
 from fernwerk.sources.profiles import ConfigError
 from fernwerk.sources.tables import first_by_id, layer_name
 from fernwerk.streaming.occurrences import seeds
@@ -26,6 +30,56 @@ def test_tiles_of_a_feature_service(spark, tmp_path):
         layer_name("nothing")
 
 
+SCHEMA = '<xsd:schema xmlns:xsd="http://www.w3.org/2001/XMLSchema"><xsd:element name="ID" type="xsd:int"/><xsd:element name="SHAPE" nillable="true" type="gml:MultiSurfacePropertyType"/></xsd:schema>'
+
+
+@pytest.fixture
+def service():
+    """A service of 20 points whose geometry is called SHAPE; a box on any other name is refused. The first request of all fails."""
+    seen = []
+
+    class Answers(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            seen.append(q)
+            box = re.match(r"\(?BBOX\(SHAPE,([^)]*)\)", q.get("CQL_FILTER", ""))
+            bad = len(seen) == 1 or not q["typeNames"].startswith("pub:") or (q["request"] == "GetFeature" and not box)
+            body = SCHEMA
+            if box:
+                x0, y0, x1, y1 = map(float, box[1].split(","))
+                inside = [i for i in range(20) if x0 <= i <= x1 and y0 <= i <= y1]
+                found = [{"id": f"f{i}", "properties": {"ID": i}, "geometry": {"type": "Point", "coordinates": [i, i]}} for i in inside]
+                body = f'<wfs:FeatureCollection xmlns:wfs="http://www.opengis.net/wfs/2.0" numberMatched="{len(inside)}"/>' if q.get("resultType") == "hits" else json.dumps({"features": found})
+            self.send_response(400 if bad else 200)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/wfs", seen
+    server.shutdown()
+
+
+def test_a_service_names_its_geometry_and_is_asked_once(spark, service, tmp_path):
+    url, seen = service
+    spark.dataSource.register(FeatureSource)
+    read = lambda: spark.read.format("features").options(url=url, layer="roads_dra", bounds="0,0,20,20", cap="8", properties="ID", filter="ID >= 0", cache=str(tmp_path / "kept")).load()
+    rows = {r["id"]: r for r in read().collect()}
+    assert len(rows) == 20 and rows["f3"]["properties"] == {"ID": "3"} and (rows["f3"]["xmin"], rows["f3"]["ymax"]) == (3, 3)
+    pages = [q for q in seen if "outputFormat" in q]
+    assert pages and all(q["propertyName"] == "ID,SHAPE" and q["CQL_FILTER"].endswith("AND (ID >= 0)") for q in pages)
+    asked = len(seen)
+    assert read().count() >= 20 and len(seen) == asked
+
+
+def test_geometry_columns():
+    assert geometry_column(SCHEMA) == "SHAPE"
+    assert geometry_column("<a/>") == geometry_column("not a description") == "GEOMETRY"
+
+
 def test_layers_fall_back_to_the_shared_one(spark, tmp_path):
     cells = spark.createDataFrame([(0, 0, 1.0)], "row int, col int, z double")
     Y.write_layer(cells, str(tmp_path), "elevation", "a")
