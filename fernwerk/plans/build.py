@@ -1,7 +1,7 @@
 """The whole model for one area and species, from input tables to ranked sites.
 
 Inputs are Parquet tables in one folder (columns in parentheses; shapes in metres of the area's UTM zone):
-elevation (row, col, z), pixels (scene, frow, fcol, red, nir, swir, scl, baseline), blocks and tenure (rings, harvest_year or layer, designation),
+elevation (row, col, z; or elevation.tif), pixels (scene, frow, fcol, red, nir, swir, scl, baseline), blocks and tenure (rings, harvest_year or layer, designation),
 stands (stand_id, level2, age, closure, rings), stand_species (stand_id, slot, code, pct), streams (x0, y0, x1, y1, stream_order),
 water (rings, kind), roads (segment_id, x0, y0, x1, y1, class, surface, status, source), trails (x0, y0, x1, y1),
 observations (id, taxon, accuracy_m, obscured, x, y). A table that a stage can do without may be absent.
@@ -20,7 +20,8 @@ from fernwerk.operators import network as N, sites as Z, spatial as S, stencil a
 from fernwerk.operators.stats import exact_percentile
 from fernwerk.plans.layers import ndvi_mask, tenure_order, usable, water_mask
 from fernwerk.sources import layers as Y, sinks as K
-from fernwerk.sources.files import save
+from fernwerk.sources.files import matching, save
+from fernwerk.sources.geotiff import GeoTiffSource, raster
 from fernwerk.sources.profiles import STAGES, Config, ConfigError, check_lore, lore_manifest, profile_lore
 from fernwerk.sources.tables import point
 from fernwerk.storage import materialise, release
@@ -67,13 +68,29 @@ class Build:
 
     def input(self, name: str, needed: bool = True) -> DataFrame | None:
         path = f"{self.data}/{name}.parquet"
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        if matching(self.spark, path):
             return self.spark.read.parquet(path)
         if needed:
             raise MissingLayerError(f"no input table {name}")
         return None
 
+    def elevation(self) -> DataFrame:
+        """(row, col, z): the table, or a GeoTIFF of that name in degrees or in metres of the area's zone, warped to the grid."""
+        table, path = self.input("elevation", False), f"{self.data}/elevation.tif"
+        if table is not None or not matching(self.spark, path):
+            return table if table is not None else self.input("elevation")
+        r = raster(path)
+        left, top, dx, dy = r.place
+        x, y = F.col("x"), F.col("y")
+        if r.epsg in (4326, 4269):
+            x, y = S.from_utm(x, y, self.zone)
+        elif r.epsg not in (32600 + self.zone, 26900 + self.zone):
+            raise ConfigError(f"elevation.tif is in EPSG:{r.epsg}, neither in degrees nor in zone {self.zone}")
+        self.spark.dataSource.register(GeoTiffSource)
+        cells = self.spark.read.format("geotiff").option("path", path).load().withColumnRenamed("value", "z")
+        target = self.grid.cells(self.spark).select("row", "col", ((x - left) / dx - 0.5).alias("u"), ((F.lit(top) - y) / dy - 0.5).alias("v"))
+        return T.warp(cells, target, "z")
+
     @cached_property
     def area(self) -> DataFrame:
         """Cells that the area touches."""
@@ -99,7 +116,7 @@ class Build:
 
     def terrain(self) -> None:
         t = self.cfg.species["terrain"]
-        cells = self.grid.cells(self.spark).select("row", "col").join(self.input("elevation"), ["row", "col"], "left")
+        cells = self.grid.cells(self.spark).select("row", "col").join(self.elevation(), ["row", "col"], "left")
         ground = T.slope_aspect(cells, self.grid.resolution, float(self.cfg.pipeline.get("terrain", {}).get("smooth_sigma", 0)))
         self.write(ground, "ground", shared=True)
         ground = self.on_area(self.layer("ground"))

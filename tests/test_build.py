@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernwerk import cli
-from fernwerk.operators.spatial import from_utm
+from fernwerk.operators.spatial import Grid, from_utm, to_utm
 from fernwerk.plans.build import Build, MissingLayerError
+from fernwerk.sources.geotiff import write_geotiff
 from fernwerk.sources.profiles import Config, ConfigError
 
 X, Y, N, RES = 450_000.0, 5_439_990.0, 24, 30.0
@@ -79,6 +80,22 @@ def test_a_bad_block_of_lore_stops_the_build(spark, world, tmp_path):
             Build(spark, bad, str(world / "data"), str(tmp_path))
 
 
+def test_elevation_from_a_geotiff(spark, world, tmp_path):
+    """The plane of the world's elevations on a grid of degrees with cells of its own comes out the same, but for the rim."""
+    b = Build(spark, Config.load(world), str(tmp_path), str(tmp_path))
+    with pytest.raises(MissingLayerError):
+        b.elevation()
+    west, south, east, north = b.bounds
+    far = Grid(west - 0.002, north + 0.002, 0.0002, int((north - south + 0.004) / 0.0002), int((east - west + 0.004) / 0.0002))
+    x, y = to_utm(F.col("x"), F.col("y"), b.zone)
+    write_geotiff(far.cells(spark).withColumn("z", 1000 + 8 * (b.grid.top - y) / RES), "z", far, 4326, f"{tmp_path}/elevation.tif")
+    rows = b.elevation().collect()
+    assert len(rows) == N * N and all(r["z"] == pytest.approx(1000 + 8 * (r["row"] + 0.5), abs=0.01) for r in rows)
+    write_geotiff(spark.createDataFrame([(0, 0, 1.0)], "row int, col int, z double"), "z", Grid(0, 0, 1, 1, 1), 3005, f"{tmp_path}/elevation.tif")
+    with pytest.raises(ConfigError, match="3005"):
+        b.elevation()
+
+
 def test_scoring_needs_its_layers(spark, world, tmp_path):
     with pytest.raises(MissingLayerError):
         Build(spark, Config.load(world), str(world / "data"), str(tmp_path)).scoring()
