@@ -188,7 +188,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         spec = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(_coder(spec, "text"), f"id {kind}, _ids binary, _n long, _decoded string")
+    out = rows.mapInArrow(K.tidy(_coder(spec, "text")), f"id {kind}, _ids binary, _n long, _decoded string")
     return out.select(F.col("id").alias(id_col), F.col("_n").alias("n_tokens"), F.col("_ids").alias("ids"), F.col("_decoded").alias("decoded"))
 
 

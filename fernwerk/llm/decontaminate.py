@@ -138,10 +138,10 @@ def _hits(texts: DataFrame, share: list) -> DataFrame:
     """(d, n_hit, items, spans) of each distinct text that any block hits, from rows (d, text)."""
     found = None
     for block in share:
-        one = texts.mapInArrow(_scan(block, False), "d string, " + _HITS.removeprefix("k long, "))
+        one = texts.mapInArrow(K.tidy(_scan(block, False)), "d string, " + _HITS.removeprefix("k long, "))
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy("d").agg(F.collect_set("spans").alias("all_spans"), F.collect_set("items").alias("all_items"))
-    return merged.mapInArrow(_merge, "d string, n_hit long, items array<string>, spans array<struct<lo:int,hi:int>>")
+    return merged.mapInArrow(K.tidy(_merge), "d string, n_hit long, items array<string>, spans array<struct<lo:int,hi:int>>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -155,11 +155,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, id_col: str
     rows = keyed(docs, id_col, text_col)
     share = _blocks(benchmark, n, block_bytes)
     if len(share) == 1:
-        found = rows.mapInArrow(_scan(share[0], True), _HITS)
+        found = rows.mapInArrow(K.tidy(_scan(share[0], True)), _HITS)
     else:
         rows = rows.withColumn("d", _digest("text"))
         none = docs.sparkSession.sparkContext.broadcast({})
-        words = rows.mapInArrow(_scan(none, True), _HITS.replace("k long", "k long, d string")).select("k", "d", "n_words")
+        words = rows.mapInArrow(K.tidy(_scan(none, True)), _HITS.replace("k long", "k long, d string")).select("k", "d", "n_words")
         both = words.join(_hits(rows.select("d", "text"), share), "d", "left")
         empty = {c: F.array().cast(t) for c, t in (("items", "array<string>"), ("spans", "array<struct<lo:int,hi:int>>"))}
         found = both.select("k", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), *(F.coalesce(c, e).alias(c) for c, e in empty.items()))
@@ -207,10 +207,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, reject_item
     at = docs.columns.index(text_col)
     named = docs.toDF(*("text" if i == at else f"c{i}" for i in range(len(docs.columns))))
     if len(share) == 1:
-        return named.mapInArrow(_clean(share[0], reject_items), named.schema).toDF(*docs.columns)
+        return named.mapInArrow(K.tidy(_clean(share[0], reject_items)), named.schema).toDF(*docs.columns)
     keyed_ = named.withColumn("d", _digest("text"))
     hits = _hits(keyed_.select("d", "text"), share).select("d", F.col("items").alias("_items"), F.col("spans").alias("_spans"))
-    return keyed_.join(hits, "d", "left").drop("d").mapInArrow(_clean(None, reject_items), named.schema).toDF(*docs.columns)
+    return keyed_.join(hits, "d", "left").drop("d").mapInArrow(K.tidy(_clean(None, reject_items)), named.schema).toDF(*docs.columns)
 
 
 def items_digest(items: str = "items") -> F.Column:

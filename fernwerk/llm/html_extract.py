@@ -348,7 +348,7 @@ def host_of(url: str = "url") -> F.Column:
 
 def votes(pages: DataFrame) -> DataFrame:
     """(host, path, votes, score): how many pages of a host found a path best, and the sum of their scores; '' is no path."""
-    cast = pages.select(host_of().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_vote, "host string, path string, score double")
+    cast = pages.select(host_of().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(K.tidy(_vote), "host string, path string, score double")
     return cast.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.round("score")).alias("score"))
 
 
@@ -376,4 +376,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     paths = winners(added).select("host", "path", F.explode(salts).alias("salt"))
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of().alias("host")).withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).otherwise(0))
     kind = {n: rows.schema[n].dataType.simpleString() for n in ("page_id", "url")}
-    return rows.join(paths, ["host", "salt"], "left").select("page_id", "url", "html", "path").mapInArrow(_extract, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long, host_path string")
+    return rows.join(paths, ["host", "salt"], "left").select("page_id", "url", "html", "path").mapInArrow(K.tidy(_extract), f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long, host_path string")

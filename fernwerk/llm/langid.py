@@ -141,7 +141,7 @@ def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     The counts of four symbols come to the driver: their number is bounded by the sample.
     """
     ids = F.broadcast(sampled(labelled, docs_per_lang))  # at most docs_per_lang a language
-    grams = labelled.join(ids, "id", "left_semi").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    grams = labelled.join(ids, "id", "left_semi").select("lang", "text").mapInArrow(K.tidy(_count), "lang string, gram long, n long")
     rows = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(rows["lang"].to_pylist()))
     if not names:
@@ -207,4 +207,4 @@ def identify(docs: DataFrame, train_on: str = "true", docs_per_lang: int = DOCS_
     trees = train(rows.where(train_on).where("text is not null and lang is not null"), docs_per_lang)
     share = docs.sparkSession.sparkContext.broadcast(trees)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "text").mapInArrow(_predict(share), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.select("id", "text").mapInArrow(K.tidy(_predict(share)), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)

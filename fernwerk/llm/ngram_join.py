@@ -140,7 +140,7 @@ def verify(pairs: DataFrame, whole: DataFrame, percent: int, per_part: int = 200
     centers = many.select(F.col("a").alias("k"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     roles = centers.unionByName(pairs.select(F.col("b").alias("k"), "a", "b", "part"))
     rows = roles.join(whole, "k").select("a", "b", "part", "grams")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(_verify(percent), "a long, b long")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(K.tidy(_verify(percent)), "a long, b long")
 
 
 def bitmaps(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -290,7 +290,7 @@ def candidate_pairs(groups: DataFrame, marks: DataFrame, percent: int, block: in
         F.transform(span(zero, F.col("lower")), lambda q: cell(band - 1, q, band, part, 2)),
     )
     rows = dealt.select("k", "n", "comp", "bits", F.explode(cells).alias("c")).select("c.key", "k", "n", "comp", "c.side", "bits")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_traverse(percent, most), "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(K.tidy(_traverse(percent, most)), "a long, b long").distinct()
 
 
 def peel(met: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
@@ -341,7 +341,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     and different texts, link by their texts only; a null id counts as the least.
     """
     rows = row_keyed(docs, id_col, text_col).withColumnRenamed("k", "doc")
-    sets = rows.mapInArrow(_sets(n, percent), "doc long, r long, n long, s1 long, s2 long, first array<long>")
+    sets = rows.mapInArrow(K.tidy(_sets(n, percent)), "doc long, r long, n long, s1 long, s2 long, first array<long>")
     sets = materialise(sets.withColumn("k", F.monotonically_increasing_id()), "sets")
     # what is joined to hot keys is written first: with an exchange on both sides, Spark can split a hot key's rows
     classes = materialise(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc", "k")).alias("one"), F.count(F.lit(1)).alias("times")).where("times > 1").select("s1", "s2", "n", F.col("one.k").alias("rep")), "classes")
@@ -355,7 +355,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     comp = materialise(met.groupBy("k").agg(F.first("n").alias("n")).withColumn("comp", F.col("k")), "open")
     names = sets.select("k", "doc", "r").join(comp.select("k"), "k")
     texts = rows.join(names, ["doc", "r"]).dropDuplicates(["doc", "r", "k"]).select("k", "text")
-    whole = materialise(texts.mapInArrow(_whole(n), "k long, grams array<long>"), "whole")
+    whole = materialise(texts.mapInArrow(K.tidy(_whole(n)), "k long, grams array<long>"), "whole")
     links = copies.where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
     for i in range(rounds):
         # the document with the largest share of grams that others have, then the least by a hash, stands for the group
@@ -374,7 +374,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
         comp = materialise(comp.join(named, comp["k"] == named["b"], "left").select("k", "n", F.coalesce("name", "comp").alias("comp")), "names")
     release(met)
     groups = rarest(whole.select("k", F.explode("grams").alias("gram")), comp, percent)
-    marks = materialise(whole.join(groups.select("k").distinct(), "k").mapInArrow(_signatures, "k long, n long, bits binary"), "marks")
+    marks = materialise(whole.join(groups.select("k").distinct(), "k").mapInArrow(K.tidy(_signatures), "k long, n long, bits binary"), "marks")
     names = comp.where("k <> comp").select(F.col("k").alias("a"), F.col("comp").alias("b"))
     for few in (True, False):
         now = groups

@@ -336,7 +336,7 @@ def repeated_runs(docs: DataFrame, unit: str, length: int, gram: int, hot: int =
 
     docs: the columns of `row_keyed`. A group of copies is one kind; it is never expanded into pairs.
     """
-    rows = docs.mapInArrow(_anchor_rows(unit, length, gram), _ROWS)
+    rows = docs.mapInArrow(K.tidy(_anchor_rows(unit, length, gram)), _ROWS)
     # written first: with an exchange on both sides of the join, Spark can split a hot anchor's rows
     often = materialise(rows.groupBy("h").agg(F.count(F.lit(1)).alias("seen")).where("seen >= 2").select("h"), "often")
     cand = materialise(rows.join(often, "h"), "stretches")
@@ -344,9 +344,9 @@ def repeated_runs(docs: DataFrame, unit: str, length: int, gram: int, hot: int =
     per = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
     kinds = materialise(kinds.join(per, "h").select("h", "c", "times", "kinds", "one.*"), "kinds")
     want = kinds.groupBy("k", "r").agg(F.collect_list(F.struct("h", "c", "lo", "n", "at", "times", "kinds")).alias("want"))
-    once = docs.join(want, ["k", "r"]).mapInArrow(_bodies(unit, length, hot), _BODIES)
+    once = docs.join(want, ["k", "r"]).mapInArrow(K.tidy(_bodies(unit, length, hot)), _BODIES)
     bodies = materialise(once, "bodies")
-    cold = bodies.where("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(_runs(unit, length, gram), _RUNS)
+    cold = bodies.where("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(K.tidy(_runs(unit, length, gram)), _RUNS)
     place = F.struct("k", "r", (F.col("lo") + F.col("off")).alias("lo"))
     windows = bodies.where("hot").select(F.col("body").alias("digest"), "h", "c", "off", "times", place.alias("place"))
     classes = windows.groupBy("digest").agg(F.sum("times").alias("total"), F.min("place").alias("first")).where("total >= 2")

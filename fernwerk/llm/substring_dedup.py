@@ -70,14 +70,14 @@ _OUT = "k long, r long, n_units long, n_removed long, n_spans long, kept binary,
 
 
 def _dedup(docs: DataFrame, unit: str, length: int, gram: int, keep: str, id_col: str, text_col: str) -> DataFrame:
-    out = _removals(row_keyed(docs, id_col, text_col), unit, length, gram, keep).mapInArrow(_apply(unit, length), _OUT)
+    out = _removals(row_keyed(docs, id_col, text_col), unit, length, gram, keep).mapInArrow(K.tidy(_apply(unit, length)), _OUT)
     return out.select(F.when(F.col("k") != NO_ID, F.col("k")).alias(id_col), "n_units", "n_removed", "n_spans", "kept", "kept_sha256")
 
 
 def _rewrite(docs: DataFrame, length: int, gram: int, keep: str, id_col: str, text_col: str) -> DataFrame:
     """All columns of the documents, cut texts rewritten: only texts that change are joined to the rest."""
     rows = row_keyed(docs, id_col, text_col)
-    cut = _removals(rows, "word", length, gram, keep).where("cut is not null").mapInArrow(_apply("word", length), _OUT)
+    cut = _removals(rows, "word", length, gram, keep).where("cut is not null").mapInArrow(K.tidy(_apply("word", length)), _OUT)
     cut = cut.select(F.col("k").alias("_k"), F.col("r").alias("_r"), F.decode("kept", "UTF-8").alias("_kept")).dropDuplicates(["_k", "_r"])
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)

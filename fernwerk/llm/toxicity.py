@@ -192,7 +192,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, max_entries: int
     spark = labelled.sparkSession
     # counts of pieces are taken on the executors; only those with enough support in toxic rows can be entries
     rows = materialise(labelled.select(F.col("label").cast("int").alias("label"), "text"), "sample")
-    pieces = rows.mapInArrow(_pieces, "piece string, pos long, neg long").groupBy("piece").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    pieces = rows.mapInArrow(K.tidy(_pieces), "piece string, pos long, neg long").groupBy("piece").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     totals = rows.groupBy().agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
     pos, total = int(totals[0]), int(totals[1])
     if not pos or pos == total:
@@ -202,11 +202,11 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, max_entries: int
     most = pieces.where((F.col("pos") >= least) & (F.col("pos") * F.lit(float(total)) > (F.col("pos") + F.col("neg")) * F.lit(float(pos)) * 2)).orderBy(F.desc("pos"), "piece").limit(10 * max_entries)
     lexicon = choose([(r[0], r[1], r[2]) for r in most.toLocalIterator()], pos, total - pos, max_entries)
     schema = "label int, near array<string>, a double, b double"
-    seen = rows.mapInArrow(_measure(spark.sparkContext.broadcast(lexicon)), schema)
+    seen = rows.mapInArrow(K.tidy(_measure(spark.sparkContext.broadcast(lexicon))), schema)
     near = seen.select("label", F.explode("near").alias("phrase")).groupBy("phrase").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).where("n >= 3 and pos = 0").orderBy(F.desc("n"), "phrase").limit(max_entries)
     lexicon.exceptions = {r[0] for r in near.toLocalIterator()}
     if lexicon.exceptions:
-        seen = rows.mapInArrow(_measure(spark.sparkContext.broadcast(lexicon)), schema)
+        seen = rows.mapInArrow(K.tidy(_measure(spark.sparkContext.broadcast(lexicon))), schema)
     x = seen.select("label", "a", "b").toPandas()
     lexicon.fit = _logistic(x[["a", "b"]].to_numpy(), x["label"].to_numpy())
     return lexicon
@@ -234,7 +234,7 @@ def _scored(docs: DataFrame, share: object, text_col: str) -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index(text_col)]))
     schema = StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())])
-    return rows.mapInArrow(_score(share), schema).toDF(*docs.columns, "score")
+    return rows.mapInArrow(K.tidy(_score(share)), schema).toDF(*docs.columns, "score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_on: str = "true", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: bool = False) -> DataFrame:
@@ -251,4 +251,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_on: str = "true", sample_
         return _scored(docs, share, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_score(share), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(K.tidy(_score(share)), f"id {kind}, score double").withColumnRenamed("id", id_col)
