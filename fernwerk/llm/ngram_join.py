@@ -260,16 +260,19 @@ def _traverse(percent: int, most: int | None = None) -> Callable:
     return run
 
 
-def candidate_pairs(groups: DataFrame, marks: DataFrame, percent: int, block: int = BLOCK, most: int | None = None) -> DataFrame:
+def candidate_pairs(groups: DataFrame, marks: DataFrame, percent: int, block: int = BLOCK, most: int | None = None, written: list[DataFrame] | None = None) -> DataFrame:
     """Distinct pairs (a, b) of groups (gram, k, comp) that the signature trees leave over; marks: sizes and bitmaps.
 
     A group of more than ``block`` documents is cut into bands of sizes so that linked documents are in one band or in neighbours,
     and a band into parts; a task gets one part with itself, or two parts of fitting bands with each other. With ``most``, only so many pairs of a document in a task.
+    The table that the result reads is added to ``written``.
     """
     total = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("total")).select("gram", "total", F.least(F.greatest(8 * F.sqrt("total"), F.lit(block)), F.lit(40 * block)).alias("block"))
     width = F.log(F.lit(100.0 / percent)) + 1e-9
     sized = groups.join(total, "gram").join(marks, "k").withColumn("band", F.when(F.col("total") > F.col("block"), F.floor(F.log("n") / width)).otherwise(0).cast("long"))
     sized = materialise(sized, "sized")
+    if written is not None:
+        written.append(sized)
     parts = sized.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / F.first("block")).cast("long").alias("parts"))
     beside = [parts.select("gram", (F.col("band") + i).alias("band"), F.col("parts").alias(name)) for i, name in ((1, "lower"), (-1, "upper"))]
     known = parts.join(beside[0], ["gram", "band"], "left").join(beside[1], ["gram", "band"], "left").fillna(0, ["lower", "upper"])
@@ -340,22 +343,28 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     gram and is linked with nothing. Every row is a document of its own, whatever its id, so rows without an id, or with one id
     and different texts, link by their texts only; a null id counts as the least.
     """
+    written: list[DataFrame] = []
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        written.append(materialise(df, name))
+        return written[-1]
+
     rows = row_keyed(docs, id_col, text_col).withColumnRenamed("k", "doc")
     sets = rows.mapInArrow(K.tidy(_sets(n, percent)), "doc long, r long, n long, s1 long, s2 long, first array<long>")
-    sets = materialise(sets.withColumn("k", F.monotonically_increasing_id()), "sets")
+    sets = write(sets.withColumn("k", F.monotonically_increasing_id()), "sets")
     # what is joined to hot keys is written first: with an exchange on both sides, Spark can split a hot key's rows
-    classes = materialise(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc", "k")).alias("one"), F.count(F.lit(1)).alias("times")).where("times > 1").select("s1", "s2", "n", F.col("one.k").alias("rep")), "classes")
-    copies = materialise(sets.join(classes, ["s1", "s2", "n"]).select("k", "rep"), "copies")
+    classes = write(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc", "k")).alias("one"), F.count(F.lit(1)).alias("times")).where("times > 1").select("s1", "s2", "n", F.col("one.k").alias("rep")), "classes")
+    copies = write(sets.join(classes, ["s1", "s2", "n"]).select("k", "rep"), "copies")
     grams = sets.select("k", F.explode("first").alias("gram"))
-    often = materialise(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "often")
+    often = write(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "often")
     known = sets.select("k", "n").join(copies, "k", "left").where("rep is null or rep = k").select("k", "n")
-    met = materialise(grams.join(often, "gram").join(known, "k").select("gram", "k", "n", F.col("k").alias("comp")), "met")
+    met = write(grams.join(often, "gram").join(known, "k").select("gram", "k", "n", F.col("k").alias("comp")), "met")
     release(often)
     met = peel(met, percent)
-    comp = materialise(met.groupBy("k").agg(F.first("n").alias("n")).withColumn("comp", F.col("k")), "open")
+    comp = write(met.groupBy("k").agg(F.first("n").alias("n")).withColumn("comp", F.col("k")), "open")
     names = sets.select("k", "doc", "r").join(comp.select("k"), "k")
     texts = rows.join(names, ["doc", "r"]).dropDuplicates(["doc", "r", "k"]).select("k", "text")
-    whole = materialise(texts.mapInArrow(K.tidy(_whole(n)), "k long, grams array<long>"), "whole")
+    whole = write(texts.mapInArrow(K.tidy(_whole(n)), "k long, grams array<long>"), "whole")
     links = copies.where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
     for i in range(rounds):
         # the document with the largest share of grams that others have, then the least by a hash, stands for the group
@@ -366,30 +375,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
         fits = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (F.col("ca") != F.col("comp"))
         pairs = here.join(center, "gram").where(fits).groupBy("k", "n", "na", "a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 1 + F.floor(F.least("n", "na") / 10))
         pairs = pairs.groupBy("k").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-        found = materialise(verify(pairs.select("a", F.col("k").alias("b")), whole, percent), "star-links")
+        found = write(verify(pairs.select("a", F.col("k").alias("b")), whole, percent), "star-links")
         links = links.unionByName(found)
         # what a document is linked with names it; these names need not be those of whole components
         own = comp.select(F.col("k").alias("a"), F.col("comp").alias("name"))
         named = found.join(own, "a").groupBy("b").agg(F.min("name").alias("name"))
-        comp = materialise(comp.join(named, comp["k"] == named["b"], "left").select("k", "n", F.coalesce("name", "comp").alias("comp")), "names")
+        comp = write(comp.join(named, comp["k"] == named["b"], "left").select("k", "n", F.coalesce("name", "comp").alias("comp")), "names")
     release(met)
     groups = rarest(whole.select("k", F.explode("grams").alias("gram")), comp, percent)
-    marks = materialise(whole.join(groups.select("k").distinct(), "k").mapInArrow(K.tidy(_signatures), "k long, n long, bits binary"), "marks")
+    written.append(groups)
+    marks = write(whole.join(groups.select("k").distinct(), "k").mapInArrow(K.tidy(_signatures), "k long, n long, bits binary"), "marks")
     names = comp.where("k <> comp").select(F.col("k").alias("a"), F.col("comp").alias("b"))
     for few in (True, False):
         now = groups
         if few:  # similar documents likely have one least gram by a hash
             least = [F.min(F.struct(F.xxhash64("gram", F.lit(i)).alias("h"), "gram", "comp")).alias(f"x{i}") for i in range(2)]
             now = groups.groupBy("k").agg(*least).select("k", F.explode(F.array_distinct(F.array("x0.gram", "x1.gram"))).alias("gram"), F.col("x0.comp").alias("comp"))
-        some = materialise(verify(candidate_pairs(mixed(now), marks, percent, most=SOME), whole, percent), "some-links")
+        some = write(verify(candidate_pairs(mixed(now), marks, percent, most=SOME, written=written), whole, percent), "some-links")
         links = links.unionByName(some)
         # what is linked by now is one component, of which nothing more is compared
-        names = materialise(connected_components(names.unionByName(some)).select(F.col("node").alias("a"), F.col("component").alias("b")), "names")
-        groups = materialise(groups.join(names, groups["k"] == names["a"], "left").select("gram", "k", F.coalesce("b", "comp").alias("comp")), "groups")
-    found = materialise(verify(candidate_pairs(mixed(groups), marks, percent), whole, percent), "tree-links")
-    final = materialise(connected_components(links.unionByName(found)), "components")
+        names = write(connected_components(names.unionByName(some)).select(F.col("node").alias("a"), F.col("component").alias("b")), "names")
+        groups = write(groups.join(names, groups["k"] == names["a"], "left").select("gram", "k", F.coalesce("b", "comp").alias("comp")), "groups")
+    found = write(verify(candidate_pairs(mixed(groups), marks, percent, written=written), whole, percent), "tree-links")
+    final = write(connected_components(links.unionByName(found)), "components")
     least = final.join(sets.select(F.col("k").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
     named = final.join(least, "component").select("node", "least")
     out = sets.select("k", "doc", "n").join(named, sets["k"] == named["node"], "left")
     show = lambda c: F.when(c != NO_ID, c)
-    return out.select(show(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), show(F.coalesce("least", "doc")).alias("component_id"))
+    out = materialise(out.select(show(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), show(F.coalesce("least", "doc")).alias("component_id")), "linked")
+    for table in written:
+        release(table)
+    return out
