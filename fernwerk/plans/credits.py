@@ -30,8 +30,9 @@ def query(sql: str | None = None, *names: str):
 
 
 def r6(c: Column) -> Column:
-    """Six places, and no negative zero."""
-    return F.round(c, 6) + F.lit(0.0)
+    """Six places, and no negative zero. The product is rounded, half away from zero, as SQL rounds a DOUBLE; F.round takes the digits
+    that the double prints as, which differs where these, or the product, lie on a half."""
+    return F.round(c * F.lit(1e6)) / F.lit(1e6) + F.lit(0.0)
 
 
 SQL_TRAPEZOID = """CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {a} OR {x} >= {d} THEN 0 WHEN {x} < {b} THEN ({x} - {a}) / ({b} - {a})

@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from fernwerk.plans.catalog import ORACLES, QUERIES
+from fernwerk.plans.credits import r6
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -35,6 +37,21 @@ def test_query(spark, con, name):
     assert got == sorted(repr(tuple(plain(dict(zip(names, r))[c]) for c in columns)) for r in out.fetchall())
 
 
+def test_six_places_are_those_of_sql(spark, con):
+    values = [0.5163125, 0.7719374999999999, -0.5163125, 0.5126875, 0.4133125, 1234567.8912345, -0.0, None, float("inf")]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(r6(F.col("x"))).collect()]
+    assert got == [con.execute("select round(?::DOUBLE, 6) + 0.0::DOUBLE", [v]).fetchone()[0] for v in values]
+
+
+def test_candidate_surfaces_on_halves(spark):
+    """sf0.01 has cells whose blend lies on half of a sixth place."""
+    c, sf = duckdb.connect(), "/root/testdata/sf0.01"
+    c.execute(f"create view part as select * from '{sf}/part.parquet'")
+    want = c.execute(f"select row, col, surface, value from ({ORACLES['c10_candidate_surfaces']})").fetchall()
+    got = QUERIES["c10_candidate_surfaces"](spark, sf).select("row", "col", "surface", "value").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_entry(spark):
     import __spark_entry__
 
