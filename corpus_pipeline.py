@@ -3,16 +3,20 @@ cut, benchmark passages are removed, and what is left is encoded."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fernwerk.llm.bpe import bpe_round_trip
 from fernwerk.llm.decontaminate import decontaminate
 from fernwerk.llm.ngram_join import jaccard_components
 from fernwerk.llm.queries import table, vocabulary
+from fernwerk.llm.repeats import NO_ID
 from fernwerk.llm.substring_dedup import passage_dedup
 from fernwerk.llm.toxicity import toxicity
 from fernwerk.storage import materialise
 
+#: A text with this has words.
+WORD = "[^\\x20\\x09-\\x0D]"
+
 
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars is the length of the text as it is now."""
@@ -27,16 +31,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the row with the least id stays (null is the least; of equal ids the least digest of the text).
+    """Of each group the row with the least id stays (null is the least; of equal ids the least digest of the text; of rows equal in both
+    the first).
 
-    Each row has a key of its own, so rows without an id or with the id of another go only if their texts are linked. Null texts and
-    texts without words are linked with nothing, and stay.
+    Rows are named by id and text, so rows without an id or with the id of another go only if their texts are linked. Null texts and
+    texts without words are linked with nothing, and stay. No copy of the texts is written: they are read again for the result.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_digest", F.sha2("text", 256)), "rows")
-    groups = jaccard_components(rows.select("_row", "text"), 5, 80, id_col="_row")
-    named = groups.select("_row", "component_id").join(rows.select("_row", "doc_id", "_digest"), "_row")
-    least = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_digest", "_row")).alias("x")).select(F.col("x._row").alias("_row"))
-    return rows.join(least, "_row", "left_semi").select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    keys = F.coalesce(doc_id.cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(text.cast("string")).alias("r")
+    spoken = F.coalesce(text.rlike(WORD), F.lit(False))
+    plain = docs.toDF(*names)
+    groups = jaccard_components(docs, 5, 80, by_row=True).where("n_shingles > 0").select("k", "r", "component").distinct()
+    digests = plain.where(spoken).select(*keys, F.sha2(text, 256).alias("digest")).distinct()
+    least = groups.join(digests, ["k", "r"]).groupBy("component").agg(F.min(F.struct("k", "digest", "r")).alias("x")).select("x.k", "x.r")
+    first = F.row_number().over(Window.partitionBy("k", "r").orderBy("at"))  # a task sends on one of its rows that are equal
+    one = plain.where(spoken).select(*keys, F.monotonically_increasing_id().alias("at"), *names).withColumn("place", first).where("place = 1")
+    kept = one.join(least, ["k", "r"], "left_semi").select(*names)
+    return kept.unionByName(plain.where(~spoken)).toDF(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -335,13 +335,15 @@ def mixed(groups: DataFrame) -> DataFrame:
     return groups.join(some, "gram").select("gram", "k", "comp")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
     """(id, n_shingles, component_id) of every document: the size of its set of ``n``-word grams and the least document that it is linked with.
 
     Documents link when 100 * intersection >= percent * union of their sets of grams of words (runs without ASCII white
     space, A-Z lower-cased). A text of fewer than n words is one gram; a text without words, or a null text, has no
     gram and is linked with nothing. Every row is a document of its own, whatever its id, so rows without an id, or with one id
     and different texts, link by their texts only; a null id counts as the least.
+    With ``by_row`` the columns are (k, r, n_shingles, component): rows are named as `row_keyed` names them, and a component has a
+    number that no other has, whatever the ids of its rows.
     """
     written: list[DataFrame] = []
 
@@ -398,6 +400,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
         groups = write(groups.join(names, groups["k"] == names["a"], "left").select("gram", "k", F.coalesce("b", "comp").alias("comp")), "groups")
     found = write(verify(candidate_pairs(mixed(groups), marks, percent, written=written), whole, percent), "tree-links")
     final = write(connected_components(links.unionByName(found)), "components")
+    if by_row:
+        out = sets.select("k", "doc", "r", "n").join(final, sets["k"] == final["node"], "left")
+        out = materialise(out.select(F.col("doc").alias("k"), "r", F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component")), "linked")
+        for table in written:
+            release(table)
+        return out
     least = final.join(sets.select(F.col("k").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
     named = final.join(least, "component").select("node", "least")
     out = sets.select("k", "doc", "n").join(named, sets["k"] == named["node"], "left")

@@ -1,3 +1,6 @@
+import hashlib
+from pathlib import Path
+
 import corpus_pipeline as P
 from fernwerk.llm.decontaminate import brute_force
 
@@ -42,6 +45,24 @@ def test_unlike_documents_without_an_id_or_with_one_id_stay(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_near_copies_are_found_without_a_copy_of_the_texts(spark):
+    """What the stage leaves in the shared folder is far smaller than the texts that it read."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "fernwerk"
+    size = lambda: sum(x.stat().st_size for x in shared.rglob("*.parquet") if x.is_file())
+    docs, before = spark.read.parquet(f"{SF}/documents.parquet"), size()
+    assert 0 < P.keep_one_of_near_copies(spark, docs, SF).count() < docs.count()
+    assert size() - before < 0.2 * Path(f"{SF}/documents.parquet").stat().st_size
+
+
+def test_of_equal_ids_the_least_digest_stays_and_of_equal_rows_one(spark):
+    a, b, c = (" ".join([*(f"{p}{i}" for i in range(40)), "end"]) for p in "xyz")
+    near = [f"{a} {w}" for w in ("one", "two", "three")]
+    rows = [(5, t, "en") for t in near] + [(5, b, "en"), (9, f"{b} more", "en"), (5, c, "en"), (5, c, "de"), (None, c.upper(), "en"), (7, " \t", "en"), (7, " \t", "en")]
+    got = P.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), SF).collect()
+    want = [(5, min(near, key=lambda t: hashlib.sha256(t.encode()).hexdigest()), "en"), (5, b, "en"), (None, c.upper(), "en"), (7, " \t", "en"), (7, " \t", "en")]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_stages_on_nulls_empties_repeats_and_nothing(spark):
     """Every stage keeps rows with null and empty texts, repeated rows and clashing columns; an empty table stays empty."""
     words = [" ".join(f"{p}{i}" for i in range(30)) for p in "abc"]
