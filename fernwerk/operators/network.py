@@ -22,8 +22,9 @@ NOT_DRIVABLE_SURFACES = ("decommissioned", "overgrown")
 JUNCTION_M = 2.0
 #: Edges that one task may hold for a heap search; larger networks are relaxed by joins.
 HEAP_EDGES = 1_000_000
-#: Rows and columns of one tile of a cost surface.
+#: Rows and columns of one tile of a cost surface, and the cells in the box of a block of tiles that one task settles.
 TILE = 512
+BLOCK_CELLS = 1_000_000
 
 
 class NoNetworkError(ValueError):
@@ -227,8 +228,20 @@ _RIM = f"tr long, tc long, row int, col int, cost double, {_LABEL}"
 _NO_ROOT = (1 << 63) - 1
 
 
-def _first_tiles(tile: int) -> Callable:
-    """The cells of a tile as arrays, sources labelled, nothing settled."""
+def block_shape(box: tuple[int, int, int, int], tile: int, most: int) -> tuple[int, int]:
+    """Rows and columns of a block: whole tiles, as square as the grid (its least and greatest row, then column) allows, with at most
+    ``most`` cells of the grid's box, or one tile."""
+    tiles = [box[i + 1] // tile - box[i] // tile + 1 for i in (0, 2)]
+    cells = lambda n, i: min(n * tile, box[i + 1] - box[i] + 1)
+    side = max(math.isqrt(most) // tile, 1)
+    down = min(tiles[0], side)
+    across = min(tiles[1], max(most // (cells(down, 0) * tile), 1))
+    down = min(tiles[0], max(most // (cells(across, 2) * tile), 1))
+    return down * tile, across * tile
+
+
+def _first_tiles(high: int, wide: int) -> Callable:
+    """The cells of a block as arrays, sources labelled, nothing settled."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         row0, col0 = int(pdf["row"].min()), int(pdf["col"].min())
@@ -241,13 +254,14 @@ def _first_tiles(tile: int) -> Callable:
         place = own["row"].to_numpy() - row0, own["col"].to_numpy() - col0
         minutes[place], metres[place] = 0.0, 0.0
         root[place] = own["row"].to_numpy().astype(np.int64) * (1 << 31) + own["col"].to_numpy()
-        return pd.DataFrame({"tr": [row0 // tile], "tc": [col0 // tile], "row0": [row0], "col0": [col0], "rows": [shape[0]], "cols": [shape[1]], "cost": [cost.tobytes()], "minutes": [minutes.tobytes()], "root": [root.tobytes()], "metres": [metres.tobytes()]})
+        return pd.DataFrame({"tr": [row0 // high], "tc": [col0 // wide], "row0": [row0], "col0": [col0], "rows": [shape[0]], "cols": [shape[1]], "cost": [cost.tobytes()], "minutes": [minutes.tobytes()], "root": [root.tobytes()], "metres": [metres.tobytes()]})
 
     return run
 
 
-def _round(tile: int, resolution: float, first: bool) -> Callable:
-    """A tile and the labels that came over its rim -> the tile settled, and the labels of its rim that changed, for the tiles next to it."""
+def _round(high: int, wide: int, box: tuple[int, int, int, int], resolution: float, first: bool) -> Callable:
+    """A block and the labels that came over its rim -> the block settled, and the labels of its rim that changed, for the blocks next to
+    it. The grid's own edge is no rim."""
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
@@ -278,10 +292,10 @@ def _round(tile: int, resolution: float, first: bool) -> Callable:
         out = [{"tr": t["tr"], "tc": t["tc"], "row0": t["row0"], "col0": t["col0"], "rows": t["rows"], "cols": t["cols"], "t_cost": t["cost"], "t_minutes": minutes.tobytes(), "t_root": root.tobytes(), "t_metres": metres.tobytes()}]
         row, col = y + int(t["row0"]), x + int(t["col0"])
         news: dict[tuple[int, int], list[int]] = {}
-        edge = (row % tile == 0) | (row % tile == tile - 1) | (col % tile == 0) | (col % tile == tile - 1)
+        edge = ((row % high == 0) & (row > box[0])) | ((row % high == high - 1) & (row < box[1])) | ((col % wide == 0) & (col > box[2])) | ((col % wide == wide - 1) & (col < box[3]))
         for i in np.flatnonzero(edge):
-            mine = row[i] // tile, col[i] // tile
-            for other in {((row[i] + dr) // tile, (col[i] + dc) // tile) for dr, dc, _ in _STEPS} - {mine}:
+            mine = row[i] // high, col[i] // wide
+            for other in {((row[i] + dr) // high, (col[i] + dc) // wide) for dr, dc, _ in _STEPS} - {mine}:
                 news.setdefault((int(other[0]), int(other[1])), []).append(int(i))
         for (a, b), at in news.items():
             out += [{"tr": a, "tc": b, "row": int(row[i]), "col": int(col[i]), "cost": cost[y[i], x[i]], "minutes": minutes[y[i], x[i]], "root": int(root[y[i], x[i]]), "metres": metres[y[i], x[i]]} for i in at]
@@ -311,22 +325,25 @@ def _cells_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield frame
 
 
-def least_cost(cells: DataFrame, resolution: float, tile: int = TILE) -> DataFrame:
+def least_cost(cells: DataFrame, resolution: float, tile: int = TILE, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """Minutes of the cheapest way from any source to each cell, the source it starts from (``root``) and its length in metres.
 
     cells: row, col, cost (minutes a metre, not negative; a missing one is no way through), source (boolean). Eight neighbours; a step
-    costs the mean of its two cells times its length. Ties go to the lesser root, then the shorter way. Each tile is settled by itself
-    and hands the labels of its rim that changed to the tiles next to it; only tiles with such news are settled again. A label only
-    changes to a lesser one, of finitely many ways, so the rounds end, with the first that has no news: they are tiles across, not
-    cells across. Unreached cells are missing.
+    costs the mean of its two cells times its length. Ties go to the lesser root, then the shorter way. Tiles side by side make a block
+    of at most ``block_cells`` cells, however small the tiles. Each block is settled by itself and hands the labels of its rim that
+    changed to the blocks next to it; only blocks with such news are settled again. A label only changes to a lesser one, of finitely
+    many ways, so the rounds end, with the first that has no news: they are blocks across, not tiles or cells across. Unreached cells
+    are missing.
     """
-    tr, tc = (F.floor(F.col(x) / tile).cast("long") for x in ("row", "col"))
+    box = tuple(cells.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first())
+    high, wide = (tile, tile) if None in box else block_shape(box, tile, block_cells)
+    tr, tc = (F.floor(F.col(x) / n).cast("long") for x, n in (("row", high), ("col", wide)))
     rows = cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("cost").cast("double").alias("cost"), "source", tr.alias("tr"), tc.alias("tc"))
-    tiles = materialise(rows.groupBy("tr", "tc").applyInPandas(_first_tiles(tile), _TILES), "tiles")
+    tiles = materialise(rows.groupBy("tr", "tc").applyInPandas(_first_tiles(high, wide), _TILES), "tiles")
     none = cells.sparkSession.createDataFrame([], _RIM)
     news, first = none, True
     while True:
-        out = materialise(tiles.groupBy("tr", "tc").cogroup(news.groupBy("tr", "tc")).applyInPandas(_round(tile, resolution, first), _OUT), "round")
+        out = materialise(tiles.groupBy("tr", "tc").cogroup(news.groupBy("tr", "tc")).applyInPandas(_round(high, wide, box, resolution, first), _OUT), "round")
         settled = out.where("rows is not null").select("tr", "tc", "row0", "col0", "rows", "cols", *(F.col(f"t_{x}").alias(x) for x in ("cost", "minutes", "root", "metres")))
         news = out.where("rows is null").select("tr", "tc", "row", "col", "cost", "minutes", "root", "metres")
         whole = settled if first else settled.unionByName(held)

@@ -107,6 +107,23 @@ def test_least_cost_with_a_wall_and_two_sources(spark, tile):
     assert all(x["metres"] >= 2.0 * max(abs(x["row"] - x["root_row"]), abs(x["col"] - x["root_col"])) - 1e-9 for x in got.values())
 
 
+def test_small_tiles_take_few_rounds(spark, monkeypatch):
+    """A strip of thirty tiles is one block, and blocks of any size give the same labels."""
+    rows = spark.createDataFrame([(r, c, 1.0 + (r * 7 + c) % 3, r == 0 and c == 1) for r in range(60) for c in range(3)], "row int, col int, cost double, source boolean")
+    rounds = []
+    monkeypatch.setattr(N, "materialise", lambda df, name, keep=N.materialise: rounds.append(name) or keep(df, name))
+    whole = sorted(map(tuple, N.least_cost(rows, 2.0, 2).collect()))
+    assert rounds.count("round") <= 2
+    assert whole == sorted(map(tuple, N.least_cost(rows, 2.0, 8, block_cells=40).collect())) and rounds.count("round") > 5
+    assert len(whole) == 180 and None not in whole[-1]
+
+
+def test_blocks_are_whole_tiles_within_the_grid():
+    assert N.block_shape((0, 143_999, 0, 49), 16, 1_000_000) == (20_000, 64)
+    assert N.block_shape((0, 9_999, 0, 9_999), 512, 1_000_000) == (512, 1536)
+    assert N.block_shape((-3, 5, -3, 5), 5, 9) == (5, 5)
+
+
 def test_least_cost_queries_walk_all_of_the_terrain(spark):
     """sf0.01 has 40 rows of 50 cells."""
     from fernwerk.functions import curves as C
