@@ -117,10 +117,12 @@ def nearest_source(cells: DataFrame, source: Column, value: str | None = None) -
 
     The column pass finds the nearest source above and below; the row pass takes the lower envelope of their parabolas. A row of
     cells is held by a task at a time. Ties: the least row, then the least column.
+    Both windows of the column pass grow from their first row: one that shrinks towards its last is gone through anew for each cell.
     """
     here = F.when(source, F.struct(F.col("row").alias("row"), *([F.col(value).alias("value")] if value else [])))
     up = F.last(here, ignorenulls=True).over(along_col().rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(here, ignorenulls=True).over(along_col().rowsBetween(0, Window.unboundedFollowing))
+    upwards = Window.partitionBy("col").orderBy(F.desc("row"))
+    down = F.last(here, ignorenulls=True).over(upwards.rowsBetween(Window.unboundedPreceding, 0))
     grid = cells.select("row", "col", up.alias("_up"), down.alias("_down"))
     sides = [F.col(f"_{side}.{x}").alias(f"{side}_{x}") for side in ("up", "down") for x in (("row", "value") if value else ("row",))]
     kind = f", _v {cells.schema[value].dataType.simpleString()}" if value else ""

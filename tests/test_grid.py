@@ -35,6 +35,18 @@ def test_distance_to_water(spark):
     assert {r["distance"] for r in T.distance_to(none, 30.0).collect()} == {None}
 
 
+def test_no_window_of_the_column_pass_shrinks(spark):
+    """Spark goes through a window from the cell to the end anew for each cell: the square of the rows."""
+    cells = plane(spark, 6, lambda r, c: float(r * 6 + c) if (r + c) % 4 == 0 else None)
+    near = T.nearest_source(cells, F.col("z").isNotNull(), "z")
+    plan = near._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "currentrow" in plan and "unboundedfollowing" not in plan
+    sources = [(r, c) for r in range(6) for c in range(6) if (r + c) % 4 == 0]
+    for x in near.collect():
+        d, r, c = min(((r - x["row"]) ** 2 + (c - x["col"]) ** 2, r, c) for r, c in sources)
+        assert x["_d"] == d and x["_v"] == r * 6 + c
+
+
 def test_valley_floor_lies_below_its_surroundings(spark):
     v = plane(spark, 21, lambda r, c: abs(c - 10) * 10.0)
     got = T.topographic_position(v, 30.0, 90.0)
