@@ -56,11 +56,20 @@ def endpoints(roads: DataFrame) -> DataFrame:
 
 
 def junctions(points: DataFrame, tolerance: float = JUNCTION_M) -> DataFrame:
-    """(point, node): ends no further apart than the tolerance, and chains of them, are one node, named by its least point."""
-    other = points.select(F.col("point").alias("point2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = within(points, other, tolerance, ("x", "y"), ("x2", "y2")).where("point < point2")
-    comp = connected_components(pairs, "point", "point2")
-    return points.join(comp, points["point"] == comp["node"], "left").select("point", F.coalesce("component", "point").alias("node"))
+    """(point, node): ends no further apart than the tolerance, and chains of them, are one node, named by its least point.
+
+    Ends at one place are one row. Places of one square of 0.7 tolerances hang on its least; only those of different squares are
+    compared. So pairs grow with the places, not with the square of the ends that meet at one. An end without a place is its own node.
+    """
+    known = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))  # neither missing, infinite nor NaN
+    square = [F.floor(F.col(c) / num(0.7 * tolerance)).alias(f"s{c}") for c in "xy"]
+    places = materialise(points.where(known).groupBy("x", "y").agg(F.min("point").alias("place")).select("*", *square), "places")
+    hung = places.join(places.groupBy("sx", "sy").agg(F.min("place").alias("place2")), ["sx", "sy"]).where("place <> place2").select("place", "place2")
+    other = places.select(*(F.col(c).alias(f"{c}2") for c in places.columns))
+    near = within(places, other, tolerance, ("x", "y"), ("x2", "y2")).where("place < place2 and (sx <> sx2 or sy <> sy2)").select("place", "place2")
+    comp = connected_components(hung.unionByName(near), "place", "place2")
+    named = places.join(comp, places["place"] == comp["node"], "left").select("x", "y", F.coalesce("component", "place").alias("node"))
+    return points.join(named, ["x", "y"], "left").select("point", F.coalesce("node", "point").alias("node"))
 
 
 def network(roads: DataFrame, speeds: dict[str, float] = SPEEDS, tolerance: float = JUNCTION_M) -> DataFrame:

@@ -151,6 +151,32 @@ def test_least_cost_queries_walk_all_of_the_terrain(spark):
     assert {(x["row"], x["col"]) for x in routes.j16_root_drive_time(spark, sf).collect()} == {(x["row"], x["col"]) for x in cells}
 
 
+def test_ends_at_one_place_are_not_paired(spark, monkeypatch):
+    """Against all pairs: chains, places of one square, 150 ends at one place, ends without a place."""
+    import random
+
+    rng = random.Random(5)
+    points = [(i, rng.choice([0.0, 1.4, 2.0, 3.99, 4.0]) + 10 * rng.randrange(4), rng.choice([-0.0, 0.0, 1.9, 2.1])) for i in range(90)]
+    points += [(100 + i, 7.0, 7.0) for i in range(150)] + [(300, None, 7.0), (301, float("nan"), 7.0), (302, float("nan"), 7.0), (303, 7.0, float("inf"))]
+    up = {p[0]: p[0] for p in points}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, x, y in points:
+        for j, u, v in points:
+            if i < j and x is not None and u is not None and math.sqrt((x - u) ** 2 + (y - v) ** 2) <= 2:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    edges = []
+    monkeypatch.setattr(N, "connected_components", lambda e, *names, find=N.connected_components: edges.append(e.count()) or find(e, *names))
+    got = N.junctions(spark.createDataFrame(points, "point long, x double, y double")).collect()
+    assert {r["point"]: r["node"] for r in got} == {p[0]: find(p[0]) for p in points} and len(got) == len(points)
+    assert edges[0] < 500  # 150 ends at one place are 11,175 pairs
+
+
 def test_frontier_and_heap_agree(spark):
     edges = spark.createDataFrame([(0, 1, 4.0), (0, 2, 1.0), (2, 1, 2.0), (1, 3, 5.0), (8, 9, 1.0)], "a long, b long, minutes double")
     a = {r["node"]: r["minutes"] for r in N.shortest_times(edges, 0).collect()}
