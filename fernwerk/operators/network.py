@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fernwerk.functions.curves import num
@@ -25,6 +26,8 @@ HEAP_EDGES = 1_000_000
 #: Rows and columns of one tile of a cost surface, and the cells in the box of a block of tiles that one task settles.
 TILE = 512
 BLOCK_CELLS = 1_000_000
+#: Pointers that a task follows at once.
+CHUNK_POINTERS = 1_000_000
 
 
 class NoNetworkError(ValueError):
@@ -366,16 +369,76 @@ def least_cost(cells: DataFrame, resolution: float, tile: int = TILE, block_cell
     return state.select("row", "col", "minutes", F.expr("cast(root div 2147483648 as int)").alias("root_row"), F.expr("cast(root % 2147483648 as int)").alias("root_col"), "metres")
 
 
-def pointer_roots(pred: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """(cell, root, metres) from (cell, pred, metres): follows predecessors by doubling; a cell without one is its own root."""
-    state = materialise(pred.select("cell", F.coalesce("pred", "cell").alias("root"), F.when(F.col("pred").isNull(), 0.0).otherwise(F.col("metres")).alias("metres")), "pointers")
-    for _ in range(max_rounds):
-        on = state.select(F.col("cell").alias("at"), F.col("root").alias("next"), F.col("metres").alias("more"))
-        after = materialise(state.join(on, state["root"] == on["at"]).select("cell", F.col("next").alias("root"), (F.col("metres") + F.col("more")).alias("metres"), (F.col("next") != F.col("root")).alias("moved")), "pointers")
-        state = after.drop("moved")
-        if after.where("moved").isEmpty():
-            break
-    return state
+def _follow(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Pointers (cell, root, metres, open), in chunks of at most ``most``: each is led as far as the cells of its chunk go.
+    ``open``: what it points to now lies in another chunk. Chains are doubled within the chunk."""
+
+    def chunk(t: pa.Table) -> pa.RecordBatch:
+        cell, root = t["cell"].to_numpy(), t["root"].to_numpy()
+        metres = t["metres"].to_numpy(zero_copy_only=False).astype(float)
+        known = ~t["metres"].is_null().to_numpy(zero_copy_only=False)
+        is_open = t["open"].to_numpy(zero_copy_only=False)
+        order = np.argsort(cell, kind="stable")
+        at = np.minimum(np.searchsorted(cell[order], root), len(cell) - 1)
+        to = order[at]
+        own = np.arange(len(cell))
+        inner = is_open & (cell[to] == root)
+        next_ = np.where(inner, to, own)
+        sum_, ok = np.where(inner, metres, 0.0), known | ~inner
+        for _ in range(len(cell).bit_length() + 1):
+            on = next_[next_]
+            if (on == next_).all():
+                break
+            sum_, ok, next_ = sum_ + sum_[next_], ok & ok[next_], on
+        else:
+            raise ValueError("predecessors go in a circle")
+        if (inner & inner[next_]).any():
+            raise ValueError("predecessors go in a circle")
+        sum_, ok = sum_ + metres[next_], ok & known[next_]
+        columns = [pa.array(cell), pa.array(root[next_]), pa.array(sum_, pa.float64(), mask=~ok), pa.array(is_open[next_])]
+        return pa.RecordBatch.from_arrays(columns, ["cell", "root", "metres", "open"])
+
+    held, n = [], 0
+    for b in batches:
+        while b.num_rows:
+            part = b.slice(0, most - n)
+            b = b.slice(part.num_rows)
+            held.append(part)
+            n += part.num_rows
+            if n == most:
+                yield chunk(pa.Table.from_batches(held))
+                held, n = [], 0
+    if n:
+        yield chunk(pa.Table.from_batches(held))
+
+
+def pointer_roots(pred: DataFrame, max_rounds: int = 32, chunk: int = CHUNK_POINTERS) -> DataFrame:
+    """(cell, root, metres) from (cell, pred, metres): predecessors followed to the end; a cell without one is its own root, and cells
+    whose chain ends in a cell that is not there are left out.
+
+    Cells in order are cut into chunks, in which each chain is followed by itself. Only the cells in which chains of other chunks go
+    on are followed from chunk to chunk: in one task if they fit in a chunk, else by doubling. All cells are shuffled and written once.
+    """
+    schema = f"cell {pred.schema['cell'].dataType.simpleString()}, root {pred.schema['cell'].dataType.simpleString()}, metres double, open boolean"
+    first = pred.select("cell", F.coalesce("pred", "cell").cast(pred.schema["cell"].dataType).alias("root"), F.when(F.col("pred").isNull(), 0.0).otherwise(F.col("metres")).cast("double").alias("metres"), F.col("pred").isNotNull().alias("open"))
+    follow = lambda b: _follow(b, chunk)
+    near = materialise(first.repartitionByRange("cell").sortWithinPartitions("cell").mapInArrow(follow, schema), "pointers")
+    entered = near.where("open").select(F.col("root").alias("cell")).distinct()
+    state = materialise(near.join(entered, "cell", "left_semi"), "entered")
+    if state.limit(chunk + 1).count() <= chunk:
+        state = materialise(state.coalesce(1).mapInArrow(follow, schema), "entered")
+    else:
+        for _ in range(max_rounds):
+            on = state.select(F.col("cell").alias("at"), F.col("root").alias("next"), F.col("metres").alias("more"), F.col("open").alias("still"))
+            todo = state.where("open").join(on, F.col("root") == F.col("at")).select("cell", F.col("next").alias("root"), (F.col("metres") + F.col("more")).alias("metres"), F.col("still").alias("open"))
+            state = materialise(state.where("not open").unionByName(todo), "entered")
+            if state.where("open").isEmpty():
+                break
+        else:
+            raise ValueError("predecessors go in a circle")
+    ends = state.where("not open").select(F.col("cell").alias("at"), F.col("root").alias("end"), F.col("metres").alias("more"))
+    far = near.where("open").join(ends, F.col("root") == F.col("at")).select("cell", F.col("end").alias("root"), (F.col("metres") + F.col("more")).alias("metres"))
+    return near.where("not open").select("cell", "root", "metres").unionByName(far)
 
 
 def nearest_node(nodes: DataFrame, x: float, y: float) -> DataFrame:

@@ -184,6 +184,32 @@ def test_frontier_and_heap_agree(spark):
     assert a == b == {0: 0.0, 1: 3.0, 2: 1.0, 3: 8.0}
 
 
+@pytest.mark.parametrize("chunk", [N.CHUNK_POINTERS, 7])
+def test_chains_are_followed_in_few_tables(spark, monkeypatch, chunk):
+    """Chains of any order against a walk; one ends in a cell that is not there, one has a step of unknown length."""
+    import random
+
+    rng = random.Random(2)
+    order = rng.sample(range(300), 300)
+    pred = {c: None if i % 60 == 0 else order[i - 1] for i, c in enumerate(order)} | {900: 901, 902: 900}
+    metres = {c: None if i == 75 else float(c % 5) for i, c in enumerate([*order, 900, 902])}
+    want = {}
+    for c in pred:
+        root, far = c, 0.0
+        while root in pred and pred[root] is not None:
+            far = None if far is None or metres[root] is None else far + metres[root]
+            root = pred[root]
+        if root in pred:
+            want[c] = (root, far)
+    tables = []
+    monkeypatch.setattr(N, "materialise", lambda df, name, keep=N.materialise: tables.append(name) or keep(df, name))
+    rows = spark.createDataFrame([(c, p, metres[c]) for c, p in pred.items()], "cell long, pred long, metres double")
+    assert {r["cell"]: (r["root"], r["metres"]) for r in N.pointer_roots(rows, chunk=chunk).collect()} == want
+    assert tables.count("pointers") == 1
+    with pytest.raises(Exception, match="circle"):
+        N.pointer_roots(spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "cell long, pred long, metres double")).collect()
+
+
 def test_split_keeps_parts_together(spark):
     rows = [(r, c, 1.0 / (1 + min(abs(c - 3), abs(c - 17)) + abs(r - 2)), 0) for r in range(5) for c in range(21)]
     cells = spark.createDataFrame(rows, "row int, col int, score double, label long")
