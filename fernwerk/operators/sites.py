@@ -6,12 +6,17 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fernwerk.functions.curves import aspect_score, trapezoid, weighted_mean
 from fernwerk.operators.graph import connected_components
 from fernwerk.operators.spatial import within
 from fernwerk.operators.stats import exact_percentile
+from fernwerk.storage import materialise
+
+#: Rows and columns of the tiles in which patches are labelled before they are joined.
+TILE = 512
 
 
 def rejected(score: Column, *required: Column) -> Column:
@@ -28,14 +33,53 @@ def cut(cells: DataFrame, selection: str = "percentile", percentile: float = 99.
     return cells.where(F.col(score) >= max(min_score, at if at is not None else min_score))
 
 
-def patches(cells: DataFrame) -> DataFrame:
-    """Cells with the least cell id (row * 2^31 + col) of their eight-connected patch, as ``label``."""
-    own = cells.withColumn("cell", F.col("row").cast("long") * (1 << 31) + F.col("col"))
+def local_patches(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Of each cell the index of the first cell, by row and column, of its eight-connected patch among these cells."""
+    row, col = row.astype(np.int64), col.astype(np.int64)
+    width = int(col.max() - col.min()) + 3  # a column is free at either edge, so that no neighbour is in another row
+    cell, first, back = np.unique((row - row.min()) * width + col - col.min() + 1, return_index=True, return_inverse=True)
+    a, b = [], []
+    for step in (1, width - 1, width, width + 1):
+        at = np.minimum(np.searchsorted(cell, cell + step), len(cell) - 1)
+        hit = np.flatnonzero(cell[at] == cell + step)
+        a.append(hit)
+        b.append(at[hit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    label = np.arange(len(cell))
+    while True:  # patches that touch hang on the lesser; then each cell on the end of its chain
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    return first[label][back]
+
+
+def _label(t: pa.Table) -> pa.Table:
+    if t["row"].null_count or t["col"].null_count:  # no place, no patch: such rows are a group of their own
+        return t.append_column("label", pa.nulls(len(t), pa.int64()))
+    row, col = (t[x].to_numpy().astype(np.int64) for x in ("row", "col"))
+    at = local_patches(row, col)
+    return t.append_column("label", pa.array(row[at] * (1 << 31) + col[at], pa.int64()))
+
+
+def patches(cells: DataFrame, tile: int = TILE) -> DataFrame:
+    """Cells with the least cell id (row * 2^31 + col) of their eight-connected patch, as ``label``.
+
+    Each tile of the grid is labelled by itself, in one task; only cells at the rims of tiles are joined, and only the labels that meet
+    there are contracted."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields) + ", label bigint"
+    tr, tc = (F.floor(F.col(x) / tile).cast("long") for x in ("row", "col"))
+    own = materialise(cells.groupBy(tr.alias("_tr"), tc.alias("_tc")).applyInArrow(_label, kinds), "patches")
+    rim = own.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "label").where(" or ".join(f"pmod({x}, {tile}) in (0, {tile - 1})" for x in ("row", "col")))
     half = F.explode(F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1)))))
-    edge = own.select("cell", "row", "col", half.alias("s")).select(F.col("cell").alias("a"), ((F.col("row") + F.col("s.dr")).cast("long") * (1 << 31) + F.col("col") + F.col("s.dc")).alias("b"))
-    edges = edge.join(own.select(F.col("cell").alias("b")), "b", "left_semi")
+    next_ = rim.select("label", half.alias("s"), "row", "col").select(F.col("label").alias("a"), (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"))
+    edges = next_.join(rim.withColumnRenamed("label", "b"), ["row", "col"]).where("a <> b").select("a", "b").distinct()
     comp = connected_components(edges)
-    return own.join(comp, own["cell"] == comp["node"], "left").withColumn("label", F.coalesce("component", "cell")).drop("node", "component", "cell")
+    return own.join(comp, own["label"] == comp["node"], "left").withColumn("label", F.coalesce("component", "label")).drop("node", "component")
 
 
 def summary(cells: DataFrame, cell_ha: float, score: str = "score") -> DataFrame:

@@ -184,6 +184,31 @@ def test_frontier_and_heap_agree(spark):
     assert a == b == {0: 0.0, 1: 3.0, 2: 1.0, 3: 8.0}
 
 
+def test_patches_are_labelled_by_tiles(spark, monkeypatch):
+    """Against a walk over the cells, at any size of tile; only labels that meet at rims are contracted. Two rows of one cell and a
+    row without a place stay."""
+    import random
+
+    rng = random.Random(4)
+    cells = {(r, c) for r in range(-3, 37) for c in range(-2, 18) if rng.random() < 0.45} | {(r, 30) for r in range(30)}
+    want, todo = {}, sorted(cells)
+    for start in todo:
+        walk = [start]
+        while walk:
+            r, c = walk.pop()
+            if (r, c) in cells and (r, c) not in want:
+                want[r, c] = start[0] * (1 << 31) + start[1]
+                walk += [(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    edges = []
+    monkeypatch.setattr(Z, "connected_components", lambda e, find=Z.connected_components: edges.append(e.count()) or find(e))
+    rows = spark.createDataFrame([(r, c, "x") for r, c in [*cells, (5, 30)]] + [(None, 1, "y")], "row int, col int, name string")
+    for tile in (Z.TILE, 7):
+        got = Z.patches(rows, tile)
+        assert got.columns == ["row", "col", "name", "label"] and got.count() == len(cells) + 2
+        assert {(x["row"], x["col"]): x["label"] for x in got.collect()} == want | {(None, 1): None}
+    assert edges[0] < len(cells) / 10
+
+
 @pytest.mark.parametrize("chunk", [N.CHUNK_POINTERS, 7])
 def test_chains_are_followed_in_few_tables(spark, monkeypatch, chunk):
     """Chains of any order against a walk; one ends in a cell that is not there, one has a step of unknown length."""
